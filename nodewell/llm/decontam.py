@@ -112,7 +112,7 @@ def candidates(block: Block, numbers: np.ndarray, codes: np.ndarray, places: dic
 
 def leaks(
     df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    min_score: float = 0.6, min_words: int = 8, common_share: float = 0.0005, stretch: int = 4, block_items: int = BLOCK_ITEMS,
+    min_score: float = 0.5, min_words: int = 8, common_share: float = 0.0005, stretch: int = 4, block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """(key, item, score) of every document that holds a copy of a benchmark item, exact, edited or paraphrased in part.
 

@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nodewell.llm import chat, decontam, packing, quality, sharding, simhash, substring, urlfilter, warc
+from nodewell.llm import chat, decontam, packing, quality, secrets, sharding, simhash, substring, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +82,23 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["kind"] != "crf")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans")
+    )
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_warc, op2_decontaminate, op3_shard, op4_quality, op5_simhash, op6_chat, op7_pack, op8_repeats, op9_urls)
+    f.__name__: f
+    for f in (op1_warc, op2_decontaminate, op3_shard, op4_quality, op5_simhash, op6_chat, op7_pack, op8_repeats, op9_urls, op10_secrets)
 }
 ORACLE: dict[str, str] = {}

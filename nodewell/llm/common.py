@@ -61,6 +61,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select("b", "b").distinct())
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", bound_rows: int = 1_000_000) -> DataFrame:
-    """big joined with small, a written table of narrow rows: broadcast if it has bound_rows at most, else a shuffled join."""
-    return big.join(F.broadcast(small) if small.count() <= bound_rows else small, on, how)
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", bound: int = 500_000, array: str | None = None) -> DataFrame:
+    """big joined with small, a written table of narrow rows: broadcast if small has `bound` rows and elements of the
+    column array at most, else a shuffled join."""
+    entries = F.count("*") + (F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0))
+    return big.join(F.broadcast(small) if small.agg(entries).first()[0] <= bound else small, on, how)

@@ -272,10 +272,10 @@ def find_secrets(df: DataFrame, model: Model | None = None, key: str = "doc_id",
     """All rows and columns of df with `secrets`: array of (kind, start, end) in code points, end exclusive, by start and kind.
 
     Null and empty texts have none; repeated rows get equal results; an empty table gives none. Whole texts are
-    scanned in their own task, nothing is shuffled. Without a model, one is trained on df; see train.
+    scanned in their own task, nothing is shuffled. A column `secrets` of df is replaced. Without a model, one is trained on df; see train.
     """
     model = model or train(df, key, text)
-    return _scanned(df, model, text, False)
+    return _scanned(df.drop("secrets"), model, text, False)
 
 
 def redact(df: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:

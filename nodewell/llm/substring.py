@@ -19,15 +19,16 @@ BUFFER_ROWS = 20_000
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i, 2**64) for i in range(GRAM)], np.uint64)
 
 
-def super_windows(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, number of windows) of the runs of windows whose least gram hash is the same.
+def super_windows(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(key, first window, number of windows, places) of the runs of windows whose least gram hash is the same.
 
     Equal windows have equal keys, so all places of a repeated window meet in one group, and the suffixes of a run
-    travel as one text instead of one text each.
+    travel as one text instead of one text each. places is 2 if the run itself may hold equal windows: it then has
+    more windows than hold one gram, or a window that holds the least gram twice.
     """
     n = len(words) - window + 1
     if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3
     h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) + np.uint64(1)
     m = len(words) - gram + 1
     g = np.zeros(m, np.uint64)
@@ -43,7 +44,12 @@ def super_windows(words: list[bytes], window: int = WINDOW, gram: int = GRAM) ->
     if (more := window - gram + 1 - width) > 0:
         span = np.minimum(span[:-more], span[more:])
     first = np.concatenate([[0], np.flatnonzero(span[1:] != span[:-1]) + 1])
-    return span[first], first, np.diff(np.append(first, n))
+    number = np.diff(np.append(first, n))
+    held = np.zeros(n, np.int8)
+    for i in range(window - gram + 1):
+        held += g[i : i + n] == span
+    twice = np.maximum.reduceat(held, first) > 1
+    return span[first], first, number, np.where(twice | (number > window - gram + 1), 2, 1)
 
 
 def repeated_windows(texts: list[bytes], order: list[tuple], window: int = WINDOW) -> list[np.ndarray]:
@@ -98,12 +104,13 @@ def _numbered(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """d, v, text -> one row per super-window: h, d, v, s (first window), n (windows)."""
+    """d, v, text -> one row per super-window: h, d, v, s (first window), n (windows), c (places)."""
     for b in batches:
         d, v = b.column(0).to_numpy(), b.column(1).to_numpy()
-        keys, owner, first, count = [], [], [], []
+        keys, owner, first, count, places = [], [], [], [], []
         for i, t in enumerate(b.column(2)):
-            k, f, n = super_windows(t.as_py().split())
+            k, f, n, c = super_windows(t.as_py().split())
+            places.append(c)
             keys.append(k)
             first.append(f)
             count.append(n)
@@ -117,8 +124,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(v[at]),
                     pa.array(np.concatenate(first).astype(np.int32)),
                     pa.array(np.concatenate(count).astype(np.int32)),
+                    pa.array(np.concatenate(places).astype(np.int32)),
                 ],
-                ["h", "d", "v", "s", "n"],
+                ["h", "d", "v", "s", "n", "c"],
             )
 
 
@@ -205,11 +213,12 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group
     docs, odd = _numbered(df, key, text)
     flagged = join_checked(docs, odd, ["d", "th"]).withColumns({"v": F.coalesce("v", F.lit(0).cast("bigint")), "copy": F.coalesce("copy", F.lit(False))})
     unique = flagged.where("not copy").select("d", "v", "_t")
-    anchors = materialise(unique.mapInArrow(_anchors, "h bigint, d bigint, v bigint, s int, n int"), "super-windows")
-    again = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    marks = anchors.join(again, "h").groupBy("d", "v").agg(F.collect_list(F.struct("h", "s", "n", (F.col("c") > group_rows).alias("hot"))).alias("marks"))
+    anchors = materialise(unique.mapInArrow(_anchors, "h bigint, d bigint, v bigint, s int, n int, c int"), "super-windows")
+    again = anchors.groupBy("h").agg(F.sum("c").alias("places")).where("places > 1")
+    mark = F.struct("h", "s", "n", (F.col("places") > group_rows).alias("hot"))
+    marks = anchors.join(again, "h").groupBy("d", "v").agg(F.collect_list(mark).alias("marks"))
     marks = materialise(marks, "marks")
-    marked = join_checked(unique, marks, ["d", "v"], "inner", 200_000).select("d", "v", "_t", "marks")
+    marked = join_checked(unique, marks, ["d", "v"], "inner", array="marks").select("d", "v", "_t", "marks")
     schema = "h bigint, d bigint, v bigint, s int, w binary"
     groups = marked.mapInArrow(_cut(False), schema).repartition("h").sortWithinPartitions("h")
     spans = groups.mapInArrow(_subtrees, "d bigint, v bigint, b int, e int")
@@ -217,6 +226,6 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group
     first = hot.groupBy("w").agg(F.min("p").alias("first"))
     later = hot.join(first, "w").where("p > first").select("p.d", "p.v", F.col("p.s").alias("b"), (F.col("p.s") + WINDOW).alias("e"))
     covered = materialise(spans.union(later).groupBy("d", "v").agg(F.collect_list(F.struct("b", "e")).alias("spans")), "covered")
-    out = join_checked(flagged, covered, ["d", "v"], "left", 200_000).select("_key", "_t", "copy", "spans")
+    out = join_checked(flagged, covered, ["d", "v"], array="spans").select("_key", "_t", "copy", "spans")
     kind = df.schema[key].dataType.simpleString()
     return out.mapInArrow(_strip, f"key {kind}, n_words bigint, n_removed bigint, kept string").withColumnRenamed("key", key)

@@ -71,25 +71,29 @@ def match_listed(df: DataFrame, url: str, listed: DataFrame, max_filter_mb: int
     are joined with the list by hash; the others never leave their task. Null or malformed URLs are not listed,
     repeated ones count once, rows and other columns of df are kept as they are.
     """
+    df = df.drop("listed")
     names = listed.select("url").where("url <> ''").distinct()
     n = names.count()
     blocks = max(1, min(max_filter_mb * 2**20 // (8 * WORDS), -(-n * bits_per_url // (64 * WORDS))))
-    canon = df.withColumn("_c", canonical_url(F.col(url)))
-    block, bits = _probe(F.col("_c"), blocks)
-    probed = canon.withColumns({"_b": block, "_bits": bits}).join(
-        F.broadcast(bloom_blocks(names, blocks).withColumnsRenamed({"block": "_b", "words": "_w"})), "_b", "left"
+    canon = df.withColumn("_nw_c", canonical_url(F.col(url)))
+    block, bits = _probe(F.col("_nw_c"), blocks)
+    probed = canon.withColumns({"_nw_b": block, "_nw_bits": bits}).join(
+        F.broadcast(bloom_blocks(names, blocks).withColumnsRenamed({"block": "_nw_b", "words": "_nw_w"})), "_nw_b", "left"
     )
-    maybe = F.coalesce(F.forall("_bits", lambda i: F.call_function("shiftright", F.get(F.col("_w"), F.floor(i / 64).cast("int")), i % 64).bitwiseAND(F.lit(1)) == 1), F.lit(False))
-    probed = probed.withColumn("_maybe", maybe)
-    exact = names.select(F.col("url").alias("_c"), F.lit(True).alias("_in"))
-    passed = probed.where("_maybe").join(exact, "_c", "left").withColumn("listed", F.coalesce("_in", F.lit(False)))
-    rest = probed.where("not _maybe").withColumn("listed", F.lit(False))
+    maybe = F.coalesce(F.forall("_nw_bits", lambda i: F.call_function("shiftright", F.get(F.col("_nw_w"), F.floor(i / 64).cast("int")), i % 64).bitwiseAND(F.lit(1)) == 1), F.lit(False))
+    probed = probed.withColumn("_nw_maybe", maybe)
+    exact = names.select(F.col("url").alias("_nw_c"), F.lit(True).alias("_nw_in"))
+    passed = probed.where("_nw_maybe").join(exact, "_nw_c", "left").withColumn("listed", F.coalesce("_nw_in", F.lit(False)))
+    rest = probed.where("not _nw_maybe").withColumn("listed", F.lit(False))
     return passed.select(*df.columns, "listed").unionByName(rest.select(*df.columns, "listed"))
 
 
 def judge_urls(df: DataFrame, listed: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
-    """df with host, path, rule, listed and verdict: the longest fitting rule's, else block if the URL is listed, else allow."""
+    """df with host, path, rule, listed and verdict: the longest fitting rule's, else block if the URL is listed, else allow.
+
+    Columns of df with these names are replaced; see match_listed for nulls and repeated rows."""
+    df = df.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url])
     host, path = split_url(F.col(url))
     out = match_listed(df, url, listed).withColumns({"host": host, "path": path})
-    out = out.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
-    return out.withColumns({"rule": F.col("_r.rule"), "verdict": F.coalesce("_r.verdict", F.when(F.col("listed"), "block").otherwise("allow"))}).drop("_r")
+    out = out.withColumn("_nw_r", rule_of(F.col("host"), F.col("path"), rules))
+    return out.withColumns({"rule": F.col("_nw_r.rule"), "verdict": F.coalesce("_nw_r.verdict", F.when(F.col("listed"), "block").otherwise("allow"))}).drop("_nw_r")

@@ -1,4 +1,7 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from nodewell.plans import model_runs, movement, quality
+
+_MODULES = (model_runs, quality, movement)
+QUERIES = {f.__name__: f for m in _MODULES for f in m.QUERIES}
+ORACLE: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

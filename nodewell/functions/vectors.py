@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -46,7 +46,7 @@ def mean_pair_cosine(vectors: Column) -> Column:
     return F.when(n >= 2, F.transform(F.array(units), value)[0])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def cosine_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     """cosine_similarity for wide vectors of one width, a batch at a time."""
     x, y = np.stack(a.to_numpy()).astype(float), np.stack(b.to_numpy()).astype(float)

@@ -87,9 +87,9 @@ def segment_energy(segments: DataFrame, samples: DataFrame, rate: int = RATE) ->
     frames = samples.groupBy("audio_id", cs.alias("cs")).agg(F.sum(F.abs("left")).alias("l"), F.sum(F.abs("right")).alias("r"))
     w = W.partitionBy("audio_id").orderBy("cs", "_kind").rowsBetween(W.unboundedPreceding, 0)
     # Ends come before the frame at the same centisecond: a bound takes in what is earlier.
-    marks = segments.select("audio_id", "seg_no", F.explode(F.array(F.struct("t0", F.lit(-1).alias("s")), F.struct("t1", F.lit(1).alias("s")))).alias("m"))
+    marks = segments.select("audio_id", "seg_no", F.explode(F.array(*[F.struct(F.col(t).cast("bigint").alias("cs"), F.lit(s).alias("s")) for t, s in (("t0", -1), ("t1", 1))])).alias("m"))
     both = frames.select("audio_id", "cs", F.lit(1).alias("_kind"), "l", "r", F.lit(None).cast("int").alias("seg_no"), F.lit(0).alias("s")).unionByName(
-        marks.select("audio_id", F.col("m.t0").cast("bigint").alias("cs"), F.lit(0).alias("_kind"), F.lit(0.0).alias("l"), F.lit(0.0).alias("r"), F.col("seg_no").cast("int").alias("seg_no"), "m.s")
+        marks.select("audio_id", F.col("m.cs").alias("cs"), F.lit(0).alias("_kind"), F.lit(0.0).alias("l"), F.lit(0.0).alias("r"), F.col("seg_no").cast("int").alias("seg_no"), "m.s")
     )
     run = both.withColumns({"l": F.sum("l").over(w), "r": F.sum("r").over(w)}).where("_kind = 0")
     e = run.groupBy("audio_id", "seg_no").agg(F.sum(F.col("s") * F.col("l")).alias("energy0"), F.sum(F.col("s") * F.col("r")).alias("energy1"))

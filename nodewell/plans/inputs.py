@@ -90,8 +90,8 @@ def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MINUTES = """
     select strftime(ts, '%Y-%m-%d') as Date, strftime(ts, '%H:%M') as Time,
-           coalesce(round(round(avg(case when value >= 5 then value end), 9), 2), -1) as CPU_usage, coalesce(round(round(avg(value / 2), 9), 2), -1) as GPU_usage,
-           coalesce(round(round(avg(value * 3), 9), 2), -1) as mem_usage, coalesce(round(round(avg(case when value >= 5 then value end), 9), 2), -1) as CPU_temp, cast(-1 as double) as GPU_temp,
+           coalesce(cast(round(cast(avg(case when value >= 5 then value end) as decimal(18, 9)), 2) as double), -1) as CPU_usage, coalesce(cast(round(cast(avg(value / 2) as decimal(18, 9)), 2) as double), -1) as GPU_usage,
+           coalesce(cast(round(cast(avg(value * 3) as decimal(18, 9)), 2) as double), -1) as mem_usage, coalesce(cast(round(cast(avg(case when value >= 5 then value end) as decimal(18, 9)), 2) as double), -1) as CPU_temp, cast(-1 as double) as GPU_temp,
            count(*) filter (where event_type in ('signup', 'purchase')) as direction_left, count(*) filter (where event_type in ('view', 'click')) as direction_right
     from events group by 1, 2"""
 

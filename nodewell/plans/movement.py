@@ -204,11 +204,12 @@ ORACLE = {
     "period_rollup": f"""
         select cast(date_trunc('month', cast(Date as date)) as date) as month, cast(date_trunc('week', cast(Date as date)) as date) as week, cast(sum(direction_left) as bigint) as left, cast(sum(direction_right) as bigint) as right
         from ({MINUTES}) group by rollup(1, 2)""",
-    "change_feed": f"select Date, more_left from (select Date, "left" > "right" as more_left, lag("left" > "right") over (order by Date) as b from ({DAYS})) where more_left is distinct from b",
+    "change_feed": f"""
+        select Date, more_left from (select Date, "left" > "right" as more_left, lag("left" > "right") over (order by Date) as b from ({DAYS})) where more_left is distinct from b""",
     "latest_minute": f"select * from ({MINUTES}) order by Date desc, Time desc limit 1",
     "merged_minutes": f"select Date, Time, case when direction_left > 0 then direction_left + 100 else direction_left end as direction_left from ({MINUTES})",
     "day_rollup": """
-        select file, run, date, round(round(avg(value), 9), 2) as cpu, round(round(avg(value), 9), 2) as temp, count(*) filter (where event_type <> 'click') as left, count(*) filter (where event_type = 'click') as right from (
+        select file, run, date, cast(round(cast(avg(value) as decimal(18, 9)), 2) as double) as cpu, cast(round(cast(avg(value) as decimal(18, 9)), 2) as double) as temp, count(*) filter (where event_type <> 'click') as left, count(*) filter (where event_type = 'click') as right from (
           select *, cast(sum(new) over (partition by file order by event_id) as bigint) as run from (
             select cast(user_id as varchar) as file, event_id, event_type, value, strftime(ts, '%Y-%m-%d') as date,
                    case when strftime(ts, '%Y-%m-%d') = lag(strftime(ts, '%Y-%m-%d')) over (partition by user_id order by event_id) then 0 else 1 end as new from events)) group by all""",

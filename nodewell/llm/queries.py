@@ -59,7 +59,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     told = "</s>[INST] ok [/INST]"
     extra = spark.range(2).selectExpr("cast(-7 as bigint) conv_id", "id turn", "if(id = 0, 'user', 'assistant') role").withColumn("text", F.lit(told))
-    return chat.read_conversations(chat.format_conversations(own.unionByName(extra))).withColumnRenamed("conv", "conv_id")
+    return chat.read_conversations(chat.format_conversations(own.unionByName(extra))).withColumnRenamed("conv", "conv_id").drop("fault")
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +101,65 @@ QUERIES = {
     f.__name__: f
     for f in (op1_warc, op2_decontaminate, op3_shard, op4_quality, op5_simhash, op6_chat, op7_pack, op8_repeats, op9_urls, op10_secrets)
 }
-ORACLE: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+LINE = r"trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'))"
+CONTROLS = chat.Template().controls()
+ESCAPES = " + ".join([f"(length(text) - length(replace(text, '{c}', ''))) / {len(c)}" for c in CONTROLS] + [r"(length(text) - length(replace(text, '\', '')))"])
+FRAMES = " ".join(f"when '{role}' then {len(a) + len(b)}" for role, (a, b, _) in chat.Template().turns.items())
+HOST = r"case when url like '%://%' then translate(regexp_extract(substr(url, instr(url, '://') + 3), '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end"
+PATH = r"case when url like '%://%' then regexp_extract(substr(url, instr(url, '://') + 3), '(?s)^[^/?#]*([^?#]*)', 1) else '' end"
+CANONICAL = r"""regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', '') || regexp_replace(regexp_replace(path, '/+$', ''), '\.html?$', '')
+    || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end"""
+PARAMETERS = r"list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_.*|ref|gclid|fbclid)(=.*)?$')))"
+
+#: SQL for the queries that it can express on whole tables. The others need XXH64, a ring in order, alignments, a tokenizer or a model.
+ORACLE: dict[str, str] = {
+    "op1_warc": """
+        with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h, min(page_id) over (partition by coalesce(html, '')) as first from pages)
+        select page_id, cast(n as bigint) as payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((cast('0x' || substr(h, cast(1 + 10 * (i // 8) as int), 10) as bigint) >> cast(35 - 5 * (i % 8) as int)) & 31) as int), 1)), '') as payload_digest,
+               case when first = page_id then 'response' else 'revisit' end as record_type, case when first <> page_id then first end as refers_to from p""",
+    "op4_quality": rf"""
+        with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as text, {WORDS} as w, row_number() over () as r from documents),
+        own as (select *, list_filter(list_transform(string_split(text, chr(10)), lambda l: {LINE}), lambda l: l <> '') as n, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as raw from d),
+        wins as (select r, unnest(range(1, greatest(len(w) - 6, 1))) as i, w from d),
+        twice as (select r, i from (select r, i, count(*) over (partition by r, array_to_string(w[i:i + 7], ' ')) as c from wins) where c > 1),
+        rep as (select r, count(distinct p) as n_repeat from (select r, unnest(range(i, i + 8)) as p from twice) group by r),
+        lines as (select r, host, text, list_min(list_transform(n, lambda l: substr(md5(l), 1, 16))) as sig, unnest(n) as line from own),
+        hosts as (select host, count(*) as host_docs from d group by host),
+        frequent as (select host, line from (select host, line, count(distinct sig) as docs from lines group by all) join hosts using (host) where docs > 20 and docs > 0.05 * host_docs),
+        gone as (select r, sum(len(string_split(line, ' '))) as removed from lines join frequent using (host, line) group by r),
+        s as (select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+                     cast(length(text) - length(translate(text, '#*$%&|<>', '')) as bigint) as n_symbols, cast(len(raw) - len(list_distinct(raw)) as bigint) as n_dup_lines,
+                     cast(coalesce(n_repeat, 0) as bigint) as n_repeat_words, cast(coalesce(removed, 0) as bigint) as removed_words
+              from own left join rep using (r) left join gone using (r)),
+        t as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from s)
+        select *, not base_failed and (removed_words = 0 or (n_words - removed_words >= 20 and 100 * (n_words - removed_words) >= 50 * n_words)) as kept from t""",
+    "op6_chat": rf"""
+        with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+                   union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        o as (select *, lag(role, 1, '') over w as before, lead(role) over w is null as last from c window w as (partition by conv_id order by turn nulls first, role, text))
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+               cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+               sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+               cast({len(chat.Template().begin)} + sum(length(text) + case role {FRAMES} end + {ESCAPES}) as bigint) as formatted_chars,
+               bool_and(case before when '' then role in ('system', 'user') when 'user' then role = 'assistant' else role = 'user' end and (not last or role = 'assistant')) as valid
+        from o group by conv_id""",
+    "op8_repeats": rf"""
+        with d as (select doc_id, coalesce(text, '') as text, {WORDS} as w from documents),
+        wins as (select doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) as s from d),
+        later as (select doc_id, s from (select doc_id, s, row_number() over (partition by array_to_string(w[s:s + 19], ' ') order by doc_id, s) as k from wins) where k > 1),
+        covered as (select distinct doc_id, unnest(range(s, s + 20)) as p from later),
+        each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+        kept as (select doc_id, count(covered.p) as n_removed, string_agg(word, ' ' order by p) filter (where covered.p is null) as k from each left join covered using (doc_id, p) group by doc_id)
+        select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(k, '')) as kept_sha256 from d left join kept using (doc_id)""",
+    "op9_urls": rf"""
+        with p as (select page_id, url, {HOST} as host, {PATH} as path, {PARAMETERS} as q from pages),
+        c as (select *, {CANONICAL} as canonical from p),
+        l as (select distinct canonical from c where regexp_matches(host, '{LISTED_HOST}')),
+        r as (select c.page_id, rule, v, row_number() over (partition by c.page_id order by length(rule) desc) as k from c,
+                (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')) t(rh, rp, v), (select 1), lateral (select rh || rp as rule)
+              where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp))
+        select c.page_id, host, path, rule, coalesce(v, case when l.canonical is not null then 'block' else 'allow' end) as verdict, l.canonical is not null as listed
+        from c left join r on r.page_id = c.page_id and k = 1 left join l on l.canonical = c.canonical and c.canonical <> ''""",
+}

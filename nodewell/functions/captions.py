@@ -194,7 +194,7 @@ def alias_map() -> Column:
 
 def _pattern_of(category: Column) -> Column:
     """alias_pattern of a category column; of an unknown category its own name, escaped."""
-    plain = F.regexp_replace(category, "([^A-Za-z0-9_ ])", "\\\\\\\\$1")
+    plain = F.regexp_replace(category, "([^A-Za-z0-9_ ])", "\\\\$1")
     return F.coalesce(F.try_element_at(alias_map(), category), F.when(F.contains(category, F.lit(" ")), plain).otherwise(F.concat(F.lit("\\b"), plain, F.lit("s?\\b"))))
 
 

@@ -85,7 +85,7 @@ def topk_l2(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"q": [], "c": [], "d": []})
+            return pd.DataFrame({x: np.array([], dtype=object) for x in "qcd"})
         b = b.sort_values("i", kind="stable")
         x, y = np.stack(a["v"].to_numpy()).astype(float), np.stack(b["v"].to_numpy()).astype(float)
         parts, take = [], min(k, len(y))

@@ -71,7 +71,7 @@ def semantic_duplicates(df: DataFrame, group: list[str], key: str, vector: str =
 
     def search(k: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({c: [] for c in [*group, "key_a", "key_b", "cosine"]})
+            return pd.DataFrame({c: np.array([], dtype=object) for c in [*group, "key_a", "key_b", "cosine"]})
         b = b.rename(columns=lambda c: c[:-1])
         unit = [np.stack(x[vector].to_numpy()).astype(float) for x in (a, b)]
         x, y = (u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300) for u in unit)
@@ -80,7 +80,8 @@ def semantic_duplicates(df: DataFrame, group: list[str], key: str, vector: str =
         p, q = a[key].to_numpy()[i], b[key].to_numpy()[j]
         keep = p != q if k[-1] != k[-2] else p < q
         low, high = np.minimum(p, q)[keep], np.maximum(p, q)[keep]
-        return pd.DataFrame({**dict(zip(group, k, strict=False)), "key_a": low, "key_b": high, "cosine": c[i, j][keep]})
+        out = {g: np.array([x] * len(low), dtype=object) for g, x in zip(group, k, strict=False)}
+        return pd.DataFrame({**out, "key_a": low, "key_b": high, "cosine": c[i, j][keep]})
 
     schema = ", ".join([*[f"`{g}` {kinds[g]}" for g in group], f"key_a {kinds[key]}", f"key_b {kinds[key]}", "cosine double"])
     right = right.toDF(*[f"{c}_" for c in right.columns])

@@ -64,14 +64,17 @@ def read_hypotheses(spark: SparkSession, path: str, ending: str = ".flac.txt") -
     """(code, text) of one file each, decoded as windows-1252 where all bytes are defined there, else as UTF-8."""
     files = spark.read.format("binaryFile").load(path)
     undefined = F.hex("content").rlike("^(..)*(81|8D|8F|90|9D)")
-    text = F.when(undefined, F.decode("content", "UTF-8")).otherwise(F.decode("content", "windows-1252"))
+    # Spark decodes Latin-1, which differs from windows-1252 in the bytes 80 to 9F alone.
+    own = [(chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+    windows = F.translate(F.decode("content", "ISO-8859-1"), "".join(a for a, _ in own), "".join(b for _, b in own))
+    text = F.when(undefined, F.decode("content", "UTF-8")).otherwise(windows)
     return files.select(F.regexp_extract("path", "([^/]*)$", 1).alias("code"), text.alias("text")).withColumn("code", F.regexp_replace("code", ending.replace(".", "\\.") + "$", ""))
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(code, text) of token files: the first |-separated field of every line but the header, joined in line order."""
     whole = spark.read.option("wholetext", True).text(path).withColumn("code", F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)(\\.[^.]*)?$", 1))
-    lines = F.filter(F.slice(F.split("value", "\r?\n"), 2, 1 << 30), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split("value", "\r?\n"), lambda x, i: (i > 0) & (F.trim(x) != ""))
     return whole.select("code", F.array_join(F.transform(lines, lambda x: F.split_part(x, F.lit("|"), F.lit(1))), " ").alias("text"))
 
 

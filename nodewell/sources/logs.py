@@ -32,7 +32,7 @@ def legacy_blocks(lines: DataFrame, file: str = "file", pos: str = "pos", line:
 
 
 def read_legacy_log(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_path"))
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     return legacy_blocks(whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")))
 
 
@@ -73,7 +73,7 @@ def read_hypotheses(spark: SparkSession, path: str, ending: str = ".flac.txt") -
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(code, text) of token files: the first |-separated field of every line but the header, joined in line order."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("code", F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)(\\.[^.]*)?$", 1))
+    whole = spark.read.text(path, wholetext=True).withColumn("code", F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)(\\.[^.]*)?$", 1))
     lines = F.filter(F.split("value", "\r?\n"), lambda x, i: (i > 0) & (F.trim(x) != ""))
     return whole.select("code", F.array_join(F.transform(lines, lambda x: F.split_part(x, F.lit("|"), F.lit(1))), " ").alias("text"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nodewell.functions import captions, scalars, speechtext, telemetry
-from nodewell.operators import speech
+from nodewell.operators import enrich, speech
 from nodewell.plans.inputs import rounded, table
 
 
@@ -149,7 +149,33 @@ def count_accuracy(spark, sf):
     return p.select("p_partkey", *[c[n].alias(n) for n in ("n_categories_mentioned", "n_categories_correct", "n_categories_present", "count_exact_accuracy", "count_mae")])
 
 
+def transcript_lrc(spark, sf):
+    return speech.cues(_segments(spark, sf).where("text like '%view%'"), "lrc")
+
+
+def speech_model_summary(spark, sf):
+    e = table(spark, sf, "events")
+    v = F.col("value")
+    rows = e.select(F.col("event_type").alias("model"), F.least(v, F.lit(100.0)).alias("accuracy"), (v * 2).alias("engine_ms"), (v * 3).alias("wall_ms"), F.when(v > 10, v).alias("gpu_percent"), F.lit(None).cast("double").alias("cpu_percent"))
+    return rounded(speech.speech_model_summary(rows))
+
+
+def missing_codes(spark, sf):
+    codes = [table(spark, sf, n).select(F.col("doc_id").cast("string").alias("code")) for n in ("documents", "labels")]
+    return enrich.missing_codes(codes[0], codes[1].union(spark.range(3).select(F.concat(F.lit("x"), "id").alias("code"))))
+
+
+def last_events(spark, sf):
+    return speech.last_events(table(spark, sf, "events").select("event_id", F.col("user_id").alias("source"), "ts"), 5).select("event_id")
+
+
+def token_scores(spark, sf):
+    t = _tokens(spark, sf).where("audio_id < 3").groupBy("audio_id", "seg_no", "id").agg(F.count("*").alias("c"))
+    return speech.token_scores(t.select("audio_id", "seg_no", F.col("id").alias("tok_no"), F.concat(F.lit("t"), "id").alias("text"), F.col("c").alias("p")))
+
+
 QUERIES = [
+    transcript_lrc, speech_model_summary, missing_codes, last_events, token_scores,
     utterance_errors, word_error_rate, normalized_english, normalized_basic, best_command, sequence_quality, confidence, segment_energy, speech_energy_gate, map_time, merge_chunks,
     wrap_segments, speech_segments, transcript_csv, transcript_srt, cleaned_pages, speech_timings, normalized_claims, count_accuracy,
 ]
@@ -165,6 +191,20 @@ def _stamp(c: str) -> str:
 
 
 ORACLE = {
+    "transcript_lrc": f"""
+        select audio_id, cast(row_number() over (partition by audio_id order by seg_no) as int) as no,
+               '[' || lpad(cast(t0 // 6000 as varchar), cast(greatest(2, length(cast(t0 // 6000 as varchar))) as int), '0') || ':' || lpad(cast(t0 % 6000 // 100 as varchar), 2, '0') || '.' || lpad(cast(t0 % 100 as varchar), 2, '0') || ']' || text as value
+        from {SEGMENTS} where text like '%view%' union all select distinct audio_id, cast(0 as int), '[by:nodewell]' from {SEGMENTS} where text like '%view%'""",
+    "speech_model_summary": """
+        select event_type as model, round(avg(least(value, 100)), 6) as accuracy, round(avg(value * 2), 6) as engine_ms, round(avg(value * 3), 6) as wall_ms,
+               round(avg(case when value > 10 then value end), 6) as gpu_percent, cast(null as double) as cpu_percent from events group by 1""",
+    "missing_codes": """
+        select cast(doc_id as varchar) as code, 'hypothesis' as missing from documents where doc_id not in (select doc_id from labels)
+        union all select 'x' || i, 'reference' from range(3) t(i) union all select cast(doc_id as varchar), 'reference' from labels where doc_id not in (select doc_id from documents)""",
+    "last_events": "select event_id from events qualify row_number() over (partition by user_id order by ts desc) <= 5",
+    "token_scores": """
+        select l_suppkey as audio_id, cast(row_number() over (partition by l_suppkey order by l_orderkey % 20, l_linenumber % 7) as int) as no, 't' || (l_linenumber % 7) || chr(9) || count(*) as value
+        from lineitem where l_suppkey < 3 group by l_suppkey, l_orderkey % 20, l_linenumber % 7""",
     "best_command": "select p_partkey, command, round(similarity, 6) as similarity from (select p_partkey, unnest([{}]) as command, unnest([{}]) as similarity from part) qualify row_number() over (partition by p_partkey order by similarity desc, command) = 1".format(
         ", ".join(f"'{m}'" for m in MENU), ", ".join(SIMILAR.format(m, len(m)) for m in MENU)
     ),

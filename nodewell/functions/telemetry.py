@@ -78,7 +78,7 @@ def parse_speech_timings(log: Column) -> Column:
 
 ANSI = "\\x1B\\[[0-?]*[ -/]*[@-~]"
 STAMP = r"\[\s*[\d:.,]+\s*-->\s*[\d:.,]+\s*\]"
-ENGINE_LINE = r"^\s*(whisper_|ggml_|main:|system_info|init:|output_|read_audio|load_backend)"
+ENGINE_LINE = r"^\s*([a-z0-9]+(_[a-z0-9]+)+|main|init)\s*:|^\s*system_info"
 
 
 def clean_transcript_log(log: Column) -> Column:

@@ -121,7 +121,7 @@ def transcript_srt(spark, sf):
 def cleaned_pages(spark, sf):
     """Pages as engine logs, stamped and coloured, cleaned again."""
     p = table(spark, sf, "pages")
-    log = F.concat(F.lit("whisper_init: loading\n\x1b[31m[00:00:00.000 --> 00:00:02.000]\x1b[0m  "), F.col("url"), F.lit("\nmain: done\n  [00:02.000 --> 00:03.000] bye \n\n"))
+    log = F.concat(F.lit("engine_init_from_file: loading\n\x1b[31m[00:00:00.000 --> 00:00:02.000]\x1b[0m  "), F.col("url"), F.lit("\nmain: done\n  [00:02.000 --> 00:03.000] bye \n\n"))
     return p.select("page_id", telemetry.clean_transcript_log(log).alias("said"))
 
 

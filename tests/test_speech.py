@@ -162,5 +162,5 @@ def test_transcript_files(spark, tmp_path):
 
 
 def test_log_cleaning(spark):
-    log = "whisper_init: x\n\x1b[2K[00:00.000 --> 00:01.000]  hello \nmain: y\n\n  there\r\n"
+    log = "engine_init_from_file: x\n\x1b[2K[00:00.000 --> 00:01.000]  hello \nmain: y\n\n  there\r\n"
     assert spark.range(1).select(telemetry.clean_transcript_log(F.lit(log))).first()[0] == "hello there"

@@ -1,11 +1,11 @@
-"""Shared helpers: written intermediate tables, connected components, byte columns."""
+"""Shared helpers: written intermediate tables, connected components, Bloom filters and joins behind them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The six ASCII characters that separate words everywhere in this subpackage.
 SPACE = " \t\n\x0b\f\r"
@@ -61,8 +61,37 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select("b", "b").distinct())
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", bound: int = 500_000, array: str | None = None) -> DataFrame:
-    """big joined with small, a written table of narrow rows: broadcast if small has `bound` rows and elements of the
-    column array at most, else a shuffled join."""
-    entries = F.count("*") + (F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0))
-    return big.join(F.broadcast(small) if small.agg(entries).first()[0] <= bound else small, on, how)
+WORDS, PROBES = 8, 6  # 64-bit words of a Bloom block, and bits set in it per member
+
+
+def _probe(on: list[str], blocks: int) -> tuple[Column, Column]:
+    """(block, array of bit numbers 0..511 in it) of the columns on."""
+    bits = F.array(*[F.pmod(F.xxhash64(*on, F.lit(i)), F.lit(64 * WORDS)).cast("int") for i in range(PROBES)])
+    return F.pmod(F.xxhash64(*on), F.lit(blocks)).cast("int"), bits
+
+
+def possible_members(df: DataFrame, members: DataFrame, on: list[str], name: str, max_mb: int = 8, bits_each: int = 12) -> DataFrame:
+    """df with a boolean column `name`: false only where members has no row with the same columns on.
+
+    A blocked Bloom filter: one 512-bit block per member, as many blocks as the members need but max_mb at most, so its
+    broadcast is bounded by construction. More members than that only let more rows pass.
+    """
+    blocks = max(1, min(max_mb * 2**20 // (8 * WORDS), -(-members.count() * bits_each // (64 * WORDS))))
+    block, bits = _probe(on, blocks)
+    single = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit") % 64)
+    each = members.select(block.alias("_nw_b"), F.explode(bits).alias("bit"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("bit").between(64 * w, 64 * w + 63), single)), F.lit(0)) for w in range(WORDS)]
+    table = each.groupBy("_nw_b").agg(F.array(*words).alias("_nw_w"))
+    is_set = lambda i: F.call_function("shiftright", F.get(F.col("_nw_w"), F.floor(i / 64).cast("int")), i % 64).bitwiseAND(F.lit(1)) == 1
+    probed = df.withColumns({"_nw_b": block, "_nw_bits": bits}).join(F.broadcast(table), "_nw_b", "left")
+    return probed.withColumn(name, F.coalesce(F.forall("_nw_bits", is_set), F.lit(False))).drop("_nw_b", "_nw_bits", "_nw_w")
+
+
+def join_few(big: DataFrame, few: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """big joined (left, inner or left_anti) with few, a written table of which most rows of big have no partner: only the
+    rows that a Bloom filter passes are shuffled, the others stay in their tasks. Columns on must not be null in big."""
+    probed = possible_members(big, few, on, "_nw_maybe")
+    met = probed.where("_nw_maybe").drop("_nw_maybe").join(few, on, how)
+    if how == "inner":
+        return met
+    return met.unionByName(probed.where("not _nw_maybe").drop("_nw_maybe"), allowMissingColumns=True)

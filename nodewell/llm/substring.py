@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from nodewell.llm.common import join_checked, materialise
+from nodewell.llm.common import join_few, materialise
 
 WINDOW, GRAM = 20, 8
 #: A group of more super-windows than this is split by the longest prefix, the whole window.
@@ -211,14 +211,14 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group
     super-windows is split by whole windows, which are aggregated before the shuffle.
     """
     docs, odd = _numbered(df, key, text)
-    flagged = join_checked(docs, odd, ["d", "th"]).withColumns({"v": F.coalesce("v", F.lit(0).cast("bigint")), "copy": F.coalesce("copy", F.lit(False))})
+    flagged = join_few(docs, odd, ["d", "th"]).withColumns({"v": F.coalesce("v", F.lit(0).cast("bigint")), "copy": F.coalesce("copy", F.lit(False))})
     unique = flagged.where("not copy").select("d", "v", "_t")
     anchors = materialise(unique.mapInArrow(_anchors, "h bigint, d bigint, v bigint, s int, n int, c int"), "super-windows")
     again = anchors.groupBy("h").agg(F.sum("c").alias("places")).where("places > 1")
     mark = F.struct("h", "s", "n", (F.col("places") > group_rows).alias("hot"))
     marks = anchors.join(again, "h").groupBy("d", "v").agg(F.collect_list(mark).alias("marks"))
     marks = materialise(marks, "marks")
-    marked = join_checked(unique, marks, ["d", "v"], "inner", array="marks").select("d", "v", "_t", "marks")
+    marked = join_few(unique, marks, ["d", "v"], "inner").select("d", "v", "_t", "marks")
     schema = "h bigint, d bigint, v bigint, s int, w binary"
     groups = marked.mapInArrow(_cut(False), schema).repartition("h").sortWithinPartitions("h")
     spans = groups.mapInArrow(_subtrees, "d bigint, v bigint, b int, e int")
@@ -226,6 +226,6 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group
     first = hot.groupBy("w").agg(F.min("p").alias("first"))
     later = hot.join(first, "w").where("p > first").select("p.d", "p.v", F.col("p.s").alias("b"), (F.col("p.s") + WINDOW).alias("e"))
     covered = materialise(spans.union(later).groupBy("d", "v").agg(F.collect_list(F.struct("b", "e")).alias("spans")), "covered")
-    out = join_checked(flagged, covered, ["d", "v"], array="spans").select("_key", "_t", "copy", "spans")
+    out = join_few(flagged, covered, ["d", "v"]).select("_key", "_t", "copy", "spans")
     kind = df.schema[key].dataType.simpleString()
     return out.mapInArrow(_strip, f"key {kind}, n_words bigint, n_removed bigint, kept string").withColumnRenamed("key", key)

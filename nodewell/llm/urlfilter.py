@@ -6,11 +6,12 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from nodewell.llm.common import materialise, possible_members
+
 #: (host, path, verdict); a rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Parameters that only track, as a pattern of their names.
 TRACKING = "^(utm_.*|ref|gclid|fbclid)(=.*)?$"
-WORDS, PROBES = 8, 6  # 64-bit words of a block, and bits set in it per URL
 
 
 def ascii_lower(c: Column) -> Column:
@@ -48,21 +49,6 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return fitting
 
 
-def _probe(url: Column, blocks: int) -> tuple[Column, Column]:
-    """(block, array of bit numbers 0..511 in it) of a URL."""
-    bits = F.array(*[F.pmod(F.xxhash64(url, F.lit(i)), F.lit(64 * WORDS)).cast("int") for i in range(PROBES)])
-    return F.pmod(F.xxhash64(url), F.lit(blocks)).cast("int"), bits
-
-
-def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
-    """(block, words) of the filter over the column url of listed; blocks without a URL have no row."""
-    block, bits = _probe(F.col("url"), blocks)
-    single = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit") % 64)
-    each = listed.select(block.alias("block"), F.explode(bits).alias("bit"))
-    words = [F.coalesce(F.bit_or(F.when(F.col("bit").between(64 * w, 64 * w + 63), single)), F.lit(0)) for w in range(WORDS)]
-    return each.groupBy("block").agg(F.array(*words).alias("words"))
-
-
 def match_listed(df: DataFrame, url: str, listed: DataFrame, max_filter_mb: int = 8, bits_per_url: int = 12) -> DataFrame:
     """df with a boolean column `listed`: whether its canonical URL is in listed (one column, url, of canonical URLs).
 
@@ -72,17 +58,10 @@ def match_listed(df: DataFrame, url: str, listed: DataFrame, max_filter_mb: int
     repeated ones count once, rows and other columns of df are kept as they are.
     """
     df = df.drop("listed")
-    names = listed.select("url").where("url <> ''").distinct()
-    n = names.count()
-    blocks = max(1, min(max_filter_mb * 2**20 // (8 * WORDS), -(-n * bits_per_url // (64 * WORDS))))
+    names = materialise(listed.select("url").where("url <> ''").distinct(), "listed-urls")
     canon = df.withColumn("_nw_c", canonical_url(F.col(url)))
-    block, bits = _probe(F.col("_nw_c"), blocks)
-    probed = canon.withColumns({"_nw_b": block, "_nw_bits": bits}).join(
-        F.broadcast(bloom_blocks(names, blocks).withColumnsRenamed({"block": "_nw_b", "words": "_nw_w"})), "_nw_b", "left"
-    )
-    maybe = F.coalesce(F.forall("_nw_bits", lambda i: F.call_function("shiftright", F.get(F.col("_nw_w"), F.floor(i / 64).cast("int")), i % 64).bitwiseAND(F.lit(1)) == 1), F.lit(False))
-    probed = probed.withColumn("_nw_maybe", maybe)
     exact = names.select(F.col("url").alias("_nw_c"), F.lit(True).alias("_nw_in"))
+    probed = possible_members(canon, exact, ["_nw_c"], "_nw_maybe", max_filter_mb, bits_per_url)
     passed = probed.where("_nw_maybe").join(exact, "_nw_c", "left").withColumn("listed", F.coalesce("_nw_in", F.lit(False)))
     rest = probed.where("not _nw_maybe").withColumn("listed", F.lit(False))
     return passed.select(*df.columns, "listed").unionByName(rest.select(*df.columns, "listed"))

@@ -134,7 +134,7 @@ ORACLE: dict[str, str] = {
                      cast(coalesce(n_repeat, 0) as bigint) as n_repeat_words, cast(coalesce(removed, 0) as bigint) as removed_words
               from own left join rep using (r) left join gone using (r)),
         t as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from s)
-        select *, not base_failed and (removed_words = 0 or (n_words - removed_words >= 20 and 100 * (n_words - removed_words) >= 50 * n_words)) as kept from t""",
+        select *, not base_failed and 100 * (n_words - removed_words) >= 50 * n_words as kept from t""",
     "op6_chat": rf"""
         with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
                    union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),

@@ -217,11 +217,13 @@ def secret_parts(text: str) -> list[tuple[int, int]]:
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = 2000, max_windows: int = 20_000) -> Model:
     """A model of the rows that the base patterns label: sample_rows documents at most, those with the smallest hash of
-    key, and max_windows windows of them, evenly spread; besides SEED_LINES. Null texts are left out."""
-    whole = df.select(key, text).where(F.col(text).isNotNull()).orderBy(F.xxhash64(key), key, F.xxhash64(text)).limit(sample_rows)
+    key and text, and max_windows windows of them, evenly spread; besides SEED_LINES. Null texts are left out."""
+    whole = df.select(F.col(text).alias("t"), F.xxhash64(key, text).alias("h")).where("t is not null")
+    last = whole.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    sample = whole.where(F.col("h") <= (0 if last is None else last)).limit(sample_rows)
     rows: list = []
-    for r in whole.toLocalIterator():
-        rows += training_rows(r[1], secret_parts(r[1]))
+    for r in sorted(sample.toLocalIterator(), key=lambda r: r.h):
+        rows += training_rows(r.t, secret_parts(r.t))
     rows = rows[:: max(1, -(-len(rows) // max_windows))]
     for line, secret in SEED_LINES:
         a = line.find(secret)
@@ -233,8 +235,8 @@ _SHAPES: dict[str, int] = {}
 
 
 def shapes_of(tokens: list[str]) -> np.ndarray:
-    """features() of each token, remembered by each worker for at most a million tokens."""
-    if len(_SHAPES) > 1_000_000:
+    """features() of each token, remembered by each worker for some 300,000 tokens."""
+    if len(_SHAPES) > 300_000:
         _SHAPES.clear()
     out = list(map(_SHAPES.get, tokens))
     if None in out:

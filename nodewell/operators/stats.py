@@ -73,7 +73,7 @@ def latency_tail(outputs: DataFrame, keys: list[str], latency: str = "latency",
     )
     g = g.withColumns({"p50": F.col("_p")[0], "p95": F.col("_p")[1], "p99": F.col("_p")[2]}).withColumn("tail_ratio", F.try_divide("p99", "p50"))
     if variant == "rounded":
-        four = {n: F.round(n, 4) for n in ("p50", "p95", "p99", "max", "mean", "std")}
+        four = {n: F.round(F.round(n, 9), 4) for n in ("p50", "p95", "p99", "max", "mean", "std")}
         return g.withColumns(four | {"tail_ratio": F.round(F.round("tail_ratio", 9), 3)}).select(*keys, "n", *four, "tail_ratio")
     return g.select(*keys, "n", "p50", "p95", "p99", "max", "mean", "std", "tail_ratio", "over_5s", "over_6s", "over_7s")
 
@@ -114,7 +114,7 @@ def deployment_summary(runs: DataFrame, key: str = "run_group") -> DataFrame:
             F.min(F.when(F.rint((F.col("_all") - 1) * p / 100) < F.col("_to"), F.col("v"))).alias(f"{name}_p{p}") for p in (50, 90, 99)
         ]
         stats = ranked.groupBy(key).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias(f"{name}_mean"), F.min("v").alias(f"{name}_min"), F.max("v").alias(f"{name}_max"), *marks)
-        out = out.join(stats.select(key, *[F.round(x, 3).alias(x) for x in stats.columns[1:]]), key, "left")
+        out = out.join(stats.select(key, *[F.round(F.round(x, 9), 3).alias(x) for x in stats.columns[1:]]), key, "left")
     return out
 
 

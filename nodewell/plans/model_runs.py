@@ -10,10 +10,17 @@ from nodewell.plans.inputs import OUTPUTS, outputs, rounded, runs, table
 
 KEYS = ["model", "device", "task"]
 STRICT = f"select * from ({OUTPUTS}) where trim(text) <> '' and latency > 0"
+
+
+def _to(value: str, places: int) -> str:
+    """Rounded in decimals, so that a tie is rounded up as in Spark."""
+    return f"cast(round(cast({value} as decimal(18, 9)), {places}) as double)"
+
+
+P = "quantile_cont(latency, {})".format
 TAIL = f"""
-    select model, device, task, count(*) as n, round(quantile_cont(latency, 0.5), 4) as p50, round(quantile_cont(latency, 0.95), 4) as p95,
-           round(quantile_cont(latency, 0.99), 4) as p99, round(max(latency), 4) as max, round(avg(latency), 4) as mean, round(stddev_pop(latency), 4) as std,
-           round(round(quantile_cont(latency, 0.99) / quantile_cont(latency, 0.5), 9), 3) as tail_ratio
+    select model, device, task, count(*) as n, {_to(P(0.5), 4)} as p50, {_to(P(0.95), 4)} as p95, {_to(P(0.99), 4)} as p99, {_to('max(latency)', 4)} as max,
+           {_to('avg(latency)', 4)} as mean, {_to('stddev_pop(latency)', 4)} as std, {_to(f"{P(0.99)} / {P(0.5)}", 3)} as tail_ratio
     from ({STRICT}) group by all"""
 
 
@@ -137,8 +144,8 @@ TRADEOFF = f"""
 
 
 def _nearest(value: str, name: str) -> str:
-    ranks = ", ".join(f"round(list_sort(list(v))[1 + cast(round_even({p} / 100 * (count(*) - 1), 0) as int)], 3) as {name}_p{p}" for p in (50, 90, 99))
-    return f"select g, round(avg(v), 3) as {name}_mean, round(min(v), 3) as {name}_min, round(max(v), 3) as {name}_max, {ranks} from (select model || '|' || device as g, {value} as v from ({OUTPUTS}) where error is null) where v is not null group by g"
+    ranks = ", ".join(_to(f"list_sort(list(v))[1 + cast(round_even({p} / 100 * (count(*) - 1), 0) as int)]", 3) + f" as {name}_p{p}" for p in (50, 90, 99))
+    return f"select g, {_to('avg(v)', 3)} as {name}_mean, {_to('min(v)', 3)} as {name}_min, {_to('max(v)', 3)} as {name}_max, {ranks} from (select model || '|' || device as g, {value} as v from ({OUTPUTS}) where error is null) where v is not null group by g"
 
 
 ORACLE = {

@@ -59,15 +59,19 @@ class Block:
 
     def seeds(self, frequency: np.ndarray, common: float, stretch: int) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
         """Seed codes and their places (item, word): grams in at most `common` documents, and of every `stretch`
-        neighbouring grams of an item the rarest, so that an exact run of stretch + 2 words always has a seed."""
+        neighbouring grams of an item the rarest and those in up to twice as many documents, so that an exact run of
+        stretch + 2 words always has a seed. Copies of the item raise all its grams, but most those that edited copies
+        leave intact: grams in up to twice as many documents as the item's median gram are seeds too."""
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, x in enumerate(self.items):
             g = self.grams(x)
             f = frequency[np.searchsorted(self.codes, g)]
             keep = f <= common
+            if len(g):
+                keep |= f <= 2 * np.sort(f)[len(g) // 2]
             for a in range(max(1, len(g) - stretch + 1)):
                 if len(g):
-                    keep[a + int(np.argmin(f[a : a + stretch]))] = True
+                    keep[a : a + stretch] |= f[a : a + stretch] <= 2 * f[a : a + stretch].min()
             for p in np.flatnonzero(keep).tolist():
                 places[int(g[p])].append((i, p))
         return np.array(sorted(places), np.int64), places

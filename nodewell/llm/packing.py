@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -13,48 +15,80 @@ from nodewell.llm.common import materialise
 
 #: Separators that str.split() knows but the tokenizers' \s does not; texts with them are encoded whole.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
-#: Chunks that a worker remembers at most; beyond that it forgets them all and starts again.
-REMEMBERED = 1_500_000
+#: Bytes that a worker's remembered chunks take at most, about.
+REMEMBERED_BYTES = 48 << 20
+#: Rows that one task numbers at most, of the pieces of one length.
+PART_ROWS = 200_000
+#: Normaliser and splitting under which no id depends on more than one chunk between white space.
+CHUNKED = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+)
+
+
+class Chunks:
+    """Ids of chunks seen lately, in two generations: a full new one becomes the old one, whose chunks are kept if met again."""
+
+    def __init__(self, tokenizer, limit: int = REMEMBERED_BYTES):
+        self.tokenizer, self.limit = tokenizer, limit
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def ids(self, chunks: set[str]) -> dict[str, bytes]:
+        found = {c: i for c in chunks if (i := self.new.get(c) or self.old.get(c)) is not None}
+        unseen = [c for c in chunks if c not in found]
+        for i in range(0, len(unseen), 20_000):
+            part = unseen[i : i + 20_000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                found[c] = np.array(e.ids, "<u4").tobytes()
+        for c, own in found.items():
+            if c not in self.new:
+                self.new[c] = own
+                self.size += len(c) + len(own) + 190  # with the two objects and their slot
+                if self.size > self.limit // 2:
+                    self.old, self.new, self.size = self.new, {}, 0
+        return found
+
+
 _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer of a file and the ids of chunks seen so far, kept by each worker process."""
+    """The tokenizer of a file and, if it may be given single chunks, those seen so far; kept by each worker process, for one file."""
     if path not in _TOKENIZERS:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        split = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+        tokenizer = Tokenizer.from_file(path)
+        _TOKENIZERS.clear()
+        _TOKENIZERS[path] = (tokenizer, Chunks(tokenizer) if (said.get("normalizer"), split[0]) == CHUNKED else None)
     return _TOKENIZERS[path]
 
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids (uint32) of each text. For a tokenizer that drops white space and never crosses it: chunks between white
-    space are encoded once and remembered, which gives the ids of the whole text."""
+    """Ids (uint32) of each text. Under a tokenizer that drops white space and never crosses it (CHUNKED), chunks between white
+    space are encoded once and remembered, which gives the ids of the whole text; any other is given whole texts."""
     tokenizer, known = _tokenizer(path)
+    if known is None:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     chunks = []
     for t in texts:
         if any(c in t for c in ODD_SPACE):
             chunks.append(None)
         else:
-            low = t.lower() if t.isascii() else t
-            chunks.append(low.split())
-    new = list({c for own in chunks if own for c in own if c not in known})
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list({c for own in chunks if own for c in own})
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for c, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, "<u4").tobytes()
+            # Special tokens are told by their case.
+            chunks.append((t.lower() if t.isascii() and "<|" not in t else t).split())
+    ids = known.ids(set().union(*[own for own in chunks if own]))
     out = []
     for t, own in zip(texts, chunks, strict=True):
         if own is None:
             out.append(np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4"))
         else:
-            out.append(np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4"))
+            out.append(np.frombuffer(b"".join(map(ids.__getitem__, own)), "<u4"))
     return out
 
 
@@ -66,9 +100,9 @@ def token_pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text:
         for b in batches:
             at = 0
             while at < b.num_rows:
-                n, size = 0, 0  # some MB of text at a time
+                n, size = 0, 0  # a MB of text at a time, or one text
                 texts: list[str] = []
-                while at + n < b.num_rows and (not texts or size < 4_000_000):
+                while at + n < b.num_rows and (not texts or size < 1_000_000):
                     texts.append(b.column(1)[at + n].as_py() or "")
                     size += len(texts[-1])
                     n += 1
@@ -169,15 +203,16 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
     return plan
 
 
-def place(pieces: DataFrame, capacity: int = 4096, key: str = "doc_id", parts: int = 32) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = 4096, key: str = "doc_id", part_rows: int = PART_ROWS) -> DataFrame:
     """pieces (columns key, piece, length and others) with sequence_id and offset.
 
     Only the histogram of lengths, capacity rows at most, comes to the driver. Pieces of one length are numbered in
-    two levels, so that a length which many have is no single task, and joined with the plan's runs, whose number
-    depends on the capacity alone.
+    two levels, in so many parts that a task numbers about part_rows of them, and joined with the plan's runs, whose
+    number depends on the capacity alone.
     """
     spark = pieces.sparkSession
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = max(32, -(-max(histogram.values(), default=0) // part_rows))
     plan = spark.createDataFrame(plan_bins(histogram, capacity), "length bigint, r0 bigint, r1 bigint, bin bigint, each bigint, off bigint")
     order = [F.col(key), F.col("piece")] + [F.col(c) for c in pieces.columns if c in ("ids_crc32", "start")]
     dealt = pieces.withColumn("_part", F.pmod(F.xxhash64(key, "piece"), F.lit(parts)).cast("int"))

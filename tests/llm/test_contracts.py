@@ -406,6 +406,21 @@ def plain_bins(lengths, capacity):
     return len(bins)
 
 
+def test_remembered_chunks_are_bounded_and_whole_texts_agree(spark, rows):
+    tokenizer, _ = packing._tokenizer(q.tokenizer_path())
+    small = packing.Chunks(tokenizer, 4000)
+    texts = [r[1] or "" for r in rows] + ["<|ENDOFTEXT|> A <|endoftext|>b", "It's 12\u00a0x\u2028y e\u0301 \u0130"]
+    for _ in range(2):
+        for t in texts:
+            chunks = set(t.split())
+            known = small.ids(chunks)
+            assert set(known) == chunks and small.size <= 2200
+    for t, ids in zip(texts, packing.encode(texts, q.tokenizer_path()), strict=True):
+        assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    other = packing.encode(["Hello  World"], q.tokenizer_path("byte_bpe_50k.json"))
+    assert packing._tokenizer(q.tokenizer_path("byte_bpe_50k.json"))[1] is None and len(other[0]) == 3
+
+
 def test_plan_places_every_item_once():
     rng = random.Random(6)
     for capacity in (7, 50, 300):
@@ -450,10 +465,29 @@ def xxhash_of(text):
     return h - 2**64 if h >= 2**63 else h
 
 
-@pytest.mark.parametrize("group_rows", [2, 20_000])
-def test_repeats(spark, docs, rows, group_rows):
-    got = substring.remove_repeats(docs, group_rows=group_rows).collect()
-    same([(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got], plain_repeats([(r[0], r[1]) for r in rows]))
+def digests(df):
+    return [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in df.collect()]
+
+
+@pytest.mark.parametrize("group_bytes", [1, substring.GROUP_BYTES])
+def test_repeats(spark, docs, rows, group_bytes):
+    same(digests(substring.remove_repeats(docs, group_bytes=group_bytes)), plain_repeats([(r[0], r[1]) for r in rows]))
+
+
+@pytest.mark.parametrize("group_bytes", [1, 20_000, substring.GROUP_BYTES])
+def test_repeats_of_repeated_rows_and_periodic_texts(spark, group_bytes):
+    own = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, own), (1, own), (2, "other"), (3, own + " end"), (4, "x " * 3000), (5, "a b c " * 1000), (4, "x " * 3000), (6, "y " + "x " * 50)]
+    rows += [(7, " ".join(f"v{i}" for i in range(40))), (7, " ".join(f"v{i}" for i in range(10, 40)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = digests(substring.remove_repeats(df, group_bytes=group_bytes))
+    same(got, plain_repeats(rows))
+    assert [r[2] for r in got if r[0] in (1, 2)] == [0, 0, 0]
+
+
+def test_repeats_of_very_long_periodic_texts(spark):
+    rows = [(i, f"{i} " + "x " * 100_000) for i in range(4)]
+    same(digests(substring.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))), plain_repeats(rows))
 
 
 def test_op8_on_real_texts(spark, real):

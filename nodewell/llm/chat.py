@@ -60,17 +60,20 @@ class Marks:
             before = before.replace("{role}", self.escape(role))
         return [(before, False), (self.escape(text), loss), (after, False)]
 
-    def read(self, turn: str) -> tuple[str, str, bool]:
-        """(role, text, loss) of a formatted turn."""
-        for role, (before, after, loss) in self.template.turns.items():
-            if turn.startswith(before) and turn.endswith(after) and len(turn) >= len(before) + len(after):
-                return role, self.unescape(turn[len(before) : len(turn) - len(after)]), loss
+    def closings(self) -> tuple[str, ...]:
+        return tuple(after for _, after, _ in [*self.template.turns.values(), self.template.other])
+
+    def read(self, text: str, at: int = 0) -> tuple[str, str, int]:
+        """(role, text, end) of the formatted turn that starts at a place; escaped texts hold no closing."""
+        for role, (before, after, _) in self.template.turns.items():
+            if text.startswith(before, at) and (end := text.find(after, at + len(before))) >= 0:
+                return role, self.unescape(text[at + len(before) : end]), end + len(after)
         head, middle = self.template.other[0].split("{role}")
-        after, loss = self.template.other[1:]
-        if not turn.startswith(head) or not turn.endswith(after):
-            raise ValueError(f"not a turn of this template: {turn[:40]!r}")
-        role, _, text = turn[len(head) : len(turn) - len(after)].partition(middle)
-        return self.unescape(role), self.unescape(text), loss
+        after = self.template.other[1]
+        if not text.startswith(head, at) or (end := text.find(after, at)) < 0:
+            raise ValueError(f"not a turn of this template: {text[at : at + 40]!r}")
+        role, _, own = text[at + len(head) : end].partition(middle)
+        return self.unescape(role), self.unescape(own), end + len(after)
 
 
 def format_conversations(df: DataFrame, template: Template | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -136,8 +139,8 @@ def read_conversations(segments: DataFrame, template: Template | None = None) ->
     """What the formatted text itself says, one row per conversation: conv, n_turns, turns_sha256, loss_chars, loss_sha256,
     formatted_chars, valid, fault (the first). Takes the output of format_conversations, in its order within tasks.
 
-    The turns are parsed from the concatenated text by the template's control strings; the loss digest is of the text under
-    the loss flags of the segments, and both are fed to running digests, so no conversation is held as a whole.
+    The turns are parsed from the concatenated text alone, by the template's control strings; the loss digest is of the text
+    under the loss flags of the segments. Both are fed to running digests, so of a conversation one turn is held at a time.
     """
     template = template or Template()
 
@@ -145,12 +148,12 @@ def read_conversations(segments: DataFrame, template: Template | None = None) ->
         marks, own, kind = Marks(template), None, pa.int64()
         for b in batches:
             done, kind = [], b.schema.field(0).type
-            for c, seg, no, text, loss, fault in zip(*[b.column(n).to_pylist() for n in ("conv", "seg", "turn_no", "text", "loss", "fault")], strict=True):
+            for c, seg, text, loss, fault in zip(*[b.column(n).to_pylist() for n in ("conv", "seg", "text", "loss", "fault")], strict=True):
                 if seg == 0:
                     if own:
                         done.append(own.row(marks))
                     own = _Read(c)
-                own.add(marks, no, text, loss, fault)
+                own.add(marks, text, loss, fault)
             yield _digests(done, kind)
         if own:
             yield _digests([own.row(marks)], kind)
@@ -161,34 +164,36 @@ def read_conversations(segments: DataFrame, template: Template | None = None) ->
 
 class _Read:
     def __init__(self, conv):
-        self.conv, self.no, self.turn, self.fault = conv, -1, [], None
+        self.conv, self.opened, self.held, self.fault = conv, False, [], None
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n, self.loss_chars, self.chars = 0, 0, 0
 
-    def add(self, marks: Marks, no: int, text: str, loss: bool, fault: str | None) -> None:
-        if no != self.no:
-            self.close(marks)
-            self.no = no
-        self.turn.append(text)
+    def add(self, marks: Marks, text: str, loss: bool, fault: str | None) -> None:
+        self.held.append(text)
         self.chars += len(text)
         self.fault = self.fault or fault
         if loss:
             plain = marks.unescape(text)
             self.loss_chars += len(plain)
             self.loss.update(plain.encode())
-
-    def close(self, marks: Marks) -> None:
-        text, self.turn = "".join(self.turn), []
-        if self.no < 0:
-            if text not in ("", marks.template.begin):
+        if text.endswith(marks.closings()):
+            self.take(marks)
+
+    def take(self, marks: Marks) -> None:
+        """Reads the turns in what is held."""
+        text, at = "".join(self.held), 0
+        self.held = []
+        if not self.opened:
+            if not text.startswith(marks.template.begin):
                 raise ValueError("a conversation must open with the template's begin")
-            return
-        role, plain, _ = marks.read(text)
-        self.turns.update(f"{role}\n{plain}\n".encode())
-        self.n += 1
+            self.opened, at = True, len(marks.template.begin)
+        while at < len(text):
+            role, plain, at = marks.read(text, at)
+            self.turns.update(f"{role}\n{plain}\n".encode())
+            self.n += 1
 
     def row(self, marks: Marks) -> tuple:
-        self.close(marks)
+        self.take(marks)
         return self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.fault is None, self.fault
 
 

@@ -13,14 +13,24 @@ SPACE_CLASS = "[ \\t\\n\\x0B\\f\\r]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir; where it is unset the warehouse, or in local mode,
+    where all run in one process on one machine, a temporary folder."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.nodewell.shared.dir", None)
     if known is None:
-        known = tempfile.mkdtemp(prefix="nodewell-")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        known = tempfile.mkdtemp(prefix="nodewell-") if local else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.nodewell.shared.dir", known)
     return known.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, longer where df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -82,16 +92,18 @@ def possible_members(df: DataFrame, members: DataFrame, on: list[str], name: str
     each = members.select(block.alias("_nw_b"), F.explode(bits).alias("bit"))
     words = [F.coalesce(F.bit_or(F.when(F.col("bit").between(64 * w, 64 * w + 63), single)), F.lit(0)) for w in range(WORDS)]
     table = each.groupBy("_nw_b").agg(F.array(*words).alias("_nw_w"))
-    is_set = lambda i: F.call_function("shiftright", F.get(F.col("_nw_w"), F.floor(i / 64).cast("int")), i % 64).bitwiseAND(F.lit(1)) == 1
-    probed = df.withColumns({"_nw_b": block, "_nw_bits": bits}).join(F.broadcast(table), "_nw_b", "left")
-    return probed.withColumn(name, F.coalesce(F.forall("_nw_bits", is_set), F.lit(False))).drop("_nw_b", "_nw_bits", "_nw_w")
+    b, own, w = (fresh(df, c) for c in ("_nw_b", "_nw_bits", "_nw_w"))
+    is_set = lambda i: F.call_function("shiftright", F.get(F.col(w), F.floor(i / 64).cast("int")), i % 64).bitwiseAND(F.lit(1)) == 1
+    probed = df.withColumns({b: block, own: bits}).join(F.broadcast(table.toDF(b, w)), b, "left")
+    return probed.select(*df.columns, F.coalesce(F.forall(own, is_set), F.lit(False)).alias(name))
 
 
 def join_few(big: DataFrame, few: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """big joined (left, inner or left_anti) with few, a written table of which most rows of big have no partner: only the
     rows that a Bloom filter passes are shuffled, the others stay in their tasks. Columns on must not be null in big."""
-    probed = possible_members(big, few, on, "_nw_maybe")
-    met = probed.where("_nw_maybe").drop("_nw_maybe").join(few, on, how)
+    maybe = fresh(big, "_nw_maybe")
+    probed = possible_members(big, few, on, maybe)
+    met = probed.where(F.col(maybe)).drop(maybe).join(few, on, how)
     if how == "inner":
         return met
-    return met.unionByName(probed.where("not _nw_maybe").drop("_nw_maybe"), allowMissingColumns=True)
+    return met.unionByName(probed.where(~F.col(maybe)).drop(maybe), allowMissingColumns=True)

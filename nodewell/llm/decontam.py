@@ -15,8 +15,12 @@ from nodewell.llm.common import materialise
 
 WORD = re.compile(r"[^\W_]+")
 GRAM = 3
-#: Items that one scan of the corpus looks for; a larger benchmark takes several scans.
-BLOCK_ITEMS = 50_000
+#: Items, and bytes of their texts, that one scan of the corpus looks for; a larger benchmark takes several scans.
+BLOCK_ITEMS, BLOCK_BYTES = 50_000, 4 << 20
+#: Distinct words of a block: codes of three words must fit 63 bits.
+MAX_WORDS = 2**21 - 2
+#: Scripts that put no spaces between words: Thai, Lao, Burmese, Khmer, Japanese, Chinese.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -27,10 +31,15 @@ def words_of(text: str | None) -> list[str]:
 class Block:
     """Items of a bounded block: word numbers from 1, and the grams as numbers in base len(vocabulary) + 1."""
 
-    def __init__(self, items: list[tuple]):
-        self.ids = [i for i, _ in items]
-        split = [words_of(t) for _, t in items]
+    def __init__(self, items: list[tuple], min_words: int = 0):
+        """Items of fewer than min_words words are looked for as they are; see short."""
+        told = [(i, words_of(t)) for i, t in items]
+        self.short = [(i, w) for i, w in told if 0 < len(w) < min_words]
+        self.ids = [i for i, w in told if w and len(w) >= min_words]
+        split = [w for _, w in told if w and len(w) >= min_words]
         self.vocabulary = {w: n for n, w in enumerate(sorted({w for own in split for w in own}), 1)}
+        if len(self.vocabulary) > MAX_WORDS:
+            raise ValueError(f"an item of more than {MAX_WORDS} distinct words")
         self.items = [np.array([self.vocabulary[w] for w in own], np.int64) for own in split]
         self.codes = np.unique(np.concatenate([self.grams(x) for x in self.items] or [np.empty(0, np.int64)]))
 
@@ -77,6 +86,37 @@ class Block:
         return np.array(sorted(places), np.int64), places
 
 
+class Short:
+    """Items of few words, found in a text as they are: as a run of its words if they have three or more, or twelve characters
+    or more of a script without spaces (then within a run of letters, too); any other if it is all of the text's words."""
+
+    def __init__(self, items: list[tuple]):
+        self.runs, self.wholes = None, {}
+        inside: dict[str, list] = {}
+        for i, words in items:
+            said = " ".join(words)
+            if UNSPACED.search(said) and len(said) >= 12:
+                inside.setdefault(said, []).append(i)
+            elif len(words) >= GRAM:
+                inside.setdefault(f" {said} ", []).append(i)
+            else:
+                self.wholes.setdefault(said, []).append(i)
+        if inside:
+            import ahocorasick
+
+            self.runs = ahocorasick.Automaton()
+            for said, ids in inside.items():
+                self.runs.add_word(said, ids)
+            self.runs.make_automaton()
+
+    def found(self, text: str) -> set:
+        said = " ".join(words_of(text))
+        out = set(self.wholes.get(said, ()))
+        if self.runs is not None:
+            out.update(i for _, ids in self.runs.iter(f" {said} ") for i in ids)
+        return out
+
+
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     """Best local alignment score of each item with its window (Smith-Waterman, linear gaps), all pairs at once."""
     rows, wide = max(map(len, items)), max(map(len, windows))
@@ -116,39 +156,68 @@ def candidates(block: Block, numbers: np.ndarray, codes: np.ndarray, places: dic
 
 def leaks(
     df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    min_score: float = 0.5, min_words: int = 8, common_share: float = 0.0005, stretch: int = 4, block_items: int = BLOCK_ITEMS,
+    min_score: float = 0.5, min_words: int = 8, common_share: float = 0.0005, stretch: int = 4, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(key, item, score) of every document that holds a copy of a benchmark item, exact, edited or paraphrased in part.
 
     Words are compared in lower case without punctuation. Seeds are three-word grams of the items, rare by the number
     of documents of the whole corpus that hold them. Around seeds the item is aligned with the text; score is the
     best local alignment over the score of the item with itself, from 0 to 1, and min_score or more is a leak.
-    Items of fewer than min_words words, null items and null texts leak nothing; repeated rows give one row per key
-    and item, a null key is kept as one. The benchmark is taken in blocks of block_items items, each small enough
-    to send to every task; every block takes two scans of the corpus, one to count seeds and one to align.
+    Items of fewer than min_words words leak as they are alone, with a score of 1 (see Short). Null and wordless items and
+    null texts leak nothing; repeated rows give one row per key and item, a null key is kept as one; texts of any length
+    are taken whole, one at a time. An empty table or benchmark gives none. The benchmark is taken in blocks of block_items
+    items and block_bytes bytes at most, or one longer item, each small enough to send to every task; every block takes
+    two scans of the corpus, one to count seeds and one to align.
     """
     spark = df.sparkSession
     kinds = f"`{key}` {df.schema[key].dataType.simpleString()}, `{item}` {benchmark.schema[item].dataType.simpleString()}, score double"
-    total = benchmark.count()
+    total, size = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()
     rows = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     n_docs = df.count()
-    n_blocks = -(-total // block_items)
+    n_blocks = max(-(-total // block_items), -(-size // block_bytes))
     named = benchmark.select(F.col(item), F.col(item_text).alias("_t"), F.pmod(F.xxhash64(item, item_text), F.lit(max(1, n_blocks))).alias("_b"))
     out = spark.createDataFrame([], kinds)
     for k in range(n_blocks):
-        own = [(r[0], r[1]) for r in named.where(F.col("_b") == k).collect() if r[1] is not None]
-        block = Block([(i, t) for i, t in own if len(words_of(t)) >= min_words])
-        if not block.items:
-            continue
-        counted = rows.select("_t").mapInArrow(_count(block), "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-        frequency = np.zeros(len(block.codes), np.int64)
-        for r in counted.collect():  # one row per gram of the block at most
-            frequency[r.gram] = r.n
-        seeds = block.seeds(frequency, max(1.0, common_share * n_docs), stretch)
-        out = out.union(rows.mapInArrow(_score(block, *seeds, min_score, key, item, to_arrow_type(benchmark.schema[item].dataType)), kinds))
+        for own in _parts(named.where((F.col("_b") == k) & F.col("_t").isNotNull()).toLocalIterator(), block_items, block_bytes):
+            block = Block(own, min_words)
+            if block.short:
+                out = out.union(rows.mapInArrow(_as_they_are(block.short, key, item, to_arrow_type(benchmark.schema[item].dataType)), kinds))
+            if not block.items:
+                continue
+            counted = rows.select("_t").mapInArrow(_count(block), "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+            frequency = np.zeros(len(block.codes), np.int64)
+            for r in counted.collect():  # one row per gram of the block at most
+                frequency[r.gram] = r.n
+            seeds = block.seeds(frequency, max(1.0, common_share * n_docs), stretch)
+            out = out.union(rows.mapInArrow(_score(block, *seeds, min_score, key, item, to_arrow_type(benchmark.schema[item].dataType)), kinds))
     return materialise(out.groupBy(key, item).agg(F.max("score").alias("score")), "leaks")
 
 
+def _parts(items: Iterator, most: int, size: int) -> Iterator[list[tuple]]:
+    """The items in lists of `most` items and `size` bytes at most, or of one longer item."""
+    held, taken = [], 0
+    for r in items:
+        n = len(r[1].encode())
+        if held and (len(held) >= most or taken + n > size):
+            yield held
+            held, taken = [], 0
+        held.append((r[0], r[1]))
+        taken += n
+    if held:
+        yield held
+
+
+def _as_they_are(items: list[tuple], key: str, item: str, id_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = Short(items)
+        for b in batches:
+            found = [(row, i) for row, t in enumerate(b.column(1)) for i in short.found(t.as_py())]
+            docs = b.column(0).take(pa.array([r for r, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([docs, pa.array([i for _, i in found], id_type), pa.array([1.0] * len(found), pa.float64())], [key, item, "score"])
+
+    return run
+
+
 def _count(block: Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(block.codes), np.int64)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from nodewell.llm.common import SPACE, SPACE_CLASS, join_few, materialise
+from nodewell.llm.common import SPACE, SPACE_CLASS, fresh, join_few, materialise
 
 SYMBOLS = "#*$%&|<>"
 
@@ -135,43 +135,45 @@ def removed_lines(df: DataFrame, text: str = "text", host: str = "source", **lim
 
 
 def judge(
-    df: DataFrame, text: str = "text", host: str = "source", min_words: int = 20, max_repeat_percent: int = 30, min_left_percent: int = 50, **limits
+    df: DataFrame, text: str = "text", host: str = "source", min_words: int = 20, max_repeat_percent: int = 30, min_left_percent: int = 50, name: str = "quality", **limits
 ) -> DataFrame:
-    """All rows and columns of df with a struct column `quality`: the text statistics, removed_words,
+    """All rows and columns of df with a struct column `quality` (or another name): the text statistics, removed_words,
     removed (hashes of the lines above the limits), base_failed and kept.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them in repeated windows.
     A document is depleted, and so not kept, if the lines above the limits leave it less than min_left_percent
-    of its words. A column `quality` of df is replaced. Null text: empty, so base_failed. Null host: a host of its
+    of its words. A column of that name is replaced. Null text: empty, so base_failed. Null host: a host of its
     own. Copies of a text on one host get one verdict. The lines are counted in one aggregation, and only the lines above
     the limits are joined back, of lines and texts that a Bloom filter passes.
     """
-    df = df.drop("quality")
+    df = df.drop(name)
+    host_, th, tb, gone_, lines, stats = (fresh(df, c) for c in ("_nw_host", "_nw_th", "_nw_tb", "_nw_gone", "_nw_lines", "_nw_s"))
     whole = F.coalesce(F.col(text), F.lit(""))
-    keyed = df.withColumns({"_nw_host": F.coalesce(F.col(host), F.lit("")), "_nw_th": F.xxhash64(whole), "_nw_tb": F.octet_length(whole)})
-    gone = removed_lines(df, text, host, **limits).withColumnsRenamed({"host": "_nw_host", "th": "_nw_th", "tb": "_nw_tb", "removed_words": "_nw_gone", "removed": "_nw_lines"})
-    joined = join_few(keyed, materialise(gone, "removed-lines"), ["_nw_host", "_nw_th", "_nw_tb"])
+    keyed = df.withColumns({host_: F.coalesce(F.col(host), F.lit("")), th: F.xxhash64(whole), tb: F.octet_length(whole)})
+    gone = removed_lines(df, text, host, **limits).toDF(host_, th, tb, gone_, lines)
+    joined = join_few(keyed, materialise(gone, "removed-lines"), [host_, th, tb])
     # After the join, whose two ways would each work them out; a generator, as a projection would be repeated per use.
-    joined = joined.select("*", F.inline(F.array(F.struct(text_statistics(F.col(text)).alias("_nw_s")))))
-    n, r = F.col("_nw_s.n_words"), F.coalesce(F.col("_nw_gone"), F.lit(0))
-    failed = (n < min_words) | (100 * F.col("_nw_s.n_repeat_words") > max_repeat_percent * n)
+    joined = joined.select("*", F.inline(F.array(F.struct(text_statistics(F.col(text)).alias(stats)))))
+    n, r = F.col(f"{stats}.n_words"), F.coalesce(F.col(gone_), F.lit(0))
+    failed = (n < min_words) | (100 * F.col(f"{stats}.n_repeat_words") > max_repeat_percent * n)
     left = n - r
     verdict = F.struct(
-        "_nw_s.*",
+        f"{stats}.*",
         r.cast("bigint").alias("removed_words"),
-        F.coalesce("_nw_lines", F.array().cast("array<bigint>")).alias("removed"),
+        F.coalesce(lines, F.array().cast("array<bigint>")).alias("removed"),
         failed.alias("base_failed"),
         (~failed & (100 * left >= min_left_percent * n)).alias("kept"),
     )
-    return joined.withColumn("quality", verdict).select(*[df[c] for c in df.columns], "quality")
+    return joined.select(*df.columns, verdict.alias(name))
 
 
 def clean(df: DataFrame, text: str = "text", host: str = "source", **options) -> DataFrame:
     """The kept rows of df, their text without the lines above the limits. Texts without such lines stay byte for byte."""
-    judged = judge(df, text, host, **options).where("quality.kept")
+    name = fresh(df, "quality")
+    judged = judge(df, text, host, name=name, **options).where(F.col(f"{name}.kept"))
     left = F.array_join(
-        F.filter(F.split(F.col(text), "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("quality.removed"), F.xxhash64(normalised_line(x))), F.lit(False))),
+        F.filter(F.split(F.col(text), "\n"), lambda x: ~F.coalesce(F.array_contains(F.col(f"{name}.removed"), F.xxhash64(normalised_line(x))), F.lit(False))),
         "\n",
     )
-    out = judged.withColumn(text, F.when(F.size("quality.removed") > 0, left).otherwise(F.col(text)))
-    return out.select(*[c for c in df.columns if c != "quality"])
+    out = judged.withColumn(text, F.when(F.size(f"{name}.removed") > 0, left).otherwise(F.col(text)))
+    return out.select(*df.columns)

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, functions as F
 from nodewell.llm.common import connected_components, materialise
 
 BITS, RADIUS = 64, 3
-#: The vantage tree is fitted on at most this many distinct fingerprints; all of them are searched.
-FIT_ROWS = 20_000
+#: The vantage trees are fitted on so many distinct fingerprints per shard, an eighth of them and MAX_FIT_ROWS (32 MB) at
+#: most; all of them are searched.
+FIT_ROWS, MAX_FIT_ROWS = 64, 4_000_000
 #: Fingerprints that a shard should hold.
 SHARD_ROWS = 50_000
 #: Either half of two fingerprints within 3 bits differs in at most 1 bit, for one half at least. A table looks at its
@@ -149,16 +150,18 @@ def spanning_links(data: np.ndarray, queries: np.ndarray, half: np.uint64) -> tu
     return nodes[own], nodes[label[own]]
 
 
-def links(fps: DataFrame, shard_rows: int = SHARD_ROWS, fit_rows: int = FIT_ROWS) -> DataFrame:
+def links(fps: DataFrame, shard_rows: int = SHARD_ROWS, fit_rows: int = FIT_ROWS, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect all that differ in 3 bits or fewer.
 
-    Two vantage trees, one per half, are fitted on a bounded sample. Each fingerprint goes to its own leaf and, as a
+    Two vantage trees, one per half, are fitted on a bounded sample, in proportion to the shards. Each fingerprint goes to its own leaf and, as a
     query, to every leaf whose border its ball crosses; each leaf is one group of about shard_rows fingerprints and
     is searched by a tree of its own. A leaf gives a spanning forest of its links, not all its pairs.
     """
     total = fps.count()
     levels = max(0, int(np.ceil(np.log2(max(1, total) / shard_rows))))
-    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(fit_rows).collect()], np.int64).view(np.uint64)
+    n_fit = min(fit_rows << levels, total // 8, max_fit_rows) if levels else 0
+    chosen = fps.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(total)) < 2 * n_fit).orderBy(F.xxhash64("fp"), "fp").limit(n_fit)
+    sample = chosen.toArrow().column(0).to_numpy().view(np.uint64) if levels else np.empty(0, np.uint64)
     trees, after = [], 0
     for half in HALVES:
         tree, after_next = fit_tree(sample, half, levels, after)
@@ -196,7 +199,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
     Rows are linked if their fingerprints differ in 3 bits or fewer; component_id is the smallest key reachable.
     Null and empty texts have fingerprint zero and are linked like any other. A null key is never the smallest
-    while its component has another; repeated rows give repeated rows; an empty table gives none.
+    while its component has another; repeated rows give repeated rows; an empty table gives none. Texts of any length
+    are taken whole, one at a time.
     """
     own = materialise(fingerprints(df, key, text, shingle), "fingerprints")
     distinct = materialise(own.groupBy("fp").agg(F.min(key).alias("least")), "distinct-fingerprints")

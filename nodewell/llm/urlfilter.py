@@ -6,7 +6,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from nodewell.llm.common import materialise, possible_members
+from nodewell.llm.common import fresh, materialise, possible_members
 
 #: (host, path, verdict); a rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -59,11 +59,12 @@ def match_listed(df: DataFrame, url: str, listed: DataFrame, max_filter_mb: int
     """
     df = df.drop("listed")
     names = materialise(listed.select("url").where("url <> ''").distinct(), "listed-urls")
-    canon = df.withColumn("_nw_c", canonical_url(F.col(url)))
-    exact = names.select(F.col("url").alias("_nw_c"), F.lit(True).alias("_nw_in"))
-    probed = possible_members(canon, exact, ["_nw_c"], "_nw_maybe", max_filter_mb, bits_per_url)
-    passed = probed.where("_nw_maybe").join(exact, "_nw_c", "left").withColumn("listed", F.coalesce("_nw_in", F.lit(False)))
-    rest = probed.where("not _nw_maybe").withColumn("listed", F.lit(False))
+    own, on_it, maybe = (fresh(df, c) for c in ("_nw_c", "_nw_in", "_nw_maybe"))
+    canon = df.withColumn(own, canonical_url(F.col(url)))
+    exact = names.select(F.col("url").alias(own), F.lit(True).alias(on_it))
+    probed = possible_members(canon, exact, [own], maybe, max_filter_mb, bits_per_url)
+    passed = probed.where(F.col(maybe)).join(exact, own, "left").withColumn("listed", F.coalesce(on_it, F.lit(False)))
+    rest = probed.where(~F.col(maybe)).withColumn("listed", F.lit(False))
     return passed.select(*df.columns, "listed").unionByName(rest.select(*df.columns, "listed"))
 
 
@@ -74,5 +75,6 @@ def judge_urls(df: DataFrame, listed: DataFrame, url: str = "url", rules=RULES)
     df = df.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url])
     host, path = split_url(F.col(url))
     out = match_listed(df, url, listed).withColumns({"host": host, "path": path})
-    out = out.withColumn("_nw_r", rule_of(F.col("host"), F.col("path"), rules))
-    return out.withColumns({"rule": F.col("_nw_r.rule"), "verdict": F.coalesce("_nw_r.verdict", F.when(F.col("listed"), "block").otherwise("allow"))}).drop("_nw_r")
+    own = fresh(out, "_nw_r")
+    out = out.withColumn(own, rule_of(F.col("host"), F.col("path"), rules))
+    return out.withColumns({"rule": F.col(f"{own}.rule"), "verdict": F.coalesce(f"{own}.verdict", F.when(F.col("listed"), "block").otherwise("allow"))}).drop(own)

@@ -17,18 +17,19 @@ def tokens_per_second(gen_len: Column, latency: Column) -> Column:
 
 def falsy_or(value: Column, other: Column) -> Column:
     """value unless it is null or zero, then other."""
-    return F.when(value != 0, value).otherwise(F.coalesce(other, value))
+    return F.when(value != 0, value).otherwise(other)
 
 
 def image_timestamp(path: Column) -> Column:
-    """Time of an archived image from its name: ISO with offset, or camera_YYYY-MM-DD_HH-MM-SS; else null."""
-    iso = F.regexp_extract(path, "(\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2})[+-]\\d{4}", 1)
-    named = F.regexp_extract(path, "(\\d{4}-\\d{2}-\\d{2}_\\d{2}-\\d{2}-\\d{2})", 1)
-    return F.coalesce(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.try_to_timestamp(named, F.lit("yyyy-MM-dd_HH-mm-ss"))).cast("timestamp_ntz")
+    """Time of an archived image from its name: top_ or bottom_YYYY-MM-DD_HH-MM-SS.jpg, or ISO, with or without an offset, which
+    is left out; else null."""
+    named = F.regexp_extract(path, "(?:top|bottom)_(\\d{4}-\\d{2}-\\d{2}_\\d{2}-\\d{2}-\\d{2})\\.jpg", 1)
+    iso = F.regexp_extract(path, "(?:^|/)(\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2})(?:[+-]\\d{4})?\\.jpg$", 1)
+    return F.coalesce(F.try_to_timestamp(named, F.lit("yyyy-MM-dd_HH-mm-ss")), F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ss"))).cast("timestamp_ntz")
 
 
 def camera_of(path: Column) -> Column:
-    return F.nullif(F.regexp_extract(path, "([A-Za-z]+)_\\d{4}-\\d{2}-\\d{2}_", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(path, "(top|bottom)_\\d{4}-\\d{2}-\\d{2}_", 1), F.lit(""))
 
 
 def bounds(ts: Column, unit: str) -> Column:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Patterns of the device tools' output (fixed formats).
-RAIL = r"([A-Z][A-Z0-9_]*) (\d+)mW/\d+mW"
-RAM = r"RAM (\d+)/(\d+)MB"
-EMC = r"EMC_FREQ (\d+)%"
+RAIL = r"\b([A-Za-z][A-Za-z0-9_]*)\s+(\d+)mW/\d+mW"
+RAM = r"\bRAM\s+(\d+)/(\d+)MB"
+EMC = r"EMC_FREQ\s+(\d+)%"
 JUNCTION = r"tj@(-?[\d.]+)C"
-CORES = r"CPU \[([^\]]*)\]"
+CORES = r"CPU\s+\[([^\]]*)\]"
 CORE = r"(\d+)%@(\d+)"
-GPU_LOAD = r"GR3D_FREQ (\d+)%"
-GPU_MHZ = r"GR3D_FREQ (?:\d+%)?@\[?([\d,]+)\]?"
+GPU_LOAD = r"GR3D_FREQ\s+(\d+)%"
+GPU_MHZ = r"GR3D_FREQ\s+(?:\d+%)?\s*@\s*\[?\s*([\d,\s]*\d)"
 TEMPERATURE = r"(?i)\b{}@(-?[\d.]+)C"
 
 
@@ -34,8 +34,9 @@ def rails(line: Column) -> Column:
 
 def parse_telemetry(line: Column) -> Column:
     """Struct of one telemetry line: rails (watts), ram_used_mb, ram_total_mb, emc_percent, junction_c, mean core load and MHz,
-    gpu_percent and gpu_mhz (mean of the clusters). What a line doesn't have is null. Rails are named once in a line."""
+    gpu_percent, gpu_mhz and gpu_mhz_peak (mean and highest of the clusters). What a line doesn't have is null."""
     cores = F.regexp_extract(line, CORES, 1)
+    clusters = F.transform(F.split(F.regexp_extract(line, GPU_MHZ, 1), ","), lambda x: F.trim(x))
     return F.struct(
         rails(line).alias("rails"),
         _number(line, RAM, 1).alias("ram_used_mb"),
@@ -45,7 +46,8 @@ def parse_telemetry(line: Column) -> Column:
         _mean(F.regexp_extract_all(cores, F.lit(CORE), F.lit(1))).alias("cpu_percent"),
         _mean(F.regexp_extract_all(cores, F.lit(CORE), F.lit(2))).alias("cpu_mhz"),
         _number(line, GPU_LOAD).alias("gpu_percent"),
-        _mean(F.split(F.regexp_extract(line, GPU_MHZ, 1), ",")).alias("gpu_mhz"),
+        _mean(clusters).alias("gpu_mhz"),
+        F.array_max(F.transform(clusters, lambda x: x.try_cast("double"))).alias("gpu_mhz_peak"),
     )
 
 
@@ -76,14 +78,62 @@ def parse_speech_timings(log: Column) -> Column:
     )
 
 
+#: Flags of an engine's system line, in the order in which they are told, and the name of each.
+BUILD_FLAGS = (
+    ("AVX2", ("AVX2 = 1",)),
+    ("NEON", ("NEON = 1",)),
+    ("BLAS", ("BLAS = 1",)),
+    ("COREML", ("COREML = 1",)),
+    ("CUDA", ("CUDA = 1", "CUDA : ARCHS")),
+    ("MTL", ("MTL = 1", "MTL : EMBED_LIBRARY = 1")),
+)
+
+
+def build_config(system_info: Column) -> Column:
+    """Names of the flags that are set, each after a space; empty if none is."""
+    return F.concat(*[F.when(F.exists(F.array(*[F.lit(x) for x in marks]), lambda m: F.contains(system_info, m)), f" {name}").otherwise("") for name, marks in BUILD_FLAGS])
+
+
+# Terminal codes, time stamps, and what lines of the engine and its drivers start with or hold.
 ANSI = "\\x1B\\[[0-?]*[ -/]*[@-~]"
-STAMP = r"\[\s*[\d:.,]+\s*-->\s*[\d:.,]+\s*\]"
-ENGINE_LINE = r"^\s*([a-z0-9]+(_[a-z0-9]+)+|main|init)\s*:|^\s*system_info"
+CLEARED_LINE = "\\x1B\\[2K"
+CLEARED_SPACES = "\\r+\\s{20,}\\r+"
+STAMPED = r"^\[[0-9:.,\s\-]+-->\s*[0-9:.,\s\-]+\]\s*(.*)$"
+LOG_PREFIXES = ("whisper_", "system_info:", "main:")
+CHUNK_PREFIXES = ("Script started", "Script done", "init:", "whisper_", "whisper_print_timings:", "system_info:", "main:", "ggml_", "NvRm", "****", "ALSA ", "###")
+LOG_PARTS = ("whisper_print_timings:",)
+CHUNK_PARTS = ("samples per frame", "required:")
+BLANK, START = "[BLANK_AUDIO]", "[Start speaking]"
+# End of the fixed values.
+
+
+def _said(line: Column, prefixes: tuple[str, ...], parts: tuple[str, ...]) -> Column:
+    """Whether a line is none of the engine's."""
+    told = F.exists(F.array(*[F.lit(x) for x in prefixes]), lambda x: line.startswith(x))
+    return (line != "") & ~told & ~F.exists(F.array(*[F.lit(x) for x in parts]), lambda x: F.contains(line, x))
+
+
+def _bare(line: Column) -> Column:
+    return F.when(line.rlike(STAMPED), F.trim(F.regexp_extract(line, STAMPED, 1))).otherwise(line)
+
+
+def _trimmed(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.regexp_replace(x, "^\\s+|\\s+$", ""))
 
 
 def clean_transcript_log(log: Column) -> Column:
-    """The spoken text of an engine's log: without terminal codes, engine lines and time stamps, lines joined by a space."""
-    lines = F.split(F.regexp_replace(log, ANSI, ""), "\r?\n|\r")
-    said = F.filter(lines, lambda x: ~x.rlike(ENGINE_LINE))
-    bare = F.transform(said, lambda x: F.trim(F.regexp_replace(x, STAMP, "")))
-    return F.array_join(F.filter(bare, lambda x: x != ""), " ")
+    """The spoken text of a run's log, lines joined by a space: without terminal codes, engine lines, time stamps, and lines
+    without a stamp that start or end with a bracket."""
+    lines = F.filter(_trimmed(F.split(F.regexp_replace(log, ANSI, ""), "\r?\n|\r")), lambda x: _said(x, LOG_PREFIXES, LOG_PARTS))
+    lines = F.filter(lines, lambda x: x.rlike(STAMPED) | ~(x.startswith("[") | x.endswith("]")))
+    return F.trim(F.array_join(F.transform(lines, _bare), " "))
+
+
+def clean_transcript_chunk(chunk: Column) -> Column:
+    """The spoken lines of a piece of terminal output, each ended by a line feed: without terminal codes, lines that were cleared,
+    marks of blank audio, lines of the engine, its session and drivers, and time stamps."""
+    text = F.regexp_replace(chunk, CLEARED_LINE, "\r")
+    text = F.replace(F.regexp_replace(F.regexp_replace(text, ANSI, ""), CLEARED_SPACES, "\r"), F.lit(BLANK), F.lit(""))
+    lines = F.filter(_trimmed(F.split(text, "[\r\n]+")), lambda x: _said(x, CHUNK_PREFIXES, CHUNK_PARTS))
+    kept = F.filter(F.transform(lines, _bare), lambda x: (x != "") & (x != START))
+    return F.array_join(F.transform(kept, lambda x: F.concat(x, F.lit("\n"))), "")

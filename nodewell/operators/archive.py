@@ -9,16 +9,16 @@ def nearest_frame(requests: DataFrame, frames: DataFrame, request: str = "reques
     """(request, at, stage, ts, path): the frame closest to each requested time; of equals the earlier.
 
     Stage 1 looks from `before` minutes earlier to `after` minutes later, stage 2 at the same day, stage 3 at the nearest day within `days`
-    (of two as near the later), there at the frame closest in time of day; nothing: nulls. Stage 1 joins on slots of `before + after`
+    (of two as near the later), there at the frame least apart in time; nothing: nulls. Stage 1 joins on slots of `before + after`
     minutes, so a request meets the frames of two or three slots; the later stages take only requests without a match, and
     compare with frames of the day found from the list of days.
     """
-    slot = 60 * (before + after)
-    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
-    req = requests.select(request, at).withColumn("_a", seconds(at))
-    fr = frames.where(F.col(ts).isNotNull()).select(F.col(ts).alias("_ts"), F.col(path).alias("_path")).withColumn("_f", F.unix_timestamp(F.col("_ts").cast("timestamp")))
-    near = req.withColumn("_slot", F.explode(F.sequence(F.floor((F.col("_a") - 60 * before) / slot), F.floor((F.col("_a") + 60 * after) / slot))))
-    near = near.join(fr.withColumn("_slot", F.floor(F.col("_f") / slot)), "_slot").where((F.col("_f") >= F.col("_a") - 60 * before) & (F.col("_f") <= F.col("_a") + 60 * after))
+    minute = 60_000_000
+    slot = minute * (before + after)
+    req = requests.select(request, at).withColumn("_a", F.unix_micros(F.col(at).cast("timestamp")))
+    fr = frames.where(F.col(ts).isNotNull()).select(F.col(ts).alias("_ts"), F.col(path).alias("_path")).withColumn("_f", F.unix_micros(F.col("_ts").cast("timestamp")))
+    near = req.withColumn("_slot", F.explode(F.sequence(F.expr(f"(_a - {minute * before}) div {slot}"), F.expr(f"(_a + {minute * after}) div {slot}"))))
+    near = near.join(fr.withColumn("_slot", F.expr(f"_f div {slot}")), "_slot").where((F.col("_f") >= F.col("_a") - minute * before) & (F.col("_f") <= F.col("_a") + minute * after))
     pick = F.min(F.struct(F.abs(F.col("_f") - F.col("_a")).alias("d"), F.col("_ts").alias("ts"), F.col("_path").alias("path"))).alias("m")
     one = near.groupBy(request, at).agg(pick).withColumn("stage", F.lit(1))
     rest = req.join(one.select(request), request, "left_anti").withColumn("_day", F.to_date(at))
@@ -27,9 +27,9 @@ def nearest_frame(requests: DataFrame, frames: DataFrame, request: str = "reques
     gap = F.datediff("_fd", "_day")
     day = wanted.groupBy(request, at, "_a", "_day").agg(F.min_by("_fd", F.struct(F.abs(gap), -gap)).alias("_fd"))
     same = day.join(fr.withColumn("_fd", F.to_date("_ts")), "_fd")
-    clock = F.abs((F.col("_f") - F.col("_a")) - 86400 * gap)
+    apart = F.abs(F.col("_f") - F.col("_a"))
     far = same.withColumn("_gap", gap).groupBy(request, at).agg(
-        F.min(F.struct(clock.alias("d"), F.col("_ts").alias("ts"), F.col("_path").alias("path"))).alias("m"), F.when(F.first("_gap") == 0, 2).otherwise(3).alias("stage")
+        F.min(F.struct(apart.alias("d"), F.col("_ts").alias("ts"), F.col("_path").alias("path"))).alias("m"), F.when(F.first("_gap") == 0, 2).otherwise(3).alias("stage")
     )
     found = one.select(request, "stage", "m").unionByName(far.select(request, "stage", "m"))
     return requests.select(request, at).join(found, request, "left").select(request, at, "stage", F.col("m.ts").alias("ts"), F.col("m.path").alias("path"))

@@ -76,36 +76,55 @@ def judge_compare(evaluated: DataFrame, models: list[str]) -> DataFrame:
 
 def hybrid_summary(records: DataFrame) -> DataFrame:
     """One row: means of rule, retrieval and hybrid scores, rounded to 4."""
-    return records.agg(*[F.round(F.avg(f"{kind}_{s}"), 4).alias(f"{kind}_{s}") for kind in ("rule", "retrieval", "hybrid") for s in ("hallucination", "grounding")])
+    return records.agg(*[F.round(F.round(F.avg(f"{kind}_{s}"), 9), 4).alias(f"{kind}_{s}") for kind in ("rule", "retrieval", "hybrid") for s in ("hallucination", "grounding")])
 
 
 def claim_of(violation: Column) -> Column:
-    """A violation's label: normalised, else raw, else plain; counted once."""
-    return F.coalesce(violation["claim_normalized"], violation["claim_raw"], violation["claim"])
+    """A violation's label: normalised, else raw, else plain, whichever is not empty; counted once."""
+    return F.coalesce(*[F.nullif(violation[n], F.lit("")) for n in ("claim_normalized", "claim_raw", "claim")])
 
 
-NEGATION = r"\b(no|not|without|none)\b"
-VEHICLES = ("car", "truck", "bus", "motorcycle", "bicycle", "vehicle")
+# The categories of unsupported claims and what tells them.
+LABEL_SPACE, TRAIN_CAR, NEGATED, VEHICLE_TYPE, UNVERIFIED = "out_of_label_space", "semantic_mismatch_train_car", "caption_negation_conflict", "vehicle_type_confusion", "unverified_object"
+RAILS = ("train", "rail", "tram")
+NOBODY = ("no people", "no person", "nobody")
+VEHICLES = ("car", "truck", "bus", "motorcycle", "bicycle")
+# End of the fixed values.
 
 
-def violation_category(claim: Column, caption: Column, detected: Column) -> Column:
-    """Why a claim is unsupported; the first that holds: the label is outside the category vocabulary, it is a train, rail or
-    tram, the caption negates something, another vehicle was detected, or it can't be told."""
+def violation_category(claim: Column, caption: Column, detected: Column, classes: tuple[str, ...] = tuple(captions.CATEGORIES)) -> Column:
+    """Why a claim is unsupported, the first that holds: it is none of the detector's classes; it is a car and the caption tells
+    of rails; it is a person and the caption says there is none; it is a vehicle and another one, but not it, was detected;
+    or it can't be told. Claim and classes in lower case."""
     family = F.array(*[F.lit(v) for v in VEHICLES])
+    said = F.lower(F.coalesce(caption, F.lit("")))
+    seen = F.transform(F.coalesce(detected, F.array().cast("array<string>")), lambda x: F.lower(x))
+
+    def says(words: tuple[str, ...]) -> Column:
+        return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(said, w))
+
     return (
-        F.when(~F.array_contains(F.array(*[F.lit(c) for c in captions.CATEGORIES]), claim), "label_space")
-        .when(claim.rlike("train|rail|tram"), "train_rail_tram")
-        .when(F.lower(caption).rlike(NEGATION), "negation")
-        .when(F.array_contains(family, claim) & F.arrays_overlap(detected, family), "vehicle_family")
-        .otherwise("unverified")
+        F.when(~F.array_contains(F.array(*[F.lit(c) for c in classes]), claim), LABEL_SPACE)
+        .when((claim == "car") & says(RAILS), TRAIN_CAR)
+        .when((claim == "person") & says(NOBODY), NEGATED)
+        .when(F.array_contains(family, claim) & F.arrays_overlap(F.array_compact(seen), family) & ~F.coalesce(F.array_contains(seen, claim), F.lit(False)), VEHICLE_TYPE)
+        .otherwise(UNVERIFIED)
     )
 
 
-def categorised_violations(records: DataFrame) -> DataFrame:
-    """(image, model, claim, category) of every unsupported claim."""
-    each = records.select("image", "model", "caption", "detected_classes", F.explode("violations").alias("v"))
-    named = each.withColumn("claim", claim_of(F.col("v"))).where("claim is not null")
-    return named.select("image", "model", "claim", violation_category(F.col("claim"), F.col("caption"), F.col("detected_classes")).alias("category"))
+def violation_claims(records: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, claim, type) of every violation that has a label. Violations are structs, or plain strings, whose type is null."""
+    each = records.select(*keep, F.explode("violations").alias("v"))
+    plain = each.schema["v"].dataType.simpleString() == "string"
+    claim = F.nullif("v", F.lit("")) if plain else claim_of(F.col("v"))
+    return each.select(*keep, claim.alias("claim"), (F.lit(None).cast("string") if plain else F.col("v.type")).alias("type")).where("claim is not null")
+
+
+def categorised_violations(records: DataFrame, classes: tuple[str, ...] = tuple(captions.CATEGORIES)) -> DataFrame:
+    """(image, model, claim, category) of every claim whose object was not detected, in lower case."""
+    named = violation_claims(records, ["image", "model", "caption", "detected_classes"]).where("type = 'object_not_detected'")
+    named = named.withColumn("claim", F.trim(F.lower("claim")))
+    return named.select("image", "model", "claim", violation_category(F.col("claim"), F.col("caption"), F.col("detected_classes"), classes).alias("category"))
 
 
 def violation_report(violations: DataFrame) -> DataFrame:

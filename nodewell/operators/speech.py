@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,7 +34,8 @@ def speech_model_summary(rows: DataFrame, columns: tuple[str, ...] = ("accuracy"
 def sequence_quality(tokens: DataFrame, no_speech: str | None = None, keys: tuple[str, ...] = ("audio_id", "seg_no"), length_penalty: float = -1.0, entropy_below: float = 2.4, logprob_below: float = -1.0, no_speech_above: float = 0.6) -> DataFrame:
     """Per sequence of tokens (tok_no, id, plog): length, sum and mean log probability, score (the sum over the length, or over
     ((5 + length) / 6) ** length_penalty if that is above zero), entropy of the last 32 tokens, failed (longer than 32 and
-    entropy below the limit) and, with a column of no-speech probabilities, no_speech."""
+    entropy below the limit) and, with a column of no-speech probabilities, no_speech and fallback: failed, or improbable
+    where there is speech. tok_no orders the tokens of a sequence, each with one of its own."""
     extra = [F.max(no_speech).alias("_ns")] if no_speech else []
     sums = tokens.groupBy(*keys).agg(F.count("*").alias("n_tokens"), F.sum("plog").alias("sum_logprobs"), F.avg("plog").alias("avg_logprobs"), *extra)
     last = tokens.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("tok_no")))).where("_r <= 32")
@@ -44,14 +46,19 @@ def sequence_quality(tokens: DataFrame, no_speech: str | None = None, keys: tupl
     weight = F.pow((5 + F.col("n_tokens")) / 6, F.lit(length_penalty)) if length_penalty > 0 else F.col("n_tokens")
     out = sums.join(entropy, list(keys)).withColumn("score", F.col("sum_logprobs") / weight)
     out = out.withColumn("failed", (F.col("n_tokens") > 32) & (F.col("entropy") < entropy_below))
-    return out.withColumn("no_speech", (F.col("_ns") > no_speech_above) & (F.col("avg_logprobs") < logprob_below)).drop("_ns") if no_speech else out
+    if not no_speech:
+        return out
+    poor = F.col("avg_logprobs") < logprob_below
+    flags = {"no_speech": (F.col("_ns") > no_speech_above) & poor, "fallback": F.col("failed") | poor & (F.col("_ns") < no_speech_above)}
+    return out.withColumns(flags).drop("_ns")
 
 
-def high_pass(samples: DataFrame, cutoff: float, rate: int = RATE) -> DataFrame:
+def high_pass(samples: DataFrame, cutoff: float, rate: int = RATE, textbook: bool = False) -> DataFrame:
     """samples (audio_id, i, value) through a first-order high-pass filter: recursive, so one pass per audio in order, with the
-    last value carried from batch to batch."""
-    rc = 1.0 / (2 * 3.141592653589793 * cutoff)
-    alpha = rc / (rc + 1.0 / rate)
+    last value carried from batch to batch. Its factor is dt / (rc + dt), as the gate was tuned with, or rc / (rc + dt),
+    which a high-pass filter of that cutoff has by the textbook."""
+    rc, dt = 1.0 / (2 * math.pi * cutoff), 1.0 / rate
+    alpha = (rc if textbook else dt) / (rc + dt)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         audio, x0, y = object(), 0.0, 0.0
@@ -99,8 +106,9 @@ def segment_energy(segments: DataFrame, samples: DataFrame, rate: int = RATE) ->
 
 def map_time(times: DataFrame, mapping: DataFrame, time: str = "t") -> DataFrame:
     """times (audio_id, t) with original_time: of the mapping point (processed_time, original_time) at t, before the first and after the
-    last that point's, between two points interpolated in whole numbers, without points t itself. Points and times pass one
-    ordered window per audio."""
+    last that point's, between two points interpolated in whole numbers, without points t itself. Of points at one processed time
+    the latest original time counts. Points and times pass one ordered window per audio."""
+    mapping = mapping.groupBy("audio_id", "processed_time").agg(F.max("original_time").alias("original_time"))
     points = mapping.select("audio_id", F.col("processed_time").alias("_t"), F.struct("processed_time", "original_time").alias("p"))
     rows = times.withColumn("_row", F.struct(*times.columns)).select("audio_id", F.col(time).alias("_t"), "_row")
     both = points.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)).unionByName(rows.withColumn("p", F.lit(None).cast(points.schema["p"].dataType)))
@@ -147,68 +155,118 @@ def wrap_segments(segments: DataFrame, max_chars: int, on_word: bool = True) ->
     return rows.select(*keep, "part", F.when(F.col("part") == 0, F.col("_t0")).otherwise(F.col("x.t0")).alias("t0"), F.coalesce(following, F.col("_t1")).alias("t1"), F.col("x.text").alias("text"))
 
 
-def speech_stretches(probs: list[float], window: int, threshold: float, min_speech: int, min_silence: int, max_speech: float, rate: int = RATE) -> list[tuple[int, int]]:
-    """(start, end) in samples of speech in a series of probabilities, one per window.
-
-    Speech starts at the threshold and ends where the probability has stayed below a lower one for min_silence. A stretch
-    longer than max_speech is cut at its last pause of more than 98 ms, or on the spot if it had none.
-    """
-    low = max(threshold - 0.15, 0.01)
-    notable = rate * 98 // 1000
-    found: list[tuple[int, int]] = []
-    start = quiet = cut = back = None  # of the speech, of the quiet now, of the last notable quiet, and where speech came back after it
-    for i, p in enumerate(probs):
-        at = i * window
-        if p >= threshold:
-            if quiet is not None:
-                quiet = None
-                back = at if back is None or cut is not None and back < cut else back
-                back = back if cut is not None else None
-            if start is None:
-                start = at
+OFF, HOLD, ON = range(3)
+
+
+def probability_runs(probs: DataFrame, threshold: float) -> DataFrame:
+    """(audio_id, first, last, kind) of the runs of neighbouring windows that are ON (at the threshold or above), OFF (below a
+    lower one) or on HOLD between both. probs: audio_id, i (from 0, without gaps), prob."""
+    kind = F.when(F.col("prob") >= threshold, ON).when(F.col("prob") < max(threshold - 0.15, 0.01), OFF).otherwise(HOLD)
+    w = W.partitionBy("audio_id").orderBy("i")
+    turns = probs.select("audio_id", "i", kind.alias("kind")).withColumn("_t", F.coalesce((F.col("kind") != F.lag("kind").over(w)).cast("int"), F.lit(1)))
+    runs = turns.withColumn("_g", F.sum("_t").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy("audio_id", "_g").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.first("kind").alias("kind")).drop("_g")
+
+
+class Stretches:
+    """Speech in runs of windows, told in samples. It starts with a run that is on and ends where the first pause of min_silence
+    starts; stretches of min_speech or less don't count. A pause is counted from its first window that is off to another one,
+    with no window on between. Before speech is longer than max_speech, it is cut at its last pause of more than 98 ms,
+    and goes on where that ended; without such a pause it is cut on the spot, and may start with the next window."""
+
+    def __init__(self, window: int, min_speech: int, min_silence: int, max_speech: float, rate: int = RATE):
+        self.window, self.min_speech, self.max_speech = window, min_speech, max_speech
+        self.silence = -(-min_silence // window) * window
+        self.notable = rate * 98 // 1000
+        self.begin()
+
+    def begin(self) -> None:
+        self.start = None
+        self.rest()
+
+    def rest(self) -> None:
+        self.pause = self.cut = self.resumed = None
+
+    def due(self) -> float:
+        """The first window at which speech from start on is too long."""
+        return self.start + self.max_speech // self.window * self.window + self.window
+
+    def run(self, kind: int, first: int, last: int) -> Iterator[tuple[int, int]]:
+        """The stretches that end in a run from window first to last."""
+        a, z = first * self.window, last * self.window
+        if kind == ON:
+            self.pause = None
+            self.start = a if self.start is None else self.start
+            self.resumed = a if self.resumed is None else self.resumed
+        while self.start is not None:
+            if kind == OFF and self.pause is None:
+                self.pause = a
+            over = max(a, self.pause + self.silence) if kind == OFF else z + 1
+            if (due := self.due()) <= min(z, over):
+                yield self.split(kind, a, z, int(due))
+                if kind == OFF and self.start is not None:
+                    self.pause = int(due)
                 continue
-        if start is not None and at - start > max_speech:
-            if cut is None:
-                found.append((start, at))
-                start = quiet = back = None
-                continue
-            found.append((start, cut))
-            start = back if back is not None and back >= cut else None
-            quiet = cut = back = None
-        if p < low and start is not None:
-            quiet = at if quiet is None else quiet
-            if at - quiet > notable:
-                cut = quiet
-            if at - quiet >= min_silence:
-                if quiet - start > min_speech:
-                    found.append((start, quiet))
-                start = quiet = cut = back = None
-    total = len(probs) * window
-    if start is not None and total - start > min_speech:
-        found.append((start, total))
-    return found
+            if kind == OFF:
+                self.note(z)
+                if over <= z:
+                    if self.pause - self.start > self.min_speech:
+                        yield self.start, self.pause
+                    self.begin()
+            return
+
+    def note(self, at: int) -> None:
+        """The pause has come to a window that is off."""
+        if at - self.pause > self.notable:
+            self.cut, self.resumed = self.pause, None
+
+    def split(self, kind: int, a: int, z: int, due: int) -> tuple[int, int]:
+        if kind == OFF and due > a:
+            self.note(due - self.window)
+        if self.cut is None:
+            piece = self.start, due
+            self.start = due + self.window if kind == ON and due < z else None
+        else:
+            piece = self.start, self.cut
+            self.start = self.resumed
+        self.rest()
+        return piece
+
+    def end(self, total: int) -> Iterator[tuple[int, int]]:
+        if self.start is not None and total - self.start > self.min_speech:
+            yield self.start, total
+        self.begin()
 
 
 def speech_segments(probs: DataFrame, window: int = 512, threshold: float = 0.5, min_speech_ms: int = 250, min_silence_ms: int = 100, max_speech_s: float = float("inf"), pad_ms: int = 30, rate: int = RATE) -> DataFrame:
     """(audio_id, seg_no, t0, t1 in centiseconds) of speech in probability series (audio_id, i, prob).
 
-    The series of an audio is read in order by one task, as its state runs through it (speech_stretches). Joining over gaps
-    below 200 ms, dropping what is shorter than min_speech_ms and padding by pad_ms, or half the gap, are windows.
+    Windows are joined into runs first, then one task folds an audio's runs in order, one at a time; see Stretches. Joining over
+    gaps below 200 ms, dropping what is shorter than min_speech_ms and padding by pad_ms, or half the gap, are windows.
     """
     min_speech, pad = rate * min_speech_ms // 1000, rate * pad_ms // 1000
     limit = float("inf") if max_speech_s > 100_000 else rate * int(max_speech_s) - window - 2 * pad
     limit = float("inf") if limit < 0 else limit
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("i")
-        rows = speech_stretches(g["prob"].tolist(), window, threshold, min_speech, rate * min_silence_ms // 1000, limit, rate)
-        return pd.DataFrame({"audio_id": g["audio_id"].iloc[0], "s": [a for a, _ in rows], "e": [b for _, b in rows], "total": len(g) * window}, index=range(len(rows)))
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, audio, total = Stretches(window, min_speech, rate * min_silence_ms // 1000, limit, rate), None, 0
+        for b in batches:
+            rows = []
+            for a, first, last, kind in zip(b["audio_id"], b["first"].tolist(), b["last"].tolist(), b["kind"].tolist(), strict=True):
+                if a != audio:
+                    rows += [(audio, s, e, total) for s, e in state.end(total)]
+                audio, total = a, (last + 1) * window
+                rows += [(a, s, e, total) for s, e in state.run(kind, first, last)]
+            yield pd.DataFrame(rows, columns=["audio_id", "s", "e", "total"])
+        yield pd.DataFrame([(audio, s, e, total) for s, e in state.end(total)], columns=["audio_id", "s", "e", "total"])
 
     kind = probs.schema["audio_id"].dataType.simpleString()
-    raw = probs.select("audio_id", "i", "prob").groupBy("audio_id").applyInPandas(run, f"audio_id {kind}, s bigint, e bigint, total bigint")
+    runs = probability_runs(probs, threshold).repartition("audio_id").sortWithinPartitions("audio_id", "first")
+    raw = runs.mapInPandas(fold, f"audio_id {kind}, s bigint, e bigint, total bigint").drop("total")
+    ends = probs.groupBy("audio_id").agg(((F.max("i") + 1) * window).alias("total"))
     w = W.partitionBy("audio_id").orderBy("s")
     apart = F.coalesce((F.col("s") - F.lag("e").over(w) >= rate * 200 // 1000).cast("int"), F.lit(1))
-    merged = raw.withColumn("_a", apart).withColumn("_g", F.sum("_a").over(w)).groupBy("audio_id", "_g").agg(F.min("s").alias("s"), F.max_by("e", "s").alias("e"), F.max("total").alias("total"))
+    merged = raw.withColumn("_a", apart).withColumn("_g", F.sum("_a").over(w)).groupBy("audio_id", "_g").agg(F.min("s").alias("s"), F.max_by("e", "s").alias("e")).join(ends, "audio_id")
     kept = merged.where(F.col("e") - F.col("s") >= min_speech)
     before, after = F.col("s") - F.lag("e").over(w), F.lead("s").over(w) - F.col("e")
     start = F.greatest(F.lit(0), F.col("s") - F.when(before < 2 * pad, F.floor(before / 2)).otherwise(pad))
@@ -243,5 +301,6 @@ def token_scores(tokens: DataFrame) -> DataFrame:
     return tokens.select("audio_id", n.alias("no"), F.concat_ws("\t", "text", F.col("p").cast("string")).alias("value"))
 
 
-def last_events(events: DataFrame, keep: int = 100, key: str = "source", ts: str = "ts") -> DataFrame:
-    return events.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(ts)))).where(F.col("_r") <= keep).drop("_r")
+def last_events(events: DataFrame, keep: int = 100, key: str = "source", ts: str = "ts", ties: tuple[str, ...] = ()) -> DataFrame:
+    """The latest events of each key; ties: columns whose greater values are later at one time."""
+    return events.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(ts), *[F.desc(c) for c in ties]))).where(F.col("_r") <= keep).drop("_r")

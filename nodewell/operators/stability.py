@@ -8,12 +8,13 @@ from nodewell.functions import vectors
 
 
 def repeat_stability(runs: DataFrame) -> DataFrame:
-    """(model, device, image_id, task, repeats, stability) of nested records with two valid repeats or more. Works inside
-    each record, in closed form; see vectors.mean_pair_cosine."""
+    """(model, device, image_id, task, repeats, stability, texts) of nested records with two valid repeats or more; texts are
+    those of the valid repeats. Works inside each record, in closed form; see vectors.mean_pair_cosine."""
     vector = lambda o: F.coalesce(o["embedding"], o["text_embedding"])
     valid = F.filter("outputs", lambda o: (F.coalesce(o["error"], F.lit("")) == "") & (F.size(vector(o)) > 0))
-    rows = runs.select("model", "device", "image_id", "task", F.transform(valid, vector).alias("_v"))
-    return rows.where(F.size("_v") >= 2).select("model", "device", "image_id", "task", F.size("_v").alias("repeats"), vectors.mean_pair_cosine(F.col("_v")).alias("stability"))
+    texts = F.transform(valid, lambda o: F.coalesce(o["text"], F.lit("")))
+    rows = runs.select("model", "device", "image_id", "task", F.transform(valid, vector).alias("_v"), texts.alias("texts"))
+    return rows.where(F.size("_v") >= 2).select("model", "device", "image_id", "task", F.size("_v").alias("repeats"), vectors.mean_pair_cosine(F.col("_v")).alias("stability"), "texts")
 
 
 def stability_summary(stability: DataFrame, keys: tuple[str, ...] = ("model", "device")) -> DataFrame:
@@ -26,7 +27,7 @@ def stability_summary(stability: DataFrame, keys: tuple[str, ...] = ("model", "d
 
 
 def least_stable_examples(stability: DataFrame, below: float = 0.85, per_group: int = 10) -> DataFrame:
-    """The least stable images of each model and device, then all by stability."""
+    """The least stable images of each model and device, with their texts if they have some, then all by stability."""
     order = W.partitionBy("model", "device").orderBy("stability", "image_id", "task")
     ranked = stability.where(F.col("stability") < below).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= per_group).orderBy("stability", "model", "device", "image_id", "task")

@@ -14,38 +14,43 @@ def percentile(c: Column, p: float, approx: bool = False) -> Column:
 
 def model_device_summary(runs: DataFrame, approx: bool = False) -> DataFrame:
     """One row per (model, device) of nested run records, at two grains: hardware values count once per record with an
-    output, quality and latency once per output without error; n_records and n_outputs count all."""
-    o = runs.where(F.size("outputs") > 0)
-    records = o.groupBy("model", "device").agg(
+    output, quality and latency once per output without error; n_records and n_outputs count all. Count metrics are of the task
+    objects_and_counts alone; hw_source is the least of a group's, for want of an order."""
+    has = F.coalesce(F.size("outputs"), F.lit(0)) > 0
+
+    def hw(field: str):
+        return F.when(has, F.col(f"hw_stats.{field}"))
+
+    records = runs.groupBy("model", "device").agg(
         F.count("*").alias("n_records"),
-        F.sum(F.size("outputs")).alias("n_outputs"),
-        F.avg("hw_stats.power_watts_avg").alias("power_watts_mean"),
-        F.avg("hw_stats.power_watts_peak").alias("power_watts_peak_mean"),
-        F.avg("hw_stats.energy_joules_est").alias("energy_joules_mean"),
-        F.avg("hw_stats.gpu_mem_alloc_gb_peak").alias("gpu_mem_gb_mean"),
-        F.avg("hw_stats.cpu_percent_avg").alias("cpu_percent_mean"),
-        F.min("hw_stats.source").alias("hw_source"),
+        F.sum(F.when(has, F.size("outputs")).otherwise(0)).alias("n_outputs"),
+        F.avg(hw("power_watts_avg")).alias("power_watts_avg_mean"),
+        F.avg(hw("power_watts_peak")).alias("power_watts_peak_mean"),
+        F.avg(hw("energy_joules_est")).alias("energy_joules_mean"),
+        F.avg(hw("gpu_mem_alloc_gb_peak")).alias("gpu_mem_gb_peak_mean"),
+        F.avg(hw("duration_seconds")).alias("duration_seconds_mean"),
+        F.avg(hw("cpu_percent_avg")).alias("cpu_percent_avg_mean"),
+        F.min(F.nullif(hw("source"), F.lit(""))).alias("hw_source"),
     )
-    each = o.select("model", "device", F.explode("outputs").alias("o")).where("coalesce(o.error, '') = ''")
+    each = runs.where(has).select("model", "device", "task", F.explode("outputs").alias("o")).where("coalesce(o.error, '') = ''")
     latency = F.col("o.gen_latency_s") * 1000
+    counted = F.col("task") == "objects_and_counts"
     outputs = each.groupBy("model", "device").agg(
-        F.count("*").alias("n_valid"),
+        F.count("o.entity_recall").alias("n_recall_valid"),
         F.avg("o.entity_recall").alias("entity_recall_mean"),
-        percentile(F.col("o.entity_recall"), 0.5, approx).alias("entity_recall_median"),
-        F.avg("o.count_accuracy.count_exact_accuracy").alias("count_exact_mean"),
-        F.avg("o.count_accuracy.count_mae").alias("count_mae_mean"),
+        F.avg(F.when(counted, F.col("o.count_accuracy.count_exact_accuracy"))).alias("count_exact_mean"),
+        F.avg(F.when(counted, F.col("o.count_accuracy.count_mae"))).alias("count_mae_mean"),
         F.avg("o.caption_similarity_max").alias("caption_sim_max_mean"),
+        percentile(F.col("o.caption_similarity_max"), 0.5, approx).alias("caption_sim_max_median"),
         F.avg("o.caption_similarity_mean").alias("caption_sim_mean_mean"),
-        F.avg("o.clipscore_cos").alias("clip_cos_mean"),
-        F.avg("o.clipscore").alias("clipscore_mean"),
+        F.avg("o.clipscore_cos").alias("clipscore_cos_mean"),
         F.avg(latency).alias("latency_ms_mean"),
         *[percentile(latency, p / 100, approx).alias(f"latency_ms_p{p}") for p in (50, 90, 99)],
         F.avg("o.gen_len").alias("gen_len_mean"),
-        F.avg("o.input_len").alias("input_len_mean"),
         F.avg(falsy_or(F.col("o.tokens_per_sec"), F.col("o.tokens_per_second"))).alias("tokens_per_sec_mean"),
     )
-    joined = records.join(outputs, ["model", "device"], "left")
-    return joined.withColumn("energy_mj_per_token", F.try_divide(1000 * F.col("energy_joules_mean"), F.col("gen_len_mean")))
+    joined = records.join(outputs, ["model", "device"], "left").withColumn("n_recall_valid", F.coalesce("n_recall_valid", F.lit(0)))
+    return joined.withColumn("energy_per_token_mj_mean", F.try_divide(1000 * F.col("energy_joules_mean"), F.col("gen_len_mean")))
 
 
 def task_breakdown(outputs: DataFrame) -> DataFrame:
@@ -118,17 +123,43 @@ def deployment_summary(runs: DataFrame, key: str = "run_group") -> DataFrame:
     return out
 
 
-def power_summary(samples: DataFrame, run: str = "run", rails: str = "rails", precedence: tuple[str, ...] = ("VIN", "VIN_SYS_5V0", "VDD_GPU_SOC"), ts: str = "ts") -> DataFrame:
-    """Per run: mean, peak and least headline watts, energy = mean watts times duration, and the number of samples. The
-    headline of a sample is the first rail of the precedence that it has, else the sum of its rails."""
-    every = F.aggregate(F.map_values(rails), F.lit(0.0), lambda a, x: a + x)
-    watts = F.coalesce(*[F.try_element_at(rails, F.lit(r)) for r in precedence], F.when(F.size(rails) > 0, every))
-    g = samples.withColumn("_w", watts).groupBy(run).agg(
-        F.avg("_w").alias("power_watts_avg"), F.max("_w").alias("power_watts_peak"), F.min("_w").alias("power_watts_min"), F.count("_w").alias("sample_count"),
-        (F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))).alias("_us"),
+def headline_watts(rails: str, edition: str = "board") -> tuple[Column, Column]:
+    """(mean, peak) of a run's headline power, as aggregates over its samples' maps of rails. board: the mean of VIN, else
+    those of GPU and CPU with the system's if it is there, else the system's alone; the peak is VIN's. gpu: the mean of the
+    GPU's rail under its newer or older name, rounded to 2, and no peak."""
+
+    def mean(rail: str) -> Column:
+        return F.avg(F.try_element_at(rails, F.lit(rail)))
+
+    if edition == "gpu":
+        return F.round(F.round(F.coalesce(mean("VDD_GPU_SOC"), mean("VDD_GPU")), 9), 2), F.lit(None).cast("double")
+    system = mean("VIN_SYS_5V0")
+    watts = F.coalesce(mean("VIN"), mean("VDD_GPU_SOC") + mean("VDD_CPU_CV") + F.coalesce(system, F.lit(0.0)), system)
+    return watts, F.max(F.try_element_at(rails, F.lit("VIN")))
+
+
+def _duration(ts: str) -> Column:
+    return (F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 1e6
+
+
+def power_summary(samples: DataFrame, run: str = "run", rails: str = "rails", ts: str = "ts", edition: str = "board") -> DataFrame:
+    """Per run: headline watts (see headline_watts) and their peak, rounded to 3 (edition gpu: 2), energy = watts times
+    duration, rounded to 2, null where either is zero, duration in seconds, rounded to 3, and the number of samples."""
+    watts, peak = headline_watts(rails, edition)
+    g = samples.groupBy(run).agg(watts.alias("_w"), peak.alias("_p"), F.count("*").alias("sample_count"), _duration(ts).alias("_s"))
+    energy = F.when((F.col("_w") != 0) & (F.col("_s") != 0), F.col("_w") * F.col("_s"))
+    near = lambda c, n: F.round(F.round(c, 9), n)
+    return g.select(run, near("_w", 3).alias("power_watts_avg"), near("_p", 3).alias("power_watts_peak"), "sample_count", near("_s", 3).alias("duration_seconds"), near(energy, 2).alias("energy_joules_est"))
+
+
+def meter_summary(samples: DataFrame, run: str = "run", watts: str = "watts", ts: str = "ts") -> DataFrame:
+    """Per run of a meter with one reading a sample: mean, peak and least watts and energy, rounded to 2, duration, samples."""
+    g = samples.groupBy(run).agg(F.avg(watts).alias("_w"), F.max(watts).alias("_p"), F.min(watts).alias("_l"), F.count(watts).alias("sample_count"), _duration(ts).alias("_s"))
+    near = lambda c, n: F.round(F.round(c, 9), n)
+    return g.select(
+        run, near("_w", 2).alias("power_watts_avg"), near("_p", 2).alias("power_watts_peak"), near("_l", 2).alias("power_watts_min"), near(F.col("_w") * F.col("_s"), 2).alias("energy_joules_est"),
+        "sample_count", near("_s", 3).alias("duration_seconds"),
     )
-    g = g.withColumn("duration_seconds", F.col("_us") / 1e6).drop("_us")
-    return g.withColumn("energy_joules_est", F.col("power_watts_avg") * F.col("duration_seconds"))
 
 
 def rail_summary(samples: DataFrame, run: str = "run", rails: str = "rails") -> DataFrame:
@@ -149,9 +180,10 @@ def resource_curve(metrics: DataFrame, columns: list[str], keys: tuple[str, ...]
     return metrics.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def frame_rate(frames: DataFrame, key: str, ts_seconds: str) -> DataFrame:
-    """frames with fps = 1 / seconds since the one before, rounded to 2; 0 where no time has passed, null for the first."""
-    gap = F.col(ts_seconds) - F.lag(ts_seconds).over(W.partitionBy(key).orderBy(ts_seconds))
+def frame_rate(frames: DataFrame, key: str, ts_seconds: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """frames with fps = 1 / seconds since the one before, rounded to 2; 0 where no time has passed, null for the first.
+    ties: columns that order frames of one time."""
+    gap = F.col(ts_seconds) - F.lag(ts_seconds).over(W.partitionBy(key).orderBy(ts_seconds, *ties))
     return frames.withColumn("fps", F.when(gap <= 0, F.lit(0.0)).when(gap > 0, F.round(1 / gap, 2)))
 
 

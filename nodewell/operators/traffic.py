@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 TRACK = ("source", "track_id")
 
@@ -38,7 +40,7 @@ def smooth_boxes(points: DataFrame, last: int = 5, keys: tuple[str, ...] = TRACK
 
 
 def running_counts(events: DataFrame, key: str = "source", order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """events with left, right and total so far."""
+    """events with left, right and total so far; order should tell any two events of a key apart."""
     w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     side = lambda name: F.sum((F.col("direction") == name).cast("int")).over(w)
     return events.withColumns({"left": F.coalesce(side("Left"), F.lit(0)), "right": F.coalesce(side("Right"), F.lit(0)), "total": F.count("*").over(w)})
@@ -48,12 +50,13 @@ METRICS = ("CPU_usage", "GPU_usage", "mem_usage", "CPU_temp", "GPU_temp")
 
 
 def attach_telemetry(events: DataFrame, samples: DataFrame, key: str = "source", ts: str = "ts", columns: tuple[str, ...] = METRICS) -> DataFrame:
-    """events with the latest sample of their source at or before them: both streams in one order, the last sample carried on."""
+    """events with the latest sample of their source at or before them: both streams in one order, of samples at one time the
+    greatest, the last sample carried on."""
     kept = F.struct(*columns)
     both = events.withColumns({"_e": F.lit(1), "_s": F.lit(None).cast(samples.select(kept.alias("s")).schema["s"].dataType)}).unionByName(
         samples.select(key, ts, F.lit(0).alias("_e"), kept.alias("_s")), allowMissingColumns=True
     )
-    w = W.partitionBy(key).orderBy(ts, "_e").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(key).orderBy(ts, "_e", "_s").rowsBetween(W.unboundedPreceding, 0)
     out = both.withColumn("_l", F.last("_s", ignorenulls=True).over(w)).where("_e = 1")
     return out.select(*events.columns, *[F.col(f"_l.{c}").alias(c) for c in columns])
 
@@ -67,13 +70,13 @@ def minute_rollup(events: DataFrame, metrics: tuple[str, ...] = METRICS) -> Data
     return events.groupBy("Date", minute.alias("Time")).agg(*means, F.count_if(~right).alias("direction_left"), F.count_if(right).alias("direction_right"))
 
 
-def day_rollup(blocks: DataFrame, metrics: tuple[str, ...] = ("cpu", "gpu", "ram", "temp")) -> DataFrame:
-    """Per run of consecutive blocks of one date, in file order: means rounded to 2, events right and other. A date that comes back
-    after another is a run of its own."""
+def day_rollup(blocks: DataFrame, metrics: tuple[str, ...] = ("cpu", "mem", "swap", "cpu_temp", "gpu_temp")) -> DataFrame:
+    """Per run of consecutive blocks of one date, in file order: means rounded to 2, events to the right (a direction of exactly
+    " Right") and other. A date that comes back after another is a run of its own."""
     w = W.partitionBy("file").orderBy("block")
     new = F.coalesce((F.col("date") != F.lag("date").over(w)).cast("int"), F.lit(1))
     runs = blocks.withColumn("_new", new).withColumn("run", F.sum("_new").over(w))
-    right = F.trim("direction") == "Right"
+    right = F.coalesce(F.col("direction") == " Right", F.lit(False))
     means = [F.round(F.round(F.avg(c), 9), 2).alias(c) for c in metrics]
     return runs.groupBy("file", "run", "date").agg(*means, F.count_if(~right).alias("left"), F.count_if(right).alias("right"))
 
@@ -82,22 +85,27 @@ def daily_totals(minutes: DataFrame) -> DataFrame:
     return minutes.groupBy("Date").agg(F.sum("direction_left").alias("left"), F.sum("direction_right").alias("right"), F.sum(F.col("direction_left") + F.col("direction_right")).alias("total"))
 
 
-def traffic_dashboard(minutes: DataFrame, now: str, days: int = 7, metrics: tuple[str, ...] = METRICS) -> DataFrame:
-    """One row: today's totals, the means of the metrics over the last days without zeros (half up, whole numbers), and the day
-    with most events (the earliest of equals). now is a time; a day counts from its midnight on, so the oldest is left out
-    unless now is at midnight."""
+def traffic_dashboard(minutes: DataFrame, now: str, days: int = 7) -> DataFrame:
+    """One row: today's totals, and of the last days with an event the mean left, right (each over the days that have some) and
+    daily total, rounded half up, and the day with most events, the earliest of equals. Without such a day these are null.
+    now is a time and a day is told by its midnight, so of `days` days the oldest is left out unless now is at midnight."""
     at = F.lit(now).cast("timestamp_ntz")
     day = F.to_date("Date").cast("timestamp_ntz")
-    recent = minutes.withColumn("_d", day).where((F.col("_d") >= at - F.expr(f"interval {days} days")) & (F.col("_d") <= at))
-    per_day = recent.groupBy("_d").agg(
-        F.sum("direction_left").alias("l"), F.sum("direction_right").alias("r"),
-        *[F.sum(F.when(F.col(c) > 0, F.col(c))).alias(f"s_{c}") for c in metrics], *[F.count_if(F.col(c) > 0).alias(f"n_{c}") for c in metrics],
-    )
+    recent = minutes.withColumn("_d", day).where(F.col("_d") >= at - F.expr(f"interval {days - 1} days"))
+    per_day = recent.groupBy("_d").agg(F.sum("direction_left").alias("l"), F.sum("direction_right").alias("r"))
     today = F.col("_d") == F.date_trunc("day", at).cast("timestamp_ntz")
+    total, valid = F.col("l") + F.col("r"), (F.col("l") > 0) | (F.col("r") > 0)
+
+    def mean(c: Column, over: Column) -> Column:
+        return F.floor(F.try_divide(F.sum(F.when(over, c)), F.count_if(over)) + 0.5)
+
+    some = F.count_if(valid) > 0
+    date = F.col("_d").cast("date")
     return per_day.agg(
         F.coalesce(F.sum(F.when(today, F.col("l"))), F.lit(0)).alias("today_left"), F.coalesce(F.sum(F.when(today, F.col("r"))), F.lit(0)).alias("today_right"),
-        *[F.floor(F.try_divide(F.sum(f"s_{c}"), F.sum(f"n_{c}")) + 0.5).alias(f"mean_{c}") for c in metrics],
-        F.max_by(F.col("_d").cast("date").cast("string"), F.struct(F.expr("l + r"), -F.unix_date(F.col("_d").cast("date")))).alias("peak_day"), F.max(F.expr("l + r")).alias("peak_total"),
+        F.when(some, F.coalesce(mean(F.col("l"), F.col("l") > 0), F.lit(0))).alias("avg_left"), F.when(some, F.coalesce(mean(F.col("r"), F.col("r") > 0), F.lit(0))).alias("avg_right"),
+        mean(total, valid).alias("avg_daily_total"),
+        F.max_by(F.when(valid, date.cast("string")), F.when(valid, F.struct(total, -F.unix_date(date)))).alias("peak_day"), F.max(F.when(valid, total)).alias("peak_total"),
     )
 
 
@@ -131,15 +139,23 @@ def merged_minutes(known: DataFrame, new: DataFrame) -> DataFrame:
 
 def upsert_minutes(spark: SparkSession, new: DataFrame, path: str) -> None:
     """Merge new minutes into a table in folders by Date: only the dates that occur in new are read and written again,
-    into files beside the old ones first, as a date's own files can't be read and overwritten at once."""
-    from py4j.protocol import Py4JJavaError
+    into a table beside it first, as a date's own files can't be read and overwritten at once. A table that is not there is made;
+    any other error on reading it is raised, and nothing is written."""
     from pyspark.errors import AnalysisException
 
     try:
         known = spark.read.schema(new.schema).parquet(path)
-    except (AnalysisException, Py4JJavaError):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         known = None
+    out, beside = new, None
     if known is not None:
+        beside = f"{path.rstrip('/')}-merge-{uuid.uuid4().hex}"
         dates = new.select("Date").distinct()
-        new = merged_minutes(known.join(F.broadcast(dates), "Date", "left_semi"), new).checkpoint()
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Date").parquet(path)
+        merged_minutes(known.join(F.broadcast(dates), "Date", "left_semi"), new).write.parquet(beside)
+        out = spark.read.schema(new.schema).parquet(beside)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Date").parquet(path)
+    if beside is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(beside)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -45,21 +45,23 @@ OUTPUTS = """
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested run records: the outputs of an order as an array, the order's price as its energy."""
+    """Nested run records, one per order, with or without items: the outputs as an array, the order's price as its power and task."""
     o = outputs(spark, sf_dir)
     fields = [
-        F.col("pos").alias("run"), "text", F.col("latency").alias("gen_latency_s"), "gen_len", F.lit(10).alias("input_len"), "tokens_per_sec",
-        F.lit(1.5).alias("tokens_per_second"), "error", "entity_recall", F.struct("count_exact_accuracy", "count_mae").alias("count_accuracy"),
-        F.col("entity_recall").alias("caption_similarity_max"), F.col("entity_recall").alias("caption_similarity_mean"), F.col("count_mae").alias("clipscore_cos"),
+        F.col("pos").alias("run"), "text", F.col("latency").alias("gen_latency_s"), "gen_len", F.lit(10).alias("input_len"), F.when(F.col("entity_recall") > 0, F.col("tokens_per_sec")).alias("tokens_per_sec"),
+        F.when(F.col("count_mae") > 0, F.lit(1.5)).alias("tokens_per_second"), "error", "entity_recall", F.struct("count_exact_accuracy", "count_mae").alias("count_accuracy"),
+        F.col("entity_recall").alias("caption_similarity_max"), (F.col("entity_recall") / 2).alias("caption_similarity_mean"), F.col("count_mae").alias("clipscore_cos"),
         F.col("count_mae").alias("clipscore"),
     ]
-    nested = o.groupBy("image_id", "model", "device").agg(F.collect_list(F.struct(*fields)).alias("outputs"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), "o_totalprice")
+    nested = o.groupBy("image_id").agg(F.collect_list(F.struct(*fields)).alias("outputs"))
+    price = F.col("o_totalprice")
     hw = F.struct(
-        (F.col("o_totalprice") / 10000).alias("power_watts_avg"), (F.col("o_totalprice") / 5000).alias("power_watts_peak"), (F.col("o_totalprice") / 1000).alias("energy_joules_est"),
-        F.lit(None).cast("double").alias("gpu_mem_alloc_gb_peak"), F.lit(50.0).alias("cpu_percent_avg"), F.lit("meter").alias("source"),
+        (price / 10000).alias("power_watts_avg"), (price / 5000).alias("power_watts_peak"), F.when(price > 50000, price / 1000).alias("energy_joules_est"),
+        F.lit(None).cast("double").alias("gpu_mem_alloc_gb_peak"), F.lit(50.0).alias("cpu_percent_avg"), (price / 7).alias("duration_seconds"), F.when(price > 100000, "meter").otherwise("board").alias("source"),
     )
-    return nested.join(orders.select("image_id", hw.alias("hw_stats")), "image_id")
+    task = F.when(price > 150000, "objects_and_counts").otherwise("caption_brief")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("device"), task.alias("task"), hw.alias("hw_stats"))
+    return orders.join(nested, "image_id", "left")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

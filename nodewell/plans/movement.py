@@ -10,7 +10,7 @@ from nodewell.plans.inputs import MINUTES, POINTS, movements, points, rounded, t
 from nodewell.sources import logs
 from nodewell.streaming import streams
 
-MIDNIGHT = "2024-01-20 00:00:00"
+NOON = "2024-01-20 12:00:00"
 
 
 def _minutes(spark, sf):
@@ -41,7 +41,7 @@ def box_centers(spark, sf):
 
 def running_counts(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("source"), "ts", F.when(F.col("value") > 20, "Left").when(F.col("value") > 5, "Right").alias("direction"))
-    return traffic.running_counts(e).select("event_id", "left", "right", "total")
+    return traffic.running_counts(e, order=("ts", "event_id")).select("event_id", "left", "right", "total")
 
 
 def attach_telemetry(spark, sf):
@@ -60,11 +60,11 @@ def daily_totals(spark, sf):
 
 
 def traffic_dashboard(spark, sf):
-    return rounded(traffic.traffic_dashboard(_minutes(spark, sf), MIDNIGHT, metrics=("CPU_usage", "GPU_usage")), 0)
+    return traffic.traffic_dashboard(_minutes(spark, sf), NOON)
 
 
 def period_rollup(spark, sf):
-    return traffic.period_rollup(_minutes(spark, sf), metrics=()).select("month", "week", "left", "right")
+    return traffic.period_rollup(_minutes(spark, sf), metrics=("CPU_usage", "GPU_temp")).select("month", "week", "left", "right", "CPU_usage", "GPU_temp")
 
 
 def change_feed(spark, sf):
@@ -83,15 +83,17 @@ def merged_minutes(spark, sf):
 
 
 def day_rollup(spark, sf):
-    """Events as the nine lines of a log, read back into blocks and days."""
+    """Events as the nine lines of a log, some with exceptions between, read back into blocks and days."""
     e = table(spark, sf, "events")
+    kind = F.col("event_type")
+    side = F.when(kind == "click", "Direction: Right").when(kind == "signup", "Direction:Right").otherwise("Direction: Left")
     fields = [
-        F.concat(F.lit("Date: "), F.date_format("ts", "yyyy-MM-dd")), F.concat(F.lit("Time: "), F.date_format("ts", "HH:mm:ss")),
-        F.when(F.col("event_type") == "click", "Direction: Right").otherwise("Direction: Left"), F.lit("X_start: 1"), F.lit("X_end: 2"), F.concat(F.lit("CPU: "), "value", F.lit("%")),
-        F.lit("GPU: 1%"), F.lit("RAM: 2"), F.concat(F.lit("Temp: "), "value", F.lit("C")),
+        F.concat(F.lit("Date: "), F.date_format("ts", "yyyy-MM-dd")), F.concat(F.lit("Time: "), F.date_format("ts", "HH:mm:ss")), F.when(kind == "error", "Encountered exception!").otherwise(""),
+        F.concat(F.lit("CPU Usage: "), "value", F.lit("%")), F.lit("Mem Usage: 12.5%,x"), F.concat(F.lit("Swp Usage: "), (F.col("user_id") % 5).cast("string"), F.lit("%")),
+        F.concat(F.lit("CPU Temp: "), "value", F.lit("C")), F.lit("GPU Temp: n/aC"), F.lit("X Position: 3->9"), side,
     ]
-    lines = e.select(F.col("user_id").cast("string").alias("file"), F.posexplode(F.array(*fields)).alias("i", "line"), (F.col("event_id") * 9).alias("_p")).select("file", (F.col("_p") + F.col("i")).alias("pos"), "line")
-    return traffic.day_rollup(logs.legacy_blocks(lines), ("cpu", "temp")).select("file", F.col("run").cast("bigint").alias("run"), "date", F.round("cpu", 2).alias("cpu"), F.round("temp", 2).alias("temp"), "left", "right")
+    lines = e.select(F.col("user_id").cast("string").alias("file"), F.posexplode(F.array(*fields)).alias("i", "line"), (F.col("event_id") * 10).alias("_p")).select("file", (F.col("_p") + F.col("i")).alias("pos"), "line")
+    return traffic.day_rollup(logs.legacy_blocks(lines)).withColumn("run", F.col("run").cast("bigint"))
 
 
 def movement_payload(spark, sf):
@@ -102,33 +104,54 @@ def movement_payload(spark, sf):
 
 
 def telemetry_lines(spark, sf):
+    """Telemetry in the forms of three devices, told by the event's type."""
     e = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("int")
-    line = F.format_string("RAM %d/2000MB CPU [%d%%@1200,%d%%@1300,off] EMC_FREQ 5%% GR3D_FREQ %d%%@[%d,300] VIN %dmW/1mW VDD_GPU_SOC 500mW/1mW tj@51.5C cpu@%d.5C", k + 1000, k, k + 10, k, k + 200, k * 100, k)
+    full = F.format_string("RAM %d/2000MB CPU [%d%%@1200,%d%%@1300,off] EMC_FREQ 5%% GR3D_FREQ %d%%@[%d,300] VIN %dmW/1mW VDD_GPU_SOC 500mW/1mW tj@51.5C cpu@%d.5C", k + 1000, k, k + 10, k, k + 200, k * 100, k)
+    mixed = F.format_string("GR3D_FREQ @[%d,314,%d] Vdd_Gpu  %dmW/7mW GPU@%dC", k, k + 1, k, k)
+    line = F.when(F.col("event_type") == "click", full).when(F.col("event_type") == "view", mixed).when(F.col("event_type") == "error", "junk").otherwise(F.format_string("GR3D_FREQ %d%%@%d CPU [off,off]", k, k))
     t, n = telemetry.parse_telemetry(line), telemetry.parse_node_stats(line)
-    return e.select("event_id", t["ram_used_mb"].alias("ram"), t["cpu_percent"].alias("cpu"), t["cpu_mhz"].alias("mhz"), t["gpu_percent"].alias("gpu"), t["gpu_mhz"].alias("gpu_mhz"), t["emc_percent"].alias("emc"), t["junction_c"].alias("tj"), t["rails"]["VIN"].alias("vin"), F.size(t["rails"]).alias("n_rails"), n["cpu_c"].alias("cpu_c"))
+    return e.select("event_id", t["ram_used_mb"].alias("ram"), t["cpu_percent"].alias("cpu"), t["cpu_mhz"].alias("mhz"), t["gpu_percent"].alias("gpu"), F.round(t["gpu_mhz"], 6).alias("gpu_mhz"), t["gpu_mhz_peak"].alias("gpu_mhz_peak"), t["emc_percent"].alias("emc"), t["junction_c"].alias("tj"), F.try_element_at(t["rails"], F.lit("VIN")).alias("vin"), F.size(t["rails"]).alias("n_rails"), n["cpu_c"].alias("cpu_c"), n["gpu_c"].alias("gpu_c"))
+
+
+DAY_US, BEGIN_US = 86_400_000_000, 1_704_067_200_000_000
 
 
 def _frames(spark, sf):
-    e = table(spark, sf, "events").where("event_type = 'click' and user_id % 2 = 0")
-    path = F.concat(F.lit("/a/"), F.date_format("ts", "yyyy-MM-dd"), F.lit("/top_"), F.date_format("ts", "yyyy-MM-dd_HH-mm-ss"), F.lit(".jpg"))
+    """Clicks as frames: every second day, each from midnight to noon, as a click's day counts twice and its time of day half."""
+    us = F.unix_micros(F.col("ts").cast("timestamp")) - BEGIN_US
+    at = F.timestamp_micros(F.floor(us / DAY_US) * 2 * DAY_US + F.floor(us % DAY_US / 2) + BEGIN_US)
+    e = table(spark, sf, "events").where("event_type = 'click'").select(at.alias("at"))
+    path = F.concat(F.lit("/a/"), F.date_format("at", "yyyy-MM-dd"), F.lit("/top_"), F.date_format("at", "yyyy-MM-dd_HH-mm-ss"), F.lit(".jpg"))
     return e.select(path.alias("path")).withColumns({"ts": scalars.image_timestamp(F.col("path")), "camera": scalars.camera_of(F.col("path"))})
 
 
 def nearest_frame(spark, sf):
-    requests = table(spark, sf, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("request_id"), F.col("ts").alias("at"))
-    gaps = _frames(spark, sf).where("hour(ts) < 16 and day(ts) % 4 <> 1")
-    return archive.nearest_frame(requests, gaps).select("request_id", "stage", "path")
+    """Purchases ask within the frames' days, sign-ups from 40 days later on."""
+    e = table(spark, sf, "events").where("event_type in ('purchase', 'signup')")
+    at = F.when(F.col("event_type") == "signup", F.col("ts") + F.expr("interval 40 days")).otherwise(F.col("ts"))
+    return archive.nearest_frame(e.select(F.col("event_id").alias("request_id"), at.alias("at")), _frames(spark, sf)).select("request_id", "stage", "path")
 
 
 def frames_in_range(spark, sf):
-    return archive.frames_in_range(_frames(spark, sf), "2024-01-05 00:00:00", "2024-01-06 12:00:00")
+    return archive.frames_in_range(_frames(spark, sf), "2024-01-05 00:00:00", "2024-01-07 06:00:00")
 
 
 def playback_sequence(spark, sf):
-    f = _frames(spark, sf)
-    day, none = (archive.playback_sequence(f, m).select("path", F.col("next_path").alias(m)) for m in ("day", "none"))
-    return day.join(none, "path")
+    f = _frames(spark, sf).select("path", "ts", "camera")
+    for mode in ("day", "hour", "full", "none"):
+        f = archive.playback_sequence(f, mode).withColumnRenamed("next_path", mode)
+    return f.drop("ts", "camera")
+
+
+def time_bounds(spark, sf):
+    e = table(spark, sf, "events")
+    own = {unit: scalars.bounds(F.col("ts"), unit) for unit in ("hour", "day", "month")}
+    return e.select("event_id", *[b[side].alias(f"{unit}_{side}") for unit, b in own.items() for side in ("start", "end")])
+
+
+def newest_first(spark, sf):
+    return rounded(traffic.newest_first(_minutes(spark, sf)), 2)
 
 
 def _photos(spark, sf):
@@ -155,24 +178,26 @@ def sliding_chunks(spark, sf):
 
 QUERIES = [
     track_sessions, track_direction, smooth_boxes, box_centers, running_counts, attach_telemetry, minute_rollup, daily_totals, traffic_dashboard, period_rollup, change_feed,
-    latest_minute, merged_minutes, day_rollup, movement_payload, telemetry_lines, nearest_frame, frames_in_range, playback_sequence, search_photos, top_categories, viewer_sessions, sliding_chunks,
+    latest_minute, newest_first, time_bounds, merged_minutes, day_rollup, movement_payload, telemetry_lines, nearest_frame, frames_in_range, playback_sequence, search_photos, top_categories, viewer_sessions, sliding_chunks,
 ]
 
 DAYS = f"select Date, cast(sum(direction_left) as bigint) as left, cast(sum(direction_right) as bigint) as right, cast(sum(direction_left + direction_right) as bigint) as total from ({MINUTES}) group by 1"
 SESSIONS = f"""
     select *, cast(sum(new) over (partition by source, track_id order by frame_idx) as bigint) as session from (
       select *, case when frame_idx - lag(frame_idx) over (partition by source, track_id order by frame_idx) - 1 > {{patience}} then 1 else 0 end as new from ({POINTS}))"""
-FRAMES = "select '/a/' || strftime(ts, '%Y-%m-%d') || '/top_' || strftime(ts, '%Y-%m-%d_%H-%M-%S') || '.jpg' as path, date_trunc('second', ts) as ts, 'top' as camera from events where event_type = 'click' and user_id % 2 = 0"
+FRAMES = f"""
+    select '/a/' || strftime(ts, '%Y-%m-%d') || '/top_' || strftime(ts, '%Y-%m-%d_%H-%M-%S') || '.jpg' as path, ts, 'top' as camera from (
+      select date_trunc('second', timestamp '2024-01-01' + to_microseconds(2 * {DAY_US} * (us // {DAY_US}) + (us % {DAY_US}) // 2)) as ts from (select epoch_us(ts) - {BEGIN_US} as us from events where event_type = 'click'))"""
 NEAREST = f"""
-    with f as (select * from ({FRAMES}) where hour(ts) < 16 and day(ts) % 4 <> 1), r as (select event_id as request_id, ts as t0 from events where event_type = 'purchase'),
-    a as (select request_id, t0, epoch_us(date_trunc('second', t0)) // 1000000 as s from r), g as (select ts, path, epoch_us(ts) // 1000000 as s from f),
-    near as (select request_id, path, row_number() over (partition by request_id order by abs(g.s - a.s), g.ts, path) as n from a join g on g.s between a.s - 900 and a.s + 1800),
+    with f as (select * from ({FRAMES})), r as (select event_id as request_id, case when event_type = 'signup' then ts + interval 40 days else ts end as t0 from events where event_type in ('purchase', 'signup')),
+    a as (select request_id, t0, epoch_us(t0) as s from r), g as (select ts, path, epoch_us(ts) as s, cast(ts as date) as d from f),
+    near as (select request_id, path, row_number() over (partition by request_id order by abs(g.s - a.s), g.ts, path) as n from a join g on g.s between a.s - 900000000 and a.s + 1800000000),
     one as (select request_id, 1 as stage, path from near where n = 1),
-    days as (select distinct cast(ts as date) as d from g),
+    days as (select distinct d from g),
     rest as (select a.request_id, a.s, d, d - cast(t0 as date) as gap, row_number() over (partition by a.request_id order by abs(d - cast(t0 as date)), d desc) as n
              from a, days where abs(d - cast(t0 as date)) <= 30 and a.request_id not in (select request_id from one)),
-    far as (select request_id, case when gap = 0 then 2 else 3 end as stage, path, row_number() over (partition by request_id order by abs(g.s - rest.s - 86400 * gap), g.ts, path) as n
-            from rest join g on cast(g.ts as date) = d where n = 1)
+    far as (select request_id, case when gap = 0 then 2 else 3 end as stage, path, row_number() over (partition by request_id order by abs(g.s - rest.s), g.ts, path) as n
+            from rest join g using (d) where n = 1)
     select r.request_id, cast(stage as int) as stage, path from r left join (select * from one union all select request_id, stage, path from far where n = 1) using (request_id)"""
 
 ORACLE = {
@@ -189,40 +214,48 @@ ORACLE = {
               cast(least(150, x2 + trunc((x2 - x1) * 0.1)) as int) as px2, cast(least(120, y2 + trunc((y2 - y1) * 0.1)) as int) as py2 from ({POINTS}) where frame_idx % 3 = 0))""",
     "running_counts": """
         select event_id, cast(sum(cast(value > 20 as int)) over w as bigint) as left, cast(sum(cast(value > 5 and value <= 20 as int)) over w as bigint) as right, count(*) over w as total
-        from events window w as (partition by user_id order by ts rows unbounded preceding)""",
+        from events window w as (partition by user_id order by ts, event_id rows unbounded preceding)""",
     "attach_telemetry": """
         select e.event_id, s.value as CPU_usage from (select * from events where event_type = 'purchase') e
         asof left join (select * from events where event_type = 'view') s on e.user_id = s.user_id and e.ts >= s.ts""",
     "minute_rollup": MINUTES,
     "daily_totals": DAYS,
     "traffic_dashboard": f"""
-        with m as (select *, cast(Date as timestamp) as d from ({MINUTES})), r as (select * from m where d >= timestamp '{MIDNIGHT}' - interval 7 days and d <= timestamp '{MIDNIGHT}'),
-        p as (select d, cast(sum(direction_left) as bigint) as l, cast(sum(direction_right) as bigint) as r from r group by 1)
-        select (select cast(coalesce(sum(l), 0) as bigint) from p where d = timestamp '{MIDNIGHT}') as today_left, (select cast(coalesce(sum(r), 0) as bigint) from p where d = timestamp '{MIDNIGHT}') as today_right,
-               (select cast(floor(avg(CPU_usage) + 0.5) as bigint) from r where CPU_usage > 0) as "mean_CPU_usage", (select cast(floor(avg(GPU_usage) + 0.5) as bigint) from r where GPU_usage > 0) as "mean_GPU_usage",
-               (select strftime(d, '%Y-%m-%d') from p order by l + r desc, d limit 1) as peak_day, (select max(l + r) from p) as peak_total""",
+        with p as (select cast(Date as date) as d, "left" as l, "right" as r, total from ({DAYS}) where cast(Date as date) >= date '2024-01-15'), v as (select * from p where total > 0)
+        select (select cast(coalesce(sum(l), 0) as bigint) from p where d = date '2024-01-20') as today_left, (select cast(coalesce(sum(r), 0) as bigint) from p where d = date '2024-01-20') as today_right,
+               (select cast(floor(avg(l) filter (where l > 0) + 0.5) as bigint) from v) as avg_left, (select cast(floor(avg(r) filter (where r > 0) + 0.5) as bigint) from v) as avg_right,
+               (select cast(floor(avg(total) + 0.5) as bigint) from v) as avg_daily_total,
+               (select strftime(d, '%Y-%m-%d') from v order by total desc, d limit 1) as peak_day, (select max(total) from v) as peak_total""",
     "period_rollup": f"""
-        select cast(date_trunc('month', cast(Date as date)) as date) as month, cast(date_trunc('week', cast(Date as date)) as date) as week, cast(sum(direction_left) as bigint) as left, cast(sum(direction_right) as bigint) as right
+        select cast(date_trunc('month', cast(Date as date)) as date) as month, cast(date_trunc('week', cast(Date as date)) as date) as week, cast(sum(direction_left) as bigint) as left, cast(sum(direction_right) as bigint) as right,
+               cast(round(cast(avg(CPU_usage) filter (where CPU_usage <> -1) as decimal(18, 9)), 2) as double) as CPU_usage, avg(GPU_temp) filter (where GPU_temp <> -1) as GPU_temp
         from ({MINUTES}) group by rollup(1, 2)""",
     "change_feed": f"""
         select Date, more_left from (select Date, "left" > "right" as more_left, lag("left" > "right") over (order by Date) as b from ({DAYS})) where more_left is distinct from b""",
     "latest_minute": f"select * from ({MINUTES}) order by Date desc, Time desc limit 1",
     "merged_minutes": f"select Date, Time, case when direction_left > 0 then direction_left + 100 else direction_left end as direction_left from ({MINUTES})",
     "day_rollup": """
-        select file, run, date, cast(round(cast(avg(value) as decimal(18, 9)), 2) as double) as cpu, cast(round(cast(avg(value) as decimal(18, 9)), 2) as double) as temp, count(*) filter (where event_type <> 'click') as left, count(*) filter (where event_type = 'click') as right from (
+        select file, run, date, cast(round(cast(avg(value) as decimal(18, 9)), 2) as double) as cpu, 12.5::double as mem, cast(user_id % 5 as double) as swap, cast(round(cast(avg(value) as decimal(18, 9)), 2) as double) as cpu_temp,
+               cast(null as double) as gpu_temp, count(*) filter (where event_type <> 'click') as left, count(*) filter (where event_type = 'click') as right from (
           select *, cast(sum(new) over (partition by file order by event_id) as bigint) as run from (
-            select cast(user_id as varchar) as file, event_id, event_type, value, strftime(ts, '%Y-%m-%d') as date,
-                   case when strftime(ts, '%Y-%m-%d') = lag(strftime(ts, '%Y-%m-%d')) over (partition by user_id order by event_id) then 0 else 1 end as new from events)) group by all""",
+            select cast(user_id as varchar) as file, user_id, event_id, event_type, value, strftime(ts, '%Y-%m-%d') as date,
+                   case when strftime(ts, '%Y-%m-%d') = lag(strftime(ts, '%Y-%m-%d')) over (partition by user_id order by event_id) then 0 else 1 end as new from events)) group by all""".replace("group by all", "group by file, user_id, run, date"),
     "movement_payload": """
         select event_id, strftime(ts, '%Y-%m-%d') as Date, strftime(ts, '%H:%M:%S') as Time, event_type as Direction, 12.0::double as x_start, 0.0::double as x_end, value as CPU_usage, 0.0::double as GPU_usage,
                3.5::double as mem_usage, 40.0::double as CPU_temp, 41.0::double as GPU_temp from events""",
     "telemetry_lines": """
-        select event_id, cast(k + 1000 as double) as ram, cast(k + 5 as double) as cpu, 1250.0::double as mhz, cast(k as double) as gpu, (k + 500) / 2 as gpu_mhz, 5.0::double as emc, 51.5::double as tj, k * 100 / 1000 as vin,
-               cast(2 as int) as n_rails, k + 0.5::double as cpu_c from (select event_id, cast(json_extract_string(props, '$.k') as int) as k from events)""",
+        select event_id, case when f then k + 1000.0 end::double as ram, case when f then k + 5.0 end::double as cpu, case when f then 1250.0 end::double as mhz, case when f or o then k end::double as gpu,
+               round(case when f then (k + 500) / 2 when v then (2 * k + 315) / 3 when o then k end::double, 6) as gpu_mhz, case when f then greatest(k + 200, 300) when v then greatest(k + 1, 314) when o then k end::double as gpu_mhz_peak,
+               case when f then 5.0 end::double as emc, case when f then 51.5 end::double as tj, case when f then k * 100 / 1000 end as vin, cast(case when f then 2 when v then 1 else 0 end as int) as n_rails,
+               case when f then k + 0.5 end::double as cpu_c, case when v then k end::double as gpu_c
+        from (select event_id, cast(json_extract_string(props, '$.k') as int) as k, event_type = 'click' as f, event_type = 'view' as v, event_type not in ('click', 'view', 'error') as o from events)""",
     "nearest_frame": NEAREST,
-    "frames_in_range": f"select * from ({FRAMES}) where ts between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-06 12:00:00'",
+    "frames_in_range": f"select * from ({FRAMES}) where ts between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-07 06:00:00'",
     "playback_sequence": f"""
-        select path, coalesce(lead(path) over (partition by cast(ts as date) order by ts, path), first_value(path) over (partition by cast(ts as date) order by ts, path)) as day, lead(path) over (order by ts, path) as none from ({FRAMES})""",
+        select path, coalesce(lead(path) over d, first_value(path) over d) as day, coalesce(lead(path) over h, first_value(path) over h) as hour, coalesce(lead(path) over w, first_value(path) over w) as "full", lead(path) over w as none
+        from ({FRAMES}) window d as (partition by cast(ts as date) order by path), h as (partition by date_trunc('hour', ts) order by path), w as (order by path)""",
+    "time_bounds": "select event_id, " + ", ".join(f"cast(date_trunc('{u}', ts) as timestamp) as {u}_start, cast(date_trunc('{u}', ts) as timestamp) + interval 1 {u} as {u}_end" for u in ("hour", "day", "month")) + " from events",
+    "newest_first": f"select * from ({MINUTES})",
     "search_photos": """
         select source || '-' || doc_id as filename, lpad(cast(n_chars as varchar), 9, '0') as datetime, cast(doc_id % 24 as varchar) as time from documents where lang = 'en' and n_chars > 1000 order by datetime, filename limit 200""",
     "top_categories": """

@@ -13,12 +13,12 @@ ONE_RUN = "(select label as image_id, vec_id % 3 as device, embedding as v from
 
 def _stable(spark, sf):
     v = vectors(spark, sf)
-    nested = v.groupBy("model", "device", "image_id", "task").agg(F.collect_list(F.struct("embedding", F.lit(None).cast("array<float>").alias("text_embedding"), "error")).alias("outputs"))
+    nested = v.groupBy("model", "device", "image_id", "task").agg(F.collect_list(F.struct("embedding", F.lit(None).cast("array<float>").alias("text_embedding"), "error", "text")).alias("outputs"))
     return stability.repeat_stability(nested)
 
 
 def repeat_stability(spark, sf):
-    return rounded(_stable(spark, sf), 5)
+    return rounded(_stable(spark, sf).withColumn("texts", F.array_join(F.array_sort("texts"), ",")), 5)
 
 
 def stability_summary(spark, sf):
@@ -26,7 +26,7 @@ def stability_summary(spark, sf):
 
 
 def least_stable_examples(spark, sf):
-    return rounded(stability.least_stable_examples(_stable(spark, sf).withColumn("stability", F.round("stability", 5)), 0.99, 3), 5)
+    return rounded(stability.least_stable_examples(_stable(spark, sf).withColumns({"stability": F.round("stability", 5), "texts": F.array_join(F.array_sort("texts"), ",")}), 0.99, 3), 5)
 
 
 def cross_device_pairs(spark, sf):
@@ -70,12 +70,16 @@ def entity_recall(spark, sf):
     return d.select("doc_id", captions.entity_recall(F.col("text"), wanted).alias("recall"))
 
 
+SCENES = ("near dining tables", "with a dog", "by parked trucks", "and potted plants, a plant")
+
+
 def caption_claims(spark, sf):
-    """Captions made of each customer's segment and nation, parsed into claims."""
+    """Captions made of each part's name, type and one of four scenes, by its size, parsed into claims."""
     p = table(spark, sf, "part")
-    said = F.concat_ws(" ", F.lit("Two men and a"), "p_name", F.lit("near dining tables, with 3 chairs on"), "p_type", F.lit("street"))
-    c = captions.parse_caption(said)
-    return p.select("p_partkey", F.array_join(c["objects"], ",").alias("objects"), F.array_join(c["colors"], ",").alias("colors"), F.size(c["counts"]).alias("n_counts"))
+    scene = F.element_at(F.array(*[F.lit(x) for x in SCENES]), (F.col("p_size") % 4 + 1).cast("int"))
+    said = F.concat_ws(" ", F.lit("Two men and a"), "p_name", scene, F.lit(", with 3 chairs on"), "p_type", F.lit("street"))
+    two, one = captions.parse_caption(said), captions.parse_caption(said, 1)
+    return p.select("p_partkey", F.array_join(two["objects"], ",").alias("objects"), F.array_join(one["objects"], ",").alias("objects_1"), F.array_join(two["colors"], ",").alias("colors"), F.size(two["counts"]).alias("n_counts"))
 
 
 def rule_judge(spark, sf):
@@ -95,10 +99,19 @@ def judge_compare(spark, sf):
     return rounded(judge.judge_compare(judge_eval(spark, sf), MODELS))
 
 
+#: What a part's type stands for, as a class, and what an image's caption says, by its number.
+CLASSES = {"ECONOMY": "car", "STANDARD": "Person", "PROMO": "bus", "LARGE": "train", "SMALL": "unicorn", "MEDIUM": "truck"}
+SAYINGS = ("A tram passes", "nobody here", "a car that is not here", None)
+
+
 def _violations(spark, sf):
     none = F.lit(None).cast("string")
-    v = F.transform("bad", lambda c: F.struct(F.lit("object_not_detected").alias("type"), c.alias("claim"), none.alias("claim_raw"), none.alias("claim_normalized")))
-    return judge.categorised_violations(judged(spark, sf).select("image", "model", F.lit("no train").alias("caption"), "detected_classes", v.alias("violations")))
+    names = F.create_map(*[F.lit(x) for pair in CLASSES.items() for x in pair])
+    called = lambda c: F.try_element_at(names, c)
+    number = F.col("image").cast("bigint")
+    v = F.transform("bad", lambda c, i: F.struct(F.when((number + i) % 5 == 0, "too_many_claims").otherwise("object_not_detected").alias("type"), called(c).alias("claim"), F.when(number % 2 == 0, called(c)).alias("claim_raw"), none.alias("claim_normalized")))
+    caption = F.element_at(F.array(*[F.lit(x) for x in SAYINGS]), (number % 4 + 1).cast("int"))
+    return judge.categorised_violations(judged(spark, sf).select("image", "model", caption.alias("caption"), F.transform("detected_classes", called).alias("detected_classes"), v.alias("violations")))
 
 
 def violation_report(spark, sf):
@@ -113,6 +126,11 @@ def top_claims(spark, sf):
     return judge.top_claims(_violations(spark, sf), 4)
 
 
+def hybrid_summary(spark, sf):
+    j = judged(spark, sf)
+    return judge.hybrid_summary(j.select(*[(F.col(s) * w).alias(f"{kind}_{s}") for kind, w in (("rule", 1.0), ("retrieval", 0.5), ("hybrid", 0.25)) for s in ("hallucination", "grounding")]))
+
+
 def score_histogram(spark, sf):
     return judge.score_histogram(judged(spark, sf))
 
@@ -127,14 +145,14 @@ def hybrid_scores(spark, sf):
 
 QUERIES = [
     repeat_stability, stability_summary, least_stable_examples, cross_device_pairs, cross_device_agreement, semantic_duplicates, knn_captions, caption_similarity, clip_scores,
-    entity_recall, caption_claims, rule_judge, judge_eval, judge_compare, violation_report, violation_examples, top_claims, score_histogram, hybrid_scores,
+    entity_recall, caption_claims, rule_judge, judge_eval, judge_compare, violation_report, violation_examples, top_claims, hybrid_summary, score_histogram, hybrid_scores,
 ]
 
 E = "(select vec_id, label as image_id, cast(embedding as double[]) as v from embeddings)"
 STABLE = f"""
-    select 'm' as model, 'd' || d as device, cast(image_id as bigint) as image_id, 't' as task, cast(n as int) as repeats, s as stability from (
+    select 'm' as model, 'd' || d as device, cast(image_id as bigint) as image_id, 't' as task, cast(n as int) as repeats, s as stability, texts from (
       select a.vec_id % 3 as d, a.image_id, avg(list_cosine_similarity(a.v, b.v)) as s from {E} a join {E} b on a.image_id = b.image_id and a.vec_id % 3 = b.vec_id % 3 and a.vec_id < b.vec_id group by all)
-      join (select vec_id % 3 as d, image_id, count(*) as n from {E} group by all) using (d, image_id)"""
+      join (select vec_id % 3 as d, image_id, count(*) as n, array_to_string(list_sort(list('text ' || vec_id)), ',') as texts from {E} group by all) using (d, image_id)"""
 FIRST = f"(select image_id, 'd' || (vec_id % 3) as device, min_by(v, vec_id) as v, 'text ' || min(vec_id) as text from {E} group by all)"
 MEAN = f"""(select image_id, device, list(x order by k) as v from (select image_id, 'd' || (vec_id % 3) as device, k, avg(v[k]) as x from {E}, range(1, 65) t(k) group by all) group by all)"""
 EVAL = f"""
@@ -143,7 +161,15 @@ EVAL = f"""
            round(avg(coalesce(hallucination, 0)) filter (where len(claims) > 1), 6) as hallucination_covered, round(avg(coalesce(grounding, 0)) filter (where len(claims) > 1), 6) as grounding_covered,
            count(*) filter (where len(claims) > 1) as with_claims, count(*) filter (where len(claims) <= 1) as without_claims
     from ({JUDGED}) group by model"""
-VIOLATIONS = f"select image, model, unnest(bad) as claim, 'label_space' as category from ({JUDGED})"
+NAMES = "map {{{}}}".format(", ".join(f"'{a}': '{b.lower()}'" for a, b in CLASSES.items()))
+FAMILY = "['car', 'truck', 'bus', 'motorcycle', 'bicycle']"
+VIOLATIONS = f"""
+    select image, model, claim, case when claim = 'unicorn' then 'out_of_label_space' when claim = 'car' and n % 4 = 0 then 'semantic_mismatch_train_car'
+               when claim = 'person' and n % 4 = 1 then 'caption_negation_conflict' when list_contains({FAMILY}, claim) and list_has_any({FAMILY}, seen) and not list_contains(seen, claim) then 'vehicle_type_confusion'
+               else 'unverified_object' end as category
+    from (select *, {NAMES}[b] as claim, cast(image as bigint) as n from (
+      select image, model, unnest(bad) as b, unnest(range(len(bad))) as i, list_transform(detected, lambda d: {NAMES}[d]) as seen from ({JUDGED})))
+    where (n + i) % 5 <> 0 and claim is not null"""
 METRICS = "n coverage claims_per_caption hallucination grounding hallucination_covered grounding_covered with_claims without_claims".split()
 KNN = f"""
     select q.vec_id as query_id, c.vec_id as corpus_id, list_distance(q.v, c.v) ** 2 as d, c.image_id as label,
@@ -182,7 +208,9 @@ ORACLE = {
                + cast(regexp_matches(t, '\\b(person|man|woman|boy|girl|child|kid|people|individual|human|lady|gentleman|guy)s?\\b') as int)) / 5, 4) end as recall
         from (select doc_id, text, lower(text) as t from documents)""",
     "caption_claims": """
-        select p_partkey, 'dining table,person,chair,street' as objects, case when regexp_matches(p_name, '\\b(red|blue|green|yellow|black|white|gray|grey|brown|orange|pink|purple)\\b')
+        select p_partkey, case p_size % 4 when 0 then 'dining table,person,chair,street' when 1 then 'person,dog,chair,street' when 2 then 'person,truck,chair,street' else 'potted plant,person,chair,street' end as objects,
+               case p_size % 4 when 0 then 'dining table,person,chair,street' when 1 then 'person,dog,chair,street' when 2 then 'person,truck,chair,street' else 'potted plant,person,plant,chair,street' end as objects_1,
+               case when regexp_matches(p_name, '\\b(red|blue|green|yellow|black|white|gray|grey|brown|orange|pink|purple)\\b')
                then regexp_extract(p_name, '\\b(red|blue|green|yellow|black|white|gray|grey|brown|orange|pink|purple)\\b', 1) else '' end as colors, cast(1 as int) as n_counts from part""",
     "rule_judge": f"""
         select image, cast(len(claims) as int) as checked, cast(len(claims) - len(bad) as int) as supported, cast(len(bad) as int) as unsupported, round(len(bad) / len(claims), 6) as hallucination,
@@ -194,6 +222,9 @@ ORACLE = {
     "violation_report": f"select model, category, count(*) as n from ({VIOLATIONS}) group by all",
     "violation_examples": f"select * from (select *, cast(row_number() over (partition by model, category order by image, claim) as int) as rank from ({VIOLATIONS})) where rank <= 5",
     "top_claims": f"select claim, count(*) as n from ({VIOLATIONS}) group by 1 order by n desc, claim limit 4",
+    "hybrid_summary": "select "
+    + ", ".join(f"cast(round(cast(avg({s} * {w}) as decimal(18, 9)), 4) as double) as {kind}_{s}" for kind, w in (("rule", 1), ("retrieval", 0.5), ("hybrid", 0.25)) for s in ("hallucination", "grounding"))
+    + f" from ({JUDGED})",
     "score_histogram": f"""
         select model, bin, count(*) as n from (select model, case when hallucination < 0.01 then 0.0 when hallucination < 0.25 then 0.01 when hallucination < 0.5 then 0.25
                when hallucination < 0.75 then 0.5 else 0.75 end::double as bin from ({JUDGED})) group by all""",

@@ -17,7 +17,7 @@ def _pairs(spark, sf):
 
 
 def utterance_errors(spark, sf):
-    """Word errors between neighbouring turns; no SQL, tested against a plain table of distances."""
+    """Word errors between neighbouring turns."""
     return rounded(speech.utterance_errors(_pairs(spark, sf)).select("conv_id", "turn", "edits", "words", "accuracy"))
 
 
@@ -32,7 +32,7 @@ def normalized_english(spark, sf):
 
 
 def normalized_basic(spark, sf):
-    """Conversations through the basic normaliser; no SQL, tested against a plain version."""
+    """Conversations through the basic normaliser."""
     c = table(spark, sf, "conversations")
     return c.select("conv_id", "turn", F.sha2(speechtext.normalize_text_basic(F.col("text")), 256).alias("normalized_sha256"))
 
@@ -44,15 +44,18 @@ def best_command(spark, sf):
 
 
 def _tokens(spark, sf):
-    """Line items as tokens: an order is a sequence, the part its token, the discount its log probability."""
+    """Line items as tokens: a supplier is an audio, an order's number tells the sequence, the line its token, the discount its
+    log probability; numbered in the order of their values."""
+    from pyspark.sql import Window as W
+
     li = table(spark, sf, "lineitem")
-    return li.select(F.col("l_suppkey").alias("audio_id"), (F.col("l_orderkey") % 20).alias("seg_no"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("tok_no"), (F.col("l_linenumber") % 7).alias("id"), (-F.col("l_discount") * 20).alias("plog"), F.col("l_tax").alias("p"))
+    t = li.withColumn("seg_no", F.col("l_orderkey") % 5)
+    order = W.partitionBy("l_suppkey", "seg_no").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount", "l_tax")
+    return t.select(F.col("l_suppkey").alias("audio_id"), "seg_no", F.row_number().over(order).alias("tok_no"), (F.col("l_linenumber") % 7).alias("id"), (-F.col("l_discount") * 20).alias("plog"), F.col("l_tax").alias("p"), (F.col("l_partkey") % 40 / 40).alias("ns"))
 
 
 def sequence_quality(spark, sf):
-    t = _tokens(spark, sf).withColumn("tok_no", F.col("id"))
-    short = t.groupBy("audio_id", "seg_no", "id").agg(F.sum("plog").alias("plog"), F.max("id").alias("tok_no"), F.max("p").alias("p"))
-    out = speech.sequence_quality(short, "p", length_penalty=0.5, entropy_below=2.0, no_speech_above=0.06, logprob_below=-5.05)
+    out = speech.sequence_quality(_tokens(spark, sf), "ns", length_penalty=0.5, entropy_below=1.8, no_speech_above=0.96, logprob_below=-1.0)
     return rounded(out, 5)
 
 
@@ -82,10 +85,10 @@ def speech_energy_gate(spark, sf):
 
 
 def map_time(spark, sf):
+    """All segments by the points that the clicks among them make; users without a click have none."""
     s = _segments(spark, sf)
-    points = s.where("seg_no % 5 = 0").groupBy("audio_id", F.col("t0").alias("processed_time")).agg(F.max("t1").alias("original_time"))
-    times = s.where("seg_no % 5 = 1 and audio_id > 3").select("audio_id", "seg_no", F.col("t0").alias("t"))
-    return speech.map_time(times, points).select("seg_no", "original_time")
+    points = s.where("text like '%click%'").select("audio_id", F.col("t0").alias("processed_time"), F.col("t1").alias("original_time"))
+    return speech.map_time(s.select("audio_id", "seg_no", F.col("t0").alias("t")), points).select("seg_no", "original_time")
 
 
 def merge_chunks(spark, sf):
@@ -94,7 +97,7 @@ def merge_chunks(spark, sf):
 
 
 def wrap_segments(spark, sf):
-    """Turns as segments, their words as tokens, cut at 40 characters; no SQL, tested against a plain version."""
+    """Turns as segments, their words as tokens, cut at 40 characters."""
     c = table(spark, sf, "conversations")
     words = F.transform(F.split("text", " "), lambda w, i: F.struct(F.concat(F.lit(" "), w).alias("text"), (i * 10).cast("bigint").alias("t0"), (i * 10 + 10).cast("bigint").alias("t1")))
     s = c.select("conv_id", "turn", F.lit(0).cast("bigint").alias("t0"), (F.size(F.split("text", " ")) * 10).cast("bigint").alias("t1"), words.alias("tokens"))
@@ -111,20 +114,35 @@ def speech_segments(spark, sf):
 
 
 def transcript_csv(spark, sf):
-    return speech.cues(_segments(spark, sf).where("text not like '%error%'"), "csv")
+    return speech.cues(_segments(spark, sf), "csv")
 
 
 def transcript_srt(spark, sf):
-    return speech.cues(_segments(spark, sf).where("text like '%error%'"), "srt")
+    return speech.cues(_segments(spark, sf), "srt")
 
 
 def cleaned_pages(spark, sf):
-    """Pages as engine logs, stamped and coloured, cleaned again."""
+    """Pages as engine logs, stamped and coloured, some with lines in brackets, cleaned again."""
     p = table(spark, sf, "pages")
-    log = F.concat(F.lit("engine_init_from_file: loading\n\x1b[31m[00:00:00.000 --> 00:00:02.000]\x1b[0m  "), F.col("url"), F.lit("\nmain: done\n  [00:02.000 --> 00:03.000] bye \n\n"))
+    n = F.col("page_id")
+    log = F.concat(
+        F.lit("whisper_init_from_file: loading\nsystem_info: n = 4\n\x1b[31m[00:00:00.000 --> 00:00:02.000]\x1b[0m  "), F.col("url"), F.when(n % 3 == 0, "\n[noise]\nsaid ]\n").otherwise("\nmother_in_law: hello\r\n"),
+        F.concat(F.lit(" page "), n.cast("string")), F.lit("\nmain: done\nx whisper_print_timings: y\n  [00:02.000 --> 00:03.000] bye \n\n"),
+    )
     return p.select("page_id", telemetry.clean_transcript_log(log).alias("said"))
 
 
+def cleaned_chunks(spark, sf):
+    """Pages as pieces of terminal output, cleaned again."""
+    p = table(spark, sf, "pages")
+    n = F.col("page_id")
+    chunk = F.concat(
+        F.lit("Script started on x\r\nggml_init: y\n\x1b[2K[BLANK_AUDIO]\r\x1b[31m"), F.col("url"), F.lit("\x1b[0m\r                         \r"), F.when(n % 2 == 0, "[Start speaking]\n### 1\nALSA lib z\n").otherwise("a [BLANK_AUDIO]b\n"),
+        F.lit("[00:02.000 --> 00:03.000]   bye\n required: 3\n"), F.concat(F.lit("page "), n.cast("string")),
+    )
+    return p.select("page_id", telemetry.clean_transcript_chunk(chunk).alias("said"), telemetry.build_config(F.when(n % 3 == 0, "AVX2 = 1 | CUDA : ARCHS = 870 | MTL = 0").otherwise("NEON = 1 | BLAS = 0")).alias("config"))
+
+
 def speech_timings(spark, sf):
     p = table(spark, sf, "pages")
     n = F.col("page_id")
@@ -135,22 +153,24 @@ def speech_timings(spark, sf):
 
 def normalized_claims(spark, sf):
     p = table(spark, sf, "part")
-    labels = F.array(F.lit("  Sofa! "), F.lit("phones"), F.lit("scene"), F.lit("Grass"), F.col("p_type"), F.lit("cell  phone"), F.when(F.col("p_size") > 20, "Tables").otherwise("BUS"))
+    pick = F.element_at(F.array(*[F.lit(x) for x in ("Dogs", "cat", "various", "unicorn", "T.V.")]), (F.col("p_size") % 5 + 1).cast("int"))
+    labels = F.array(F.lit("  Sofa! "), F.lit("phones"), pick, F.lit("Grass"), F.col("p_type"), F.lit("cell  phone"), F.when(F.col("p_size") > 20, "Tables").otherwise("BUS"))
     seen = F.array(F.lit("person"), F.when(F.col("p_size") > 20, "dog").otherwise("Person"), F.lit("dog"), F.when(F.col("p_size") > 40, "bus"))
     return p.select("p_partkey", F.array_join(captions.normalize_claims(labels), ",").alias("claims"), captions.detection_caption(seen).alias("caption"))
 
 
 def count_accuracy(spark, sf):
-    """Parts as counted objects; no SQL, tested by hand."""
+    """Parts as counted objects."""
     p = table(spark, sf, "part")
-    text = F.format_string("Here:\n- puppy: %d\n* Cars = 3\nMONITOR: 1\nunknown thing: 2", F.col("p_size"))
+    text = F.format_string("Here:\n- puppy: %d\n* Cars = 3\nMONITOR: 1\nunknown thing: 2\npuppy: 99", F.col("p_size"))
+    text = F.when(F.col("p_size") % 10 == 0, "none").otherwise(F.concat(text, F.when(F.col("p_size") % 2 == 0, "\nmug : 4").otherwise("\n")))
     expected = F.create_map(F.lit("dog"), F.lit(7), F.lit("car"), F.lit(3), F.lit("tv"), F.lit(1), F.lit("cup"), F.lit(2))
     c = captions.count_accuracy(text, expected)
     return p.select("p_partkey", *[c[n].alias(n) for n in ("n_categories_mentioned", "n_categories_correct", "n_categories_present", "count_exact_accuracy", "count_mae")])
 
 
 def transcript_lrc(spark, sf):
-    return speech.cues(_segments(spark, sf).where("text like '%view%'"), "lrc")
+    return speech.cues(_segments(spark, sf), "lrc")
 
 
 def speech_model_summary(spark, sf):
@@ -166,23 +186,25 @@ def missing_codes(spark, sf):
 
 
 def last_events(spark, sf):
-    return speech.last_events(table(spark, sf, "events").select("event_id", F.col("user_id").alias("source"), "ts"), 5).select("event_id")
+    return speech.last_events(table(spark, sf, "events").select("event_id", F.col("user_id").alias("source"), "ts"), 5, ties=("event_id",)).select("event_id")
 
 
 def token_scores(spark, sf):
-    t = _tokens(spark, sf).where("audio_id < 3").groupBy("audio_id", "seg_no", "id").agg(F.count("*").alias("c"))
-    return speech.token_scores(t.select("audio_id", "seg_no", F.col("id").alias("tok_no"), F.concat(F.lit("t"), "id").alias("text"), F.col("c").alias("p")))
+    return speech.token_scores(_tokens(spark, sf).withColumn("text", F.concat(F.lit("t"), "id")))
 
 
 QUERIES = [
     transcript_lrc, speech_model_summary, missing_codes, last_events, token_scores,
     utterance_errors, word_error_rate, normalized_english, normalized_basic, best_command, sequence_quality, confidence, segment_energy, speech_energy_gate, map_time, merge_chunks,
-    wrap_segments, speech_segments, transcript_csv, transcript_srt, cleaned_pages, speech_timings, normalized_claims, count_accuracy,
+    wrap_segments, speech_segments, transcript_csv, transcript_srt, cleaned_pages, cleaned_chunks, speech_timings, normalized_claims, count_accuracy,
 ]
 
 SEGMENTS = """(select user_id as audio_id, event_id as seg_no, t0, t0 + 60000 + k * 100 as t1, ' say "' || event_type || '"' as text, k from (
     select *, (epoch_us(ts) - 1704067200000000) // 10000 as t0, cast(json_extract_string(props, '$.k') as bigint) as k from events))"""
 SIMILAR = "1 - levenshtein(lower(p_name), '{0}') / greatest(length(p_name), {1})"
+TOKENS = """
+    select l_suppkey as audio_id, l_orderkey % 5 as seg_no, row_number() over (partition by l_suppkey, l_orderkey % 5 order by l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_discount, l_tax) as tok_no,
+           l_linenumber % 7 as id, -l_discount * 20 as plog, l_tax as p, l_partkey % 40 / 40 as ns from lineitem"""
 MENU = ("blue gear", "large ring", "red widget", "small bolt")
 
 
@@ -190,28 +212,60 @@ def _stamp(c: str) -> str:
     return f"lpad(cast({c} // 360000 as varchar), cast(greatest(2, length(cast({c} // 360000 as varchar))) as int), '0') || ':' || lpad(cast({c} % 360000 // 6000 as varchar), 2, '0') || ':' || lpad(cast({c} % 6000 // 100 as varchar), 2, '0') || ',' || lpad(cast({c} % 100 * 10 as varchar), 3, '0')"
 
 
+def _distance(a: str, b: str) -> str:
+    """Edit distance of two lists of words: the rows of the table one after another, words as their places in one list."""
+    code = f"list_position(list_concat({a}, {b}), {{}})"
+    first = f"range(0, len({b}) + 1)"
+    words = f"list_transform({a}, lambda x: [cast({code.format('x')} as bigint)])"
+    best = f"list_transform(range(1, len({b}) + 1), lambda j: [least(acc[j + 1] + 1, acc[j] + cast({code.format(f'{b}[j]')} <> row[1] as bigint))])"
+    step = f"list_reduce(list_concat([[acc[1] + 1]], {best}), lambda p, y: list_append(p, least(y[1], p[-1] + 1)))"
+    return f"list_reduce(list_concat([{first}], {words}), lambda acc, row: {step})[-1]"
+
+
+PAIRS = f"""
+    select conv_id, turn, role, len(r) as words, {_distance('r', 'h')} as edits from (
+      select a.*, list_filter(regexp_split_to_array(coalesce(a.text, ''), '\\s+'), lambda w: w <> '') as r, list_filter(regexp_split_to_array(coalesce(b.text, ''), '\\s+'), lambda w: w <> '') as h
+      from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1)"""
+
 ORACLE = {
+    "utterance_errors": f"select conv_id, turn, edits, words, case when words = 0 then 0 else round(greatest(0, 100 * (1 - edits / words)), 6) end::double as accuracy from ({PAIRS})",
+    "word_error_rate": f"select role, cast(sum(edits) as bigint) as edits, cast(sum(words) as bigint) as words, round(sum(edits) / nullif(sum(words), 0), 6) as wer from ({PAIRS}) group by role",
+    "normalized_basic": r"""
+        select conv_id, turn, sha256(regexp_replace(lower(regexp_replace(nfc_normalize(regexp_replace(regexp_replace(lower(text), '[<\[][^>\]]*[>\]]', '', 'g'), '\(([^)]+?)\)', '', 'g')), '[\pM\pS\pP]', ' ', 'g')), '\s+', ' ', 'g')) as normalized_sha256
+        from conversations""",
+    "wrap_segments": """
+        with s as (select conv_id, turn, string_split(text, ' ') as w from conversations where text is not null),
+        p as (select conv_id, turn, len(w) * 10 as total, list_reduce(list_transform(w, lambda x: [' ' || x]),
+                lambda acc, x: case when length(acc[-1]) + length(x[1]) > 40 then list_concat(acc, x) else list_append(acc[:-2], acc[-1] || x[1]) end) as parts from s),
+        e as (select conv_id, turn, total, unnest(parts) as text, unnest(range(len(parts))) as part from p),
+        n as (select *, 10 * sum(length(text) - length(replace(text, ' ', ''))) over (partition by conv_id, turn order by part) as t1 from e)
+        select conv_id, turn, cast(part as int) as part, cast(t1 - 10 * (length(text) - length(replace(text, ' ', ''))) as bigint) as t0, cast(t1 as bigint) as t1, text from n""",
+    "count_accuracy": """
+        select p_partkey, cast(m as int) as n_categories_mentioned, cast(case when m = 0 then 0 else 1 + cast(p_size = 7 as int) end as int) as n_categories_correct, cast(k as int) as n_categories_present,
+               case when m = 0 then 0 else round((1 + cast(p_size = 7 as int)) / 4, 4) end::double as count_exact_accuracy, case when k > 0 then round((abs(p_size - 7) + case when k = 3 then 2 else 0 end) / k, 4) end as count_mae
+        from (select p_partkey, p_size, case when p_size % 10 = 0 then 0 when p_size % 2 = 0 then 5 else 4 end as m, case when p_size % 10 = 0 then 0 when p_size % 2 = 0 then 3 else 2 end as k from part)""",
     "transcript_lrc": f"""
         select audio_id, cast(row_number() over (partition by audio_id order by seg_no) as int) as no,
                '[' || lpad(cast(t0 // 6000 as varchar), cast(greatest(2, length(cast(t0 // 6000 as varchar))) as int), '0') || ':' || lpad(cast(t0 % 6000 // 100 as varchar), 2, '0') || '.' || lpad(cast(t0 % 100 as varchar), 2, '0') || ']' || text as value
-        from {SEGMENTS} where text like '%view%' union all select distinct audio_id, cast(0 as int), '[by:nodewell]' from {SEGMENTS} where text like '%view%'""",
+        from {SEGMENTS} union all select distinct audio_id, cast(0 as int), '[by:nodewell]' from {SEGMENTS}""",
     "speech_model_summary": """
         select event_type as model, round(avg(least(value, 100)), 6) as accuracy, round(avg(value * 2), 6) as engine_ms, round(avg(value * 3), 6) as wall_ms,
                round(avg(case when value > 10 then value end), 6) as gpu_percent, cast(null as double) as cpu_percent from events group by 1""",
     "missing_codes": """
         select cast(doc_id as varchar) as code, 'hypothesis' as missing from documents where doc_id not in (select doc_id from labels)
         union all select 'x' || i, 'reference' from range(3) t(i) union all select cast(doc_id as varchar), 'reference' from labels where doc_id not in (select doc_id from documents)""",
-    "last_events": "select event_id from events qualify row_number() over (partition by user_id order by ts desc) <= 5",
-    "token_scores": """
-        select l_suppkey as audio_id, cast(row_number() over (partition by l_suppkey order by l_orderkey % 20, l_linenumber % 7) as int) as no, 't' || (l_linenumber % 7) || chr(9) || count(*) as value
-        from lineitem where l_suppkey < 3 group by l_suppkey, l_orderkey % 20, l_linenumber % 7""",
+    "last_events": "select event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 5",
+    "token_scores": f"""
+        select audio_id, cast(row_number() over (partition by audio_id order by seg_no, tok_no) as int) as no, 't' || id || chr(9) || p as value from ({TOKENS})""",
     "best_command": "select p_partkey, command, round(similarity, 6) as similarity from (select p_partkey, unnest([{}]) as command, unnest([{}]) as similarity from part) qualify row_number() over (partition by p_partkey order by similarity desc, command) = 1".format(
         ", ".join(f"'{m}'" for m in MENU), ", ".join(SIMILAR.format(m, len(m)) for m in MENU)
     ),
-    "sequence_quality": """
-        with t as (select l_suppkey as audio_id, l_orderkey % 20 as seg_no, l_linenumber % 7 as id, sum(-l_discount * 20) as plog, max(l_tax) as p from lineitem group by all)
-        select audio_id, seg_no, count(*) as n_tokens, round(sum(plog), 5) as sum_logprobs, round(avg(plog), 5) as avg_logprobs, round(ln(count(*)), 5) as entropy,
-               round(sum(plog) / pow((5 + count(*)) / 6, 0.5), 5) as score, false as failed, max(p) > 0.06 and avg(plog) < -5.05 as no_speech from t group by 1, 2""",
+    "sequence_quality": f"""
+        with t as (select * from ({TOKENS})), l as (select *, row_number() over (partition by audio_id, seg_no order by tok_no desc) as r from t),
+        c as (select audio_id, seg_no, id, count(*) as c from l where r <= 32 group by all), e as (select audio_id, seg_no, -sum(q * ln(q)) as h from (select *, c / sum(c) over (partition by audio_id, seg_no) as q from c) group by all),
+        s as (select audio_id, seg_no, count(*) as n, sum(plog) as total, avg(plog) as mean, max(ns) as ns from t group by all)
+        select audio_id, seg_no, n as n_tokens, round(total, 5) as sum_logprobs, round(mean, 5) as avg_logprobs, round(h, 5) as entropy, round(total / pow((5 + n) / 6, 0.5), 5) as score, n > 32 and h < 1.8 as failed,
+               ns > 0.96 and mean < -1 as no_speech, n > 32 and h < 1.8 or mean < -1 and ns < 0.96 as fallback from s join e using (audio_id, seg_no)""",
     "confidence": """
         select case when p < 0.33 then 'low' when p < 0.66 then 'medium' else 'high' end as band, cast(greatest(0, least(9, floor(pow(p, 3) * 10))) as int) as colour, count(*) as n
         from (select least(1, value / 50) as p from events) group by all""",
@@ -223,7 +277,7 @@ ORACLE = {
         select audio_id, count(*) as n, round(avg(v), 6) as energy_all, round(avg(case when i > m - 64000 then v end), 6) as energy_last,
                count(*) > 64000 and avg(case when i > m - 64000 then v end) <= 0.9 * avg(v) as silent_tail from x group by 1""",
     "map_time": f"""
-        with p as (select audio_id, t0 as pt, max(t1) as ot from {SEGMENTS} where seg_no % 5 = 0 group by all), q as (select audio_id, seg_no, t0 as t from {SEGMENTS} where seg_no % 5 = 1 and audio_id > 3),
+        with p as (select audio_id, t0 as pt, max(t1) as ot from {SEGMENTS} where text like '%click%' group by all), q as (select audio_id, seg_no, t0 as t from {SEGMENTS}),
         b as (select q.*, max(pt) filter (where pt <= t) as lo, max_by(ot, pt) filter (where pt <= t) as lo_o, min(pt) filter (where pt >= t) as hi, min_by(ot, pt) filter (where pt >= t) as hi_o
               from q left join p on p.audio_id = q.audio_id group by all)
         select seg_no, case when lo is null and hi is null then t when lo is null then hi_o when hi is null or hi = lo or t = lo then lo_o
@@ -232,16 +286,20 @@ ORACLE = {
         select audio_id, chunk, seg_no, case when chunk > 0 then greatest(t0, lag(t1) over (partition by audio_id order by chunk, seg_no)) else t0 end as t0, t1 from (
           select audio_id, seg_no // 4000 as chunk, seg_no, t0 + s as t0, t1 + s as t1 from (select *, case when seg_no // 4000 > 0 then (100 * (seg_no // 4000) * 48000000) // 16000 + 25 else 0 end as s from {SEGMENTS}))""",
     "transcript_csv": f"""
-        select audio_id, cast(row_number() over (partition by audio_id order by seg_no) as int) as no, (t0 * 10) || ',' || (t1 * 10) || ',"' || replace(text, '"', '""') || '"' as value from {SEGMENTS} where text not like '%error%'
-        union all select distinct audio_id, cast(0 as int), 'start,end,text' from {SEGMENTS} where text not like '%error%'""",
+        select audio_id, cast(row_number() over (partition by audio_id order by seg_no) as int) as no, (t0 * 10) || ',' || (t1 * 10) || ',"' || replace(text, '"', '""') || '"' as value from {SEGMENTS}
+        union all select distinct audio_id, cast(0 as int), 'start,end,text' from {SEGMENTS}""",
     "transcript_srt": f"""
         select audio_id, cast(n as int) as no, n || chr(10) || {_stamp('t0')} || ' --> ' || {_stamp('t1')} || chr(10) || text || chr(10) as value
-        from (select *, row_number() over (partition by audio_id order by seg_no) as n from {SEGMENTS} where text like '%error%')""",
-    "cleaned_pages": "select page_id, url || ' bye' as said from pages",
+        from (select *, row_number() over (partition by audio_id order by seg_no) as n from {SEGMENTS})""",
+    "cleaned_pages": """
+        select page_id, trim(case when url is null then null when page_id % 3 = 0 then url || ' page ' || page_id || ' bye' else url || ' mother_in_law: hello page ' || page_id || ' bye' end) as said from pages""",
+    "cleaned_chunks": """
+        select page_id, case when page_id % 2 = 0 then url || chr(10) || 'bye' else url || chr(10) || 'a b' || chr(10) || 'bye' end || chr(10) || 'page ' || page_id || chr(10) as said,
+               case when page_id % 3 = 0 then ' AVX2 CUDA' else ' NEON' end as config from pages""",
     "speech_timings": """
         select page_id, page_id + 0.5::double as load_ms, cast(null as double) as sample_ms, case when page_id % 4 > 0 then round(page_id * 3 / (page_id % 4), 2) end as encode_ms, cast(null as double) as decode_ms,
                page_id + 7.25::double as total_ms from pages""",
     "normalized_claims": """
-        select p_partkey, 'couch,cell phone,grass,' || case when p_size > 20 then 'dining table' else 'bus' end as claims,
+        select p_partkey, 'couch,cell phone,' || case p_size % 5 when 0 then 'dog,' when 1 then 'cat,' else '' end || 'grass,' || case when p_size > 20 then 'dining table' else 'bus' end as claims,
                case when p_size > 40 then 'The image shows 2 dogs, 1 person, 1 bus.' when p_size > 20 then 'The image shows 2 dogs, 1 person, 1 object.' else 'The image shows 2 people, 1 dog, 1 object.' end as caption from part""",
 }

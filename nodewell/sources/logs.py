@@ -7,43 +7,70 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from nodewell import schemas
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, pos, line) of text files; pos orders the lines of a file, of which large ones are read in several tasks."""
+    pos = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), pos.alias("pos"), F.col("value").alias("line"))
+
+
+def _by_header(spark: SparkSession, path: str, field: str, names: list[str]) -> DataFrame:
+    """(file, names as strings) of CSV files, each read by its own header, the line that has the given field name; a column
+    that a file lacks is null. Only the distinct headers come to the driver."""
+    lines = _lines(spark, path).where("trim(line) <> ''")
+    is_head = F.array_contains(F.transform(F.split("line", ","), lambda x: F.trim(x)), field)
+    heads = lines.where(is_head).groupBy("file").agg(F.min("line").alias("_h"))
+    forms = sorted(r[0] for r in heads.select("_h").distinct().collect())
+    rows = lines.where(~is_head).join(heads, "file")
+    parsed = F.lit(None).cast("struct<" + ", ".join(f"`{n}`: string" for n in names) + ">")
+    for form in forms:
+        own = [c.strip() for c in form.split(",")]
+        row = F.from_csv("line", F.lit(", ".join(f"`_{i}` string" for i in range(len(own)))))
+        value = [F.trim(row[f"_{own.index(n)}"]) if n in own else F.lit(None).cast("string") for n in names]
+        parsed = F.when(F.col("_h") == form, F.struct(*[v.alias(n) for v, n in zip(value, names, strict=True)])).otherwise(parsed)
+    return rows.select("file", parsed.alias("_r")).select("file", "_r.*")
+
+
 def read_movement(spark: SparkSession, path: str) -> DataFrame:
-    """Movement CSV read by header, so the order of its columns does not matter."""
-    rows = spark.read.option("header", True).csv(path)
+    """Movement CSV files, each read by its own header, so the order of its columns does not matter; numbers that don't parse are null."""
     names = [f.strip().split(" ")[0].strip("`") for f in schemas.MOVEMENT.split(", ")]
     text = {"Date", "Time", "Direction"}
+    rows = _by_header(spark, path, "Date", names)
     return rows.select(*[F.col(f"`{n}`") if n in text else F.expr(f"try_cast(`{n}` as double)").alias(n) for n in names])
 
 
-LEGACY_FIELDS = ("date", "time", "direction", "x_start", "x_end", "cpu", "gpu", "ram", "temp")
+LEGACY_FIELDS = ("date", "time", "cpu", "mem", "swap", "cpu_temp", "gpu_temp", "x", "direction")
+EXCEPTION = "Encountered exception!"
 
 
 def legacy_blocks(lines: DataFrame, file: str = "file", pos: str = "pos", line: str = "line") -> DataFrame:
-    """Blocks of nine `key: value` lines (file, block, date ... temp): lines that tell of an exception are skipped, the value is
-    what follows the first colon, without % or C at its end. Blocks are numbered in file order; an unfinished one is left out."""
-    kept = lines.where(~F.col(line).contains("Encountered exception!") & (F.trim(line) != ""))
+    """Blocks of nine lines (file, block, date, time, load of CPU, memory and swap, temperatures, x, direction).
+
+    A line counts up to its first comma; empty lines and those that say EXCEPTION alone are skipped. Its value is what follows
+    the first colon, of numbers without the sign at the end. Blocks are numbered in file order; an unfinished one is left
+    out. direction keeps its space, by which it is told; see traffic.day_rollup.
+    """
+    said = F.split_part(line, F.lit(","), F.lit(1))
+    kept = lines.where((F.col(line) != "") & (said != EXCEPTION))
     kept = kept.withColumn("_n", F.row_number().over(W.partitionBy(file).orderBy(pos)) - 1)
-    value = F.regexp_replace(F.regexp_replace(line, "^[^:]*:", ""), "[%C]$", "")
-    kept = kept.select(file, F.expr("_n div 9").alias("block"), (F.col("_n") % 9).alias("_f"), value.alias("_v"))
+    kept = kept.select(file, F.expr("_n div 9").alias("block"), (F.col("_n") % 9).alias("_f"), F.regexp_replace(said, "^[^:]*:", "").alias("_v"))
     fields = [F.max(F.when(F.col("_f") == i, F.col("_v"))).alias(n) for i, n in enumerate(LEGACY_FIELDS)]
     out = kept.groupBy(file, "block").agg(*fields, F.count("*").alias("_c")).where("_c = 9").drop("_c")
-    numbers = {n: F.expr(f"try_cast(trim({n}) as double)") for n in LEGACY_FIELDS[3:]}
+    numbers = {n: F.expr(f"try_cast(trim(substring({n}, 1, length({n}) - 1)) as double)") for n in LEGACY_FIELDS[2:7]}
     return out.withColumns({"date": F.trim("date"), "time": F.trim("time"), **numbers})
 
 
 def read_legacy_log(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    return legacy_blocks(whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")))
+    return legacy_blocks(_lines(spark, path))
 
 
 def read_filter_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Metric CSV files; the filter is a column or part of the file name metrics_<filter>.csv; numbers that don't parse are null."""
-    rows = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    name = F.regexp_extract(F.col("_metadata.file_name"), "metrics_(.*?)\\.csv", 1)
-    rows = rows.withColumn("_file", name)
-    known = F.col("filter") if "filter" in rows.columns else F.lit(None).cast("string")
-    numbers = [F.expr(f"try_cast({c} as double)").alias(c) if c in rows.columns else F.lit(None).cast("double").alias(c) for c in ("fps", "cpu_percent", "memory_percent", "gpu_percent")]
-    return rows.select("timestamp", F.coalesce(known, F.nullif("_file", F.lit(""))).alias("filter"), F.expr("try_cast(frame_index as int)").alias("frame_index"), *numbers)
+    """Metric CSV files, each read by its own header; the filter is a column or part of the file name metrics_<filter>.csv; numbers
+    that don't parse are null."""
+    names = [f.split(" ")[0] for f in schemas.FILTER_METRICS.split(", ")]
+    rows = _by_header(spark, path, "timestamp", names)
+    named = F.nullif(F.regexp_extract("file", "metrics_([^/]*?)\\.csv$", 1), F.lit(""))
+    numbers = [F.expr(f"try_cast({c} as double)").alias(c) for c in ("fps", "cpu_percent", "memory_percent", "gpu_percent")]
+    return rows.select("timestamp", F.coalesce(F.nullif("filter", F.lit("")), named).alias("filter"), F.expr("try_cast(frame_index as int)").alias("frame_index"), *numbers)
 
 
 def index_images(spark: SparkSession, root: str) -> DataFrame:
@@ -73,9 +100,11 @@ def read_hypotheses(spark: SparkSession, path: str, ending: str = ".flac.txt") -
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(code, text) of token files: the first |-separated field of every line but the header, joined in line order."""
-    whole = spark.read.text(path, wholetext=True).withColumn("code", F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)(\\.[^.]*)?$", 1))
-    lines = F.filter(F.split("value", "\r?\n"), lambda x, i: (i > 0) & (F.trim(x) != ""))
-    return whole.select("code", F.array_join(F.transform(lines, lambda x: F.split_part(x, F.lit("|"), F.lit(1))), " ").alias("text"))
+    lines = _lines(spark, path).withColumn("code", F.regexp_extract("file", "([^/]*?)(\\.[^./]*)?$", 1))
+    numbered = lines.withColumn("_n", F.row_number().over(W.partitionBy("file").orderBy("pos"))).where("_n > 1 and trim(line) <> ''")
+    token = F.struct("_n", F.split_part("line", F.lit("|"), F.lit(1)).alias("t"))
+    g = lines.select("file", "code").distinct().join(numbered.groupBy("file").agg(F.array_sort(F.collect_list(token)).alias("x")), "file", "left")
+    return g.select("code", F.coalesce(F.array_join("x.t", " "), F.lit("")).alias("text"))
 
 
 def write_transcript(cues: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from nodewell.functions.telemetry import rails
-from nodewell.operators import traffic
+from nodewell.operators import stats, traffic
 
 
 def stream_minute_rollup(events: DataFrame, ts: str = "ts", late: str = "10 minutes", metrics: tuple[str, ...] = traffic.METRICS) -> DataFrame:
@@ -46,7 +46,8 @@ def start_history_merge(minutes: DataFrame, path: str, checkpoint: str, days: in
 def stream_track_direction(points: DataFrame, threshold: float = 100, patience: int = 120, history: int = 120, least: int = 15, frame_ms: int = 33, late: str = "10 seconds") -> DataFrame:
     """traffic.track_direction over a stream of points (source, track_id, frame_idx, ts, cx): the state of a track is its open
     session's last `history` points; it is emitted when a later point leaves a gap of more than `patience` frames, or when the
-    watermark has passed that many frame periods. Points of one track must come in frame order within the watermark; the others are sorted in."""
+    watermark has passed that many frame periods. A point that comes a batch late is sorted into the open session if it is no
+    older than the session's points by more than `patience` frames; otherwise its session is over, and it is left out."""
 
     def verdict(key: tuple, session: int, pts: list) -> dict | None:
         if len(pts) < least:
@@ -66,10 +67,12 @@ def stream_track_direction(points: DataFrame, threshold: float = 100, patience:
             new = pd.concat(list(frames)).sort_values("frame_idx")
             last_ms = max(last_ms, int(new["ts"].max().timestamp() * 1000))
             for f, x in zip(new["frame_idx"].tolist(), new["cx"].tolist(), strict=True):
+                if pts and pts[0][0] - f - 1 > patience:
+                    continue
                 if pts and f - pts[-1][0] - 1 > patience:
                     done.append(verdict(key, session, pts))
                     pts, session = [], session + 1
-                pts = [*pts, (f, x)][-history:]
+                pts = sorted([*pts, (f, x)])[-history:]
         if pts:
             state.update((session, [f for f, _ in pts], [x for _, x in pts], last_ms))
             state.setTimeoutTimestamp(max(last_ms + (patience + 1) * frame_ms, state.getCurrentWatermarkMs() + 1))
@@ -83,12 +86,14 @@ def stream_track_direction(points: DataFrame, threshold: float = 100, patience:
     return points.withWatermark("ts", late).groupBy("source", "track_id").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_change_feed(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The last row per key and batch where it differs in `columns` from the last one sent."""
+def stream_change_feed(rows: DataFrame, key: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """The last row per key and batch, by the columns `order` (else by `columns` themselves, so that it is always the same one),
+    where it differs in `columns` from the last one sent."""
+    by = order or columns
     kinds = {c: rows.schema[c].dataType.simpleString() for c in [key, *columns]}
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.concat(list(frames)).iloc[-1]
+        last = pd.concat(list(frames)).sort_values(by, na_position="first").iloc[-1]
         own = tuple(None if pd.isna(v) else v for v in (last[c] for c in columns))
         if not state.exists or state.get != own:
             state.update(own)
@@ -96,7 +101,7 @@ def stream_change_feed(rows: DataFrame, key: str, columns: list[str]) -> DataFra
 
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
     kept = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-    return rows.select(key, *columns).groupBy(key).applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.NoTimeout)
+    return rows.select(key, *dict.fromkeys([*columns, *by])).groupBy(key).applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def sliding_chunks(samples: DataFrame, length: str, step: str, ts: str = "ts", keys: tuple[str, ...] = ("audio_id",), late: str | None = None) -> DataFrame:
@@ -114,9 +119,11 @@ def viewer_sessions(events: DataFrame, ts: str = "ts", user: str = "user_id", id
     return g.select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
-def stream_power(lines: DataFrame, run: str = "run", ts: str = "ts", width: str = "1 minute", late: str = "1 minute", rail: str = "VIN") -> DataFrame:
-    """Mean and peak watts, samples and energy (mean times width) per run and window, from telemetry lines (run, ts, value)."""
-    watts = F.try_element_at(rails(F.col("value")), F.lit(rail))
-    g = lines.withWatermark(ts, late).groupBy(run, F.window(ts, width).alias("w")).agg(F.avg(watts).alias("watts_avg"), F.max(watts).alias("watts_peak"), F.count(watts).alias("samples"))
+def stream_power(lines: DataFrame, run: str = "run", ts: str = "ts", width: str = "1 minute", late: str = "1 minute", edition: str = "board") -> DataFrame:
+    """Headline watts and their peak (see stats.headline_watts), samples and energy (watts times width) per run and window,
+    from telemetry lines (run, ts, value)."""
+    watts, peak = stats.headline_watts("_rails", edition)
+    known = lines.withWatermark(ts, late).withColumn("_rails", rails(F.col("value")))
+    g = known.groupBy(run, F.window(ts, width).alias("w")).agg(watts.alias("watts_avg"), peak.alias("watts_peak"), F.count("*").alias("samples"))
     seconds = F.unix_timestamp(F.col("w.end")) - F.unix_timestamp(F.col("w.start"))
     return g.select(run, F.col("w.start").alias("start"), "watts_avg", "watts_peak", "samples", (F.col("watts_avg") * seconds).alias("energy_joules"))

@@ -53,12 +53,17 @@ def test_violations_and_evaluation(spark):
     schema = "image string, model string, caption string, detected_classes array<string>, violations array<struct<type: string, claim: string, claim_raw: string, claim_normalized: string>>, claims array<string>, hallucination double, grounding double"
     v = lambda c, n=None: ("object_not_detected", c, None, n)
     rows = [
-        ("1", "m", "there is no dog", ["car"], [v("dog"), v("x", "bus"), v("wall"), v("train")], ["a", "b"], 1.0, None),
-        ("2", "m", "a bus", ["car"], [v("bus"), v("dog"), (None, None, None, None)], [], 0.5, 0.5),
+        ("1", "m", "Nobody here, a tram passes", ["Car", None], [v("dog"), v("x", "bus"), v("wall"), v("person"), v("car"), ("too_many_claims", "cat", None, None)], ["a", "b"], 1.0, None),
+        ("2", "m", "a dog that is not here", ["Bus"], [v("bus"), v("dog"), v(" Person "), (None, None, None, None)], [], 0.5, 0.5),
     ]
     df = spark.createDataFrame(rows, schema)
     got = {(r.image, r.claim): r.category for r in judge.categorised_violations(df).collect()}
-    assert got == {("1", "dog"): "negation", ("1", "bus"): "negation", ("1", "wall"): "label_space", ("1", "train"): "train_rail_tram", ("2", "bus"): "vehicle_family", ("2", "dog"): "unverified"}
+    assert got == {
+        ("1", "dog"): "unverified_object", ("1", "bus"): "vehicle_type_confusion", ("1", "wall"): "out_of_label_space", ("1", "person"): "caption_negation_conflict", ("1", "car"): "semantic_mismatch_train_car",
+        ("2", "bus"): "unverified_object", ("2", "dog"): "unverified_object", ("2", "person"): "unverified_object",
+    }
+    plain = df.limit(1).withColumn("violations", F.array(F.lit("cup"), F.lit("")))
+    assert [r.claim for r in judge.violation_claims(plain, ["image"]).collect()] == ["cup"]
     e = judge.judge_eval(df).first()
     assert (e.n, e.coverage, e.claims_per_caption, e.hallucination, e.grounding, e.grounding_covered) == (2, 0.5, 1.0, 0.75, 0.25, 0.0)
     assert [(r.claim, r.n) for r in judge.top_claims(judge.categorised_violations(df), 2).collect()] == [("bus", 2), ("dog", 2)]

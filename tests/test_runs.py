@@ -21,7 +21,7 @@ def record(**own):
 @pytest.fixture()
 def run_file(tmp_path):
     rows = [
-        record(outputs=[{"run": 0, "text": "a", "gen_latency_s": 1.0, "gen_len": 10, "tokens_per_sec": 0, "tokens_per_second": 5.0, "entity_recall": 1.0}, {"run": 1, "error": "x"}], hw_stats={"energy_joules_est": 20.0, "source": "b"}),
+        record(outputs=[{"run": 0, "text": "a", "count_accuracy": {"count_exact_accuracy": 0.5}, "gen_latency_s": 1.0, "gen_len": 10, "tokens_per_sec": 0, "tokens_per_second": 5.0, "entity_recall": 1.0}, {"run": 1, "error": "x"}], hw_stats={"energy_joules_est": 20.0, "source": "b"}),
         record(image_id="2", outputs=[{"run": 0, "error": "bad"}], hw_stats={"energy_joules_est": 40.0, "source": "a"}),
         record(image_id="3", hw_stats={"energy_joules_est": 1000.0, "source": "0"}),
         record(image_id="x7", device="e", outputs=[{"run": 0, "text": "b", "gen_latency_s": 3.0, "gen_len": 30, "tokens_per_sec": 8.0}]),
@@ -36,8 +36,9 @@ def test_reading_skips_bad_lines_and_keeps_grains_apart(spark, run_file):
     assert runs.count() == 4
     got = {r.device: r for r in stats.model_device_summary(runs).collect()}
     d = got["d"]
-    assert (d.n_records, d.n_outputs, d.n_valid) == (2, 3, 1)  # the record without outputs counts nowhere
-    assert d.energy_joules_mean == 30.0 and d.energy_mj_per_token == 3000.0 and d.hw_source == "a"
+    assert (d.n_records, d.n_outputs, d.n_recall_valid) == (3, 3, 1)  # of the record without outputs nothing else counts
+    assert d.energy_joules_mean == 30.0 and d.energy_per_token_mj_mean == 3000.0 and d.hw_source == "a"
+    assert d.count_exact_mean is None and len(d) == 26
     assert d.tokens_per_sec_mean == 5.0  # zero falls through to the other name
     ids = {r.image_id for r in sources.identified(runs).collect()}
     assert ids == {1, 2, 3, None}

@@ -90,6 +90,10 @@ def test_sequence_quality(spark):
     rows = [(1, 1, i, i % 2 if i >= 8 else 7, -0.5) for i in range(40)]
     q = speech.sequence_quality(spark.createDataFrame(rows, "audio_id int, seg_no int, tok_no int, id int, plog double")).first()
     assert q.sum_logprobs == -20.0 and q.score == -0.5 and q.entropy == pytest.approx(math.log(2)) and q.failed
+    flags = "audio_id int, seg_no int, tok_no int, id int, plog double, ns double"
+    told = lambda plog, ns, n=8: speech.sequence_quality(spark.createDataFrame([(1, 1, i, i, plog, ns) for i in range(n)], flags), "ns").first()
+    assert (told(-1.5, 0.1).no_speech, told(-1.5, 0.1).fallback) == (False, True) and (told(-1.5, 0.9).no_speech, told(-1.5, 0.9).fallback) == (True, False)
+    assert not told(-0.5, 0.1).fallback
     penal = speech.sequence_quality(spark.createDataFrame(rows[:32], "audio_id int, seg_no int, tok_no int, id int, plog double"), length_penalty=1.0).first()
     assert penal.score == pytest.approx(-16 / (37 / 6)) and not penal.failed
 
@@ -100,7 +104,10 @@ def test_energies(spark):
     assert g.energy_last == pytest.approx(0.1) and g.silent_tail
     assert not speech.speech_energy_gate(x, last_ms=20, rate=2000).first().silent_tail
     filtered = [r.value for r in speech.high_pass(x, 100.0, 2000).orderBy("i").collect()]
-    assert filtered[0] == 1.0 and abs(filtered[29]) < 0.01
+    a = 1 / 2000 / (1 / (2 * 3.141592653589793 * 100) + 1 / 2000)
+    assert filtered[:3] == [1.0, pytest.approx(a), pytest.approx(a * a)]
+    textbook = [r.value for r in speech.high_pass(x, 100.0, 2000, textbook=True).orderBy("i").collect()]
+    assert textbook[1] == pytest.approx(1 - a) and abs(textbook[29]) < 0.01
     s = spark.createDataFrame([(1, i, 0.0 if i < 50 else 2.0, 1.0) for i in range(100)], "audio_id int, i long, left double, right double")
     seg = spark.createDataFrame([(1, 0, 0, 5), (1, 1, 5, 10), (1, 2, 3, 8), (2, 0, 0, 5)], "audio_id int, seg_no int, t0 long, t1 long")
     got = {(r.audio_id, r.seg_no): (r.energy0, r.energy1, r.speaker) for r in speech.segment_energy(seg, s, rate=1000).collect()}
@@ -141,11 +148,30 @@ def test_speech_segments_by_hand(spark):
     assert len(cut) == 1  # cut on the spot, and joined again as no gap is left
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.floats(0, 1), max_size=120), st.sampled_from([float("inf"), 30_000.0]))
-def test_stretches_are_ordered_and_apart(probs, limit):
-    found = speech.speech_stretches(probs, 1600, 0.5, 4000, 1600, limit)
+def stretches(kinds, min_speech=4000, min_silence=1600, limit=float("inf"), joined=True):
+    """Of a text of one sign per window of 1600: # on, - on hold, . off; joined: as few runs as there can be."""
+    state, out, i = speech.Stretches(1600, min_speech, min_silence, limit), [], 0
+    while i < len(kinds):
+        n = len(kinds[i:]) - len(kinds[i:].lstrip(kinds[i])) if joined else 1
+        out += state.run(".-#".index(kinds[i]), i, i + n - 1)
+        i += n
+    return [(a // 1600, b // 1600) for a, b in [*out, *state.end(1600 * len(kinds))]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(".-#", max_size=80), st.sampled_from([float("inf"), 5_000, 30_000]), st.sampled_from([0, 1600, 4000]))
+def test_stretches_are_ordered_and_do_not_depend_on_the_runs(kinds, limit, silence):
+    found = stretches(kinds, min_silence=silence, limit=limit)
     assert all(a < b for a, b in found) and all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+    if limit == float("inf"):
+        assert all(kinds[a] == "#" for a, _ in found)
+
+
+def test_long_speech_is_cut_at_its_last_pause():
+    assert stretches("##########", limit=4800) == [(0, 4), (5, 9)]  # on the spot, and on with the next window; the rest is too short
+    assert stretches("####...####", min_silence=8000, limit=12_800) == [(0, 4), (7, 11)]
+    assert stretches("###-...-..", min_silence=16_000, limit=12_800) == [(0, 4)]  # quiet since, so nothing goes on
+    assert stretches("####.#.####", min_silence=8000, limit=12_800) == [(0, 9)]  # pauses of one window are no place to cut
 
 
 def test_transcript_files(spark, tmp_path):
@@ -162,5 +188,9 @@ def test_transcript_files(spark, tmp_path):
 
 
 def test_log_cleaning(spark):
-    log = "engine_init_from_file: x\n\x1b[2K[00:00.000 --> 00:01.000]  hello \nmain: y\n\n  there\r\n"
-    assert spark.range(1).select(telemetry.clean_transcript_log(F.lit(log))).first()[0] == "hello there"
+    log = "whisper_init: x\n\x1b[2K[00:00.000 --> 00:01.000]  hello \nmain: y\n\n  there\r\nmother_in_law: z\n[noise]\nsystem_info: n\nx whisper_print_timings: 1 ms"
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(telemetry.clean_transcript_log(F.lit(log))) == "hello there mother_in_law: z"
+    chunk = "Script started on\nggml_x\n[BLANK_AUDIO]\nNvRm z\n### a\n[00:00.000 --> 00:01.000]  hello\nrequired: 3\n[Start speaking]\nold\r" + " " * 30 + "\rnew [BLANK_AUDIO]\n"
+    assert one(telemetry.clean_transcript_chunk(F.lit(chunk))) == "hello\nold\nnew\n" and one(telemetry.clean_transcript_chunk(F.lit("main: x"))) == ""
+    assert one(telemetry.build_config(F.lit("AVX2 = 0 | NEON = 1 | CUDA : ARCHS = 8 | CUDA = 1"))) == " NEON CUDA"

@@ -62,9 +62,18 @@ def test_track_direction(spark, tmp_path):
     assert expected == found and {e[0] for e in expected} == {1, 2}
 
 
+def test_points_that_come_a_batch_late_are_sorted_in(spark, tmp_path):
+    frames = [*range(0, 20, 2), *range(1, 20, 2), *range(20, 30), 2000]
+    rows = [("s", 1, f, T0 + timedelta(milliseconds=33 * f), 20 * f) for f in frames]
+    schema = "source string, track_id long, frame_idx long, ts timestamp, cx long"
+    batch, stream = written(spark, tmp_path, rows, schema)
+    found = collected(spark, streams.stream_track_direction(stream), tmp_path)
+    assert [(r.points, r.x_start, r.x_end) for r in found] == [(30, 0, 580)]
+
+
 def test_change_feed(spark, tmp_path):
-    batch, stream = written(spark, tmp_path, [("k", 1), ("k", 1), ("k", 2)], "key string, v long")
-    assert [r.v for r in collected(spark, streams.stream_change_feed(stream, "key", ["v"]), tmp_path)] == [1, 2]
+    batch, stream = written(spark, tmp_path, [("k", 1, 1), ("k", 1, 2), ("k", 2, 9), ("k", 3, 4), ("k", 3, 5), ("k", 5, 3)], "key string, v long, n long")
+    assert [r.v for r in collected(spark, streams.stream_change_feed(stream, "key", ["v"], ["n"]), tmp_path)] == [1, 2, 3]
 
 
 def test_history_keeps_the_last_days(spark, tmp_path):

@@ -215,10 +215,11 @@ def secret_parts(text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def train(df: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = 2000, max_windows: int = 20_000) -> Model:
-    """A model of the rows that the base patterns label: sample_rows documents at most, those with the smallest hash of
-    key and text, and max_windows windows of them, evenly spread; besides SEED_LINES. Null texts are left out."""
-    whole = df.select(F.col(text).alias("t"), F.xxhash64(key, text).alias("h")).where("t is not null")
+def train(df: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = 2000, max_windows: int = 20_000, max_text_bytes: int = 1 << 16) -> Model:
+    """A model of the rows that the base patterns label: sample_rows documents of max_text_bytes at most, those with the
+    smallest hash of key and text, and max_windows windows of them, evenly spread; besides SEED_LINES. So the driver holds
+    131 MB of texts at most. Null texts are left out."""
+    whole = df.where(F.octet_length(text) <= max_text_bytes).select(F.col(text).alias("t"), F.xxhash64(key, text).alias("h")).where("t is not null")
     last = whole.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
     sample = whole.where(F.col("h") <= (0 if last is None else last)).limit(sample_rows)
     rows: list = []
@@ -273,8 +274,8 @@ def all_spans(text: str, model: Model, min_chars: int = 8) -> list[tuple[str, in
 def find_secrets(df: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of df with `secrets`: array of (kind, start, end) in code points, end exclusive, by start and kind.
 
-    Null and empty texts have none; repeated rows get equal results; an empty table gives none. Whole texts are
-    scanned in their own task, nothing is shuffled. A column `secrets` of df is replaced. Without a model, one is trained on df; see train.
+    Null and empty texts have none; repeated rows get equal results; an empty table gives none. Whole texts of any length are
+    scanned in their own task, one at a time; nothing is shuffled. A column `secrets` of df is replaced. Without a model, one is trained on df; see train.
     """
     model = model or train(df, key, text)
     return _scanned(df.drop("secrets"), model, text, False)

@@ -13,7 +13,7 @@ from nodewell.llm.common import join_few, materialise
 
 WINDOW, GRAM = 20, 8
 #: Bytes of the suffixes of a group; a larger one is split by the longest prefix, the whole window.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 1 << 20
 #: Groups are collected up to so many bytes of suffixes before their subtrees are built.
 BUFFER_BYTES = 16 << 20
 #: Bytes that a suffix takes besides its words.

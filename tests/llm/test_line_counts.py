@@ -17,3 +17,14 @@ def test_furniture_counts_every_document_that_holds_it(spark):
     assert sorted(r.docs for r in quality.frequent_lines(df).collect()) == [40] * 8
     removed = {r.doc_id: r.quality.removed_words for r in quality.judge(df).collect()}
     assert all(removed[i] == 40 for i in range(40)) and not any(removed[100 + i] for i in range(40))
+
+
+def test_neither_a_lines_digest_nor_a_tie_decides(spark):
+    rows = []
+    for k in range(8):  # lines whose digests are high and low, each in 150 of 300 documents of a host of its own
+        rows += [(1000 * k + i, f"line {k} of all\nown {k} {i} a b c d" if i < 150 else f"own {k} {i} a b c d", f"h{k}") for i in range(300)]
+    for host, n, total in (("at twenty", 20, 100), ("above twenty", 21, 100), ("at five percent", 25, 500), ("above five percent", 26, 500)):
+        rows += [(9000, ("shared\n" if i < n else "") + f"text {i} of its own", host) for i in range(total)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {r.host: r.docs for r in quality.frequent_lines(df).collect()}
+    assert found == {**{f"h{k}": 150 for k in range(8)}, "above twenty": 21, "above five percent": 26}

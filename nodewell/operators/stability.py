@@ -57,8 +57,9 @@ def cross_device_agreement(pairs: DataFrame) -> DataFrame:
 
 
 def semantic_duplicates(df: DataFrame, group: list[str], key: str, vector: str = "embedding", limit: float = 0.95, block_rows: int = 2000) -> DataFrame:
-    """(group, key_a, key_b, cosine) with key_a < key_b of all pairs in a group whose cosine is limit or more. A group is cut into blocks of about
-    block_rows vectors by hash and each pair of blocks is one task, so a large group is spread and never held as a whole."""
+    """(group, key, links, total) of every row that has duplicates: the number of rows of its group whose cosine with it is limit
+    or more, and the sum of these cosines. A group is cut into blocks of about block_rows vectors by hash and each pair of blocks
+    is one task, so a large group is spread and never held as a whole, and a task gives a row per vector, not its pairs."""
     import numpy as np
     import pandas as pd
 
@@ -69,21 +70,25 @@ def semantic_duplicates(df: DataFrame, group: list[str], key: str, vector: str =
     right = own.select(*group, key, vector, F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"), F.col("_b").alias("_j"))
     keys = [*group, "_i", "_j"]
     kinds = {c: df.schema[c].dataType.simpleString() for c in [*group, key]}
+    names = [*group, key, "links", "total"]
 
     def search(k: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({c: np.array([], dtype=object) for c in [*group, "key_a", "key_b", "cosine"]})
+            return pd.DataFrame({c: np.array([], dtype=object) for c in names})
         b = b.rename(columns=lambda c: c[:-1])
         unit = [np.stack(x[vector].to_numpy()).astype(float) for x in (a, b)]
         x, y = (u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300) for u in unit)
         c = x @ y.T
-        i, j = np.nonzero(c >= limit)
-        p, q = a[key].to_numpy()[i], b[key].to_numpy()[j]
-        keep = p != q if k[-1] != k[-2] else p < q
-        low, high = np.minimum(p, q)[keep], np.maximum(p, q)[keep]
-        out = {g: np.array([x] * len(low), dtype=object) for g, x in zip(group, k, strict=False)}
-        return pd.DataFrame({**out, "key_a": low, "key_b": high, "cosine": c[i, j][keep]})
-
-    schema = ", ".join([*[f"`{g}` {kinds[g]}" for g in group], f"key_a {kinds[key]}", f"key_b {kinds[key]}", "cosine double"])
+        near = c >= limit
+        if k[-1] == k[-2]:
+            near &= a[key].to_numpy()[:, None] != b[key].to_numpy()[None, :]
+        parts = [(a, near.sum(axis=1), np.where(near, c, 0).sum(axis=1))]
+        if k[-1] != k[-2]:
+            parts.append((b, near.sum(axis=0), np.where(near, c, 0).sum(axis=0)))
+        out = [pd.DataFrame({**{g: [v] * int((n > 0).sum()) for g, v in zip(group, k, strict=False)}, key: d[key].to_numpy()[n > 0], "links": n[n > 0], "total": t[n > 0]}) for d, n, t in parts]
+        return pd.concat(out)[names]
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*group, key]], "links bigint, total double"])
     right = right.toDF(*[f"{c}_" for c in right.columns])
-    return left.groupBy(*keys).cogroup(right.groupBy(*[f"{c}_" for c in keys])).applyInPandas(search, schema)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*[f"{c}_" for c in keys])).applyInPandas(search, schema)
+    return found.groupBy(*group, key).agg(F.sum("links").alias("links"), F.sum("total").alias("total"))

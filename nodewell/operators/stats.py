@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from nodewell.functions.scalars import falsy_or, nearest_rank
+from nodewell.functions.scalars import falsy_or
 
 
 def percentile(c: Column, p: float, approx: bool = False) -> Column:
@@ -12,6 +12,40 @@ def percentile(c: Column, p: float, approx: bool = False) -> Column:
     return F.percentile_approx(c, p, 10_000) if approx else F.percentile(c, p)
 
 
+def ranked_percentiles(df: DataFrame, keys: list[str], value: str, percents: dict[str, float], nearest: bool = False, bins: int = 100) -> DataFrame:
+    """(keys, one column per name of percents, from 0 to 100) by exact ranks, interpolated, or of the nearest rank, halves to even.
+
+    For groups of any size: equal values are counted first, approximate quantiles part a group into bins, counts tell which bins
+    hold the wanted ranks, and only the values in these are put in order, a hundredth of a group at a time. Nulls don't count.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    values = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    cuts = values.groupBy(*keys).agg(F.percentile_approx("_v", [(b + 1) / bins for b in range(bins - 1)], 10 * bins).alias("_cuts"), F.sum("_c").alias("_all"))
+    placed = values.join(cuts, keys).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    running = F.sum("_n").over(W.partitionBy(*keys).orderBy("_b"))
+    counts = placed.groupBy(*keys, "_b", "_all").agg(F.sum("_c").alias("_n")).withColumn("_from", running - F.col("_n"))
+
+    def ranks(percent: float) -> tuple[Column, Column, Column]:
+        at = F.lit(percent / 100.0) * (F.col("_all") - 1)
+        return (F.rint(at), F.rint(at), at) if nearest else (F.floor(at), F.ceil(at), at)
+
+    wanted = [r for p in percents.values() for r in ranks(p)[:2]]
+    holds = F.exists(F.array(*[w.cast("bigint") for w in wanted]), lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_n")))
+    some = placed.join(counts.where(holds).select(*keys, "_b", "_from"), [*keys, "_b"])
+    upto = F.col("_from") + F.sum("_c").over(W.partitionBy(*keys, "_b").orderBy("_v"))
+    some = some.withColumn("_to", upto)
+
+    def at_rank(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("_to")) & (rank >= F.col("_to") - F.col("_c")), F.col("_v")))
+
+    found = some.groupBy(*keys, "_all").agg(*[at_rank(r).alias(f"_{side}_{n}") for n, p in percents.items() for side, r in zip(("low", "high"), ranks(p), strict=False)])
+    out = []
+    for n, p in percents.items():
+        low, high, at = F.col(f"_low_{n}"), F.col(f"_high_{n}"), ranks(p)[2]
+        out.append((low if nearest else low + (high - low) * (at - F.floor(at))).alias(n))
+    return found.select(*keys, *out)
+
+
 def model_device_summary(runs: DataFrame, approx: bool = False) -> DataFrame:
     """One row per (model, device) of nested run records, at two grains: hardware values count once per record with an
     output, quality and latency once per output without error; n_records and n_outputs count all. Count metrics are of the task
@@ -64,19 +98,20 @@ def task_breakdown(outputs: DataFrame) -> DataFrame:
     )
 
 
-def latency_tail(outputs: DataFrame, keys: list[str], latency: str = "latency", variant: str = "rounded", approx: bool = False) -> DataFrame:
+def latency_tail(outputs: DataFrame, keys: list[str], latency: str = "latency", variant: str = "rounded", approx: bool = False, ranks: bool = False) -> DataFrame:
     """n, p50, p95, p99, max, mean, population std and tail ratio p99 / p50 of the unrounded values. rounded: 4 and 3
-    places; plain: unrounded, with counts above 5, 6 and 7 seconds; the ratio is null where p50 is 0."""
+    places; plain: unrounded, with counts above 5, 6 and 7 seconds; the ratio is null where p50 is 0. Percentiles are exact, by a map
+    of a group's values and counts, with ranks by ranked_percentiles, which holds no group; or approximate."""
     c = F.col(latency)
-    if approx:
-        ps = F.percentile_approx(c, [0.5, 0.95, 0.99], 10_000)
-    else:
-        ps = F.percentile(c, [0.5, 0.95, 0.99])
+    names = {"p50": 50.0, "p95": 95.0, "p99": 99.0}
+    shares = [p / 100 for p in names.values()]
+    ps = [] if ranks else [(F.percentile_approx(c, shares, 10_000) if approx else F.percentile(c, shares)).alias("_p")]
     g = outputs.groupBy(*keys).agg(
-        F.count("*").alias("n"), ps.alias("_p"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"),
+        F.count("*").alias("n"), *ps, F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"),
         *[F.count_if(c > s).alias(f"over_{s}s") for s in (5, 6, 7)],
     )
-    g = g.withColumns({"p50": F.col("_p")[0], "p95": F.col("_p")[1], "p99": F.col("_p")[2]}).withColumn("tail_ratio", F.try_divide("p99", "p50"))
+    g = g.join(ranked_percentiles(outputs, keys, latency, names), keys) if ranks else g.withColumns({n: F.col("_p")[i] for i, n in enumerate(names)})
+    g = g.withColumn("tail_ratio", F.try_divide("p99", "p50"))
     if variant == "rounded":
         four = {n: F.round(F.round(n, 9), 4) for n in ("p50", "p95", "p99", "max", "mean", "std")}
         return g.withColumns(four | {"tail_ratio": F.round(F.round("tail_ratio", 9), 3)}).select(*keys, "n", *four, "tail_ratio")
@@ -106,21 +141,16 @@ def load_audit(outputs: DataFrame) -> DataFrame:
 
 def deployment_summary(runs: DataFrame, key: str = "run_group") -> DataFrame:
     """Per run group: records, errors, and of the others latency and throughput (mean, min, max and nearest-rank p50, p90,
-    p99), rounded to 3 places. Values are counted first, so that a group's array holds distinct values only."""
+    p99), rounded to 3 places."""
     ok = F.coalesce("error", F.lit("")) == ""
-    base = runs.groupBy(key).agg(F.count("*").alias("records"), F.count_if(~ok).alias("errors"))
-    out = base
-    for c, name in (("latency_ms", "latency"), ("images_per_second", "throughput")):
-        values = runs.where(ok & F.col(c).isNotNull()).groupBy(key, F.col(c).alias("v")).agg(F.count("*").alias("n"))
-        w = W.partitionBy(key).orderBy("v")
-        total = F.sum("n").over(W.partitionBy(key))
-        ranked = values.withColumns({"_to": F.sum("n").over(w), "_all": total})
-        marks = [
-            F.min(F.when(F.rint((F.col("_all") - 1) * p / 100) < F.col("_to"), F.col("v"))).alias(f"{name}_p{p}") for p in (50, 90, 99)
-        ]
-        stats = ranked.groupBy(key).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias(f"{name}_mean"), F.min("v").alias(f"{name}_min"), F.max("v").alias(f"{name}_max"), *marks)
-        out = out.join(stats.select(key, *[F.round(F.round(x, 9), 3).alias(x) for x in stats.columns[1:]]), key, "left")
-    return out
+    named = {"latency": "latency_ms", "throughput": "images_per_second"}
+    both = F.array(*[F.struct(F.lit(n).alias("m"), F.when(ok, F.col(c).cast("double")).alias("v")) for n, c in named.items()])
+    long = runs.select(key, F.inline(both)).where("v is not null")
+    marks = ranked_percentiles(long, [key, "m"], "v", {"p50": 50.0, "p90": 90.0, "p99": 99.0}, nearest=True)
+    stats = long.groupBy(key, "m").agg(F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max")).join(marks, [key, "m"])
+    near = lambda m, c: F.round(F.round(F.max(F.when(F.col("m") == m, F.col(c))), 9), 3).alias(f"{m}_{c}")
+    wide = stats.groupBy(key).agg(*[near(m, c) for m in named for c in ("mean", "min", "max", "p50", "p90", "p99")])
+    return runs.groupBy(key).agg(F.count("*").alias("records"), F.count_if(~ok).alias("errors")).join(wide, key, "left")
 
 
 def headline_watts(rails: str, edition: str = "board") -> tuple[Column, Column]:
@@ -223,3 +253,16 @@ def hallucination_report(outputs: DataFrame, keys: tuple[str, ...] = ("model", "
     )
     share = (F.col("empty") + F.col("refusals") + F.col("_z")) / F.col("outputs")
     return g.withColumn("severity", F.when(share > 0.1, "high").when(share > 0.02, "medium").otherwise("low")).drop("_z")
+
+
+def flagged_outputs(outputs: DataFrame, order: list[str], keys: tuple[str, ...] = ("model", "device"), min_chars: int = 20, recall_zero: float = 0.0, per_flag: int = 5) -> DataFrame:
+    """(keys, flag, rank, order, text): examples of what hallucination_report counts, per_flag of each flag and group, the first by
+    the columns of order. Flags: empty, refusal, surface_duplicate, recall_zero; an output may have several."""
+    text = F.trim(F.coalesce("text", F.lit("")))
+    again = outputs.groupBy(*keys, text.alias("_t")).agg(F.count("*").alias("_n")).where((F.length("_t") >= min_chars) & (F.col("_n") > 1))
+    marked = outputs.withColumn("_t", text).join(again, [*keys, "_t"], "left")
+    tests = {"empty": F.col("_t") == "", "refusal": F.col("_t").rlike(REFUSAL), "surface_duplicate": F.col("_n").isNotNull(), "recall_zero": F.col("entity_recall") <= recall_zero}
+    flags = F.array_compact(F.array(*[F.when(test, flag) for flag, test in tests.items()]))
+    each = marked.select(*keys, F.explode(flags).alias("flag"), *order, F.col("_t").alias("text"))
+    rank = F.row_number().over(W.partitionBy(*keys, "flag").orderBy(*order, "text"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= per_flag)

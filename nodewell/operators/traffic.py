@@ -118,10 +118,14 @@ def period_rollup(minutes: DataFrame, unit: str = "week", metrics: tuple[str, ..
 
 
 def change_feed(minutes: DataFrame, order: tuple[str, ...], columns: list[str]) -> DataFrame:
-    """Rows that differ in `columns` from the row before, in one order: a feed of a single small table."""
-    w = W.orderBy(*order)
-    own = F.struct(*columns)
-    return minutes.withColumn("_b", F.lag(own).over(w)).where(~own.eqNullSafe(F.col("_b"))).drop("_b")
+    """Rows that differ in `columns` from the row before, in one order, whose columns should tell any two rows apart. Each value of
+    the order's first column, a date, is a task of its own; only the last rows of the dates pass through one."""
+    day, own = order[0], F.struct(*columns)
+    last = minutes.groupBy(day).agg(F.max_by(own, F.struct(*order)).alias("_l"))
+    before = last.select(day, F.lag("_l").over(W.orderBy(day)).alias("_d"))
+    w = W.partitionBy(day).orderBy(*order)
+    marked = minutes.withColumns({"_b": F.lag(own).over(w), "_k": F.row_number().over(w)}).join(before.withColumnRenamed(day, "_day"), F.col(day).eqNullSafe(F.col("_day")))
+    return marked.where(~own.eqNullSafe(F.when(F.col("_k") == 1, F.col("_d")).otherwise(F.col("_b")))).select(*minutes.columns)
 
 
 def latest_minute(minutes: DataFrame) -> DataFrame:

@@ -28,6 +28,10 @@ def latency_tail(spark, sf):
     return stats.latency_tail(enrich.usable_latencies(outputs(spark, sf)), KEYS)
 
 
+def latency_tail_ranks(spark, sf):
+    return stats.latency_tail(enrich.usable_latencies(outputs(spark, sf)), KEYS, ranks=True)
+
+
 def latency_tail_plain(spark, sf):
     return rounded(stats.latency_tail(enrich.usable_latencies(outputs(spark, sf), "lenient"), KEYS[:2], variant="plain"))
 
@@ -122,6 +126,11 @@ def hallucination_report(spark, sf):
     return rounded(stats.hallucination_report(o.withColumn("text", F.when(F.col("error").isNotNull(), F.concat(F.lit("I'm sorry, no "), "text")).otherwise(F.col("text"))), min_chars=8))
 
 
+def flagged_outputs(spark, sf):
+    o = outputs(spark, sf).withColumn("text", F.when(F.col("error").isNotNull(), F.concat(F.lit("As an AI, "), "text")).otherwise(F.col("text")))
+    return stats.flagged_outputs(o, ["image_id", "pos", "part_id"], min_chars=8).distinct()
+
+
 def tokens_per_second(spark, sf):
     o = outputs(spark, sf)
     return o.select("image_id", "pos", "part_id", "gen_len", scalars.tokens_per_second(F.col("gen_len"), F.col("latency")).alias("tps")).groupBy("image_id").agg(F.count("tps").alias("n"), F.round(F.sum("tps"), 3).alias("tps"))
@@ -156,8 +165,8 @@ def run_union(spark, sf):
 
 
 QUERIES = [
-    latency_tail, latency_tail_plain, tail_by_model, headline_tails, load_audit, model_device_summary, task_breakdown, deployment_summary, power_summary, gpu_power_summary, meter_summary, output_latencies, rail_summary,
-    filter_describe, resource_curve, frame_rate, tradeoff_table, spreads, hallucination_report, tokens_per_second, pending_work, completed_images, ground_truth, run_union,
+    latency_tail, latency_tail_ranks, latency_tail_plain, tail_by_model, headline_tails, load_audit, model_device_summary, task_breakdown, deployment_summary, power_summary, gpu_power_summary, meter_summary, output_latencies, rail_summary,
+    filter_describe, resource_curve, frame_rate, tradeoff_table, spreads, hallucination_report, flagged_outputs, tokens_per_second, pending_work, completed_images, ground_truth, run_union,
 ]
 
 TRADEOFF = f"""
@@ -179,6 +188,7 @@ RAILS = """
 
 ORACLE = {
     "latency_tail": TAIL,
+    "latency_tail_ranks": TAIL,
     "latency_tail_plain": f"""
         select model, device, count(*) as n, round(quantile_cont(latency, 0.5), 6) as p50, round(quantile_cont(latency, 0.95), 6) as p95, round(quantile_cont(latency, 0.99), 6) as p99,
                round(max(latency), 6) as max, round(avg(latency), 6) as mean, round(stddev_pop(latency), 6) as std, round(quantile_cont(latency, 0.99) / quantile_cont(latency, 0.5), 6) as tail_ratio,
@@ -248,6 +258,12 @@ ORACLE = {
           select model, device, cast(sum(n) as bigint) as outputs, cast(coalesce(sum(n) filter (where t = ''), 0) as bigint) as empty, cast(coalesce(sum(n) filter (where t like 'I''m sorry%'), 0) as bigint) as refusals,
                  cast(coalesce(sum(n) filter (where length(t) >= 8 and n > 1), 0) as bigint) as surface_duplicates, round(sum(r) / sum(c), 6) as recall_mean, round(sum(z) / sum(c), 6) as recall_zero_rate, sum(z) as z
           from (select model, device, trim(case when error is not null then 'I''m sorry, no ' || text else text end) as t, count(*) as n, sum(entity_recall) as r, count(entity_recall) as c, count(*) filter (where entity_recall <= 0) as z from ({OUTPUTS}) group by all) group by all)""",
+    "flagged_outputs": f"""
+        with o as (select model, device, image_id, pos, part_id, entity_recall, trim(case when error is not null then 'As an AI, ' || text else text end) as text from ({OUTPUTS})),
+        n as (select *, count(*) over (partition by model, device, text) as n from o),
+        f as (select *, 'empty' as flag from n where text = '' union all select *, 'refusal' from n where text like 'As an AI%' union all select *, 'surface_duplicate' from n where length(text) >= 8 and n > 1
+              union all select *, 'recall_zero' from n where entity_recall <= 0)
+        select distinct model, device, flag, image_id, pos, part_id, text, cast(rank as int) as rank from (select *, row_number() over (partition by model, device, flag order by image_id, pos, part_id, text) as rank from f) where rank <= 5""",
     "tokens_per_second": f"select image_id, count(tps) as n, round(sum(tps), 3) as tps from (select image_id, case when gen_len > 0 and latency > 0 then round(round(gen_len / latency, 9), 3) end as tps from ({OUTPUTS})) group by 1",
     "pending_work": f"""
         select o_orderkey as image_id, task from orders, (values ('ECONOMY'), ('STANDARD'), ('PROMO'), ('LARGE')) t(task)

@@ -41,7 +41,7 @@ def cross_device_agreement(spark, sf):
 
 def semantic_duplicates(spark, sf):
     found = stability.semantic_duplicates(vectors(spark, sf), ["image_id"], "vec_id", limit=0.3)
-    return found.groupBy("image_id").agg(F.count("*").alias("pairs"), F.round(F.sum("cosine"), 3).alias("total"))
+    return found.groupBy("image_id").agg(F.count("*").alias("rows"), F.max("links").alias("most_links"), (F.sum("links") / 2).cast("bigint").alias("pairs"), F.round(F.sum("total") / 2, 3).alias("total"))
 
 
 def knn_captions(spark, sf):
@@ -66,8 +66,7 @@ def clip_scores(spark, sf):
 
 def entity_recall(spark, sf):
     d = table(spark, sf, "documents")
-    wanted = F.array(*[F.lit(x) for x in ("the", "train", "and", "person", "on the")])
-    return d.select("doc_id", captions.entity_recall(F.col("text"), wanted).alias("recall"))
+    return d.select("doc_id", captions.entity_recall(F.col("text"), ["the", "train", "and", "person", "on the"]).alias("recall"))
 
 
 SCENES = ("near dining tables", "with a dog", "by parked trucks", "and potted plants, a plant")
@@ -192,8 +191,9 @@ ORACLE = {
         select 'm' as model, round(avg(c), 5) as mean, round(min(c), 5) as min, round(stddev_pop(c), 5) as std, count(*) as n_pairs
         from (select list_cosine_similarity(a.v, b.v) as c from {MEAN} a join {MEAN} b on a.image_id = b.image_id and a.device < b.device)""",
     "semantic_duplicates": f"""
-        select cast(image_id as bigint) as image_id, count(*) as pairs, round(sum(c), 3) as total from (
-          select a.image_id, list_cosine_similarity(a.v, b.v) as c from {E} a join {E} b on a.image_id = b.image_id and a.vec_id < b.vec_id) where c >= 0.3 group by 1""",
+        select cast(image_id as bigint) as image_id, count(*) as rows, max(n) as most_links, cast(sum(n) / 2 as bigint) as pairs, round(sum(c) / 2, 3) as total from (
+          select image_id, vec_id, count(*) as n, sum(c) as c from (
+            select a.image_id, a.vec_id, list_cosine_similarity(a.v, b.v) as c from {E} a join {E} b on a.image_id = b.image_id and a.vec_id <> b.vec_id) where c >= 0.3 group by all) group by 1""",
     "knn_captions": f"select query_id, cast(rank as int) as rank, corpus_id, round(d, 4) as distance from ({KNN}) where rank <= 5",
     "caption_similarity": f"""
         select a.vec_id, cast(a.image_id as bigint) as image_id, round(max(list_cosine_similarity(a.v, b.v)), 5) as caption_similarity_max, round(avg(list_cosine_similarity(a.v, b.v)), 5) as caption_similarity_mean

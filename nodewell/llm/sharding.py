@@ -67,7 +67,8 @@ def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "
     Rows lie on the ring by the hash of their key. The load is the number of rows; with slack 0
     every shard is filled to exactly its share, so counts are at most one apart. A null key hashes
     like any other value, a null text is empty; repeated rows and keys each take a slot of their own.
-    Other columns are left out. An empty table gives an empty result.
+    Other columns are left out. An empty table gives an empty result. Texts of any length are only measured, where they lie.
+    Rows that repeat key, size and checksum, such as null keys with one text, are numbered by one task, which streams them.
 
     Only counts leave the executors: one per arc of the ring, shards * vnodes at most. Rows are numbered
     in two levels (position and part, then running sums over those), so no window spans a shard.

@@ -54,7 +54,7 @@ def match_listed(df: DataFrame, url: str, listed: DataFrame, max_filter_mb: int
 
     The filter has 512-bit blocks, as many as the list needs but max_filter_mb at most, so its broadcast is bounded
     by construction; a list beyond that only lets more rows through to the exact join. Rows that the filter passes
-    are joined with the list by hash; the others never leave their task. Null or malformed URLs are not listed,
+    are joined with the list by hash; the others never leave their task. URLs of any length are taken whole. Null or malformed URLs are not listed,
     repeated ones count once, rows and other columns of df are kept as they are.
     """
     df = df.drop("listed")

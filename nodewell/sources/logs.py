@@ -15,7 +15,8 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _by_header(spark: SparkSession, path: str, field: str, names: list[str]) -> DataFrame:
     """(file, names as strings) of CSV files, each read by its own header, the line that has the given field name; a column
-    that a file lacks is null. Only the distinct headers come to the driver."""
+    that a file lacks is null. A file without a header is left out, as nothing tells its columns. Only the distinct headers come
+    to the driver."""
     lines = _lines(spark, path).where("trim(line) <> ''")
     is_head = F.array_contains(F.transform(F.split("line", ","), lambda x: F.trim(x)), field)
     heads = lines.where(is_head).groupBy("file").agg(F.min("line").alias("_h"))

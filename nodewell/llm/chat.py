@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from nodewell.llm.workers import tidy
+
 
 @dataclass(frozen=True)
 class Template:
@@ -122,7 +124,7 @@ def format_conversations(df: DataFrame, template: Template | None = None, conv:
     kind = df.schema[conv].dataType.simpleString()
     rows = df.select(F.col(conv).alias("conv"), F.col(turn).alias("_n"), *[F.coalesce(F.col(c), F.lit("")).alias(a) for c, a in ((role, "role"), (text, "text"))])
     dealt = rows.repartition("conv").sortWithinPartitions("conv", "_n", "role", "text").select("conv", "role", "text")
-    return dealt.mapInArrow(run, f"conv {kind}, seg bigint, turn_no bigint, role string, text string, loss boolean, fault string")
+    return dealt.mapInArrow(tidy(run), f"conv {kind}, seg bigint, turn_no bigint, role string, text string, loss boolean, fault string")
 
 
 def _ended(row: list, state: str, template: Template) -> list:
@@ -159,7 +161,7 @@ def read_conversations(segments: DataFrame, template: Template | None = None) ->
             yield _digests([own.row(marks)], kind)
 
     kind = segments.schema["conv"].dataType.simpleString()
-    return segments.mapInArrow(run, f"conv {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean, fault string")
+    return segments.mapInArrow(tidy(run), f"conv {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean, fault string")
 
 
 class _Read:

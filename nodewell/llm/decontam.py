@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from nodewell.llm.common import materialise
+from nodewell.llm.workers import tidy
 
 WORD = re.compile(r"[^\W_]+")
 GRAM = 3
@@ -181,15 +182,15 @@ def leaks(
         for own in _parts(named.where((F.col("_b") == k) & F.col("_t").isNotNull()).toLocalIterator(), block_items, block_bytes):
             block = Block(own, min_words)
             if block.short:
-                out = out.union(rows.mapInArrow(_as_they_are(block.short, key, item, to_arrow_type(benchmark.schema[item].dataType)), kinds))
+                out = out.union(rows.mapInArrow(tidy(_as_they_are(block.short, key, item, to_arrow_type(benchmark.schema[item].dataType))), kinds))
             if not block.items:
                 continue
-            counted = rows.select("_t").mapInArrow(_count(block), "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+            counted = rows.select("_t").mapInArrow(tidy(_count(block)), "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
             frequency = np.zeros(len(block.codes), np.int64)
             for r in counted.collect():  # one row per gram of the block at most
                 frequency[r.gram] = r.n
             seeds = block.seeds(frequency, max(1.0, common_share * n_docs), stretch)
-            out = out.union(rows.mapInArrow(_score(block, *seeds, min_score, key, item, to_arrow_type(benchmark.schema[item].dataType)), kinds))
+            out = out.union(rows.mapInArrow(tidy(_score(block, *seeds, min_score, key, item, to_arrow_type(benchmark.schema[item].dataType))), kinds))
     return materialise(out.groupBy(key, item).agg(F.max("score").alias("score")), "leaks")
 
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from nodewell.llm.common import materialise
+from nodewell.llm.workers import tidy
 
 #: Separators that str.split() knows but the tokenizers' \s does not; texts with them are encoded whole.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
@@ -129,7 +130,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text:
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(tidy(run), schema)
 
 
 class OpenBins:

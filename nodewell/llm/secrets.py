@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from nodewell.llm.workers import tidy
+
 # The base patterns.
 _KEYWORD = re.compile("password|passwd|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -306,7 +308,7 @@ def _scanned(df: DataFrame, model: Model, text: str, replace: bool, mark: str =
 
     extra = "" if replace else ", secrets array<struct<kind: string, start: bigint, end: bigint>>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + extra
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def _replaced(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:

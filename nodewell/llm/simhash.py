@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from nodewell.llm.common import connected_components, materialise
+from nodewell.llm.workers import tidy
 
 BITS, RADIUS = 64, 3
 #: The vantage trees are fitted on so many distinct fingerprints per shard, an eighth of them and MAX_FIT_ROWS (32 MB) at
@@ -50,7 +51,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], [key, "fp"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(text).cast("binary").alias("_t")).mapInArrow(run, f"`{key}` {kind}, fp bigint")
+    return df.select(key, F.col(text).cast("binary").alias("_t")).mapInArrow(tidy(run), f"`{key}` {kind}, fp bigint")
 
 
 # Vantage-point trees. A node is (mask, radius, vantage point, m, inner, outer): inner holds what differs from the
@@ -190,7 +191,7 @@ def links(fps: DataFrame, shard_rows: int = SHARD_ROWS, fit_rows: int = FIT_ROWS
         a, b = spanning_links(fp[home], fp, half)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = fps.select("fp").mapInArrow(deal, "shard int, fp bigint, home boolean")
+    dealt = fps.select("fp").mapInArrow(tidy(deal), "shard int, fp bigint, home boolean")
     return dealt.groupBy("shard").applyInArrow(search, "a bigint, b bigint")
 
 

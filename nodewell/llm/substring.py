@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from nodewell.llm.common import join_few, materialise
+from nodewell.llm.workers import tidy
 
 WINDOW, GRAM = 20, 8
 #: Bytes of the suffixes of a group; a larger one is split by the longest prefix, the whole window.
@@ -240,7 +241,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group
     flagged = join_few(docs, odd, ["d", "th"]).withColumns({"v": F.coalesce("v", F.lit(0).cast("bigint")), "copy": F.coalesce("copy", no), "again": F.coalesce("again", no)})
     texts = flagged.where("not copy").select("d", "v", "_t", "again")
     unique = texts.where("not again").unionByName(texts.where("again").dropDuplicates(["d", "v"])).drop("again")
-    anchors = materialise(unique.mapInArrow(_anchors, "h bigint, d bigint, v bigint, s int, n int, c int, z bigint"), "super-windows")
+    anchors = materialise(unique.mapInArrow(tidy(_anchors), "h bigint, d bigint, v bigint, s int, n int, c int, z bigint"), "super-windows")
     again = anchors.groupBy("h").agg(F.sum("c").alias("places"), F.sum("z").alias("size")).where("places > 1")
     mark = F.struct("h", "s", "n", (F.col("size") > group_bytes).alias("hot"))
     marks = anchors.join(again, "h").groupBy("d", "v").agg(F.collect_list(mark).alias("marks"))
@@ -250,14 +251,14 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", group
         own = marks.withColumn("marks", F.filter("marks", lambda m: m["hot"] == F.lit(hot))).where(F.size("marks") > 0)
         return join_few(unique, own, ["d", "v"], "inner").select("d", "v", "_t", "marks")
 
-    groups = marked(False).mapInArrow(_cut, "h bigint, d bigint, v bigint, s int, w binary").repartition("h").sortWithinPartitions("h")
-    spans = groups.mapInArrow(_subtrees, "d bigint, v bigint, b int, e int").select("d", "v", F.lit(COVERED).alias("kind"), "b", "e")
+    groups = marked(False).mapInArrow(tidy(_cut), "h bigint, d bigint, v bigint, s int, w binary").repartition("h").sortWithinPartitions("h")
+    spans = groups.mapInArrow(tidy(_subtrees), "d bigint, v bigint, b int, e int").select("d", "v", F.lit(COVERED).alias("kind"), "b", "e")
     hot = marks.select("d", "v", F.explode(F.filter("marks", lambda m: m["hot"])).alias("m"))
     hot = hot.select("d", "v", F.lit(HOT).alias("kind"), F.col("m.s").alias("b"), F.expr("m.s + m.n").alias("e"))
-    earliest = marked(True).mapInArrow(_whole_windows, "w binary, d bigint, v bigint, s int").groupBy("w").agg(F.min(F.struct("d", "v", "s")).alias("p"))
+    earliest = marked(True).mapInArrow(tidy(_whole_windows), "w binary, d bigint, v bigint, s int").groupBy("w").agg(F.min(F.struct("d", "v", "s")).alias("p"))
     earliest = earliest.select("p.d", "p.v", F.lit(EXCEPT).alias("kind"), F.col("p.s").alias("b"), F.expr("p.s + 1").alias("e"))
     each = spans.union(hot).union(earliest)
     covered = materialise(each.groupBy("d", "v").agg(F.collect_list(F.struct("kind", "b", "e")).alias("spans")), "covered")
     out = join_few(flagged, covered, ["d", "v"]).select("_key", "_t", "copy", "spans")
     kind = df.schema[key].dataType.simpleString()
-    return out.mapInArrow(_strip, f"key {kind}, n_words bigint, n_removed bigint, kept string").withColumnRenamed("key", key)
+    return out.mapInArrow(tidy(_strip), f"key {kind}, n_words bigint, n_removed bigint, kept string").withColumnRenamed("key", key)

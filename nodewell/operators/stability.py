@@ -85,8 +85,9 @@ def semantic_duplicates(df: DataFrame, group: list[str], key: str, vector: str =
         parts = [(a, near.sum(axis=1), np.where(near, c, 0).sum(axis=1))]
         if k[-1] != k[-2]:
             parts.append((b, near.sum(axis=0), np.where(near, c, 0).sum(axis=0)))
-        out = [pd.DataFrame({**{g: [v] * int((n > 0).sum()) for g, v in zip(group, k, strict=False)}, key: d[key].to_numpy()[n > 0], "links": n[n > 0], "total": t[n > 0]}) for d, n, t in parts]
-        return pd.concat(out)[names]
+        found = [np.concatenate(c) for c in zip(*[(d[key].to_numpy()[n > 0], n[n > 0], t[n > 0]) for d, n, t in parts], strict=True)]
+        own = {g: np.array([v] * len(found[0]), dtype=object) for g, v in zip(group, k, strict=False)}
+        return pd.DataFrame({**own, **dict(zip(names[len(group) :], found, strict=True))})
 
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*group, key]], "links bigint, total double"])
     right = right.toDF(*[f"{c}_" for c in right.columns])

@@ -17,7 +17,7 @@ from nodewell.llm.workers import tidy
 #: Separators that str.split() knows but the tokenizers' \s does not; texts with them are encoded whole.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: Bytes that a worker's remembered chunks take at most, about.
-REMEMBERED_BYTES = 48 << 20
+REMEMBERED_BYTES = 160 << 20
 #: Rows that one task numbers at most, of the pieces of one length.
 PART_ROWS = 200_000
 #: Normaliser and splitting under which no id depends on more than one chunk between white space.

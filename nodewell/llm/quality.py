@@ -80,58 +80,34 @@ def normalised_line(line: Column) -> Column:
 
 
 def _line_rows(df: DataFrame, text: str, host: str) -> DataFrame:
-    """One row per line with a word: host, th and tb (hash and bytes of the text), tw (words of the text), pos, lh, ld (hash and
-    digest of the line), words."""
+    """One row per line with a word: host, th and tb (hash and bytes of the text), pos, lh (hash of the line), words."""
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.transform(
         F.filter(F.transform(F.split(whole, "\n"), normalised_line), lambda x: x != ""),
-        lambda x: F.struct(F.xxhash64(x).alias("lh"), F.substring(F.md5(x.cast("binary")), 1, 16).alias("ld"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words")),
-    )
-    one = df.select(
-        F.coalesce(F.col(host), F.lit("")).alias("host"),
-        F.xxhash64(whole).alias("th"),
-        F.octet_length(whole).alias("tb"),
-        let(lines, lambda x: F.struct(x.alias("lines"), F.aggregate(x, F.lit(0), lambda n, y: n + y["words"]).alias("tw"))).alias("x"),
-    )
-    return one.select("host", "th", "tb", F.col("x.tw").alias("tw"), F.posexplode("x.lines").alias("pos", "y")).select(
-        "host", "th", "tb", "tw", "pos", "y.lh", "y.ld", "y.words"
+        lambda x: F.struct(F.xxhash64(x).alias("lh"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words")),
     )
+    one = df.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64(whole).alias("th"), F.octet_length(whole).alias("tb"), lines.alias("lines"))
+    return one.select("host", "th", "tb", F.posexplode("lines").alias("pos", "y")).select("host", "th", "tb", "pos", "y.lh", "y.words")
 
 
-def _judged_lines(df: DataFrame, text: str, host: str, min_docs: int = 20, max_share: float = 0.05, copy_percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(lines above the limits: host, lh, docs; rows (host, th, tb, pos, lh, words) of all lines found in over min_docs texts)."""
-    lines = _line_rows(df, text, host)
-    texts = lines.drop("ld").groupBy("host", "lh").agg(F.count_distinct("th").alias("texts")).where(F.col("texts") > min_docs)
-    texts = materialise(texts, "shared-lines")
-    found = join_few(lines, texts, ["host", "lh"], "inner").groupBy("host", "th", "tb", "pos")
-    found = materialise(found.agg(*[F.first(c).alias(c) for c in ("lh", "ld", "words", "tw", "texts")]), "shared-lines-found")
-    own = found.groupBy("host", "th", "tb").agg(F.sum("words").alias("shared"), F.first("tw").alias("tw"), F.min(F.struct("texts", "ld")).alias("rarest"))
-    copy = F.col("shared") * 100 >= F.lit(copy_percent) * F.col("tw")
-    # A text is a unit of its own; texts that are mostly shared lines are one unit by the rarest of these.
-    units = materialise(own.select("host", "th", "tb", copy.alias("copy"), F.when(copy, F.col("rarest.ld")).otherwise(F.col("th").cast("string")).alias("unit")), "units")
-    hosts = df.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(F.count_distinct(F.xxhash64(F.coalesce(F.col(text), F.lit("")))).alias("n"))
-    fewer = units.where("copy").groupBy("host").agg((F.count_distinct("th") - F.count_distinct("unit")).alias("fewer"))
-    hosts = hosts.join(fewer, "host", "left").select("host", (F.col("n") - F.coalesce("fewer", F.lit(0))).alias("host_docs"))
-    counts = found.join(units, ["host", "th", "tb"]).groupBy("host", "lh").agg(F.count_distinct("copy", "unit").alias("docs"))
-    frequent = counts.where(F.col("docs") > min_docs).join(hosts, "host").where(F.col("docs") > max_share * F.col("host_docs"))
-    return frequent.select("host", "lh", "docs"), found
-
-
-def frequent_lines(df: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
+def frequent_lines(df: DataFrame, text: str = "text", host: str = "source", min_docs: int = 20, max_share: float = 0.05) -> DataFrame:
     """Lines above the limits: (host, lh, docs) found in more than min_docs documents and more than max_share of the host's.
 
-    Distinct texts are documents of their own, so copies count once. Near copies count once too: texts that have
-    copy_percent of their words or more in lines of over min_docs texts are one document if the rarest of these lines, of equals
-    that with the least MD5, is the same, as it is where they repeat each other: a line that several groups of copies share is in more texts than
-    the groups' own lines. Texts that are less made of such lines each count.
+    Documents are the distinct texts of a host: exact copies have one vote, any other text a vote of its own, near copies
+    too. Counts are made in the tasks first, so a line that every document holds is no hot key.
     """
-    return _judged_lines(df, text, host, **limits)[0]
+    lines = _line_rows(df, text, host)
+    counts = lines.groupBy("host", "lh").agg(F.count_distinct("th").alias("docs")).where(F.col("docs") > min_docs)
+    hosts = df.groupBy(F.coalesce(F.col(host), F.lit("")).alias("host")).agg(F.count_distinct(F.xxhash64(F.coalesce(F.col(text), F.lit("")))).alias("host_docs"))
+    return counts.join(hosts, "host").where(F.col("docs") > max_share * F.col("host_docs")).select("host", "lh", "docs")
 
 
 def removed_lines(df: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
     """(host, th, tb, removed_words, removed): per text with frequent lines, their words and the array of their hashes."""
-    frequent, found = _judged_lines(df, text, host, **limits)
-    once = found.join(materialise(frequent.select("host", "lh"), "frequent-lines"), ["host", "lh"])
+    frequent = materialise(frequent_lines(df, text, host, **limits).select("host", "lh"), "frequent-lines")
+    found = join_few(_line_rows(df, text, host), frequent, ["host", "lh"], "inner")
+    # Equal texts have equal rows: one of each place counts.
+    once = found.groupBy("host", "th", "tb", "pos").agg(F.first("lh").alias("lh"), F.first("words").alias("words"))
     return once.groupBy("host", "th", "tb").agg(F.sum("words").alias("removed_words"), F.collect_set("lh").alias("removed"))
 
 

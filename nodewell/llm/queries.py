@@ -125,16 +125,9 @@ ORACLE: dict[str, str] = {
         wins as (select r, unnest(range(1, greatest(len(w) - 6, 1))) as i, w from d),
         twice as (select r, i from (select r, i, count(*) over (partition by r, array_to_string(w[i:i + 7], ' ')) as c from wins) where c > 1),
         rep as (select r, count(distinct p) as n_repeat from (select r, unnest(range(i, i + 8)) as p from twice) group by r),
-        u as (select distinct host, text, n from own),
-        lines as (select host, text, unnest(n) as line from u),
-        counted as (select *, len(string_split(line, ' ')) as words, sum(len(string_split(line, ' '))) over (partition by host, text) as tw from lines),
-        shared as (select host, line, count(distinct text) as texts from lines group by all having count(distinct text) > 20),
-        parts as (select host, text, any_value(tw) as tw, sum(words) as w, substr(min(lpad(cast(texts as varchar), 12, '0') || substr(md5(line), 1, 16)), 13) as rarest from counted join shared using (host, line) group by host, text),
-        units as (select host, text, 100 * w >= 80 * tw as copy, case when 100 * w >= 80 * tw then rarest else text end as unit from parts),
-        hosts as (select host, count(*) - coalesce(any_value(fewer), 0) as host_docs from (select distinct host, text from u)
-                  left join (select host, count(*) - count(distinct unit) as fewer from units where copy group by host) using (host) group by host),
-        frequent as (select host, line from (select host, line, count(distinct (copy, unit)) as docs from (select distinct host, text, line from lines) join shared using (host, line) join units using (host, text) group by all)
-                     join hosts using (host) where docs > 20 and docs > 0.05 * host_docs),
+        votes as (select distinct host, text, unnest(n) as line from own),
+        hosts as (select host, count(distinct text) as host_docs from own group by host),
+        frequent as (select host, line from (select host, line, count(*) as docs from votes group by all) join hosts using (host) where docs > 20 and docs > 0.05 * host_docs),
         each as (select r, host, unnest(n) as line from own),
         gone as (select r, sum(len(string_split(line, ' '))) as removed from each join frequent using (host, line) group by r),
         s as (select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,

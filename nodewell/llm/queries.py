@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nodewell.llm import chat, decontam, packing, quality, secrets, sharding, simhash, substring, urlfilter, warc
+from nodewell.llm import chat, decontam, packing, quality, secrets, sharding, simhash, substring, toxicity, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,9 +97,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_decontaminate, op3_shard, op4_quality, op5_simhash, op6_chat, op7_pack, op8_repeats, op9_urls, op10_secrets)
+    for f in (op1_warc, op2_decontaminate, op3_shard, op4_quality, op5_simhash, op6_chat, op7_pack, op8_repeats, op9_urls, op10_secrets, op11_toxicity)
 }
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LINE = r"trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'))"

@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nodewell.llm import chat, decontam, packing, quality, secrets, sharding, simhash, substring, toxicity, urlfilter, warc
+from nodewell.llm import chat, decontam, negatives, packing, quality, secrets, sharding, simhash, substring, toxicity, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,9 +101,14 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_decontaminate, op3_shard, op4_quality, op5_simhash, op6_chat, op7_pack, op8_repeats, op9_urls, op10_secrets, op11_toxicity)
+    for f in (op1_warc, op2_decontaminate, op3_shard, op4_quality, op5_simhash, op6_chat, op7_pack, op8_repeats, op9_urls, op10_secrets, op11_toxicity, op12_negatives)
 }
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LINE = r"trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'))"
@@ -116,6 +121,10 @@ CANONICAL = r"""regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443
     || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end"""
 PARAMETERS = r"list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(p, '^(utm_.*|ref|gclid|fbclid)(=.*)?$')))"
 
+#: Integer vectors of the embeddings that take part, one row per component.
+INTEGERS = """k as (select vec_id, label, embedding from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        c as (select vec_id, label, unnest(range(1, len(embedding) + 1)) as d, unnest(list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint))) as x from k)"""
+
 #: SQL for the queries that it can express on whole tables. The others need XXH64, a ring in order, alignments, a tokenizer or a model.
 ORACLE: dict[str, str] = {
     "op1_warc": """
@@ -167,4 +176,13 @@ ORACLE: dict[str, str] = {
               where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp))
         select c.page_id, host, path, rule, coalesce(v, case when l.canonical is not null then 'block' else 'allow' end) as verdict, l.canonical is not null as listed
         from c left join r on r.page_id = c.page_id and k = 1 left join l on l.canonical = c.canonical and c.canonical <> ''""",
+    "op12_negatives": f"""
+        with {INTEGERS},
+        t as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label from k where label is not null),
+        s as (select a.vec_id as a, b.vec_id as b, cast(sum(a.x * b.x) as bigint) as score from c a join c b using (d) where a.vec_id % 100 = 0 group by all),
+        m as (select s.*, x.label as al, y.label as bl from s join t x on x.vec_id = a join t y on y.vec_id = b),
+        p as (select a, al, b as p, score as ps from (select *, row_number() over (partition by a order by score desc, b) as r from m where al = bl and a <> b) where r <= 5),
+        n as (select p.a, p.p, p.ps, m.b, m.score, row_number() over (partition by p.a, p.p order by m.score desc, m.b) as r
+              from p join m on m.a = p.a and m.bl <> p.al and 30 * p.ps <= 100 * m.score and 100 * m.score <= 90 * p.ps)
+        select a as anchor_id, p as positive_id, cast(r as int) as rank, b as negative_id, ps as positive_score, score as negative_score from n where r <= 10""",
 }

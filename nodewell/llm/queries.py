@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nodewell.llm import chat, decontam, negatives, packing, quality, secrets, sharding, simhash, substring, toxicity, urlfilter, warc
+from nodewell.llm import chat, codes, common, decontam, negatives, packing, quality, secrets, sharding, simhash, substring, toxicity, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,9 +106,15 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    out = codes.with_label_error(common.materialise(found, "codes"))
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_decontaminate, op3_shard, op4_quality, op5_simhash, op6_chat, op7_pack, op8_repeats, op9_urls, op10_secrets, op11_toxicity, op12_negatives)
+    for f in (op1_warc, op2_decontaminate, op3_shard, op4_quality, op5_simhash, op6_chat, op7_pack, op8_repeats, op9_urls, op10_secrets, op11_toxicity, op12_negatives, op13_codes)
 }
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LINE = r"trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'))"
@@ -185,4 +191,17 @@ ORACLE: dict[str, str] = {
         n as (select p.a, p.p, p.ps, m.b, m.score, row_number() over (partition by p.a, p.p order by m.score desc, m.b) as r
               from p join m on m.a = p.a and m.bl <> p.al and 30 * p.ps <= 100 * m.score and 100 * m.score <= 90 * p.ps)
         select a as anchor_id, p as positive_id, cast(r as int) as rank, b as negative_id, ps as positive_score, score as negative_score from n where r <= 10""",
+    "op13_codes": """
+        with k as materialized (select row_number() over (order by vec_id nulls last) as r, vec_id, label, embedding from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        c as (select r, unnest(range(len(embedding))) as d, len(embedding) // 16 as w, unnest(list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint))) as x from k),
+        parts as materialized (select r, d // w as p, d % w as d, x from c),
+        b0 as (select p, r - 1 as e, d, x from parts where r <= 64),
+        a0 as (select r, p, arg_min(e, (dist, e)) as e, min(dist) as dist from (select x.r, x.p, b.e, sum((x.x - b.x) * (x.x - b.x)) as dist from parts x join b0 b using (p, d) group by all) group by r, p),
+        b1 as (select b.p, b.e, b.d, coalesce(m.x, b.x) as x from b0 b left join (select p, e, d, cast(floor(sum(x) / count(*)) as bigint) as x from parts join a0 using (r, p) group by p, e, d) m using (p, e, d)),
+        a1 as (select r, p, arg_min(e, (dist, e)) as e, min(dist) as dist from (select x.r, x.p, b.e, sum((x.x - b.x) * (x.x - b.x)) as dist from parts x join b1 b using (p, d) group by all) group by r, p),
+        b2 as (select b.p, b.e, b.d, coalesce(m.x, b.x) as x from b1 b left join (select p, e, d, cast(floor(sum(x) / count(*)) as bigint) as x from parts join a1 using (r, p) group by p, e, d) m using (p, e, d)),
+        a2 as (select r, p, arg_min(e, (dist, e)) as e, min(dist) as dist from (select x.r, x.p, b.e, sum((x.x - b.x) * (x.x - b.x)) as dist from parts x join b2 b using (p, d) group by all) group by r, p),
+        z as (select r, string_agg(format('{:02x}', e), '' order by p) as code, cast(sum(dist) as bigint) as error from a2 group by r),
+        h as (select sha256(string_agg(cast(x as varchar), ',' order by p, e, d)) as codebooks_sha256 from b2)
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from k join z using (r), h""",
 }

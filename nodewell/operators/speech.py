@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from nodewell.functions.scalars import format_lrc, format_timestamp
 from nodewell.functions.speechtext import word_edit_distance
+from nodewell.operators.ordered import coming, latest, running_total, timeline
 
 RATE = 16_000
 
@@ -48,7 +49,7 @@ def sequence_quality(tokens: DataFrame, no_speech: str | None = None, keys: tupl
     out = out.withColumn("failed", (F.col("n_tokens") > 32) & (F.col("entropy") < entropy_below))
     if not no_speech:
         return out
-    poor = F.col("avg_logprobs") < logprob_below
+    poor = F.round("avg_logprobs", 9) < logprob_below  # a mean at the limit is not below it, however its sum was added up
     flags = {"no_speech": (F.col("_ns") > no_speech_above) & poor, "fallback": F.col("failed") | poor & (F.col("_ns") < no_speech_above)}
     return out.withColumns(flags).drop("_ns")
 
@@ -86,36 +87,34 @@ def speech_energy_gate(samples: DataFrame, last_ms: int = 1000, threshold: float
     return g.withColumn("silent_tail", (F.col("n") > n_last) & (F.col("energy_last") <= threshold * F.col("energy_all")))
 
 
-def segment_energy(segments: DataFrame, samples: DataFrame, rate: int = RATE) -> DataFrame:
+def segment_energy(segments: DataFrame, samples: DataFrame, rate: int = RATE, chunk_rows: int | None = 1_000_000) -> DataFrame:
     """segments (audio_id, seg_no, t0, t1 in centiseconds) with the energy of two channels (samples: audio_id, i, left, right)
     and the speaker, 0 or 1 if its channel has over 1.1 times the other's energy, else ?. Samples are summed per
     centisecond first, and each centisecond's running sum is looked up at both ends, so no segment is multiplied."""
     cs = F.floor(F.col("i") * 100 / rate)
     frames = samples.groupBy("audio_id", cs.alias("cs")).agg(F.sum(F.abs("left")).alias("l"), F.sum(F.abs("right")).alias("r"))
-    w = W.partitionBy("audio_id").orderBy("cs", "_kind").rowsBetween(W.unboundedPreceding, 0)
     # Ends come before the frame at the same centisecond: a bound takes in what is earlier.
     marks = segments.select("audio_id", "seg_no", F.explode(F.array(*[F.struct(F.col(t).cast("bigint").alias("cs"), F.lit(s).alias("s")) for t, s in (("t0", -1), ("t1", 1))])).alias("m"))
     both = frames.select("audio_id", "cs", F.lit(1).alias("_kind"), "l", "r", F.lit(None).cast("int").alias("seg_no"), F.lit(0).alias("s")).unionByName(
         marks.select("audio_id", F.col("m.cs").alias("cs"), F.lit(0).alias("_kind"), F.lit(0.0).alias("l"), F.lit(0.0).alias("r"), F.col("seg_no").cast("int").alias("seg_no"), "m.s")
     )
-    run = both.withColumns({"l": F.sum("l").over(w), "r": F.sum("r").over(w)}).where("_kind = 0")
+    run = timeline(both, ("audio_id",), "cs", ("_kind",), chunk_rows).scan(l=running_total(F.col("l")), r=running_total(F.col("r"))).rows().where("_kind = 0")
     e = run.groupBy("audio_id", "seg_no").agg(F.sum(F.col("s") * F.col("l")).alias("energy0"), F.sum(F.col("s") * F.col("r")).alias("energy1"))
     speaker = F.when(F.col("energy0") > 1.1 * F.col("energy1"), "0").when(F.col("energy1") > 1.1 * F.col("energy0"), "1").otherwise("?")
     return segments.join(e, ["audio_id", "seg_no"], "left").withColumn("speaker", speaker)
 
 
-def map_time(times: DataFrame, mapping: DataFrame, time: str = "t") -> DataFrame:
+def map_time(times: DataFrame, mapping: DataFrame, time: str = "t", chunk_rows: int | None = 1_000_000) -> DataFrame:
     """times (audio_id, t) with original_time: of the mapping point (processed_time, original_time) at t, before the first and after the
     last that point's, between two points interpolated in whole numbers, without points t itself. Of points at one processed time
-    the latest original time counts. Points and times pass one ordered window per audio."""
+    the latest original time counts. Points and times pass in one order, which carries the last point on and the next one back."""
     mapping = mapping.groupBy("audio_id", "processed_time").agg(F.max("original_time").alias("original_time"))
     points = mapping.select("audio_id", F.col("processed_time").alias("_t"), F.struct("processed_time", "original_time").alias("p"))
     rows = times.withColumn("_row", F.struct(*times.columns)).select("audio_id", F.col(time).alias("_t"), "_row")
     both = points.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)).unionByName(rows.withColumn("p", F.lit(None).cast(points.schema["p"].dataType)))
-    order = W.partitionBy("audio_id").orderBy("_t")
-    low = F.last("p", ignorenulls=True).over(order.rangeBetween(W.unboundedPreceding, 0))
-    high = F.first("p", ignorenulls=True).over(order.rangeBetween(0, W.unboundedFollowing))
-    found = both.withColumns({"_lo": low, "_hi": high}).where("_row is not null")
+    # At one time a point comes before the times, in either direction.
+    both = both.withColumn("_kind", F.col("_row").isNotNull())
+    found = timeline(both, ("audio_id",), "_t", ("_kind",), chunk_rows).scan(_lo=latest(F.col("p")), _hi=coming(F.col("p"))).rows().where("_kind")
     span, offset = F.col("_hi.processed_time") - F.col("_lo.processed_time"), F.col("_t") - F.col("_lo.processed_time")
     between = F.col("_lo.original_time") + F.expr("((_t - _lo.processed_time) * (_hi.original_time - _lo.original_time)) div nullif(_hi.processed_time - _lo.processed_time, 0)")
     value = (

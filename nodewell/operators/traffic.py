@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from nodewell.operators.ordered import latest, previous, running_total, timeline
+
 TRACK = ("source", "track_id")
 
 
-def track_sessions(points: DataFrame, patience: int = 120, keys: tuple[str, ...] = TRACK, frame: str = "frame_idx") -> DataFrame:
+def track_sessions(points: DataFrame, patience: int = 120, keys: tuple[str, ...] = TRACK, frame: str = "frame_idx", chunk_rows: int | None = 1_000_000) -> DataFrame:
     """points with session: a track's number of gaps of more than `patience` absent frames so far."""
-    w = W.partitionBy(*keys).orderBy(frame)
-    new = F.coalesce((F.col(frame) - F.lag(frame).over(w) - 1 > patience).cast("int"), F.lit(0))
-    return points.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    line = timeline(points, keys, frame, (), chunk_rows).scan(_before=previous(F.col(frame)))
+    line = replace(line, ties=("_before",))  # of repeated frames the one after the gap comes first
+    new = F.coalesce((F.col(frame) - F.col("_before") - 1 > patience).cast("int"), F.lit(0))
+    return line.scan(session=running_total(new)).rows().drop("_before")
 
 
 def track_direction(points: DataFrame, threshold: float = 100, patience: int = 120, history: int = 120, least: int = 15, closed_only: bool = True, x: str = "cx", keys: tuple[str, ...] = TRACK, frame: str = "frame_idx") -> DataFrame:
@@ -39,25 +43,23 @@ def smooth_boxes(points: DataFrame, last: int = 5, keys: tuple[str, ...] = TRACK
     return points.withColumns({f"s_{c}": F.avg(c).over(w).cast("int") for c in ("x1", "y1", "x2", "y2")})
 
 
-def running_counts(events: DataFrame, key: str = "source", order: tuple[str, ...] = ("ts",)) -> DataFrame:
+def running_counts(events: DataFrame, key: str = "source", order: tuple[str, ...] = ("ts",), chunk_rows: int | None = 1_000_000) -> DataFrame:
     """events with left, right and total so far; order should tell any two events of a key apart."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    side = lambda name: F.sum((F.col("direction") == name).cast("int")).over(w)
-    return events.withColumns({"left": F.coalesce(side("Left"), F.lit(0)), "right": F.coalesce(side("Right"), F.lit(0)), "total": F.count("*").over(w)})
+    side = lambda name: running_total((F.col("direction") == name).cast("int"))
+    return timeline(events, (key,), order[0], order[1:], chunk_rows).scan(left=side("Left"), right=side("Right"), total=running_total(F.lit(1))).rows()
 
 
 METRICS = ("CPU_usage", "GPU_usage", "mem_usage", "CPU_temp", "GPU_temp")
 
 
-def attach_telemetry(events: DataFrame, samples: DataFrame, key: str = "source", ts: str = "ts", columns: tuple[str, ...] = METRICS) -> DataFrame:
+def attach_telemetry(events: DataFrame, samples: DataFrame, key: str = "source", ts: str = "ts", columns: tuple[str, ...] = METRICS, chunk_rows: int | None = 1_000_000) -> DataFrame:
     """events with the latest sample of their source at or before them: both streams in one order, of samples at one time the
     greatest, the last sample carried on."""
     kept = F.struct(*columns)
     both = events.withColumns({"_e": F.lit(1), "_s": F.lit(None).cast(samples.select(kept.alias("s")).schema["s"].dataType)}).unionByName(
         samples.select(key, ts, F.lit(0).alias("_e"), kept.alias("_s")), allowMissingColumns=True
     )
-    w = W.partitionBy(key).orderBy(ts, "_e", "_s").rowsBetween(W.unboundedPreceding, 0)
-    out = both.withColumn("_l", F.last("_s", ignorenulls=True).over(w)).where("_e = 1")
+    out = timeline(both, (key,), ts, ("_e", "_s"), chunk_rows).scan(_l=latest(F.col("_s"))).rows().where("_e = 1")
     return out.select(*events.columns, *[F.col(f"_l.{c}").alias(c) for c in columns])
 
 

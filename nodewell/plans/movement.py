@@ -117,11 +117,12 @@ def telemetry_lines(spark, sf):
 DAY_US, BEGIN_US = 86_400_000_000, 1_704_067_200_000_000
 
 
-def _frames(spark, sf):
-    """Clicks as frames: every second day, each from midnight to noon, as a click's day counts twice and its time of day half."""
+def _frames(spark, sf, kind="click"):
+    """Events (of one kind, or all) as frames of an archive, in which a path occurs once: every second day, each from midnight to noon, as a click's day counts twice and its time of day half."""
     us = F.unix_micros(F.col("ts").cast("timestamp")) - BEGIN_US
     at = F.timestamp_micros(F.floor(us / DAY_US) * 2 * DAY_US + F.floor(us % DAY_US / 2) + BEGIN_US)
-    e = table(spark, sf, "events").where("event_type = 'click'").select(at.alias("at"))
+    e = table(spark, sf, "events")
+    e = (e if kind is None else e.where(F.col("event_type") == kind)).select(F.date_trunc("second", at).alias("at")).distinct()
     path = F.concat(F.lit("/a/"), F.date_format("at", "yyyy-MM-dd"), F.lit("/top_"), F.date_format("at", "yyyy-MM-dd_HH-mm-ss"), F.lit(".jpg"))
     return e.select(path.alias("path")).withColumns({"ts": scalars.image_timestamp(F.col("path")), "camera": scalars.camera_of(F.col("path"))})
 
@@ -134,11 +135,11 @@ def nearest_frame(spark, sf):
 
 
 def frames_in_range(spark, sf):
-    return archive.frames_in_range(_frames(spark, sf), "2024-01-05 00:00:00", "2024-01-07 06:00:00")
+    return archive.frames_in_range(_frames(spark, sf, None), "2024-01-05 00:00:00", "2024-01-07 06:00:00")
 
 
 def playback_sequence(spark, sf):
-    f = _frames(spark, sf).select("path", "ts", "camera")
+    f = _frames(spark, sf, None).select("path", "ts", "camera")
     for mode in ("day", "hour", "full", "none"):
         f = archive.playback_sequence(f, mode).withColumnRenamed("next_path", mode)
     return f.drop("ts", "camera")
@@ -185,9 +186,10 @@ DAYS = f"select Date, cast(sum(direction_left) as bigint) as left, cast(sum(dire
 SESSIONS = f"""
     select *, cast(sum(new) over (partition by source, track_id order by frame_idx) as bigint) as session from (
       select *, case when frame_idx - lag(frame_idx) over (partition by source, track_id order by frame_idx) - 1 > {{patience}} then 1 else 0 end as new from ({POINTS}))"""
-FRAMES = f"""
+ALL_FRAMES = f"""
     select '/a/' || strftime(ts, '%Y-%m-%d') || '/top_' || strftime(ts, '%Y-%m-%d_%H-%M-%S') || '.jpg' as path, ts, 'top' as camera from (
-      select date_trunc('second', timestamp '2024-01-01' + to_microseconds(2 * {DAY_US} * (us // {DAY_US}) + (us % {DAY_US}) // 2)) as ts from (select epoch_us(ts) - {BEGIN_US} as us from events where event_type = 'click'))"""
+      select distinct date_trunc('second', timestamp '2024-01-01' + to_microseconds(2 * {DAY_US} * (us // {DAY_US}) + (us % {DAY_US}) // 2)) as ts from (select epoch_us(ts) - {BEGIN_US} as us from events))"""
+FRAMES = ALL_FRAMES.replace("as us from events", "as us from events where event_type = 'click'")
 NEAREST = f"""
     with f as (select * from ({FRAMES})), r as (select event_id as request_id, case when event_type = 'signup' then ts + interval 40 days else ts end as t0 from events where event_type in ('purchase', 'signup')),
     a as (select request_id, t0, epoch_us(t0) as s from r), g as (select ts, path, epoch_us(ts) as s, cast(ts as date) as d from f),
@@ -250,10 +252,10 @@ ORACLE = {
                case when f then k + 0.5 end::double as cpu_c, case when v then k end::double as gpu_c
         from (select event_id, cast(json_extract_string(props, '$.k') as int) as k, event_type = 'click' as f, event_type = 'view' as v, event_type not in ('click', 'view', 'error') as o from events)""",
     "nearest_frame": NEAREST,
-    "frames_in_range": f"select * from ({FRAMES}) where ts between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-07 06:00:00'",
+    "frames_in_range": f"select * from ({ALL_FRAMES}) where ts between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-07 06:00:00'",
     "playback_sequence": f"""
         select path, coalesce(lead(path) over d, first_value(path) over d) as day, coalesce(lead(path) over h, first_value(path) over h) as hour, coalesce(lead(path) over w, first_value(path) over w) as "full", lead(path) over w as none
-        from ({FRAMES}) window d as (partition by cast(ts as date) order by path), h as (partition by date_trunc('hour', ts) order by path), w as (order by path)""",
+        from ({ALL_FRAMES}) window d as (partition by cast(ts as date) order by path), h as (partition by date_trunc('hour', ts) order by path), w as (order by path)""",
     "time_bounds": "select event_id, " + ", ".join(f"cast(date_trunc('{u}', ts) as timestamp) as {u}_start, cast(date_trunc('{u}', ts) as timestamp) + interval 1 {u} as {u}_end" for u in ("hour", "day", "month")) + " from events",
     "newest_first": f"select * from ({MINUTES})",
     "search_photos": """

@@ -56,7 +56,7 @@ def _tokens(spark, sf):
 
 def sequence_quality(spark, sf):
     out = speech.sequence_quality(_tokens(spark, sf), "ns", length_penalty=0.5, entropy_below=1.8, no_speech_above=0.96, logprob_below=-1.0)
-    return rounded(out, 5)
+    return rounded(rounded(out, 9), 5)
 
 
 def confidence(spark, sf):
@@ -109,7 +109,7 @@ def speech_segments(spark, sf):
     from pyspark.sql import Window as W
 
     e = table(spark, sf, "events")
-    i = F.row_number().over(W.partitionBy("user_id").orderBy("ts")) - 1
+    i = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     return speech.speech_segments(e.select(F.col("user_id").alias("audio_id"), i.alias("i"), F.least(F.lit(1.0), F.col("value") / 30).alias("prob")), window=4000)
 
 
@@ -264,8 +264,8 @@ ORACLE = {
         with t as (select * from ({TOKENS})), l as (select *, row_number() over (partition by audio_id, seg_no order by tok_no desc) as r from t),
         c as (select audio_id, seg_no, id, count(*) as c from l where r <= 32 group by all), e as (select audio_id, seg_no, -sum(q * ln(q)) as h from (select *, c / sum(c) over (partition by audio_id, seg_no) as q from c) group by all),
         s as (select audio_id, seg_no, count(*) as n, sum(plog) as total, avg(plog) as mean, max(ns) as ns from t group by all)
-        select audio_id, seg_no, n as n_tokens, round(total, 5) as sum_logprobs, round(mean, 5) as avg_logprobs, round(h, 5) as entropy, round(total / pow((5 + n) / 6, 0.5), 5) as score, n > 32 and h < 1.8 as failed,
-               ns > 0.96 and mean < -1 as no_speech, n > 32 and h < 1.8 or mean < -1 and ns < 0.96 as fallback from s join e using (audio_id, seg_no)""",
+        select audio_id, seg_no, n as n_tokens, cast(round(cast(total as decimal(18, 9)), 5) as double) as sum_logprobs, cast(round(cast(mean as decimal(18, 9)), 5) as double) as avg_logprobs, cast(round(cast(h as decimal(18, 9)), 5) as double) as entropy, cast(round(cast(total / pow((5 + n) / 6, 0.5) as decimal(18, 9)), 5) as double) as score, n > 32 and h < 1.8 as failed,
+               ns > 0.96 and round(mean, 9) < -1 as no_speech, n > 32 and h < 1.8 or round(mean, 9) < -1 and ns < 0.96 as fallback from s join e using (audio_id, seg_no)""",
     "confidence": """
         select case when p < 0.33 then 'low' when p < 0.66 then 'medium' else 'high' end as band, cast(greatest(0, least(9, floor(pow(p, 3) * 10))) as int) as colour, count(*) as n
         from (select least(1, value / 50) as p from events) group by all""",

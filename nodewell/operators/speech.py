@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -54,25 +55,90 @@ def sequence_quality(tokens: DataFrame, no_speech: str | None = None, keys: tupl
     return out.withColumns(flags).drop("_ns")
 
 
-def high_pass(samples: DataFrame, cutoff: float, rate: int = RATE, textbook: bool = False) -> DataFrame:
-    """samples (audio_id, i, value) through a first-order high-pass filter: recursive, so one pass per audio in order, with the
-    last value carried from batch to batch. Its factor is dt / (rc + dt), as the gate was tuned with, or rc / (rc + dt),
-    which a high-pass filter of that cutoff has by the textbook."""
-    rc, dt = 1.0 / (2 * math.pi * cutoff), 1.0 / rate
-    alpha = (rc if textbook else dt) / (rc + dt)
+_BLOCK = 128  # samples of one triangular product
+
+
+def filtered(x: np.ndarray, alpha: float, lead: float) -> np.ndarray:
+    """y[k] = alpha * (y[k - 1] + x[k] - x[k - 1]), where lead is y - x before the first sample and x[-1] counts as 0.
+
+    In blocks: inside one the recursion is a product with powers of alpha below the diagonal; from block to block the map
+    from the value before to the last one is affine, so only these values go through a loop."""
+    if not len(x):
+        return x
+    steps = np.zeros(-(-len(x) // _BLOCK) * _BLOCK)
+    steps[: len(x)] = np.diff(x, prepend=0.0)
+    k = np.arange(_BLOCK)
+    powers = alpha ** (k + 1.0)
+    inside = steps.reshape(-1, _BLOCK) @ np.tril(alpha ** (np.abs(k[:, None] - k) + 1.0)).T
+    before, carry = [], lead
+    for last in inside[:, -1].tolist():
+        before.append(carry)
+        carry = last + float(powers[-1]) * carry
+    return (inside + np.array(before)[:, None] * powers).ravel()[: len(x)]
+
+
+def _filter_pass(alpha: float, summary: bool):
+    """Filters sorted samples of (audio_id, _chunk) batch by batch; column _lead tells a chunk's y - x before it, null in an audio's
+    first. summary: one row per chunk instead, with its size, first sample and y - x after it from a lead of 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        audio, x0, y = object(), 0.0, 0.0
+        now, lead, n, first_x = None, 0.0, 0, 0.0
+
+        def told() -> pd.DataFrame:
+            return pd.DataFrame([] if now is None else [(*now, n, first_x, lead)], columns=["audio_id", "_chunk", "_n", "_x", "_end"])
+
         for b in batches:
-            out = []
-            for a, x in zip(b["audio_id"], b["value"], strict=True):
-                y = x if a != audio else alpha * (y + x - x0)
-                audio, x0 = a, x
-                out.append(y)
-            yield b.assign(value=out)
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema)
-    return samples.repartition("audio_id").sortWithinPartitions("audio_id", "i").mapInPandas(run, kinds)
+            x, out = b["value"].to_numpy(float), np.empty(len(b))
+            audio, chunk = b["audio_id"].to_numpy(), b["_chunk"].to_numpy()
+            edges = [0, *(np.flatnonzero((audio[1:] != audio[:-1]) | (chunk[1:] != chunk[:-1])) + 1).tolist(), len(b)]
+            for at, end in zip(edges, edges[1:], strict=False):
+                if at == end:
+                    continue
+                own = x[at:end]
+                if (audio[at], chunk[at]) != now:
+                    if summary:
+                        yield told()
+                    now, n, first_x = (audio[at], chunk[at]), 0, float(own[0])
+                    given = 0.0 if summary else b["_lead"].iloc[at]
+                    lead = first_x * (1 - alpha) / alpha if pd.isna(given) else float(given)
+                out[at:end] = y = filtered(own, alpha, lead)
+                lead, n = float(y[-1] - own[-1]), n + len(own)
+            if not summary:
+                yield b.assign(value=out).drop(columns=["_chunk", "_lead"])
+        if summary:
+            yield told()
+
+    return run
+
+
+def high_pass(samples: DataFrame, cutoff: float, rate: int = RATE, textbook: bool = False, chunk_rows: int | None = 1_000_000) -> DataFrame:
+    """samples (audio_id, i, value) through a first-order high-pass filter; an audio starts at its first value. Its factor is
+    dt / (rc + dt), as the gate was tuned with, or rc / (rc + dt), which a high-pass filter of that cutoff has by the textbook.
+
+    A long audio is cut into chunks. A chunk maps what comes before it to what it leaves behind by a * s + b; one pass finds b,
+    the maps are composed in a table of one row per chunk, and a second pass filters each chunk by itself."""
+    rc, dt = 1.0 / (2 * math.pi * cutoff), 1.0 / rate
+    alpha = (rc if textbook else dt) / (rc + dt)
+    line = timeline(samples, ("audio_id",), "i", (), chunk_rows)
+    kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
+    cut = line.df
+    ready = lambda df: df.repartition("audio_id", "_chunk").sortWithinPartitions("audio_id", "_chunk", "i")
+    leads = F.lit(None).cast("double")
+    if line.cut:
+        told = ready(cut).select("audio_id", "_chunk", "value").mapInPandas(_filter_pass(alpha, True), f"audio_id {kinds['audio_id']}, _chunk int, _n bigint, _x double, _end double")
+        maps = told.groupBy("audio_id").agg(F.array_sort(F.collect_list(F.struct("_chunk", "_n", "_x", "_end"))).alias("m"))
+        start = F.struct(F.lit(None).cast("double").alias("s"), F.array().cast("array<struct<_chunk: int, _lead: double>>").alias("out"))
+
+        def compose(state, m):
+            lead = F.coalesce(state["s"], m["_x"] * (1 - alpha) / alpha)
+            return F.struct((F.pow(F.lit(alpha), m["_n"]) * lead + m["_end"]).alias("s"), F.concat(state["out"], F.array(F.struct(m["_chunk"].alias("_chunk"), state["s"].alias("_lead")))).alias("out"))
+
+        leads_of = maps.select("audio_id", F.inline(F.aggregate("m", start, compose)["out"]))
+        same = [cut[c].eqNullSafe(leads_of[c]) for c in ("audio_id", "_chunk")]
+        cut = cut.join(leads_of, same).select(*[cut[c] for c in cut.columns], "_lead")
+    else:
+        cut = cut.withColumn("_lead", leads)
+    return ready(cut).mapInPandas(_filter_pass(alpha, False), ", ".join(f"`{c}` {t}" for c, t in kinds.items()))
 
 
 def speech_energy_gate(samples: DataFrame, last_ms: int = 1000, threshold: float = 0.6, rate: int = RATE, cutoff: float = 0.0) -> DataFrame:

@@ -84,6 +84,15 @@ def speech_energy_gate(spark, sf):
     return rounded(speech.speech_energy_gate(e, 4000, 0.9))
 
 
+def filtered_energy_gate(spark, sf):
+    """Each user's events in time order as samples, through the high-pass filter before the gate."""
+    from pyspark.sql import Window as W
+
+    i = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    e = table(spark, sf, "events").select(F.col("user_id").alias("audio_id"), i.alias("i"), F.col("value"))
+    return rounded(rounded(speech.speech_energy_gate(e, 1000, 0.9, rate=10, cutoff=0.5), 9))
+
+
 def map_time(spark, sf):
     """All segments by the points that the clicks among them make; users without a click have none."""
     s = _segments(spark, sf)
@@ -195,7 +204,7 @@ def token_scores(spark, sf):
 
 QUERIES = [
     transcript_lrc, speech_model_summary, missing_codes, last_events, token_scores,
-    utterance_errors, word_error_rate, normalized_english, normalized_basic, best_command, sequence_quality, confidence, segment_energy, speech_energy_gate, map_time, merge_chunks,
+    utterance_errors, word_error_rate, normalized_english, normalized_basic, best_command, sequence_quality, confidence, segment_energy, speech_energy_gate, filtered_energy_gate, map_time, merge_chunks,
     wrap_segments, speech_segments, transcript_csv, transcript_srt, cleaned_pages, cleaned_chunks, speech_timings, normalized_claims, count_accuracy,
 ]
 
@@ -276,6 +285,12 @@ ORACLE = {
         with x as (select audio_id, cast(trunc(t0 / 1000) as bigint) as i, abs(k - 50.0) as v, max(cast(trunc(t0 / 1000) as bigint)) over (partition by audio_id) as m from {SEGMENTS})
         select audio_id, count(*) as n, round(avg(v), 6) as energy_all, round(avg(case when i > m - 64000 then v end), 6) as energy_last,
                count(*) > 64000 and avg(case when i > m - 64000 then v end) <= 0.9 * avg(v) as silent_tail from x group by 1""",
+    "filtered_energy_gate": """
+        with f as (select 0.1 / (1 / (2 * pi() * 0.5) + 0.1) as a),
+        x as (select user_id as audio_id, row_number() over w - 1 as i, value as v, value - lag(value) over w as d from events window w as (partition by user_id order by ts, event_id)),
+        y as (select x.audio_id, x.i, abs(sum(case when b.i = 0 then b.v * pow(a, x.i) else b.d * pow(a, x.i - b.i + 1) end)) as y from f, x join x b on b.audio_id = x.audio_id and b.i <= x.i group by 1, 2),
+        g as (select audio_id, count(*) as n, avg(y) as e, avg(y) filter (where i > m - 10) as t from (select *, max(i) over (partition by audio_id) as m from y) group by 1)
+        select audio_id, n, cast(round(cast(e as decimal(18, 9)), 6) as double) as energy_all, cast(round(cast(t as decimal(18, 9)), 6) as double) as energy_last, n > 10 and t <= 0.9 * e as silent_tail from g""",
     "map_time": f"""
         with p as (select audio_id, t0 as pt, max(t1) as ot from {SEGMENTS} where text like '%click%' group by all), q as (select audio_id, seg_no, t0 as t from {SEGMENTS}),
         b as (select q.*, max(pt) filter (where pt <= t) as lo, max_by(ot, pt) filter (where pt <= t) as lo_o, min(pt) filter (where pt >= t) as hi, min_by(ot, pt) filter (where pt >= t) as hi_o

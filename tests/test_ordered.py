@@ -99,3 +99,35 @@ def test_jobs_on_one_long_key_equal_uncut_ones(spark):
     ]
     for job in jobs:
         assert sorted(map(str, job(40).collect())) == sorted(map(str, job(None).collect()))
+
+
+def sequential(x, alpha):
+    y = []
+    for k, v in enumerate(x):
+        y.append(v if k == 0 else alpha * (y[-1] + v - x[k - 1]))
+    return y
+
+
+@pytest.mark.parametrize("textbook, chunk_rows", [(False, None), (True, None), (True, 100), (False, 100), (True, 1)])
+def test_high_pass_equals_the_sequential_form(spark, textbook, chunk_rows):
+    rng = random.Random(6)
+    sizes = {0: 3000, 1: 1, 2: 127, 3: 128, 4: 129}
+    rows = [(a, 3 * i, rng.gauss(0, 1) + 5, "x") for a, n in sizes.items() for i in range(n)]
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    got = {(r.audio_id, r.i): r.value for r in speech.high_pass(spark.createDataFrame(shuffled, "audio_id int, i int, value double, tag string"), 400.0, 16_000, textbook, chunk_rows).collect()}
+    rc, dt = 1 / (2 * 3.141592653589793 * 400.0), 1 / 16_000
+    alpha = (rc if textbook else dt) / (rc + dt)
+    for a in sizes:
+        expected = sequential([v for b, _, v, _ in rows if b == a], alpha)
+        assert all(abs(got[a, 3 * i] - y) < 1e-9 for i, y in enumerate(expected))
+    assert len(got) == len(rows)
+
+
+def test_a_million_samples_of_one_audio():
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=1_000_000)
+    alpha = 0.97
+    got = speech.filtered(x, alpha, x[0] * (1 - alpha) / alpha)
+    assert np.abs(got - np.array(sequential(x.tolist(), alpha))).max() < 1e-9

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from nodewell.operators.ordered import latest, previous, running_total, timeline
+from nodewell.sources.snapshots import Snapshots
 
 TRACK = ("source", "track_id")
 
@@ -143,25 +143,12 @@ def merged_minutes(known: DataFrame, new: DataFrame) -> DataFrame:
     return known.join(new.select("Date", "Time").distinct(), ["Date", "Time"], "left_anti").unionByName(new)
 
 
-def upsert_minutes(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Merge new minutes into a table in folders by Date: only the dates that occur in new are read and written again,
-    into a table beside it first, as a date's own files can't be read and overwritten at once. A table that is not there is made;
-    any other error on reading it is raised, and nothing is written."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        known = spark.read.schema(new.schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        known = None
-    out, beside = new, None
-    if known is not None:
-        beside = f"{path.rstrip('/')}-merge-{uuid.uuid4().hex}"
-        dates = new.select("Date").distinct()
-        merged_minutes(known.join(F.broadcast(dates), "Date", "left_semi"), new).write.parquet(beside)
-        out = spark.read.schema(new.schema).parquet(beside)
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("Date").parquet(path)
-    if beside is not None:
-        place = spark._jvm.org.apache.hadoop.fs.Path(beside)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+def upsert_minutes(spark: SparkSession, new: DataFrame, path: str, batch: tuple[str, int] | None = None) -> int:
+    """Merge new minutes into the table of snapshots at path, by (Date, Time); only the dates that occur in new are read and
+    written. Readers see the version before or the one after. batch: see sources.snapshots.Snapshots.upsert."""
+    return Snapshots(spark, path).upsert(new, ("Date", "Time"), "Date", batch)
+
+
+def read_minutes(spark: SparkSession, path: str) -> DataFrame:
+    """The last version of the minutes at path."""
+    return Snapshots(spark, path).read()

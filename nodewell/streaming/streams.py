@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from nodewell.functions.telemetry import rails
 from nodewell.operators import stats, traffic
+from nodewell.sources.snapshots import Snapshots
 
 
 def stream_minute_rollup(events: DataFrame, ts: str = "ts", late: str = "10 minutes", metrics: tuple[str, ...] = traffic.METRICS) -> DataFrame:
@@ -24,21 +25,23 @@ def stream_minute_rollup(events: DataFrame, ts: str = "ts", late: str = "10 minu
 
 
 def start_minute_upsert(rollup: DataFrame, path: str, checkpoint: str):
-    """A running query that merges each batch of minutes into the table at path."""
-    merge = lambda batch, _: traffic.upsert_minutes(batch.sparkSession, batch, path)
+    """A running query that merges each batch of minutes into the table of snapshots at path; a batch that is replayed after
+    a failure is told by its number and merged once."""
+    merge = lambda batch, n: traffic.upsert_minutes(batch.sparkSession, batch, path, (checkpoint, n))
     return rollup.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
 def start_history_merge(minutes: DataFrame, path: str, checkpoint: str, days: int = 30):
-    """A running query that replaces or appends minutes by (Date, Time) and writes the last `days` days beside it as a report."""
+    """A running query that replaces or appends minutes by (Date, Time) and keeps the last `days` days as a report, the table of
+    snapshots at path with -recent added."""
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        traffic.upsert_minutes(spark, batch, path)
-        known = spark.read.parquet(path)
+        traffic.upsert_minutes(spark, batch, path, (checkpoint, n))
+        known = traffic.read_minutes(spark, path)
         newest = known.agg(F.max(F.to_date("Date")).alias("d"))
         kept = known.join(F.broadcast(newest), F.to_date("Date") > F.date_sub("d", days)).drop("d")
-        kept.write.mode("overwrite").parquet(f"{path.rstrip('/')}-recent")
+        Snapshots(spark, f"{path.rstrip('/')}-recent").replace(kept, "Date", (checkpoint, n))
 
     return minutes.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
 

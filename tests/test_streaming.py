@@ -37,7 +37,7 @@ def test_minute_rollup_and_upsert(spark, tmp_path):
     q.awaitTermination(120)
     named = batch.withColumns({"Date": F.date_format("ts", "yyyy-MM-dd"), "Time": F.date_format("ts", "HH:mm:ss")})
     expected = traffic.minute_rollup(named)
-    got = spark.read.parquet(path).select(*expected.columns)
+    got = traffic.read_minutes(spark, path).select(*expected.columns)
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, got.collect())) == sorted(map(key, expected.collect()))
 
@@ -81,8 +81,8 @@ def test_history_keeps_the_last_days(spark, tmp_path):
     _, stream = written(spark, tmp_path, rows, "Date string, Time string, n int")
     q = streams.start_history_merge(stream, str(tmp_path / "m"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    kept = [(str(r.Date), r.n) for r in spark.read.parquet(str(tmp_path / "m-recent")).collect()]
-    assert kept == [("2024-02-20", 3)] and spark.read.parquet(str(tmp_path / "m")).count() == 2
+    kept = [(str(r.Date), r.n) for r in traffic.read_minutes(spark, str(tmp_path / "m-recent")).collect()]
+    assert kept == [("2024-02-20", 3)] and traffic.read_minutes(spark, str(tmp_path / "m")).count() == 2
 
 
 def test_windows_and_power(spark, tmp_path):

@@ -1,13 +1,14 @@
-"""Streaming forms. Every one has a watermark: rows later than it are dropped, which the batch forms would count."""
+"""Streaming forms. Every one has a watermark (the change feed without a time column: a time to live by the clock): rows later
+than it are dropped, which the batch forms would count, and no state stays for ever."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from nodewell.functions.telemetry import rails
 from nodewell.operators import stats, traffic
@@ -46,65 +47,153 @@ def start_history_merge(minutes: DataFrame, path: str, checkpoint: str, days: in
     return minutes.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def stream_track_direction(points: DataFrame, threshold: float = 100, patience: int = 120, history: int = 120, least: int = 15, frame_ms: int = 33, late: str = "10 seconds") -> DataFrame:
-    """traffic.track_direction over a stream of points (source, track_id, frame_idx, ts, cx): the state of a track is its open
-    session's last `history` points; it is emitted when a later point leaves a gap of more than `patience` frames, or when the
-    watermark has passed that many frame periods. A point that comes a batch late is sorted into the open session if it is no
-    older than the session's points by more than `patience` frames; otherwise its session is over, and it is left out."""
-
-    def verdict(key: tuple, session: int, pts: list) -> dict | None:
-        if len(pts) < least:
-            return None
-        dx = pts[-1][1] - pts[0][1]
-        side = "Right" if dx > threshold else "Left" if dx < -threshold else None
-        return {"source": key[0], "track_id": key[1], "session": session, "points": len(pts), "x_start": pts[0][1], "x_end": pts[-1][1], "last_frame": pts[-1][0], "dx": dx, "direction": side}
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session, at, xs, last_ms = state.get if state.exists else (0, [], [], 0)
-        pts: list[tuple[Any, Any]] = list(zip(at, xs, strict=True))
+def _keep_in_rocksdb(spark: SparkSession) -> None:
+    """State with several variables and timers needs this store; queries started later in the session use it too."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Timed(StatefulProcessor):
+    """A processor with one event-time timer a key, whose time is kept beside it as timers can't be asked for."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", "ms bigint")
+
+    def wake(self, ms: int | None) -> None:
+        """Moves the key's timer to ms, or takes it away."""
+        known = self.timer.get()[0] if self.timer.exists() else None
+        if known != ms:
+            if known is not None:
+                self.handle.deleteTimer(known)
+            if ms is None:
+                self.timer.clear()
+            else:
+                self.handle.registerTimer(ms)
+                self.timer.update((ms,))
+
+    def close(self) -> None:
+        pass
+
+
+class _Tracks(_Timed):
+    """A track's state: points that the watermark has not passed, in order of arrival; the last `history` points of the open session,
+    in order of frames; and its number, size and last time. Points are dealt with in order of frames once the watermark has passed them,
+    so neither their order of arrival nor the cut into batches matters."""
+
+    def __init__(self, threshold: float, patience: int, history: int, least: int, frame_ms: int, forget_ms: int) -> None:
+        self.threshold, self.patience, self.history, self.least, self.frame_ms, self.forget_ms = threshold, patience, history, least, frame_ms, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.waiting = handle.getListState("waiting", "ms bigint, frame bigint, x bigint")
+        self.open = handle.getListState("open", "frame bigint, x bigint")
+        self.session = handle.getValueState("session", "n int, last_ms bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for b in rows:
+            ms = (b["ts"].astype("int64") // 10 ** (6 if str(b["ts"].dtype).startswith("datetime64[ns") else 3)).tolist()
+            self.waiting.appendList(list(zip(ms, b["frame_idx"].tolist(), b["cx"].tolist(), strict=True)))
+        yield self._settle(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.timer.clear()
+        yield self._settle(key, timerValues.getCurrentWatermarkInMs())
+
+    def _settle(self, key: tuple, now: int) -> pd.DataFrame:
+        waiting = sorted(self.waiting.get(), key=lambda p: (p[1], p[0])) if self.waiting.exists() else []
+        points = list(self.open.get()) if self.open.exists() else []
+        n, last_ms = self.session.get() if self.session.exists() else (0, 0)
+        # A point waits as long as one of a lesser frame may still come.
+        ready = [p for p in waiting if p[0] <= now]
         done = []
-        if state.hasTimedOut:
-            done.append(verdict(key, session, pts))
-            pts, session = [], session + 1
+        for ms, frame, x in ready:
+            if points and frame - points[-1][0] - 1 > self.patience:
+                done.append(self._verdict(key, n, points))
+                points, n = [], n + 1
+            points.append((frame, x))
+            last_ms = max(last_ms, ms)
+            del points[: -self.history]
+        ends = last_ms + (self.patience + 1) * self.frame_ms
+        if points and now > ends:
+            done.append(self._verdict(key, n, points))
+            points, n = [], n + 1
+        left = [p for p in waiting if p[0] > now]
+        for state, rows in ((self.waiting, left), (self.open, points)):
+            if rows:
+                state.put([tuple(p) for p in rows])
+            elif state.exists():
+                state.clear()
+        if points or left or now <= last_ms + self.forget_ms:
+            self.session.update((n, last_ms))
+            self.wake(min([p[0] for p in left] + ([ends + 1] if points else [])) if points or left else last_ms + self.forget_ms + 1)
         else:
-            new = pd.concat(list(frames)).sort_values("frame_idx")
-            last_ms = max(last_ms, int(new["ts"].max().timestamp() * 1000))
-            for f, x in zip(new["frame_idx"].tolist(), new["cx"].tolist(), strict=True):
-                if pts and pts[0][0] - f - 1 > patience:
-                    continue
-                if pts and f - pts[-1][0] - 1 > patience:
-                    done.append(verdict(key, session, pts))
-                    pts, session = [], session + 1
-                pts = sorted([*pts, (f, x)])[-history:]
-        if pts:
-            state.update((session, [f for f, _ in pts], [x for _, x in pts], last_ms))
-            state.setTimeoutTimestamp(max(last_ms + (patience + 1) * frame_ms, state.getCurrentWatermarkMs() + 1))
-        elif state.hasTimedOut:
-            state.update((session, [], [], last_ms))  # sessions go on counting if the track comes back
+            self.session.clear()
+            self.wake(None)
         rows = [d for d in done if d]
-        yield pd.DataFrame(rows, columns=["source", "track_id", "session", "points", "x_start", "x_end", "last_frame", "dx", "direction"])
+        return pd.DataFrame(rows, columns=["source", "track_id", "session", "points", "x_start", "x_end", "last_frame", "dx", "direction"])
 
+    def _verdict(self, key: tuple, session: int, points: list) -> dict | None:
+        if len(points) < self.least:
+            return None
+        dx = points[-1][1] - points[0][1]
+        side = "Right" if dx > self.threshold else "Left" if dx < -self.threshold else None
+        return {"source": key[0], "track_id": key[1], "session": session, "points": len(points), "x_start": points[0][1], "x_end": points[-1][1], "last_frame": points[-1][0], "dx": dx, "direction": side}
+
+
+def stream_track_direction(
+    points: DataFrame, threshold: float = 100, patience: int = 120, history: int = 120, least: int = 15, frame_ms: int = 33, late: str = "10 seconds", forget_s: int = 86_400
+) -> DataFrame:
+    """traffic.track_direction over a stream of points (source, track_id, frame_idx, ts, cx). A session is told when a later point
+    leaves a gap of more than `patience` frames, or when the watermark has passed that many frame periods. Points may come in any
+    order within `late`. A track that stays away for forget_s seconds is forgotten, and its sessions are counted from 0 again."""
+    _keep_in_rocksdb(points.sparkSession)
     schema = "source string, track_id bigint, session int, points int, x_start bigint, x_end bigint, last_frame bigint, dx bigint, direction string"
-    kept = "session int, frames array<bigint>, xs array<bigint>, last_ms bigint"
-    return points.withWatermark("ts", late).groupBy("source", "track_id").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    own = points.select("source", F.col("track_id").cast("bigint").alias("track_id"), "frame_idx", "ts", "cx").withWatermark("ts", late)
+    job = _Tracks(threshold, patience, history, least, frame_ms, 1000 * forget_s)
+    return own.groupBy("source", "track_id").transformWithStateInPandas(job, schema, "append", "eventTime")
+
+
+class _Changes(_Timed):
+    """The values last sent of a key; ttl_ms after its last row, by the watermark, they are forgotten."""
 
+    def __init__(self, key: str, columns: list[str], by: list[str], kinds: str, ts: str | None, ttl_ms: int) -> None:
+        self.key, self.columns, self.by, self.kinds, self.ts, self.ttl_ms = key, columns, by, kinds, ts, ttl_ms
 
-def stream_change_feed(rows: DataFrame, key: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        if self.ts:
+            super().init(handle)
+        self.sent = handle.getValueState("sent", self.kinds, None if self.ts else self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        whole = pd.concat(list(rows))
+        last = whole.sort_values(self.by, na_position="first").iloc[-1]
+        own = tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in (last[c] for c in self.columns))
+        changed = not self.sent.exists() or tuple(self.sent.get()) != own
+        if changed or not self.ts:  # a value that is written again lives on
+            self.sent.update(own)
+        if self.ts:
+            newest = int(whole[self.ts].max().timestamp() * 1000)
+            self.wake(max(newest + self.ttl_ms, self.timer.get()[0] if self.timer.exists() else 0, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame([(key[0], *own)] if changed else [], columns=[self.key, *self.columns])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.timer.clear()
+        self.sent.clear()
+        yield pd.DataFrame([], columns=[self.key, *self.columns])
+
+
+def stream_change_feed(rows: DataFrame, key: str, columns: list[str], order: list[str] | None = None, ts: str | None = None, late: str = "10 minutes", ttl_s: int = 86_400) -> DataFrame:
     """The last row per key and batch, by the columns `order` (else by `columns` themselves, so that it is always the same one),
-    where it differs in `columns` from the last one sent."""
+    where it differs in `columns` from the last one sent. A key without rows for ttl_s seconds is forgotten, so its next row is
+    sent in any case: seconds of event time by the watermark with a time column ts, else of the clock."""
+    _keep_in_rocksdb(rows.sparkSession)
     by = order or columns
     kinds = {c: rows.schema[c].dataType.simpleString() for c in [key, *columns]}
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.concat(list(frames)).sort_values(by, na_position="first").iloc[-1]
-        own = tuple(None if pd.isna(v) else v for v in (last[c] for c in columns))
-        if not state.exists or state.get != own:
-            state.update(own)
-            yield pd.DataFrame([(k[0], *own)], columns=[key, *columns])
-
+    own = rows.select(key, *dict.fromkeys([*columns, *by, *([ts] if ts else [])]))
+    own = own.withWatermark(ts, late) if ts else own
+    job = _Changes(key, columns, by, ", ".join(f"`{c}` {kinds[c]}" for c in columns), ts, 1000 * ttl_s)
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
-    kept = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-    return rows.select(key, *dict.fromkeys([*columns, *by])).groupBy(key).applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.NoTimeout)
+    return own.groupBy(key).transformWithStateInPandas(job, schema, "append", "eventTime" if ts else "processingTime")
 
 
 def sliding_chunks(samples: DataFrame, length: str, step: str, ts: str = "ts", keys: tuple[str, ...] = ("audio_id",), late: str | None = None) -> DataFrame:

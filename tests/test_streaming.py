@@ -1,5 +1,6 @@
 """Streams give what the batch form gives on the same rows, and drop what is later than the watermark."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -71,11 +72,49 @@ def test_points_that_come_a_batch_late_are_sorted_in(spark, tmp_path):
     assert [(r.points, r.x_start, r.x_end) for r in found] == [(30, 0, 580)]
 
 
+def test_any_order_of_arrival_gives_the_batch_form(spark, tmp_path):
+    rng = random.Random(2)
+    rows = []
+    for track in range(6):
+        at = 0
+        for _ in range(4):
+            rows += [("s", track, at + f, T0 + timedelta(milliseconds=33 * (at + f)), rng.choice([-9, 9, 1]) * f) for f in range(rng.randrange(5, 160))]
+            at += 160 + rng.randrange(10, 300)
+    schema = "source string, track_id long, frame_idx long, ts timestamp, cx long"
+    rows = [*sorted(rows, key=lambda r: r[2] + rng.randrange(300)), ("s", 99, 9999, T0 + timedelta(seconds=9999), 0)]  # up to ten seconds out of order
+    batch, stream = written(spark, tmp_path, rows, schema, 6)
+    keys = lambda rs: sorted((r.track_id, r.session, r.points, r.x_start, r.x_end, r.last_frame, str(r.direction)) for r in rs)
+    expected = keys(traffic.track_direction(batch).collect())
+    assert len(expected) > 12 and keys(collected(spark, streams.stream_track_direction(stream, late="20 seconds"), tmp_path)) == expected
+
+
+def left(spark, tmp_path, variable):
+    return spark.read.format("statestore").option("stateVarName", variable).load(str(tmp_path / "cp")).count()
+
+
+def test_tracks_are_forgotten(spark, tmp_path):
+    at = lambda f: T0 + timedelta(milliseconds=33 * f)
+    rows = [("s", 1, f, at(f), f) for f in range(20)] + [("s", 2, 200_000, at(200_000), 1)] * 20 + [("s", 2, 400_000, at(400_000), 1)] * 20
+    _, stream = written(spark, tmp_path, rows, "source string, track_id long, frame_idx long, ts timestamp, cx long")
+    out = collected(spark, streams.stream_track_direction(stream, forget_s=60), tmp_path)
+    assert [(r.track_id, r.points) for r in out][:1] == [(1, 20)]
+    assert left(spark, tmp_path, "session") <= 1 and left(spark, tmp_path, "open") == 0
+
+
 def test_change_feed(spark, tmp_path):
     batch, stream = written(spark, tmp_path, [("k", 1, 1), ("k", 1, 2), ("k", 2, 9), ("k", 3, 4), ("k", 3, 5), ("k", 5, 3)], "key string, v long, n long")
     assert [r.v for r in collected(spark, streams.stream_change_feed(stream, "key", ["v"], ["n"]), tmp_path)] == [1, 2, 3]
 
 
+def test_the_change_feed_forgets_keys(spark, tmp_path):
+    at = lambda h: T0 + timedelta(hours=h)
+    rows = [("k", 1, at(0)), ("k", 1, at(1)), ("z", 1, at(30)), ("z", 1, at(31)), ("k", 1, at(40)), ("k", None, at(43)), ("k", None, at(44))]
+    _, stream = written(spark, tmp_path, rows, "key string, v int, ts timestamp", 7)
+    out = collected(spark, streams.stream_change_feed(stream, "key", ["v"], ["ts"], "ts", ttl_s=36_000), tmp_path)
+    assert [(r.key, r.v) for r in out] == [("k", 1), ("z", 1), ("k", 1), ("k", None)]  # k is forgotten and sent again
+    assert left(spark, tmp_path, "sent") == 1  # z, whose time is over, has gone
+
+
 def test_history_keeps_the_last_days(spark, tmp_path):
     rows = [("2024-01-01", "10:00", 1), ("2024-02-20", "10:00", 2), ("2024-02-20", "10:00", 3)]
     _, stream = written(spark, tmp_path, rows, "Date string, Time string, n int")

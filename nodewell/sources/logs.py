@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from nodewell import schemas
+from nodewell.operators.ordered import latest, timeline
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -14,14 +15,16 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _by_header(spark: SparkSession, path: str, field: str, names: list[str]) -> DataFrame:
-    """(file, names as strings) of CSV files, each read by its own header, the line that has the given field name; a column
-    that a file lacks is null. A file without a header is left out, as nothing tells its columns. Only the distinct headers come
-    to the driver."""
-    lines = _lines(spark, path).where("trim(line) <> ''")
+    """(file, names as strings) of CSV files, each line read by the last header before it, a line that has the given field name, so
+    a log that was started again may order its columns anew; lines before the first header are read by it. A column that a header
+    lacks is null. A file without a header is left out, as nothing tells its columns. Only the distinct headers come to the driver."""
+    lines = _lines(spark, path).where("trim(line) <> ''").select("file", "pos.block", "pos.n", "line")
     is_head = F.array_contains(F.transform(F.split("line", ","), lambda x: F.trim(x)), field)
-    heads = lines.where(is_head).groupBy("file").agg(F.min("line").alias("_h"))
-    forms = sorted(r[0] for r in heads.select("_h").distinct().collect())
-    rows = lines.where(~is_head).join(heads, "file")
+    forms = sorted(r[0] for r in lines.where(is_head).select("line").distinct().collect())
+    head = F.when(is_head, F.col("line"))
+    told = timeline(lines, ("file",), "block", ("n",)).scan(_h=latest(head)).rows()
+    first = lines.where(is_head).groupBy("file").agg(F.min_by("line", F.struct("block", "n")).alias("_first"))
+    rows = told.where(~is_head).join(first, "file").withColumn("_h", F.coalesce("_h", "_first"))
     parsed = F.lit(None).cast("struct<" + ", ".join(f"`{n}`: string" for n in names) + ">")
     for form in forms:
         own = [c.strip() for c in form.split(",")]

@@ -194,3 +194,27 @@ def test_log_cleaning(spark):
     chunk = "Script started on\nggml_x\n[BLANK_AUDIO]\nNvRm z\n### a\n[00:00.000 --> 00:01.000]  hello\nrequired: 3\n[Start speaking]\nold\r" + " " * 30 + "\rnew [BLANK_AUDIO]\n"
     assert one(telemetry.clean_transcript_chunk(F.lit(chunk))) == "hello\nold\nnew\n" and one(telemetry.clean_transcript_chunk(F.lit("main: x"))) == ""
     assert one(telemetry.build_config(F.lit("AVX2 = 0 | NEON = 1 | CUDA : ARCHS = 8 | CUDA = 1"))) == " NEON CUDA"
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = _next_row(row, i, x, b)
+    return row[-1]
+
+
+def _next_row(row, i, x, b):
+    out = [i]
+    for j, y in enumerate(b, 1):
+        out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+    return out
+
+
+def test_bit_parallel_distance_equals_the_table():
+    rng = random.Random(1)
+    for _ in range(400):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(limit))] for limit in (70, 140))
+        assert speechtext.edit_distance(a, b) == speechtext.edit_distance(b, a) == plain_distance(a, b)
+    whole = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    heard = [w if rng.random() > 0.1 else "x" for w in whole if rng.random() > 0.1]
+    assert 0.15 < speechtext.edit_distance(whole, heard) / len(whole) < 0.2

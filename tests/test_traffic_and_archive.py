@@ -182,3 +182,13 @@ def test_telemetry(spark):
     assert headline("gpu", VDD_GPU=10.0) == 10.0 and headline("gpu", VDD_GPU=10.0, VDD_GPU_SOC=2.0) == 2.0
     m = stats.meter_summary(spark.createDataFrame([("r", datetime(2024, 1, 1, 0, 0, 3 * i), w) for i, w in enumerate((1.0, 2.0, 4.0))], "run string, ts timestamp_ntz, watts double")).first()
     assert (m.power_watts_avg, m.power_watts_peak, m.power_watts_min, m.energy_joules_est, m.sample_count, m.duration_seconds) == (2.33, 4.0, 1.0, 14.0, 3, 6.0)
+
+
+def test_a_log_that_starts_again_with_another_order(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.csv").write_text("2023-12-31,09:00,Left,0,9\nDate,Time,Direction,X_start,X_end\n2024-01-01,10:00,Left,1,2\n\nDate,Time,X_end,X_start,Direction\n2024-01-02,10:00,4,3,Right\n")
+    (folder / "b.csv").write_text("Date,X_end,Time\n2024-01-03,6,11:00\n")
+    (folder / "c.csv").write_text("no header,1\n")
+    got = sorted((r.Date, r.Time, r.Direction, r.X_start, r.X_end) for r in logs.read_movement(spark, str(folder)).collect())
+    assert got == [("2023-12-31", "09:00", "Left", 0.0, 9.0), ("2024-01-01", "10:00", "Left", 1.0, 2.0), ("2024-01-02", "10:00", "Right", 3.0, 4.0), ("2024-01-03", "11:00", None, None, 6.0)]

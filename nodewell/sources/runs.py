@@ -55,9 +55,9 @@ def identified(runs: DataFrame) -> DataFrame:
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, category, n) of one JSON document of categories and annotations."""
+    """(image_id, category, n) of JSON documents of categories and annotations; documents that name equal categories share them."""
     doc = spark.read.schema(schemas.ANNOTATIONS).option("multiLine", True).json(path)
-    names = doc.select(F.inline("categories")).select(F.col("id").alias("category_id"), F.col("name").alias("category"))
+    names = doc.select(F.inline("categories")).select(F.col("id").alias("category_id"), F.col("name").alias("category")).distinct()
     each = doc.select(F.inline("annotations")).select("image_id", "category_id")
     return each.join(F.broadcast(names), "category_id").groupBy("image_id", "category").agg(F.count("*").alias("n"))
 
@@ -101,5 +101,5 @@ def write_report_json(df: DataFrame, path: str) -> None:
 
 
 def read_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table of an embedded database by JDBC; give partitionColumn, lowerBound, upperBound and numPartitions for large ones."""
+    """A table by JDBC, where the database's driver is at hand; see sources.sqlite for SQLite files, which need none."""
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()

@@ -185,7 +185,8 @@ class _Changes(_Timed):
 def stream_change_feed(rows: DataFrame, key: str, columns: list[str], order: list[str] | None = None, ts: str | None = None, late: str = "10 minutes", ttl_s: int = 86_400) -> DataFrame:
     """The last row per key and batch, by the columns `order` (else by `columns` themselves, so that it is always the same one),
     where it differs in `columns` from the last one sent. A key without rows for ttl_s seconds is forgotten, so its next row is
-    sent in any case: seconds of event time by the watermark with a time column ts, else of the clock."""
+    sent in any case: seconds of event time by the watermark with a time column ts, else of the clock; by the clock a query has
+    no last batch, so the trigger availableNow does not end it."""
     _keep_in_rocksdb(rows.sparkSession)
     by = order or columns
     kinds = {c: rows.schema[c].dataType.simpleString() for c in [key, *columns]}

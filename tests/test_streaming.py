@@ -103,7 +103,17 @@ def test_tracks_are_forgotten(spark, tmp_path):
 
 def test_change_feed(spark, tmp_path):
     batch, stream = written(spark, tmp_path, [("k", 1, 1), ("k", 1, 2), ("k", 2, 9), ("k", 3, 4), ("k", 3, 5), ("k", 5, 3)], "key string, v long, n long")
-    assert [r.v for r in collected(spark, streams.stream_change_feed(stream, "key", ["v"], ["n"]), tmp_path)] == [1, 2, 3]
+    timed = stream.withColumn("at", F.timestamp_seconds("n"))
+    assert [r.v for r in collected(spark, streams.stream_change_feed(timed, "key", ["v"], ["n"], "at"), tmp_path)] == [1, 2, 3]
+
+
+def test_change_feed_by_the_clock(spark, tmp_path):
+    _, stream = written(spark, tmp_path, [("k", 1), ("k", 2), ("k", 2)], "key string, v long")
+    out = []
+    q = streams.stream_change_feed(stream, "key", ["v"]).writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, _: out.extend(b.collect())).start()
+    q.processAllAvailable()
+    q.stop()
+    assert [r.v for r in out] == [1, 2]
 
 
 def test_the_change_feed_forgets_keys(spark, tmp_path):

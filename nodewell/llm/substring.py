@@ -146,19 +146,32 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """d, v, text, marks -> w, d, v, s: each window of the marked super-windows once for some 200 documents, at its earliest place."""
+    """d, v, text, marks -> w, d, v, s: each window of the marked super-windows at its earliest place, once as long as the windows
+    met since the last time fit into HELD_BYTES."""
+    first: dict[bytes, tuple[int, int, int]] = {}
+    held = 0
+
+    def told() -> pa.RecordBatch:
+        places = list(zip(*first.values(), strict=True)) or [[], [], []]
+        columns = [pa.array(list(x), k) for x, k in zip(places, (pa.int64(), pa.int64(), pa.int32()), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(list(first), pa.binary()), *columns], ["w", "d", "v", "s"])
+
     for b in batches:
         for at in range(0, b.num_rows, 200):
-            first: dict[bytes, tuple[int, int, int]] = {}
             for d, v, t, marks in zip(*[c.slice(at, 200).to_pylist() for c in b.columns], strict=True):
                 words = t.split()
                 for m in marks:
                     for s in range(m["s"], m["s"] + m["n"]):
                         w = b" ".join(words[s : s + WINDOW])
-                        first[w] = min(first.get(w, (d, v, s)), (d, v, s))
-            places = list(zip(*first.values(), strict=True)) or [[], [], []]
-            columns = [pa.array(list(x), k) for x, k in zip(places, (pa.int64(), pa.int64(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.binary()), *columns], ["w", "d", "v", "s"])
+                        known = first.get(w)
+                        if known is None:
+                            held += len(w) + ENTRY_BYTES
+                        if known is None or (d, v, s) < known:
+                            first[w] = (d, v, s)
+                        if held > HELD_BYTES:
+                            yield told()
+                            first, held = {}, 0
+    yield told()
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +231,9 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).view(pa.string())], ["key", "n_words", "n_removed", "kept"])
 
 
+#: Bytes of windows and their places that a task holds before it passes them on, and what an entry takes besides its words.
+HELD_BYTES, ENTRY_BYTES = 64 << 20, 400
+
 #: What a span of a document holds; see _strip. Windows of oversize groups come first, as others may cover the same words.
 HOT, EXCEPT, COVERED = range(3)
 

@@ -151,29 +151,76 @@ def spanning_links(data: np.ndarray, queries: np.ndarray, half: np.uint64) -> tu
     return nodes[own], nodes[label[own]]
 
 
-def links(fps: DataFrame, shard_rows: int = SHARD_ROWS, fit_rows: int = FIT_ROWS, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that connect all that differ in 3 bits or fewer.
+def _grafted(tree, at: dict[int, tuple]):
+    """tree with other trees in place of some leaves."""
+    if not isinstance(tree, tuple):
+        return at.get(tree, tree)
+    return (*tree[:4], _grafted(tree[4], at), _grafted(tree[5], at))
 
-    Two vantage trees, one per half, are fitted on a bounded sample, in proportion to the shards. Each fingerprint goes to its own leaf and, as a
-    query, to every leaf whose border its ball crosses; each leaf is one group of about shard_rows fingerprints and
-    is searched by a tree of its own. A leaf gives a spanning forest of its links, not all its pairs.
-    """
+
+def _homes(fps: DataFrame, trees: list) -> DataFrame:
+    """(shard, fp): each fingerprint with its leaf in each tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            signed = b.column(0).to_numpy(zero_copy_only=False)
+            for tree in trees:
+                for leaf, at in route(tree, signed.view(np.uint64), np.arange(signed.size), False):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(at.size, leaf, np.int32)), pa.array(signed[at])], ["shard", "fp"])
+
+    return fps.select("fp").mapInArrow(tidy(run), "shard int, fp bigint")
+
+
+def fit_trees(fps: DataFrame, shard_rows: int = SHARD_ROWS, fit_rows: int = FIT_ROWS, max_fit_rows: int = MAX_FIT_ROWS, rounds: int = 8) -> tuple[list, list[int]]:
+    """(a tree per half, the tree of each leaf). Fitted on a bounded sample, in proportion to the shards; then the leaves' rows are
+    counted, and leaves of over twice shard_rows are fitted again on rows of their own, as clustered fingerprints fall unevenly. A
+    leaf stays large only if no vantage point parts its sample."""
     total = fps.count()
     levels = max(0, int(np.ceil(np.log2(max(1, total) / shard_rows))))
     n_fit = min(fit_rows << levels, total // 8, max_fit_rows) if levels else 0
     chosen = fps.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(total)) < 2 * n_fit).orderBy(F.xxhash64("fp"), "fp").limit(n_fit)
     sample = chosen.toArrow().column(0).to_numpy().view(np.uint64) if levels else np.empty(0, np.uint64)
-    trees, after = [], 0
-    for half in HALVES:
-        tree, after_next = fit_tree(sample, half, levels, after)
-        trees.append((tree, after, after_next))
-        after = after_next
+    trees, tree_of = [], []
+    for n, half in enumerate(HALVES):
+        tree, after = fit_tree(sample, half, levels, len(tree_of))
+        trees.append(tree)
+        tree_of += [n] * (after - len(tree_of))
+    closed: set[int] = set()
+    for _ in range(rounds if levels else 0):
+        homes = _homes(fps, trees)
+        large = {r.shard: r["count"] for r in homes.groupBy("shard").count().where(F.col("count") > 2 * shard_rows).collect() if r.shard not in closed}
+        if not large:
+            break
+        # Twice fit_rows for each of its shards to be, by hash; so the driver holds a share of the large leaves, max_fit_rows in all.
+        share = min(1.0, 2 * fit_rows / shard_rows, max_fit_rows / sum(large.values()))
+        hashed = F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20))
+        rows = homes.where(F.col("shard").isin(list(large)) & hashed).toArrow().to_pandas()
+        grafts: dict[int, tuple] = {}
+        for leaf, own in rows.groupby("shard")["fp"]:
+            n = tree_of[leaf]
+            tree, after = fit_tree(np.sort(own.to_numpy()).view(np.uint64), HALVES[n], int(np.ceil(np.log2(large[leaf] / shard_rows))), len(tree_of))
+            if isinstance(tree, tuple):
+                grafts[leaf] = tree
+                tree_of += [n] * (after - len(tree_of))
+        closed |= large.keys() - grafts.keys()
+        trees = [_grafted(t, grafts) for t in trees]
+    return trees, tree_of
+
+
+def links(fps: DataFrame, shard_rows: int = SHARD_ROWS, fit_rows: int = FIT_ROWS, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) that connect all that differ in 3 bits or fewer.
+
+    Two vantage trees, one per half; see fit_trees. Each fingerprint goes to its own leaf and, as a query, to every leaf whose
+    border its ball crosses; each leaf is one group of about shard_rows fingerprints and is searched by a tree of its own. A leaf
+    gives a spanning forest of its links, not all its pairs.
+    """
+    trees, tree_of = fit_trees(fps, shard_rows, fit_rows, max_fit_rows)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             signed = b.column(0).to_numpy(zero_copy_only=False)
             own, everything = signed.view(np.uint64), np.arange(signed.size)
-            for tree, _, _ in trees:
+            for tree in trees:
                 home = np.full(signed.size, -1)
                 for leaf, at in route(tree, own, everything, False):
                     home[at] = leaf
@@ -184,8 +231,7 @@ def links(fps: DataFrame, shard_rows: int = SHARD_ROWS, fit_rows: int = FIT_ROWS
                     )
 
     def search(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        half = next(h for h, (_, first, end) in zip(HALVES, trees, strict=True) if first <= shard < end)
+        half = HALVES[tree_of[table.column("shard")[0].as_py()]]
         fp = table.column("fp").to_numpy().view(np.uint64)
         home = table.column("home").to_numpy()
         a, b = spanning_links(fp[home], fp, half)

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -292,6 +293,42 @@ def test_near_duplicates(spark, docs, rows, real):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_clustered_fingerprints_make_no_large_leaf(spark):
+    """Half of all lie within 8 bits of one of a few centres, too near for a tree that is fitted on a sample of all."""
+    rng = random.Random(8)
+    centres = [rng.getrandbits(64) for _ in range(3)]
+    fps = {rng.getrandbits(64) for _ in range(3000)}
+    while len(fps) < 6000:
+        x = centres[len(fps) % 3]
+        for b in rng.sample(range(64), rng.randrange(5, 9)):
+            x ^= 1 << b
+        fps.add(x)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp bigint").cache()
+    trees, tree_of = simhash.fit_trees(df, 200, 64)
+    sizes = [r["count"] for r in simhash._homes(df, trees).groupBy("shard").count().collect()]
+    assert max(sizes) <= 400 and sum(sizes) == 2 * len(fps) and len(sizes) <= len(tree_of)
+    found = [(r.a, r.b) for r in simhash.links(df, 200, 64).collect()]
+    keys = np.array(sorted(fps), np.uint64)
+    parent = {int(k): int(k) for k in keys}
+
+    def root(p, x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for k in keys:
+        for o in keys[np.bitwise_count(keys ^ k) <= 3]:
+            a, b = root(parent, int(k)), root(parent, int(o))
+            parent[max(a, b)] = min(a, b)
+    ours = {int(k): int(k) for k in keys}
+    for a, b in found:
+        a, b = root(ours, a & (1 << 64) - 1), root(ours, b & (1 << 64) - 1)
+        ours[max(a, b)] = min(a, b)
+    assert {k: root(ours, k) for k in ours} == {k: root(parent, k) for k in parent}
+    assert len({root(ours, k) for k in ours}) < len(fps)
+
+
 def test_links_over_many_shards(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(300)] + [rng.getrandbits(32) for _ in range(200)]
@@ -470,6 +507,26 @@ def digests(df):
     return [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in df.collect()]
 
 
+def test_windows_that_are_held_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    text = " ".join(f"w{i % 50}" for i in range(3000)).encode()
+    kinds = pa.schema([("d", pa.int64()), ("v", pa.int64()), ("t", pa.binary()), ("m", pa.list_(pa.struct([("h", pa.int64()), ("s", pa.int64()), ("n", pa.int64())])))])
+    batch = pa.RecordBatch.from_pylist([{"d": d, "v": 0, "t": text, "m": [{"h": 1, "s": 0, "n": 2981}]} for d in (5, 3)], kinds)
+
+    def least():
+        parts = [b.to_pylist() for b in substring._whole_windows(iter([batch]))]
+        found = {}
+        for r in (r for p in parts for r in p):
+            found[r["w"]] = min(found.get(r["w"], (9, 9, 9)), (r["d"], r["v"], r["s"]))
+        return len(parts), max(map(len, parts)), found
+
+    parts, _, whole = least()
+    monkeypatch.setattr(substring, "HELD_BYTES", 5000)
+    many, most, same_ = least()
+    assert parts == 1 and many > 10 and most < 20 and same_ == whole and len(whole) == 50
+
+
 @pytest.mark.parametrize("group_bytes", [1, substring.GROUP_BYTES])
 def test_repeats(spark, docs, rows, group_bytes):
     same(digests(substring.remove_repeats(docs, group_bytes=group_bytes)), plain_repeats([(r[0], r[1]) for r in rows]))

@@ -65,27 +65,73 @@ def embed(df: DataFrame, text: str, model: Callable[[list[str]], np.ndarray], na
     return df.mapInPandas(run, schema)
 
 
-def topk_l2(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id", corpus_id: str = "corpus_id", vector: str = "embedding", block_rows: int = 20_000) -> DataFrame:
+def _cells(df: DataFrame, centres: np.ndarray) -> DataFrame:
+    """df (i, v) with cell, the nearest of the centres, and away, the distance to it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.stack(b["v"].to_numpy()).astype(float)
+                cell = np.concatenate([((centres**2).sum(1) - 2 * x[at : at + 1024] @ centres.T).argmin(axis=1) for at in range(0, len(x), 1024)])
+                yield b.assign(cell=cell, away=np.sqrt(((x - centres[cell]) ** 2).sum(1)))
+
+    return df.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", cell int, away double")
+
+
+def near_cells(centres: np.ndarray, sizes: np.ndarray, k: int) -> list[list[int]]:
+    """Per cell the cells nearest to its centre that hold k vectors together, or all."""
+    order = np.argsort(((centres[:, None] - centres) ** 2).sum(axis=2) if len(centres) <= 256 else np.stack([((c - centres) ** 2).sum(axis=1) for c in centres]), axis=1, kind="stable")
+    return [own[: int(np.searchsorted(np.cumsum(sizes[own]), k)) + 1].tolist() for own in order]
+
+
+def open_cells(centres: np.ndarray, q_radius: np.ndarray, c_radius: np.ndarray, limit: np.ndarray, done: list[list[int]]) -> list[tuple[int, int]]:
+    """Pairs of cells, not yet done, that may hold a vector within limit of a query: distances between centres less both radii."""
+    out = []
+    for q, own in enumerate(done):
+        if q_radius[q] >= 0:
+            apart = np.sqrt(((centres[q] - centres) ** 2).sum(axis=1)) - q_radius[q] - c_radius
+            near = (apart <= limit[q] + 1e-9 * (1 + np.abs(limit[q]))) & (c_radius >= 0)
+            near[own] = False
+            out += [(q, c) for c in np.flatnonzero(near).tolist()]
+    return out
+
+
+def topk_l2(
+    queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id", corpus_id: str = "corpus_id", vector: str = "embedding", block_rows: int = 20_000, max_cells: int = 1024, told: dict | None = None
+) -> DataFrame:
     """(query_id, rank, corpus_id, distance): the k nearest corpus vectors by squared L2, exactly; equal distances by corpus_id.
 
-    Corpus and queries are cut into blocks of about block_rows vectors, and each pair of blocks is one group: a matrix
-    product that keeps its own best k. These meet in a window per query, so a query's candidates are k per block.
-    Null vectors are left out.
+    Up to max_cells corpus vectors, the ones with the least hashes, are centres of cells of some block_rows vectors, and queries
+    fall into the same cells. The queries of a cell first meet the cells nearest to its centre that hold k vectors; the farthest
+    k-th distance found there bounds the others: a pair of cells is left out if its centres less both radii are farther apart. Cells
+    beyond block_rows are cut by hash; each pair of blocks is one group, a matrix product that keeps its own best k, and these
+    meet in a window per query. Null vectors are left out. told, if given, gets the numbers of met and all pairs of cells.
     """
     c = corpus.where(F.col(vector).isNotNull()).select(F.col(corpus_id).alias("i"), F.col(vector).alias("v"))
     q = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("i"), F.col(vector).alias("v"))
-    n_c, n_q = max(1, -(-c.count() // block_rows)), max(1, -(-q.count() // block_rows))
-
-    def block(df: DataFrame, own: int, others: int, first: bool) -> DataFrame:
-        mine, other = F.pmod(F.xxhash64("i"), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        return df.select("i", "v", *([mine.alias("qb"), other.alias("cb")] if first else [mine.alias("cb"), other.alias("qb")]))
-
-    id_type = corpus.schema[corpus_id].dataType.simpleString()
-    q_type = queries.schema[query_id].dataType.simpleString()
+    n_c = c.count()
+    n_cells = min(max_cells, -(-n_c // block_rows))
+    if n_cells > 1:
+        hashed = F.pmod(F.xxhash64("i", F.lit(3)), F.lit(max(1, n_c // (4 * n_cells)))) == 0
+        chosen = c.where(hashed).orderBy(F.xxhash64("i", F.lit(3)), "i").limit(n_cells).collect()
+        centres = np.unique(np.array([r.v for r in chosen], float), axis=0) if chosen else np.zeros((1, len(c.first().v)))
+        c, q = _cells(c, centres), _cells(q, centres)
+    else:
+        centres = np.zeros((1, 1))
+        c, q = (df.select("*", F.lit(0).alias("cell"), F.lit(0.0).alias("away")) for df in (c, q))
+    size, radius = {}, {}
+    for side, df in (("q", q), ("c", c)):
+        size[side], radius[side] = np.zeros(len(centres), np.int64), np.full(len(centres), -1.0)
+        for r in df.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect():
+            size[side][r.cell], radius[side][r.cell] = r.n, r.r
+    blocks = {s: np.maximum(1, -(-n // block_rows)) for s, n in size.items()}
+    spark = corpus.sparkSession
+    id_type, q_type = corpus.schema[corpus_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    met = 0
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({x: np.array([], dtype=object) for x in "qcd"})
+            return pd.DataFrame({x: np.array([], dtype=object) for x in "qcde"})
         b = b.sort_values("i", kind="stable")
         x, y = np.stack(a["v"].to_numpy()).astype(float), np.stack(b["v"].to_numpy()).astype(float)
         parts, take = [], min(k, len(y))
@@ -99,9 +145,35 @@ def topk_l2(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "
             r, c, d = r[order], c[order], d[order]
             place = np.arange(len(r)) - np.searchsorted(r, r)
             keep = place < take
-            parts.append(pd.DataFrame({"q": a["i"].to_numpy()[at + r[keep]], "c": b["i"].to_numpy()[c[keep]], "d": d[keep]}))
+            parts.append(pd.DataFrame({"q": a["i"].to_numpy()[at + r[keep]], "c": b["i"].to_numpy()[c[keep]], "d": d[keep], "e": a["cell"].to_numpy()[at + r[keep]]}))
         return pd.concat(parts)
 
-    near = block(q, n_q, n_c, True).groupBy("qb", "cb").cogroup(block(c, n_c, n_q, False).groupBy("qb", "cb")).applyInPandas(search, f"q {q_type}, c {id_type}, d double")
+    def meet(pairs: list[tuple[int, int]]) -> DataFrame:
+        """The best of each pair of blocks of the cells."""
+        nonlocal met
+        pairs = [(a, b) for a, b in pairs if size["q"][a] and size["c"][b]]
+        met += len(pairs)
+        rows = [(a, b, int(blocks["q"][a]), int(blocks["c"][b])) for a, b in pairs]
+
+        def side(df: DataFrame, own: str, other: str) -> DataFrame:
+            cut = F.pmod(F.xxhash64("i"), F.col(f"n{own}")).cast("int")
+            table = spark.createDataFrame(rows, "qc int, cc int, nq int, nc int")
+            return df.join(F.broadcast(table), F.col("cell") == F.col(f"{own}c")).select("i", "v", "cell", "qc", "cc", cut.alias(f"{own}b"), F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)).alias(f"{other}b"))
+
+        group = ["qc", "cc", "qb", "cb"]
+        return side(q, "q", "c").groupBy(*group).cogroup(side(c, "c", "q").groupBy(*group)).applyInPandas(search, f"q {q_type}, c {id_type}, d double, e int")
+
+    first = near_cells(centres, size["c"], k)
+    near = meet([(a, b) for a, own in enumerate(first) for b in own])
+    if len(centres) > 1:
+        rank = F.row_number().over(W.partitionBy("q").orderBy("d", "c"))
+        last = near.withColumn("rank", rank).where(F.col("rank") == k).groupBy("e").agg(F.max("d").alias("d"), F.count("*").alias("n"))
+        limit = np.full(len(centres), np.inf)
+        for r in last.collect():
+            if r.n == size["q"][r.e]:  # every query of the cell has found k
+                limit[r.e] = np.sqrt(r.d)
+        near = near.unionByName(meet(open_cells(centres, radius["q"], radius["c"], limit, first)))
+    if told is not None:
+        told.update(met=met, pairs=int((size["q"] > 0).sum() * (size["c"] > 0).sum()))
     rank = F.row_number().over(W.partitionBy("q").orderBy("d", "c"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), "rank", F.col("c").alias(corpus_id), F.col("d").alias("distance"))

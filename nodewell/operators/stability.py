@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from nodewell.functions import vectors
+from nodewell.operators.stats import with_percentiles
 
 
 def repeat_stability(runs: DataFrame) -> DataFrame:
@@ -17,13 +18,13 @@ def repeat_stability(runs: DataFrame) -> DataFrame:
     return rows.where(F.size("_v") >= 2).select("model", "device", "image_id", "task", F.size("_v").alias("repeats"), vectors.mean_pair_cosine(F.col("_v")).alias("stability"), "texts")
 
 
-def stability_summary(stability: DataFrame, keys: tuple[str, ...] = ("model", "device")) -> DataFrame:
+def stability_summary(stability: DataFrame, keys: tuple[str, ...] = ("model", "device"), map_rows: int = 1_000_000) -> DataFrame:
     s = F.col("stability")
-    g = stability.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(s).alias("mean"), F.percentile(s, [0.5, 0.05, 0.1]).alias("_p"), F.min(s).alias("min"),
-        *[F.avg((s < x / 100).cast("int")).alias(f"share_below_{x}") for x in (85, 90, 95)],
-    )
-    return g.select(*keys, "n", "mean", *[F.col("_p")[i].alias(n) for i, n in enumerate(("median", "p5", "p10"))], "min", *[f"share_below_{x}" for x in (85, 90, 95)])
+    shares = [F.avg((s < x / 100).cast("int")).alias(f"share_below_{x}") for x in (85, 90, 95)]
+    g = stability.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(s).alias("mean"), F.min(s).alias("min"), *shares)
+    wanted = {"median": ("stability", 50.0), "p5": ("stability", 5.0), "p10": ("stability", 10.0)}
+    g = with_percentiles(g, stability.select(*keys, "stability"), list(keys), wanted, map_rows=map_rows)
+    return g.select(*keys, "n", "mean", *wanted, "min", *[f"share_below_{x}" for x in (85, 90, 95)])
 
 
 def least_stable_examples(stability: DataFrame, below: float = 0.85, per_group: int = 10) -> DataFrame:

@@ -12,6 +12,27 @@ def percentile(c: Column, p: float, approx: bool = False) -> Column:
     return F.percentile_approx(c, p, 10_000) if approx else F.percentile(c, p)
 
 
+def _matched(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a joined with b by keys, nulls being keys like others."""
+    named = b.withColumnsRenamed({k: f"_k{n}" for n, k in enumerate(keys)})
+    same = [a[k].eqNullSafe(named[f"_k{n}"]) for n, k in enumerate(keys)]
+    return a.join(named, same, how).drop(*[f"_k{n}" for n in range(len(keys))])
+
+
+def with_percentiles(groups: DataFrame, df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], approx: bool = False, map_rows: int = 1_000_000) -> DataFrame:
+    """groups, which has a row per keys, with the percentiles of df by name: (column of df, 0 to 100); exact unless approx.
+
+    Counts the rows of the largest group, which is a job. Up to map_rows of them a group's values and counts are held as a map;
+    beyond, ranked_percentiles is used, which holds no group. Both interpolate between the same two values."""
+    columns = dict.fromkeys(c for c, _ in wanted.values())
+    if not approx and (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > map_rows:
+        for c in columns:
+            groups = _matched(groups, ranked_percentiles(df, keys, c, {n: p for n, (own, p) in wanted.items() if own == c}), keys, "left")
+        return groups
+    each = [percentile(F.col(c), p / 100, approx).alias(n) for n, (c, p) in wanted.items()]
+    return _matched(groups, df.groupBy(*keys).agg(*each), keys, "left")
+
+
 def ranked_percentiles(df: DataFrame, keys: list[str], value: str, percents: dict[str, float], nearest: bool = False, bins: int = 100) -> DataFrame:
     """(keys, one column per name of percents, from 0 to 100) by exact ranks, interpolated, or of the nearest rank, halves to even.
 
@@ -21,7 +42,7 @@ def ranked_percentiles(df: DataFrame, keys: list[str], value: str, percents: dic
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
     values = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
     cuts = values.groupBy(*keys).agg(F.percentile_approx("_v", [(b + 1) / bins for b in range(bins - 1)], 10 * bins).alias("_cuts"), F.sum("_c").alias("_all"))
-    placed = values.join(cuts, keys).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    placed = _matched(values, cuts, keys).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     running = F.sum("_n").over(W.partitionBy(*keys).orderBy("_b"))
     counts = placed.groupBy(*keys, "_b", "_all").agg(F.sum("_c").alias("_n")).withColumn("_from", running - F.col("_n"))
 
@@ -31,7 +52,7 @@ def ranked_percentiles(df: DataFrame, keys: list[str], value: str, percents: dic
 
     wanted = [r for p in percents.values() for r in ranks(p)[:2]]
     holds = F.exists(F.array(*[w.cast("bigint") for w in wanted]), lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_n")))
-    some = placed.join(counts.where(holds).select(*keys, "_b", "_from"), [*keys, "_b"])
+    some = _matched(placed, counts.where(holds).select(*keys, "_b", "_from"), [*keys, "_b"])
     upto = F.col("_from") + F.sum("_c").over(W.partitionBy(*keys, "_b").orderBy("_v"))
     some = some.withColumn("_to", upto)
 
@@ -46,7 +67,7 @@ def ranked_percentiles(df: DataFrame, keys: list[str], value: str, percents: dic
     return found.select(*keys, *out)
 
 
-def model_device_summary(runs: DataFrame, approx: bool = False) -> DataFrame:
+def model_device_summary(runs: DataFrame, approx: bool = False, map_rows: int = 1_000_000) -> DataFrame:
     """One row per (model, device) of nested run records, at two grains: hardware values count once per record with an
     output, quality and latency once per output without error; n_records and n_outputs count all. Count metrics are of the task
     objects_and_counts alone; hw_source is the least of a group's, for want of an order."""
@@ -75,15 +96,16 @@ def model_device_summary(runs: DataFrame, approx: bool = False) -> DataFrame:
         F.avg(F.when(counted, F.col("o.count_accuracy.count_exact_accuracy"))).alias("count_exact_mean"),
         F.avg(F.when(counted, F.col("o.count_accuracy.count_mae"))).alias("count_mae_mean"),
         F.avg("o.caption_similarity_max").alias("caption_sim_max_mean"),
-        percentile(F.col("o.caption_similarity_max"), 0.5, approx).alias("caption_sim_max_median"),
         F.avg("o.caption_similarity_mean").alias("caption_sim_mean_mean"),
         F.avg("o.clipscore_cos").alias("clipscore_cos_mean"),
         F.avg(latency).alias("latency_ms_mean"),
-        *[percentile(latency, p / 100, approx).alias(f"latency_ms_p{p}") for p in (50, 90, 99)],
         F.avg("o.gen_len").alias("gen_len_mean"),
         F.avg(falsy_or(F.col("o.tokens_per_sec"), F.col("o.tokens_per_second"))).alias("tokens_per_sec_mean"),
     )
-    joined = records.join(outputs, ["model", "device"], "left").withColumn("n_recall_valid", F.coalesce("n_recall_valid", F.lit(0)))
+    values = each.select("model", "device", F.col("o.caption_similarity_max").alias("_similarity"), latency.alias("_latency"))
+    wanted = {"caption_sim_max_median": ("_similarity", 50.0), **{f"latency_ms_p{p}": ("_latency", float(p)) for p in (50, 90, 99)}}
+    outputs = with_percentiles(outputs, values, ["model", "device"], wanted, approx, map_rows)
+    joined = _matched(records, outputs, ["model", "device"], "left").withColumn("n_recall_valid", F.coalesce("n_recall_valid", F.lit(0)))
     return joined.withColumn("energy_per_token_mj_mean", F.try_divide(1000 * F.col("energy_joules_mean"), F.col("gen_len_mean")))
 
 
@@ -98,19 +120,14 @@ def task_breakdown(outputs: DataFrame) -> DataFrame:
     )
 
 
-def latency_tail(outputs: DataFrame, keys: list[str], latency: str = "latency", variant: str = "rounded", approx: bool = False, ranks: bool = False) -> DataFrame:
+def latency_tail(outputs: DataFrame, keys: list[str], latency: str = "latency", variant: str = "rounded", approx: bool = False, map_rows: int = 1_000_000) -> DataFrame:
     """n, p50, p95, p99, max, mean, population std and tail ratio p99 / p50 of the unrounded values. rounded: 4 and 3
-    places; plain: unrounded, with counts above 5, 6 and 7 seconds; the ratio is null where p50 is 0. Percentiles are exact, by a map
-    of a group's values and counts, with ranks by ranked_percentiles, which holds no group; or approximate."""
+    places; plain: unrounded, with counts above 5, 6 and 7 seconds; the ratio is null where p50 is 0. Percentiles: see with_percentiles."""
     c = F.col(latency)
-    names = {"p50": 50.0, "p95": 95.0, "p99": 99.0}
-    shares = [p / 100 for p in names.values()]
-    ps = [] if ranks else [(F.percentile_approx(c, shares, 10_000) if approx else F.percentile(c, shares)).alias("_p")]
     g = outputs.groupBy(*keys).agg(
-        F.count("*").alias("n"), *ps, F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"),
-        *[F.count_if(c > s).alias(f"over_{s}s") for s in (5, 6, 7)],
+        F.count("*").alias("n"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), *[F.count_if(c > s).alias(f"over_{s}s") for s in (5, 6, 7)],
     )
-    g = g.join(ranked_percentiles(outputs, keys, latency, names), keys) if ranks else g.withColumns({n: F.col("_p")[i] for i, n in enumerate(names)})
+    g = with_percentiles(g, outputs.select(*keys, latency), keys, {f"p{p}": (latency, float(p)) for p in (50, 95, 99)}, approx, map_rows)
     g = g.withColumn("tail_ratio", F.try_divide("p99", "p50"))
     if variant == "rounded":
         four = {n: F.round(F.round(n, 9), 4) for n in ("p50", "p95", "p99", "max", "mean", "std")}
@@ -197,13 +214,13 @@ def rail_summary(samples: DataFrame, run: str = "run", rails: str = "rails") ->
     return each.groupBy(run, "rail").agg(F.avg("watts").alias("avg"), F.max("watts").alias("peak"), F.min("watts").alias("min"))
 
 
-def filter_describe(metrics: DataFrame, key: str = "filter", value: str = "fps") -> DataFrame:
+def filter_describe(metrics: DataFrame, key: str = "filter", value: str = "fps", map_rows: int = 1_000_000) -> DataFrame:
     """Count, mean, sample std, min, quartiles and max per filter, the largest mean first."""
     v = F.col(value)
-    g = metrics.where(v.isNotNull()).groupBy(key).agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.percentile(v, [0.25, 0.5, 0.75]).alias("_q"), F.max(v).alias("max")
-    )
-    return g.select(key, "count", "mean", "std", "min", *[F.col("_q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "max").orderBy(F.desc("mean"), key)
+    known = metrics.where(v.isNotNull()).select(key, value)
+    g = known.groupBy(key).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    g = with_percentiles(g, known, [key], {f"p{p}": (value, float(p)) for p in (25, 50, 75)}, map_rows=map_rows)
+    return g.select(key, "count", "mean", "std", "min", "p25", "p50", "p75", "max").orderBy(F.desc("mean"), key)
 
 
 def resource_curve(metrics: DataFrame, columns: list[str], keys: tuple[str, ...] = ("filter", "frame_index")) -> DataFrame:

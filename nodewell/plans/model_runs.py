@@ -29,7 +29,7 @@ def latency_tail(spark, sf):
 
 
 def latency_tail_ranks(spark, sf):
-    return stats.latency_tail(enrich.usable_latencies(outputs(spark, sf)), KEYS, ranks=True)
+    return stats.latency_tail(enrich.usable_latencies(outputs(spark, sf)), KEYS, map_rows=0)
 
 
 def latency_tail_plain(spark, sf):

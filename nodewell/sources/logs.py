@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from nodewell import schemas
@@ -77,9 +79,18 @@ def read_filter_metrics(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("timestamp", F.coalesce(F.nullif("filter", F.lit("")), named).alias("filter"), F.expr("try_cast(frame_index as int)").alias("frame_index"), *numbers)
 
 
-def index_images(spark: SparkSession, root: str) -> DataFrame:
-    """Paths of all images below root, in either layout; see functions.scalars.image_timestamp."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(root).select("path")
+def index_images(spark: SparkSession, root: str, start: date | None = None, end: date | None = None) -> DataFrame:
+    """Paths of the images below root, in either layout (YYYY/MM/DD/HH/*.jpg, YYYY-MM-DD/*.jpg); see functions.scalars.image_timestamp.
+    With days start to end only their folders are looked into, whatever else the archive holds; many are listed by tasks."""
+    own = [root]
+    if start is not None and end is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path
+        system = place(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        days = [start + timedelta(days=n) for n in range((end - start).days + 1)]
+        own = [f for d in days for f in (f"{root.rstrip('/')}/{d:%Y/%m/%d}", f"{root.rstrip('/')}/{d:%Y-%m-%d}") if system.exists(place(f))]
+    if not own:
+        return spark.createDataFrame([], "path string")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(own).select("path")
 
 
 def read_telemetry_text(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:

@@ -202,3 +202,21 @@ def test_embedding_hook(spark):
 def test_schemas_parse(spark):
     for s in (schemas.RUN, schemas.DEPLOYMENT, schemas.JUDGED, schemas.MOVEMENT, schemas.ANNOTATIONS):
         assert spark.createDataFrame([], s).count() == 0
+
+
+def test_percentiles_by_ranks_equal_those_by_maps(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 0.5, 1.0, 2.0, rng.random()]), rng.random()) for _ in range(900)] + [("c", None, 1.0), ("d", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, latency double, fps double")
+    key = lambda r: str(r[0])
+
+    def close(a, b):
+        assert len(a) == len(b) == 5
+        for x, y in zip(sorted(a, key=key), sorted(b, key=key)):
+            assert all(u == v or u is not None and v is not None and abs(u - v) < 1e-9 for u, v in zip(x[1:], y[1:])), (x, y)
+
+    for job in (
+        lambda n: stats.latency_tail(df, ["g"], variant="plain", map_rows=n), lambda n: stats.filter_describe(df, "g", "fps", map_rows=n),
+        lambda n: stability.stability_summary(df.withColumnRenamed("fps", "stability"), ("g",), map_rows=n),
+    ):
+        close(job(10**6).collect(), job(0).collect())

@@ -39,10 +39,20 @@ CAPTION_STOP_1 = (
     "engaging", "engaged", "happily", "pleasant", "sunny", "vibrant", "lush", "various", "close", "background", "foreground",
 )
 CAPTION_STOP = (
-    *CAPTION_STOP_1, "room", "scene", "image", "picture", "photo", "there", "here", "next", "front",
-    "top", "side", "standing", "sitting", "wearing", "surrounded", "visible", "clearly", "warm", "inviting",
+    "are", "is", "was", "were", "be", "been", "being", "a", "an", "the", "and", "or", "of", "to", "in", "on", "at", "with", "for", "from", "across",
+    "out", "some", "all", "they", "their", "them", "this", "that", "these", "those", "as", "into", "over", "under", "further", "closer", "together",
+    "apart", "appear", "appears", "appeared", "enjoy", "enjoying", "enjoyed", "creating", "create", "created", "convey", "conveys", "conveyed", "engage",
+    "engaging", "engaged", "happily", "pleasant", "sunny", "vibrant", "lush", "various", "close", "background", "foreground",
+    "room", "scene", "image", "picture", "photo", "there", "here", "next", "front", "top", "side", "standing", "sitting", "wearing", "surrounded",
+    "visible", "clearly", "warm", "inviting",
+)
+LABEL_STOP = (
+    "are", "is", "was", "were", "be", "been", "being", "a", "an", "the", "and", "or", "of", "to", "in", "on", "at", "with", "for", "from", "across",
+    "out", "some", "all", "they", "their", "them", "this", "that", "these", "those", "as", "into", "over", "under", "further", "closer", "together",
+    "apart", "appear", "appears", "appeared", "enjoy", "enjoying", "enjoyed", "creating", "create", "created", "convey", "conveys", "conveyed", "engage",
+    "engaging", "engaged", "happily", "pleasant", "sunny", "vibrant", "lush", "various", "close", "background", "foreground",
+    "photo", "image", "objects", "object", "picture", "scene", "detail", "details", "including", "activity", "activities",
 )
-LABEL_STOP = (*CAPTION_STOP_1, "photo", "image", "objects", "object", "picture", "scene", "detail", "details", "including", "activity", "activities")
 CLAIM_STOP = ("photo", "image", "objects", "object", "picture", "scene", "detail", "details", "including", "activity", "activities", "a", "an", "the", "of")
 COLOURS = ("red", "blue", "green", "yellow", "black", "white", "gray", "grey", "brown", "orange", "pink", "purple")
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
@@ -68,13 +78,13 @@ CAPTION_VOCABULARY_1 = (
 CAPTION_VOCABULARY = (
     "person", "bicycle", "car", "bus", "truck", "motorcycle", "dog", "cat", "bird", "horse", "tree", "park", "field", "street", "road", "chair", "table",
     "tv", "clock", "vase", "plant", "refrigerator", "flower", "curtain", "window", "dresser", "shirt", "jeans", "floor", "wall",
+    "dining table", "potted plant", "teddy bear", "stop sign", "cell phone",
 )
 PHRASES_1 = (
     "dining table", "dining tables", "potted plant", "potted plants", "teddy bear", "teddy bears", "stop sign", "stop signs",
 )
-#: Longest first.
 PHRASES = (
-    "dining tables", "potted plants", "dining table", "potted plant", "teddy bears", "teddy bear", "cell phones", "stop signs", "cell phone", "stop sign",
+    "dining tables", "dining table", "potted plants", "potted plant", "teddy bears", "teddy bear", "stop signs", "stop sign", "cell phones", "cell phone",
 )
 #: Category -> words for it, the category itself first; a category without an entry has itself alone.
 ALIASES = {
@@ -125,7 +135,7 @@ def parse_caption(caption: Column, edition: int = 2) -> Column:
     keeps them as they are, has fewer words, and its raw_objects is null.
     """
     two = edition == 2
-    phrases, synonyms, vocabulary, stop = (PHRASES, CAPTION_SYNONYMS, CAPTION_VOCABULARY, CAPTION_STOP) if two else (PHRASES_1, CAPTION_SYNONYMS_1, CAPTION_VOCABULARY_1, CAPTION_STOP_1)
+    phrases, synonyms, vocabulary, stop = (sorted(PHRASES, key=len, reverse=True), CAPTION_SYNONYMS, CAPTION_VOCABULARY, CAPTION_STOP) if two else (PHRASES_1, CAPTION_SYNONYMS_1, CAPTION_VOCABULARY_1, CAPTION_STOP_1)
     lookup, words, dropped = _lookup(synonyms), _strings(vocabulary), _strings([*stop, *COLOURS, *NUMBER_WORDS])
     text = F.regexp_replace(F.trim(F.lower(caption)), "[^a-z0-9_ -]", "")
     start = F.struct(text.alias("t"), F.array().cast("array<string>").alias("f"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,30 +26,80 @@ CHUNKED = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
     {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
 )
+#: Texts of ASCII and Latin-1 letters, which normalising only lower-cases and shortens in white space, and the pieces of what is then left.
+PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s\x80-\uffff\U00010000-\U0010ffffA-Za-z0-9]+")
+#: Unseen pieces that are encoded as one text.
+AT_ONCE = 20_000
+
+
+class Pieces:
+    """The model of a tokenizer file alone, for pieces that need no normalising and no splitting any more.
+
+    They are encoded many at once, as words of one text; a piece ends with the one token that has the suffix for it.
+    """
+
+    def __init__(self, said: dict):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.model = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+        suffix, vocab, signs = said["model"]["end_of_word_suffix"], said["model"]["vocab"], pre_tokenizers.ByteLevel.alphabet()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        kept = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves; the others follow from 256 on
+        others = iter(range(256, 512))
+        self.signs = {b: b if b in kept else next(others) for b in range(256)} | {32: 32}
+        self.whole = all(t in vocab and t + suffix in vocab for t in signs)
+
+    @staticmethod
+    def fit(said: dict) -> Pieces | None:
+        """Where the file's model has a token for every byte, inside a word and at its end, so that no piece lacks its last token."""
+        model = said["model"]
+        same = model.get("type") == "BPE" and model.get("end_of_word_suffix") and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        rest = said["pre_tokenizer"]["pretokenizers"][1:]
+        if not same or [(p.get("type"), p.get("add_prefix_space"), p.get("use_regex")) for p in rest] != [("ByteLevel", False, False)]:
+            return None
+        return own if (own := Pieces(said)).whole else None
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        text = " ".join(pieces).encode().decode("latin-1")
+        if not (text.isascii() and text.isprintable()):
+            text = text.translate(self.signs)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 class Chunks:
     """Ids of chunks seen lately, in two generations: a full new one becomes the old one, whose chunks are kept if met again."""
 
-    def __init__(self, tokenizer, limit: int = REMEMBERED_BYTES):
-        self.tokenizer, self.limit = tokenizer, limit
+    def __init__(self, tokenizer, limit: int = REMEMBERED_BYTES, pieces: Pieces | None = None):
+        self.tokenizer, self.limit, self.pieces = tokenizer, limit, pieces
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.size = 0
 
     def ids(self, chunks: set[str]) -> dict[str, bytes]:
-        found = {c: i for c in chunks if (i := self.new.get(c) or self.old.get(c)) is not None}
-        unseen = [c for c in chunks if c not in found]
-        for i in range(0, len(unseen), 20_000):
-            part = unseen[i : i + 20_000]
+        found = dict(zip(chunks, map(self.new.get, chunks), strict=True))
+        unmet = [c for c, own in found.items() if own is None]
+        found.update((c, own) for c in unmet if (own := self.old.get(c)) is not None)
+        unseen = [c for c in unmet if found[c] is None]
+        if self.pieces:
+            single = [c for c in unseen if PIECE.fullmatch(c)]
+            for i in range(0, len(single), AT_ONCE):
+                part = single[i : i + AT_ONCE]
+                found.update(zip(part, self.pieces.encode(part), strict=True))
+            unseen = [c for c in unseen if found[c] is None]
+        for i in range(0, len(unseen), AT_ONCE):
+            part = unseen[i : i + AT_ONCE]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 found[c] = np.array(e.ids, "<u4").tobytes()
-        for c, own in found.items():
-            if c not in self.new:
-                self.new[c] = own
-                self.size += len(c) + len(own) + 190  # with the two objects and their slot
-                if self.size > self.limit // 2:
-                    self.old, self.new, self.size = self.new, {}, 0
+        for c in unmet:
+            self.new[c] = own = found[c]
+            self.size += len(c) + len(own) + 190  # with the two objects and their slot
+            if self.size > self.limit // 2:
+                self.old, self.new, self.size = self.new, {}, 0
         return found
 
 
@@ -66,13 +117,14 @@ def _tokenizer(path: str):
         split = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
         tokenizer = Tokenizer.from_file(path)
         _TOKENIZERS.clear()
-        _TOKENIZERS[path] = (tokenizer, Chunks(tokenizer) if (said.get("normalizer"), split[0]) == CHUNKED else None)
+        _TOKENIZERS[path] = (tokenizer, Chunks(tokenizer, pieces=Pieces.fit(said)) if (said.get("normalizer"), split[0]) == CHUNKED else None)
     return _TOKENIZERS[path]
 
 
 def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids (uint32) of each text. Under a tokenizer that drops white space and never crosses it (CHUNKED), chunks between white
-    space are encoded once and remembered, which gives the ids of the whole text; any other is given whole texts."""
+    space, or of plain texts the pieces that it splits them into, are encoded once and remembered, which gives the ids of the
+    whole text; any other is given whole texts."""
     tokenizer, known = _tokenizer(path)
     if known is None:
         return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -80,9 +132,12 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     for t in texts:
         if any(c in t for c in ODD_SPACE):
             chunks.append(None)
+        elif "<|" in t:  # special tokens are told by their case
+            chunks.append(t.split())
+        elif known.pieces and PLAIN.fullmatch(t):
+            chunks.append(PIECE.findall(t.lower()))
         else:
-            # Special tokens are told by their case.
-            chunks.append((t.lower() if t.isascii() and "<|" not in t else t).split())
+            chunks.append((t.lower() if t.isascii() else t).split())
     ids = known.ids(set().union(*[own for own in chunks if own]))
     out = []
     for t, own in zip(texts, chunks, strict=True):

@@ -18,6 +18,8 @@ from nodewell.llm.workers import tidy
 SAMPLE_DOCS, ONE_IN, FREQUENT = 10_000, 8, 200_000
 #: Orders in which a shingle's texts choose one of them to be compared with; on the cost only, too.
 ORDERS = 4
+#: Shingles before one that tell whether two texts have met already; on the cost only, too.
+MET = 8
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -131,6 +133,21 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return codes[order], counts[order]
 
 
+def _across(spread: DataFrame, may) -> DataFrame:
+    """(a, b) of the texts of different groups that share a shingle, where may(s, r) holds.
+
+    spread: code, root, s (node, n, at, and others), main. Of a shingle's texts all but those of its main group meet those of any
+    other group. Two texts meet at the first shingle that they share, and not again at one of which both have a common
+    shingle among the MET before: a passage makes one row of a pair and not one per shingle.
+    """
+    met = F.collect_list("code").over(W.partitionBy("s.node").orderBy("s.at").rowsBetween(-MET, -1))
+    told = materialise(spread.withColumn("met", met), "spread-shingles")
+    left, right = told.where("root <> main"), told.select("code", F.col("root").alias("other"), F.col("s").alias("r"), F.col("met").alias("rmet"))
+    once = (F.col("other") == F.col("main")) | (F.col("s.node") < F.col("r.node"))
+    pairs = left.join(right, "code").where((F.col("root") != F.col("other")) & once & may("s", "r") & ~F.arrays_overlap("met", "rmet"))
+    return pairs.select(F.least("s.node", "r.node").alias("a"), F.greatest("s.node", "r.node").alias("b"))
+
+
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(key, component_id) of every row; component_id is the smallest key reachable by links.
 
@@ -193,13 +210,10 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     roots = connected_components(links(by_shingle.union(same).union(near), "heads"))
     group = materialise(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "shingle-groups")
 
-    # Of each shingle's texts all but those of its largest group, with those of any other group.
     spread = shared.join(group.select("node", "root"), "node").select("code", "root", F.struct("node", "n", "at").alias("s"))
     sizes = spread.groupBy("code", "root").agg(F.count("*").alias("c")).groupBy("code").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k"))
-    spread = materialise(spread.join(sizes.where("k > 1").select("code", F.col("m.root").alias("main")), "code"), "spread-shingles")
-    left, right = spread.where("root <> main"), spread.select("code", F.col("root").alias("other"), F.col("s").alias("r"))
-    rest = left.join(right, "code").where((F.col("root") != F.col("other")) & may("s", "r")).select(*ordered(F.col("s.node"), F.col("r.node")))
-    more = links(rest, "rest")
+    spread = spread.join(sizes.where("k > 1").select("code", F.col("m.root").alias("main")), "code")
+    more = links(_across(spread, may), "rest")
     of = group.select("node", "root")
     bridges = more.join(of.toDF("a", "ga"), "a").join(of.toDF("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
     joined = connected_components(bridges).toDF("root", "top")

@@ -5,6 +5,7 @@ import sys
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from nodewell.llm import nearcopies
 from nodewell.llm import queries as q
 
@@ -46,3 +47,16 @@ def test_the_stage_drops_copies_with_edited_words(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()} == {1, 3}
     kept = corpus_pipeline.near_duplicates(spark, q.table(spark, SF, "documents"), SF)
     assert not {145, 177} & {r.doc_id for r in kept.collect()}  # 0.83 like 6 and 1; fingerprints 7 and 11 bits apart
+
+
+def test_texts_that_share_a_passage_meet_once_and_not_at_each_of_its_shingles(spark):
+    """12 texts of as many groups with 20 shingles in common, others between them, and one text more in the main group."""
+    rows = []
+    for node in range(13):
+        root = min(node, 11)
+        codes = sorted([*range(0, 200, 10), *(node * 1000 + 10 * k + 5 for k in range(3)), *([7] if node in (3, 4) else [])])
+        rows += [(c, root, (node, 400, at), 11) for at, c in enumerate(codes)]
+    df = spark.createDataFrame(rows, "code bigint, root bigint, s struct<node bigint, n int, at int>, main bigint")
+    df = df.where("code < 1000 or code % 10 = 0")
+    met = [tuple(r) for r in nearcopies._across(df, lambda a, b: F.lit(True)).collect()]
+    assert sorted(met) == [(a, b) for a in range(13) for b in range(a + 1, 13) if (a, b) != (11, 12)]  # 2,642 rows before

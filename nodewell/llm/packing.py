@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from nodewell.llm.common import materialise
-from nodewell.llm.workers import tidy
+from nodewell.llm.workers import Kept, tidy
 
 #: Separators that str.split() knows but the tokenizers' \s does not; texts with them are encoded whole.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
@@ -104,10 +104,11 @@ class Chunks:
 
 
 _TOKENIZERS: dict[str, tuple] = {}
+_KEPT = Kept(_TOKENIZERS.clear)
 
 
 def _tokenizer(path: str):
-    """The tokenizer of a file and, if it may be given single chunks, those seen so far; kept by each worker process, for one file."""
+    """The tokenizer of a file and, if it may be given single chunks, those seen so far; kept by each worker process, for one file, while it encodes."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -125,7 +126,11 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids (uint32) of each text. Under a tokenizer that drops white space and never crosses it (CHUNKED), chunks between white
     space, or of plain texts the pieces that it splits them into, are encoded once and remembered, which gives the ids of the
     whole text; any other is given whole texts."""
-    tokenizer, known = _tokenizer(path)
+    with _KEPT:
+        return _encode(texts, *_tokenizer(path))
+
+
+def _encode(texts: list[str], tokenizer, known: Chunks | None) -> list[np.ndarray]:
     if known is None:
         return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     chunks = []

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import threading
 from collections.abc import Callable, Iterator
-from time import monotonic
+from time import monotonic, sleep
 
 import pyarrow as pa
 
@@ -35,3 +36,33 @@ def tidy(run: Run, seconds: float = 5) -> Run:
         release()
 
     return tidied
+
+
+class Kept:
+    """What a worker keeps from one task of an operator to the next: given up by forget() some seconds after its last use, as
+    workers live on, idle or with tasks of other operators, beside a JVM that needs the memory. Used inside `with`."""
+
+    def __init__(self, forget: Callable[[], None], seconds: float = 5):
+        self.forget, self.seconds = forget, seconds
+        self.lock, self.last, self.watched = threading.Lock(), 0.0, False
+
+    def __enter__(self) -> None:
+        self.lock.acquire()
+        if not self.watched:
+            self.watched = True
+            threading.Thread(target=self._watch, daemon=True).start()
+
+    def __exit__(self, *_) -> None:
+        self.last = monotonic()
+        self.lock.release()
+
+    def _watch(self) -> None:
+        left = self.seconds
+        while left > 0:
+            sleep(left)
+            with self.lock:
+                left = self.last + self.seconds - monotonic()
+                if left <= 0:
+                    self.watched = False
+                    self.forget()
+        release()

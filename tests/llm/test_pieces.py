@@ -2,8 +2,9 @@
 
 import random
 import sys
+import time
 
-from nodewell.llm import packing
+from nodewell.llm import packing, workers
 from nodewell.llm import queries as q
 
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
@@ -34,3 +35,20 @@ def test_no_word_of_a_plain_text_is_given_to_the_whole_tokenizer(spark, monkeypa
     for t, ids in zip(texts, packing.encode(texts, q.tokenizer_path()), strict=True):
         assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
     assert small.size <= 10_300
+
+
+def test_a_worker_gives_up_what_it_remembers_some_time_after_its_last_text(monkeypatch):
+    """Idle workers of the pipeline held hundreds of MB beside the JVM of the stages that came then."""
+    path, texts = q.tokenizer_path(), ["Some words of a text", "words"]
+    monkeypatch.setattr(packing, "_KEPT", kept := workers.Kept(packing._TOKENIZERS.clear, 0.2))
+    for _ in range(2):  # and takes it up again
+        ids = [x.tolist() for x in packing.encode(texts, path)]
+        tokenizer, known = packing._tokenizer(path)
+        assert known.new and ids == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        with kept:
+            time.sleep(0.5)
+            assert packing._TOKENIZERS[path][1] is known  # not while in use
+        until = time.monotonic() + 20
+        while (packing._TOKENIZERS or kept.watched) and time.monotonic() < until:
+            time.sleep(0.05)
+        assert not packing._TOKENIZERS

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from nodewell.llm import common, decontam, nearcopies, packing, quality, secrets
 from nodewell.llm.queries import table, tokenizer_path
 
+#: Of pack: few, as its workers stand beside a JVM that the stages before have filled.
+REMEMBERED_BYTES = 32 << 20
+
 
 def _counted(docs: DataFrame) -> DataFrame:
     """n_chars as the texts now are."""
@@ -51,7 +54,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their place in sequences of 4096 tokens."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), remembered=REMEMBERED_BYTES)
 
 
 STAGES = [

@@ -107,7 +107,7 @@ _TOKENIZERS: dict[str, tuple] = {}
 _KEPT = Kept(_TOKENIZERS.clear)
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str, remembered: int | None = None):
     """The tokenizer of a file and, if it may be given single chunks, those seen so far; kept by each worker process, for one file, while it encodes."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -119,15 +119,17 @@ def _tokenizer(path: str):
         tokenizer = Tokenizer.from_file(path)
         _TOKENIZERS.clear()
         _TOKENIZERS[path] = (tokenizer, Chunks(tokenizer, pieces=Pieces.fit(said)) if (said.get("normalizer"), split[0]) == CHUNKED else None)
+    if remembered is not None and (known := _TOKENIZERS[path][1]):
+        known.limit = remembered
     return _TOKENIZERS[path]
 
 
-def encode(texts: list[str], path: str) -> list[np.ndarray]:
+def encode(texts: list[str], path: str, remembered: int | None = None) -> list[np.ndarray]:
     """Ids (uint32) of each text. Under a tokenizer that drops white space and never crosses it (CHUNKED), chunks between white
     space, or of plain texts the pieces that it splits them into, are encoded once and remembered, which gives the ids of the
-    whole text; any other is given whole texts."""
+    whole text; any other is given whole texts. Those remembered take about so many bytes at most, else REMEMBERED_BYTES."""
     with _KEPT:
-        return _encode(texts, *_tokenizer(path))
+        return _encode(texts, *_tokenizer(path, remembered))
 
 
 def _encode(texts: list[str], tokenizer, known: Chunks | None) -> list[np.ndarray]:
@@ -153,7 +155,7 @@ def _encode(texts: list[str], tokenizer, known: Chunks | None) -> list[np.ndarra
     return out
 
 
-def token_pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def token_pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False, remembered: int | None = None) -> DataFrame:
     """(key, piece, start, length, ids_crc32[, ids]) : each document's ids and end_id, cut into pieces of capacity where longer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +170,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text:
                     size += len(texts[-1])
                     n += 1
                 rows: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "crc", "ids")}
-                for i, ids in enumerate(encode(texts, tokenizer_path)):
+                for i, ids in enumerate(encode(texts, tokenizer_path, remembered)):
                     ids = np.concatenate([ids, end])
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]
@@ -289,11 +291,12 @@ def place(pieces: DataFrame, capacity: int = 4096, key: str = "doc_id", part_row
     ).select(*pieces.columns, "sequence_id", "offset")
 
 
-def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1, with_ids: bool = False, remembered: int | None = None) -> DataFrame:
     """Every document's pieces with their sequence_id and offset; see token_pieces and place.
 
     Null and empty texts give one piece of end_id alone; repeated rows are packed each for itself; an empty table
-    gives an empty result. with_ids adds the ids, so that grouping by sequence_id yields the sequences.
+    gives an empty result. with_ids adds the ids, so that grouping by sequence_id yields the sequences. remembered: bytes
+    of pieces of texts that a worker keeps at most, REMEMBERED_BYTES if not given; fewer cost time, no result.
     """
-    pieces = materialise(token_pieces(df, tokenizer_path, key, text, capacity, end_id, with_ids), "pieces")
+    pieces = materialise(token_pieces(df, tokenizer_path, key, text, capacity, end_id, with_ids, remembered), "pieces")
     return place(pieces, capacity, key)

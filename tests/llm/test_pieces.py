@@ -52,3 +52,13 @@ def test_a_worker_gives_up_what_it_remembers_some_time_after_its_last_text(monke
         while (packing._TOKENIZERS or kept.watched) and time.monotonic() < until:
             time.sleep(0.05)
         assert not packing._TOKENIZERS
+
+
+def test_few_remembered_pieces_give_the_same_ids():
+    path, few = q.tokenizer_path(), 100_000
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + j % 26)} {i} {j}" for j in range(40)) for i in range(400)] * 2
+    packing._TOKENIZERS.clear()
+    small = [x.tolist() for i in range(0, len(texts), 50) for x in packing.encode(texts[i : i + 50], path, few)]
+    tokenizer, known = packing._tokenizer(path)
+    assert known.limit == few and 0 < known.size <= few // 2
+    assert small == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]

@@ -170,11 +170,13 @@ def segment_energy(segments: DataFrame, samples: DataFrame, rate: int = RATE, ch
     return segments.join(e, ["audio_id", "seg_no"], "left").withColumn("speaker", speaker)
 
 
-def map_time(times: DataFrame, mapping: DataFrame, time: str = "t", chunk_rows: int | None = 1_000_000) -> DataFrame:
+def map_time(times: DataFrame, mapping: DataFrame, time: str = "t", chunk_rows: int | None = 1_000_000, whole: bool = True) -> DataFrame:
     """times (audio_id, t) with original_time: of the mapping point (processed_time, original_time) at t, before the first and after the
     last that point's, between two points interpolated in whole numbers, without points t itself. Of points at one processed time
-    the latest original time counts. Points and times pass in one order, which carries the last point on and the next one back."""
-    mapping = mapping.groupBy("audio_id", "processed_time").agg(F.max("original_time").alias("original_time"))
+    the latest original time counts. Points and times pass in one order, which carries the last point on and the next one back.
+    Null times stay null, null audios have no points, and points at a null time count for nothing. whole=False divides as doubles
+    before it cuts, so a product beyond 2^53 may give one less or more."""
+    mapping = mapping.where("processed_time is not null").groupBy("audio_id", "processed_time").agg(F.max("original_time").alias("original_time"))
     points = mapping.select("audio_id", F.col("processed_time").alias("_t"), F.struct("processed_time", "original_time").alias("p"))
     rows = times.withColumn("_row", F.struct(*times.columns)).select("audio_id", F.col(time).alias("_t"), "_row")
     both = points.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)).unionByName(rows.withColumn("p", F.lit(None).cast(points.schema["p"].dataType)))
@@ -182,9 +184,10 @@ def map_time(times: DataFrame, mapping: DataFrame, time: str = "t", chunk_rows:
     both = both.withColumn("_kind", F.col("_row").isNotNull())
     found = timeline(both, ("audio_id",), "_t", ("_kind",), chunk_rows).scan(_lo=latest(F.col("p")), _hi=coming(F.col("p"))).rows().where("_kind")
     span, offset = F.col("_hi.processed_time") - F.col("_lo.processed_time"), F.col("_t") - F.col("_lo.processed_time")
-    between = F.col("_lo.original_time") + F.expr("((_t - _lo.processed_time) * (_hi.original_time - _lo.original_time)) div nullif(_hi.processed_time - _lo.processed_time, 0)")
+    product, divisor = "(_t - _lo.processed_time) * (_hi.original_time - _lo.original_time)", "nullif(_hi.processed_time - _lo.processed_time, 0)"
+    between = F.col("_lo.original_time") + F.expr(f"({product}) div {divisor}" if whole else f"cast(cast({product} as double) / {divisor} as bigint)")
     value = (
-        F.when(F.col("_lo").isNull() & F.col("_hi").isNull(), F.col("_t"))
+        F.when(F.col("audio_id").isNull() | F.col("_t").isNull() | F.col("_lo").isNull() & F.col("_hi").isNull(), F.col("_t"))
         .when(F.col("_lo").isNull(), F.col("_hi.original_time"))
         .when(F.col("_hi").isNull() | (span == 0) | (offset == 0), F.col("_lo.original_time"))
         .otherwise(between)

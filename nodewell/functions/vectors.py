@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 
@@ -54,6 +56,48 @@ def cosine_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.where(scale == 0, 0.0, np.einsum("ij,ij->i", x, y) / np.where(scale == 0, 1.0, scale)))
 
 
+def _rows_of(table: pa.Table, codes: np.ndarray) -> tuple[dict[tuple[int, int], np.ndarray], Callable[[np.ndarray], np.ndarray]]:
+    """The rows of each code and width of vector, and what gives rows of one width as a matrix of unit vectors."""
+    v = table["_v"].combine_chunks()
+    width = pc.list_value_length(v).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, values = np.cumsum(width) - width, v.flatten().to_numpy(zero_copy_only=False).astype(float)
+    order = np.lexsort((width, codes))
+    cuts = np.flatnonzero(np.diff(codes[order]) | np.diff(width[order])) + 1
+    rows = {(int(codes[own[0]]), int(width[own[0]])): own for own in np.split(order, cuts) if len(own)}
+
+    def units(own: np.ndarray) -> np.ndarray:
+        x = values[start[own][:, None] + np.arange(width[own[0]])]
+        return x / (np.sqrt((x * x).sum(axis=1, keepdims=True)) + 1e-12)
+
+    return rows, units
+
+
+def cosines(a: pa.Table, b: pa.Table) -> pa.Table:
+    """The vectors _v of a, each with its largest and its summed cosine (1e-12 is added to norms) to the vectors of b that have its key _k
+    and count _n times; how many these are; and how many of its key have no cosine with it, by a null (_whole is false) or
+    their width. Vectors without any of their key are left out."""
+    keys = pa.concat_arrays([t["_k"].combine_chunks() for t in (a, b)]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    codes, times, whole = keys[len(a) :], b["_n"].to_numpy(), b["_whole"].to_numpy()
+    queries, q_units = _rows_of(a, keys[: len(a)])
+    known, c_units = _rows_of(b, codes)
+    total = np.bincount(codes, times, 1 + int(keys.max(initial=0))).astype(np.int64)
+    parts = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for (code, width), own in queries.items():
+        if total[code]:
+            other = known.get((code, width), codes[:0])
+            other = other[whole[other]]
+            weight, most, summed = times[other], np.zeros(len(own)), np.zeros(len(own))
+            if len(other):
+                c = c_units(other).T
+                for at in range(0, len(own), 512):
+                    s = q_units(own[at : at + 512]) @ c
+                    most[at : at + 512], summed[at : at + 512] = s.max(axis=1), s @ weight
+            n = np.full(len(own), weight.sum())
+            parts.append((own, most, summed, n, total[code] - n))
+    own, most, summed, n, odd = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return pa.table({"_k": a["_k"].take(own), "_v": a["_v"].take(own), "_max": pa.array(most, mask=n == 0), "_sum": summed, "_n": n, "_odd": odd})
+
+
 def embed(df: DataFrame, text: str, model: Callable[[list[str]], np.ndarray], name: str = "embedding") -> DataFrame:
     """df with the vectors of a text column; model takes a batch of texts and is called in the tasks."""
 

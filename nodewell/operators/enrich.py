@@ -42,15 +42,40 @@ def quality_of_text(outputs: DataFrame, text: str = "text", task: str = "task")
     return outputs.withColumns({"entity_recall": captions.entity_recall(F.col(text), F.col("expected_entities")), "count_accuracy": counts})
 
 
-def caption_similarity(outputs: DataFrame, references: DataFrame, key: str = "image_id", vector: str = "embedding") -> DataFrame:
-    """outputs with the largest and the mean cosine to their image's reference vectors; null where either is missing.
-    The references join as one array per image, so outputs are not multiplied."""
-    refs = references.where(F.col(vector).isNotNull()).groupBy(key).agg(F.collect_list(vector).alias("_refs"))
-    joined = outputs.join(refs, key, "left")
-    each = F.transform("_refs", lambda r: vectors.cosine_similarity(F.col(vector), r, 1e-12))
-    joined = joined.withColumn("_s", F.when(F.col(vector).isNotNull(), each))
-    mean = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x) / F.size("_s")
-    return joined.withColumns({"caption_similarity_max": F.array_max("_s"), "caption_similarity_mean": mean}).drop("_refs", "_s")
+def caption_similarity(outputs: DataFrame, references: DataFrame, key: str = "image_id", vector: str = "embedding", block_rows: int = 4096) -> DataFrame:
+    """outputs with the largest and the mean cosine to their image's reference vectors; null where either is missing. A vector with a
+    null component, or of another width, has no cosine: the largest leaves it out, the mean is null.
+
+    Equal vectors of an image meet once. Images with more than block_rows outputs or references, of which there are few by that bound,
+    are cut into blocks by the hash of the vector, and any two of its blocks are one group; the others are dealt to groups of some
+    block_rows rows by the hash of the image. A group is one matrix product an image (vectors.cosines). The sizes of images are a job.
+    """
+    kind = outputs.select(key).union(references.select(key)).schema[key].dataType
+    sides = [df.where(F.col(vector).isNotNull()).select(F.col(key).cast(kind).alias("_k"), F.col(vector).alias("_v")).where("_k is not null") for df in (outputs, references)]
+    counted = [df.groupBy("_k").agg(F.count("*").alias(n)) for df, n in zip(sides, ("_nq", "_nc"), strict=True)]
+    sizes = counted[0].join(counted[1], "_k", "full").fillna(0, ["_nq", "_nc"])
+    short = (F.col("_nq") <= block_rows) & (F.col("_nc") <= block_rows)
+    groups = -(-(sizes.where(short).agg(F.sum(F.col("_nq") + F.col("_nc"))).first()[0] or 1) // block_rows)
+    blocks = [F.greatest(F.ceil(F.col(n) / block_rows), F.lit(1)).cast("int").alias(n) for n in ("_nq", "_nc")]
+    long = F.broadcast(sizes.where(~short).select(F.col("_k").alias("_long"), *blocks))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        cut = df.join(long, F.col("_k") == F.col("_long"), "left")
+        one, others = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        group = F.when(F.col("_long").isNull(), F.pmod(F.xxhash64("_k"), F.lit(groups))).otherwise(F.xxhash64("_k"))
+        block = F.pmod(F.xxhash64("_v"), one).cast("int")
+        return cut.select(*df.columns, group.alias("_g"), block.alias(f"_b{own}"), F.explode(F.sequence(F.lit(0), others - 1)).alias(f"_b{other}"))
+
+    whole = F.forall("_v", lambda x: x.isNotNull())
+    q = dealt(sides[0].where(whole).distinct(), "_nq", "_nc")
+    c = dealt(sides[1].groupBy("_k", "_v").agg(F.count("*").alias("_n")).withColumn("_whole", whole), "_nc", "_nq")
+    by = ["_g", "_b_nq", "_b_nc"]
+    types = [sides[0].schema[n].dataType.simpleString() for n in ("_k", "_v")]
+    met = q.groupBy(*by).cogroup(c.groupBy(*by)).applyInArrow(vectors.cosines, f"_k {types[0]}, _v {types[1]}, _max double, _sum double, _n bigint, _odd bigint")
+    found = met.groupBy("_k", "_v").agg(*[f(n).alias(n) for f, n in ((F.max, "_max"), (F.sum, "_sum"), (F.sum, "_n"), (F.sum, "_odd"))])
+    joined = outputs.join(found, (outputs[key].cast(kind) == found["_k"]) & (outputs[vector] == found["_v"]), "left")
+    mean = F.when(F.col("_odd") == 0, F.col("_sum") / F.col("_n"))
+    return joined.select(outputs[key], *[outputs[n] for n in outputs.columns if n != key], F.col("_max").alias("caption_similarity_max"), mean.alias("caption_similarity_mean"))
 
 
 def clip_scores(outputs: DataFrame, images: DataFrame, key: str = "image_id", vector: str = "embedding") -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -75,82 +78,149 @@ class _Timed(StatefulProcessor):
         pass
 
 
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(stored: bytes) -> pa.Table:
+    return pa.ipc.open_stream(stored).read_all()
+
+
+_TRACK = [("source", pa.string()), ("track_id", pa.int64())]
+_POINT = pa.schema([*_TRACK, ("ms", pa.int64()), ("frame", pa.int64()), ("x", pa.int64())])
+_SESSION = pa.schema([*_TRACK, ("n", pa.int64()), ("last_ms", pa.int64())])
+
+
+def _codes(tables: list[pa.Table]) -> tuple[list[np.ndarray], pa.Table]:
+    """The number of each row's track, and the tracks by number."""
+    both = pa.concat_tables([t.select(["source", "track_id"]) for t in tables]).combine_chunks()
+    source, track = (c.combine_chunks().dictionary_encode("encode").indices.to_numpy() for c in both.columns)
+    pair = source.astype(np.int64) * (1 + int(track.max(initial=0))) + track
+    _, at, code = np.unique(pair, return_index=True, return_inverse=True)
+    return np.split(code, np.cumsum([len(t) for t in tables])[:-1]), both.take(at)
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers from each first to its last."""
+    n = last - first + 1
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
 class _Tracks(_Timed):
-    """A track's state: points that the watermark has not passed, in order of arrival; the last `history` points of the open session,
-    in order of frames; and its number, size and last time. Points are dealt with in order of frames once the watermark has passed them,
-    so neither their order of arrival nor the cut into batches matters."""
+    """The state of a bucket of tracks, each part a packed table: points that the watermark has not passed, in order of arrival; the
+    last `history` points of the tracks' open sessions, in order of frames; and a track's number of sessions and last time. Points
+    are dealt with in order of frames once the watermark has passed them, so neither their order of arrival nor the cut into batches
+    matters. The timer is the first time at which there is anything to do, and until then points are only put by."""
 
     def __init__(self, threshold: float, patience: int, history: int, least: int, frame_ms: int, forget_ms: int) -> None:
         self.threshold, self.patience, self.history, self.least, self.frame_ms, self.forget_ms = threshold, patience, history, least, frame_ms, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.waiting = handle.getListState("waiting", "ms bigint, frame bigint, x bigint")
-        self.open = handle.getListState("open", "frame bigint, x bigint")
-        self.session = handle.getValueState("session", "n int, last_ms bigint")
+        self.waiting = handle.getListState("waiting", "points binary")
+        self.open = handle.getValueState("open", "points binary")
+        self.session = handle.getValueState("session", "tracks binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        wake = self.timer.get()[0] if self.timer.exists() else None
         for b in rows:
-            ms = (b["ts"].astype("int64") // 10 ** (6 if str(b["ts"].dtype).startswith("datetime64[ns") else 3)).tolist()
-            self.waiting.appendList(list(zip(ms, b["frame_idx"].tolist(), b["cx"].tolist(), strict=True)))
-        yield self._settle(key, timerValues.getCurrentWatermarkInMs())
+            ms = b["ts"].astype("int64") // 10 ** (6 if str(b["ts"].dtype).startswith("datetime64[ns") else 3)
+            track = pa.array(b["track_id"].to_numpy(), mask=b["unnamed"].to_numpy())
+            others = [pa.array(c, t, from_pandas=True) for c, t in ((b["source"], pa.string()), (ms, pa.int64()), (b["frame_idx"], pa.int64()), (b["cx"], pa.int64()))]
+            self.waiting.appendValue((_packed(pa.table([others[0], track, *others[1:]], schema=_POINT)),))
+            wake = int(ms.min()) if wake is None else min(wake, int(ms.min()))
+        now = timerValues.getCurrentWatermarkInMs()
+        if wake <= now:
+            yield self._settle(now)
+        else:
+            self.wake(wake)
+            yield self._told([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.timer.clear()
-        yield self._settle(key, timerValues.getCurrentWatermarkInMs())
+        yield self._settle(timerValues.getCurrentWatermarkInMs())
 
-    def _settle(self, key: tuple, now: int) -> pd.DataFrame:
-        waiting = sorted(self.waiting.get(), key=lambda p: (p[1], p[0])) if self.waiting.exists() else []
-        points = list(self.open.get()) if self.open.exists() else []
-        n, last_ms = self.session.get() if self.session.exists() else (0, 0)
+    def _settle(self, now: int) -> pd.DataFrame:
+        waiting = pa.concat_tables([_POINT.empty_table(), *[_unpacked(r[0]) for r in (self.waiting.get() if self.waiting.exists() else [])]])
+        known = _unpacked(self.open.get()[0]) if self.open.exists() else _POINT.empty_table()
+        sessions = _unpacked(self.session.get()[0]) if self.session.exists() else _SESSION.empty_table()
         # A point waits as long as one of a lesser frame may still come.
-        ready = [p for p in waiting if p[0] <= now]
-        done = []
-        for ms, frame, x in ready:
-            if points and frame - points[-1][0] - 1 > self.patience:
-                done.append(self._verdict(key, n, points))
-                points, n = [], n + 1
-            points.append((frame, x))
-            last_ms = max(last_ms, ms)
-            del points[: -self.history]
+        passed = waiting["ms"].to_numpy() <= now
+        ready, left = waiting.filter(pa.array(passed)), waiting.filter(pa.array(~passed))
+        (of_known, of_ready, of_left, of_sessions), tracks = _codes([known, ready, left, sessions])
+        n, last_ms = np.zeros(len(tracks), np.int64), np.zeros(len(tracks), np.int64)
+        n[of_sessions], last_ms[of_sessions] = sessions["n"].to_numpy(), sessions["last_ms"].to_numpy()
+        np.maximum.at(last_ms, of_ready, ready["ms"].to_numpy())
         ends = last_ms + (self.patience + 1) * self.frame_ms
-        if points and now > ends:
-            done.append(self._verdict(key, n, points))
-            points, n = [], n + 1
-        left = [p for p in waiting if p[0] > now]
-        for state, rows in ((self.waiting, left), (self.open, points)):
-            if rows:
-                state.put([tuple(p) for p in rows])
+
+        points = pa.concat_tables([known, ready])
+        track, old = np.concatenate([of_known, of_ready]), np.arange(len(points)) < len(known)
+        order = np.lexsort((np.where(old, 0, points["ms"].to_numpy()), np.where(old, 0, points["frame"].to_numpy()), ~old, track))
+        points, track = points.take(order), track[order]
+        frame = points["frame"].to_numpy()
+        other = np.diff(track, prepend=-1) != 0
+        cut = other | (np.diff(frame, prepend=frame[:1]) - 1 > self.patience)
+        first = np.flatnonzero(cut)
+        last = np.append(first, len(track))[1:] - 1
+        of, opens = track[first], other[first]
+        number = n[of] + np.arange(len(of)) - np.maximum.accumulate(np.where(opens, np.arange(len(of)), 0))
+        closed = ~np.append(opens[1:], True) if len(of) else opens
+        closed = closed | (now > ends[of])
+        np.add.at(n, of[closed], 1)
+        first = np.maximum(first, last - self.history + 1)
+        told = closed & (last - first + 1 >= self.least)
+        done = self._told([tracks.take(of[told]), number[told], points.take(first[told]), points.take(last[told]), (last - first + 1)[told]])
+
+        known = points.take(_ranges(first[~closed], last[~closed]))
+        least_ms = np.full(len(tracks), np.iinfo(np.int64).max)
+        least_ms[of[~closed]] = ends[of[~closed]] + 1
+        np.minimum.at(least_ms, of_left, left["ms"].to_numpy())
+        idle = least_ms == np.iinfo(np.int64).max
+        least_ms[idle] = last_ms[idle] + self.forget_ms + 1
+        kept = ~idle | (now <= last_ms + self.forget_ms)
+        sessions = tracks.append_column("n", pa.array(n)).append_column("last_ms", pa.array(last_ms)).filter(pa.array(kept))
+        if len(left):
+            self.waiting.put([(_packed(left),)])
+        elif self.waiting.exists():
+            self.waiting.clear()
+        for state, rows in ((self.open, known), (self.session, sessions)):
+            if len(rows):
+                state.update((_packed(rows),))
             elif state.exists():
                 state.clear()
-        if points or left or now <= last_ms + self.forget_ms:
-            self.session.update((n, last_ms))
-            self.wake(min([p[0] for p in left] + ([ends + 1] if points else [])) if points or left else last_ms + self.forget_ms + 1)
-        else:
-            self.session.clear()
-            self.wake(None)
-        rows = [d for d in done if d]
-        return pd.DataFrame(rows, columns=["source", "track_id", "session", "points", "x_start", "x_end", "last_frame", "dx", "direction"])
+        self.wake(int(least_ms[kept].min()) if kept.any() else None)
+        return done
 
-    def _verdict(self, key: tuple, session: int, points: list) -> dict | None:
-        if len(points) < self.least:
-            return None
-        dx = points[-1][1] - points[0][1]
-        side = "Right" if dx > self.threshold else "Left" if dx < -self.threshold else None
-        return {"source": key[0], "track_id": key[1], "session": session, "points": len(points), "x_start": points[0][1], "x_end": points[-1][1], "last_frame": points[-1][0], "dx": dx, "direction": side}
+    def _told(self, ended: list) -> pd.DataFrame:
+        """The verdicts on sessions that have ended: their tracks, numbers, first and last points, and sizes."""
+        names = ["source", "track_id", "session", "points", "x_start", "x_end", "last_frame", "dx", "direction"]
+        if not ended or not len(ended[0]):
+            return pd.DataFrame([], columns=names)
+        tracks, number, first, last, size = ended
+        dx = pc.subtract(last["x"], first["x"])
+        side = pc.if_else(pc.greater(dx, self.threshold), "Right", pc.if_else(pc.less(dx, -self.threshold), "Left", None))
+        columns = [tracks["source"], tracks["track_id"], pa.array(number, pa.int32()), pa.array(size, pa.int32()), first["x"], last["x"], last["frame"], dx, side]
+        return pa.table(columns, names=names).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
 
 
 def stream_track_direction(
-    points: DataFrame, threshold: float = 100, patience: int = 120, history: int = 120, least: int = 15, frame_ms: int = 33, late: str = "10 seconds", forget_s: int = 86_400
+    points: DataFrame, threshold: float = 100, patience: int = 120, history: int = 120, least: int = 15, frame_ms: int = 33, late: str = "10 seconds", forget_s: int = 86_400, buckets: int = 256
 ) -> DataFrame:
     """traffic.track_direction over a stream of points (source, track_id, frame_idx, ts, cx). A session is told when a later point
     leaves a gap of more than `patience` frames, or when the watermark has passed that many frame periods. Points may come in any
-    order within `late`. A track that stays away for forget_s seconds is forgotten, and its sessions are counted from 0 again."""
+    order within `late`. A track that stays away for forget_s seconds is forgotten, and its sessions are counted from 0 again.
+    Tracks are dealt to buckets by their hash and a bucket's are dealt with together; a checkpoint holds for one number of buckets."""
     _keep_in_rocksdb(points.sparkSession)
     schema = "source string, track_id bigint, session int, points int, x_start bigint, x_end bigint, last_frame bigint, dx bigint, direction string"
-    own = points.select("source", F.col("track_id").cast("bigint").alias("track_id"), "frame_idx", "ts", "cx").withWatermark("ts", late)
+    # A null among numbers would make a batch's numbers floats.
+    track = F.coalesce(F.col("track_id").cast("bigint"), F.lit(0).cast("bigint"))
+    bucket = F.pmod(F.xxhash64("source", "track_id"), F.lit(buckets)).cast("int")
+    own = points.select("source", track.alias("track_id"), F.col("track_id").isNull().alias("unnamed"), "frame_idx", "ts", "cx", bucket.alias("bucket")).withWatermark("ts", late)
     job = _Tracks(threshold, patience, history, least, frame_ms, 1000 * forget_s)
-    return own.groupBy("source", "track_id").transformWithStateInPandas(job, schema, "append", "eventTime")
+    return own.groupBy("bucket").transformWithStateInPandas(job, schema, "append", "eventTime")
 
 
 class _Changes(_Timed):
